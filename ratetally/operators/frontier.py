@@ -2,30 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
 from ratetally.functions import urls
-from ratetally.operators.spread import top_per_group
+from ratetally.operators.spread import cut_lineage, top_per_group
 
 # Extensions of documents, which are collected rather than followed.
 SKIP_EXTENSIONS = ["pdf", "xlsx", "xls", "docx", "doc", "csv", "zip", "xlsm"]
 MAX_DEPTH = 4
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Checkpoint into the shared folder of the session; a local folder is set only where none is configured."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if folder is None and not context.master.startswith("local"):
-            raise ValueError("Set spark.checkpoint.dir to a shared folder.")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    return df.checkpoint()
-
-
 def page_edges(
     elements: DataFrame, path_must_contain: str = "", same_host: bool = True, max_links: int | None = 120,
     skip: Sequence[str] = SKIP_EXTENSIONS,

@@ -5,6 +5,7 @@ Every helper here gives the same rows as its plain counterpart; only the distrib
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -14,44 +15,64 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 GROUP_LIMIT = 1000
 
 
-def heavy_keys(df: DataFrame, keys: Sequence[str], share: int = 1000) -> DataFrame:
-    """Keys holding more than ``1/share`` of the rows: never more than ``share`` of them.
+MAX_HEAVY = 1000
 
-    The counts are combined on the map side, so a hot key costs one row per task.
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Checkpoint into the shared folder of the session; a local folder is set only where none is configured."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not context.master.startswith("local"):
+            raise ValueError("Set spark.checkpoint.dir to a shared folder.")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    return df.checkpoint()
+
+
+def heavy_keys(df: DataFrame, keys: Sequence[str], least: int = 1_000_000) -> DataFrame:
+    """The keys with at least ``least`` rows, the most frequent ``MAX_HEAVY`` of them at most.
+
+    Any other key has fewer rows than that or less than one row in ``MAX_HEAVY``. The counts are combined
+    on the map side, so a heavy key costs one row per task.
     """
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    total = counts.agg(F.sum("_n")).scalar()
-    return counts.where(F.col("_n") * share > total).drop("_n")
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= least)
+    return counts.orderBy(F.col("_n").desc(), *keys).limit(MAX_HEAVY).drop("_n")
 
 
-def lookup_join(left: DataFrame, right: DataFrame, keys: Sequence[str], hit: str = "hit", share: int = 1000) -> DataFrame:
+def splits_skew(spark) -> bool:
+    """Does the session split skewed join partitions at run time?"""
+    on = lambda key: str(spark.conf.get(key, "true")).lower() == "true"
+    return on("spark.sql.adaptive.enabled") and on("spark.sql.adaptive.skewJoin.enabled")
+
+
+def lookup_join(left: DataFrame, right: DataFrame, keys: Sequence[str], hit: str = "hit", least: int = 1_000_000) -> DataFrame:
     """Left join to a side that is unique on ``keys``; its other columns arrive as the struct ``hit``.
 
-    Rows under a heavy key take their partner from a broadcast of at most ``share`` rows and then pass
-    the shuffle under a key of their own, so no partition receives a whole heavy key.
+    The sides meet on one struct of the keys. An aggregate on the same keys would otherwise lend its
+    partitioning to the join, and adaptive execution splits a skewed partition only when both sides were
+    shuffled for the join itself. Where adaptive skew handling is off, the rows of heavy keys are taken out
+    first and meet their partners, at most ``MAX_HEAVY`` rows, in a broadcast join.
     """
     keys = list(keys)
     payload = F.struct(*[F.col(f"`{c}`") for c in right.columns if c not in keys], F.lit(True).alias("_found"))
     lookup = right.select(*keys, payload.alias("_hit"))
-    known = F.lit(True)
-    for k in keys:
-        known = known & F.col(k).isNotNull()
-
-    heavy = heavy_keys(left.where(known).select(*keys), keys, share)
-    heavy = heavy.join(lookup, keys, "left").withColumnRenamed("_hit", "_heavy_hit").withColumn("_heavy", F.lit(True))
-    tagged = left.join(F.broadcast(heavy), keys, "left")
-
-    alone = F.concat(F.lit("\x00"), F.monotonically_increasing_id().cast("string"))
-    first = F.col(keys[0]).cast("string")
-    tagged = tagged.withColumn("_route", F.when(F.col("_heavy") | ~known, alone).otherwise(first))
-    side = lookup.select(F.col(keys[0]).cast("string").alias("_route"), *[F.col(k).alias(f"_r_{k}") for k in keys[1:]], "_hit")
-    on = tagged["_route"] == side["_route"]
-    for k in keys[1:]:
-        on = on & (tagged[k] == side[f"_r_{k}"])
-    joined = tagged.join(side, on, "left")
-    return joined.select(
-        *[tagged[f"`{c}`"] for c in left.columns], F.coalesce(F.col("_heavy_hit"), F.col("_hit")).alias(hit)
-    )
+
+    def meet(some: DataFrame, table: DataFrame, small: bool = False) -> DataFrame:
+        known = F.lit(True)
+        for k in keys:
+            known = known & F.col(k).isNotNull()
+        key = F.when(known, F.struct(*keys))
+        side = table.select(key.alias("_side_key"), F.col("_hit").alias(hit))
+        tagged = some.withColumn("_key", key)
+        joined = tagged.join(F.broadcast(side) if small else side, F.col("_key") == F.col("_side_key"), "left")
+        return joined.drop("_key", "_side_key")
+
+    if splits_skew(left.sparkSession):
+        return meet(left, lookup)
+    heavy = F.broadcast(heavy_keys(left.select(*keys), keys, least))
+    usual = meet(left.join(heavy, keys, "left_anti").select(*left.columns), lookup)
+    crowded = left.join(heavy, keys, "left_semi").select(*left.columns)
+    return usual.unionByName(meet(crowded, lookup.join(heavy, keys, "left_semi"), small=True))
 
 
 def first_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:

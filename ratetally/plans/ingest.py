@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ratetally.functions import urls
 from ratetally.functions.dates import hint_date
 from ratetally.functions.text import blank_to_null, strip
-from ratetally.operators.spread import attach, first_per_group
+from ratetally.operators.spread import attach, cut_lineage, first_per_group
 from ratetally.operators.versions import append_versions, mark_current, state_key, with_known_content
 
 
@@ -77,9 +77,10 @@ def ingest_run(registry: DataFrame, fetched: DataFrame, fetched_at: Column) -> I
     )
     judged = with_known_content(new, registry)
     fresh = first_per_group(judged.where("known_artifact_id IS NULL"), ["state_code", "logical_schedule_key", "content_sha256"], [F.col("position")])
-    fresh = fresh.drop("known_artifact_id")
-    grown = append_versions(registry, fresh, "position")
-    gone = unpublished(grown, f.select("state_code", "url"))
+    # The next steps read the new rows and the grown registry several times: each is stored once.
+    fresh = cut_lineage(fresh.drop("known_artifact_id"))
+    grown = cut_lineage(append_versions(registry, fresh, "position"))
+    gone = cut_lineage(unpublished(grown, f.select("state_code", "url")).select("artifact_id", "state_code", "source_url"))
     final = mark_current(grown.join(gone.select("artifact_id"), "artifact_id", "left_anti").select(*registry.columns))
 
     written = fresh.select("position", F.lit("written").alias("_w"))
