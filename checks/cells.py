@@ -13,7 +13,7 @@ from ratetally.operators.spread import number_rows
 WS = r"trim(regexp_replace({0}, '\s+', ' ', 'g'))"
 
 
-@check(f"SELECT doc_id, md5({WS.format('text')}) AS t, md5(upper({WS.format('text')})) AS k FROM documents")
+@check(f"SELECT doc_id, md5({WS.format('text')}) AS t, md5(replace(replace(upper({WS.format('text')}), 'ß', 'SS'), 'ẞ', 'SS')) AS k FROM documents")
 def normalized_text(spark, sf):
     d = read(spark, sf, "documents")
     return d.select("doc_id", F.md5(text.norm_text(F.col("text"))).alias("t"), F.md5(text.norm_key(F.col("text"))).alias("k"))

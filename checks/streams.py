@@ -1 +1,36 @@
-"""Queries."""
+"""Streaming queries over the given tables."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import functions as F
+
+from checks import check, read
+from checks.versions import REG, registry
+from ratetally.operators.spread import shared_folder
+from ratetally.streaming import fetches
+
+
+def streamed(spark, sf, name):
+    """The table as a file stream."""
+    schema = read(spark, sf, name).schema
+    return spark.readStream.schema(schema).parquet(f"{sf}/{name}.parquet*")
+
+
+@check("SELECT DISTINCT user_id, event_type FROM events")
+def stream_of_distinct_events(spark, sf):
+    folder = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    once = fetches.stream_dedupe(streamed(spark, sf, "events"), ["user_id", "event_type"], delay="60 days").select("user_id", "event_type")
+    once.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/log").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{folder}/out")
+
+
+@check(f"WITH {REG} SELECT state_code, logical_schedule_key, artifact_id, content_sha256 FROM c WHERE is_current")
+def stream_of_current_versions(spark, sf):
+    folder = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    rows = registry(spark, sf).select("artifact_id", "state_code", "logical_schedule_key", "content_sha256", "portal_effective_date", "fetched_at_utc", "is_superseded_hint")
+    rows.repartition(4).write.parquet(f"{folder}/in")
+    versions = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(f"{folder}/in")
+    fetches.stream_current(versions, f"{folder}/out", f"{folder}/log").awaitTermination()
+    return fetches.read_current(spark, f"{folder}/out").select("state_code", "logical_schedule_key", "artifact_id", "content_sha256")

@@ -107,7 +107,7 @@ def is_percent_header(name: str) -> bool:
 def percent_text(c: Column) -> Column:
     """Fractions between 0 and 1 as a percentage (0.101 gives ``10.1%``), zero as '', others unchanged."""
     n = strip(c).try_cast("double")
-    pct = F.regexp_replace(F.format_number(F.round(n * 100, 6), "0.######"), r"\.$", "")
+    pct = F.call_function("format_number", F.round(n * 100, 6), F.lit("0.######"))
     return (
         F.when(strip(c).contains(".") & (F.abs(n) < 1e-12), F.lit(""))
         .when(strip(c).contains(".") & n.between(-0.0001, 1.001), F.concat(pct, F.lit("%")))

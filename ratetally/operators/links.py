@@ -50,7 +50,8 @@ def column_role(columns: Column, role: str) -> Column:
         from ratetally.functions.names import EFFECTIVE_DATE_NAMES
 
         norm = lambda c: F.regexp_replace(F.regexp_replace(F.lower(strip(c)), r"\s+", "_"), "[^a-z0-9_]", "")
-        exact = [_first(columns, lambda c, w=w: norm(c) == w) for w in EFFECTIVE_DATE_NAMES]
+        named = lambda wanted: _first(columns, lambda c: norm(c) == wanted)
+        exact = [named(wanted) for wanted in EFFECTIVE_DATE_NAMES]
         return F.coalesce(
             *exact,
             _first(columns, lambda c: norm(c).contains("effective") & norm(c).contains("date")),

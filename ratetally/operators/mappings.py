@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ratetally.functions.jsontext import distinct_map, paired_count, parse_column_map
 from ratetally.functions.text import artifact_label, blank_to_null, file_stem, norm_label, strip, text
 from ratetally.operators.registry import upsert_mappings
-from ratetally.operators.spread import lookup_join, previous_value, top_per_group
+from ratetally.operators.spread import cut_lineage, lookup_join, previous_value, top_per_group
 from ratetally.operators.versions import current_versions, latest_mapping, schedule_key, state_key
 
 # Header spellings of the bulk file and the field each one stands for.
@@ -198,7 +198,8 @@ def bulk_import(
         .when((F.col("artifact_id") != "") & F.col("_id").isNull(), F.concat(F.lit("Invalid ArtifactId: "), F.col("artifact_id")))
         .when((F.col("artifact_id") == "") & (F.col("state_schedule") == ""), "StateSchedule or ArtifactId is required.")
     )
-    r = r.withColumn("message", message)
+    # The rows feed the groups, the pairs and the warnings: the parsed form is stored once.
+    r = cut_lineage(r.withColumn("message", message))
     row_errors = r.where("message IS NOT NULL").select("row_no", "message")
     group_key = F.when(F.col("_id").isNotNull(), F.concat(F.lit("aid:"), F.col("_id").cast("string"))).otherwise(norm_label(F.col("state_schedule")))
     good = r.where("message IS NULL").withColumn("group_key", group_key).drop("artifact_id", "message").withColumnRenamed("_id", "artifact_id")
@@ -225,6 +226,7 @@ def bulk_import(
               F.concat(F.lit("Artifact "), F.col("artifact_id").cast("string"), F.lit(" belongs to state "), state_key(F.col("_art_state")), F.lit(f", not {sc}.")))
     )
     groups = groups.withColumn("message", problem).withColumn("logical_schedule_key", schedule_key(F.col("_key"), F.col("artifact_id")))
+    groups = cut_lineage(groups)
     errors = row_errors.unionByName(groups.where("message IS NOT NULL").select(F.col("first_row").alias("row_no"), "message"))
     fine = groups.where("message IS NULL").select("group_key", "dst_schedule", "action", "first_row", "artifact_id", "logical_schedule_key")
 

@@ -11,11 +11,19 @@ from ratetally.operators.dedupe import dedupe_by_id
 from ratetally.operators.spread import attach, first_per_group
 
 LIST_CALL = "/api/now/sp/rectangle/"
-DATA = "$.result.data"
+RESPONSE = (
+    "result struct<template:string, data:struct<table:string, title:string, fields:string, "
+    "column_labels:map<string,string>, row_count:string, list:array<string>>>"
+)
 
 
-def _get(path: str) -> Column:
-    return F.get_json_object("data_sample", f"{DATA}.{path}")
+def _parsed(calls: DataFrame) -> DataFrame:
+    """Calls with the parts of their response that are needed, read in one pass."""
+    return calls.withColumn("_r", F.from_json("data_sample", RESPONSE)["result"])
+
+
+def _get(name: str) -> Column:
+    return F.col(f"_r.data.{name}")
 
 
 def list_calls(calls: DataFrame) -> DataFrame:
@@ -31,11 +39,11 @@ def list_calls(calls: DataFrame) -> DataFrame:
     rank = F.struct(
         priority.alias("priority"), F.when(title.contains("archiv"), 0).otherwise(1).alias("active"),
         F.when(F.get_json_object("payload", "$").startswith("{") & (F.size(F.coalesce(F.json_object_keys("payload"), F.array().cast("array<string>"))) > 0), 1).otherwise(0).alias("has_payload"),
-        F.coalesce(F.json_array_length(_get("list")), F.lit(0)).alias("listed"),
+        F.coalesce(F.array_size(_get("list")), F.lit(0)).alias("listed"),
         F.coalesce(_get("row_count").try_cast("long"), F.lit(0).cast("long")).alias("declared"),
     )
     hit = F.lower("url").contains(LIST_CALL) & (F.col("method") == "POST")
-    return calls.where(hit).withColumn("rank", rank)
+    return _parsed(calls.where(hit)).withColumn("rank", rank)
 
 
 def pick_best(calls: DataFrame, scope: list[str]) -> DataFrame:
@@ -46,12 +54,12 @@ def pick_best(calls: DataFrame, scope: list[str]) -> DataFrame:
 def download_base(calls: DataFrame, scope: list[str]) -> DataFrame:
     """Public download prefix of each scope, taken from the first call or page template that shows one."""
     seen = F.regexp_extract(text(F.col("url")), r"^(.*?pubatt/dl/)", 1)
-    template = text(F.get_json_object("data_sample", "$.result.template"))
+    template = text(F.col("_r.template"))
     absolute = F.regexp_extract(template, r"(?i)(https?://[^\"'\s>]+/pubatt/dl/)", 1)
     relative = F.regexp_extract(template, r"(/api/[A-Za-z0-9_]+/pubatt/dl/)", 1)
     origin = F.concat(urls.scheme(F.col("url")), F.lit("://"), urls.host(F.col("url")))
     shown = F.when(absolute != "", absolute).when(relative != "", F.concat(origin, relative))
-    c = calls.select(*scope, "call_no", F.when(seen != "", seen).alias("seen"), shown.alias("shown"))
+    c = _parsed(calls).select(*scope, "call_no", F.when(seen != "", seen).alias("seen"), shown.alias("shown"))
     return c.groupBy(*scope).agg(
         F.coalesce(F.min_by("seen", F.when(F.col("seen").isNotNull(), F.col("call_no"))), F.min_by("shown", F.when(F.col("shown").isNotNull(), F.col("call_no")))).alias("base")
     )
@@ -68,10 +76,10 @@ def flatten_records(calls: DataFrame, scope: list[str]) -> DataFrame:
     best = best.select(
         *scope, "url", origin.alias("origin"), "base",
         F.split(F.nullif(_get("fields"), F.lit("")), ",").alias("fields"),
-        F.from_json(_get("column_labels"), "map<string,string>").alias("labels"),
-        F.coalesce(_get("row_count").try_cast("long"), F.json_array_length(_get("list")).cast("long")).alias("declared"),
+        _get("column_labels").alias("labels"),
+        F.coalesce(_get("row_count").try_cast("long"), F.array_size(_get("list")).cast("long")).alias("declared"),
         _get("table").alias("source_table"),
-        F.from_json(_get("list"), "array<string>").alias("list"),
+        _get("list").alias("list"),
     )
     r = best.select("*", F.posexplode("list").alias("row_no", "record")).drop("list").where(F.col("record").startswith("{"))
     r = r.withColumn("rec", F.from_json("record", "map<string,string>"))

@@ -18,14 +18,20 @@ GROUP_LIMIT = 1000
 MAX_HEAVY = 1000
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Checkpoint into the shared folder of the session; a local folder is set only where none is configured."""
-    context = df.sparkSession.sparkContext
+def shared_folder(spark) -> str:
+    """Checkpoint folder of the session; a local one is made only where none is configured."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None and not context.master.startswith("local"):
             raise ValueError("Set spark.checkpoint.dir to a shared folder.")
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
+    return context.getCheckpointDir()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Store ``df`` in the checkpoint folder of the session and go on from there."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

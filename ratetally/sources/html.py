@@ -139,7 +139,8 @@ def page_elements(pages: DataFrame) -> DataFrame:
     """Elements of ``pages`` (page_id, url, html) in document order.
 
     Kinds: heading, anchor, table, row, cell, control, hint (strong, legend, caption) and text. ``text``
-    joins the inner text pieces with a blank, ``tight`` without one.
+    joins the inner text pieces with a blank, ``tight`` without one. The operators on pages read the
+    elements more than once, so store them (as a table or with ``cut_lineage``) before using them.
     """
     names = [part.split()[0] for part in ELEMENTS_SCHEMA.split(", ")]
     whole = ["pos", "n_texts", "table_no", "row_no", "col_no"]
