@@ -45,7 +45,7 @@ def compare(spark: SparkSession, con, folder: str, name: str, check) -> str:
 def session(cpus: int = 8, parts: int = 8) -> SparkSession:
     return (
         SparkSession.builder.master(f"local[{cpus}]").appName("checks")
-        .config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", str(parts))
+        .config("spark.ui.enabled", "false").config("spark.python.sql.dataFrameDebugging.enabled", "false").config("spark.sql.shuffle.partitions", str(parts))
         .config("spark.sql.session.timeZone", "UTC").config("spark.driver.memory", "8g").getOrCreate()
     )
 

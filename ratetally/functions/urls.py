@@ -87,22 +87,26 @@ def _without_dots(p: Column) -> Column:
 
 def join_url(base: Column, href: Column) -> Column:
     """``href`` seen from the page ``base``; other schemes (mailto, javascript) are returned as they are."""
-    b, h = strip(base), strip(href)
-    origin = F.concat(scheme(b), F.lit("://"), host(b))
-    base_path = F.when(path(b) == "", F.lit("/")).otherwise(path(b))
-    folder = F.regexp_replace(base_path, r"[^/]*$", "")
-    h_path = F.regexp_extract(h, r"^([^?#]*)", 1)
-    h_rest = F.regexp_replace(h, r"^[^?#]*", "")
-    base_query = F.when(query(b) != "", F.concat(F.lit("?"), query(b))).otherwise(F.lit(""))
-    return (
-        F.when(h == "", b)
-        .when(h.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), h)
-        .when(h.startswith("//"), F.concat(scheme(b), F.lit(":"), h))
-        .when(h.startswith("/"), F.concat(origin, _without_dots(h_path), h_rest))
-        .when(h.startswith("?"), F.concat(origin, path(b), h))
-        .when(h.startswith("#"), F.concat(origin, path(b), base_query, h))
-        .otherwise(F.concat(origin, _without_dots(F.concat(folder, h_path)), h_rest))
-    )
+    parts = F.struct(strip(base).alias("b"), strip(href).alias("h"))
+
+    def resolve(x):
+        b, h = x["b"], x["h"]
+        origin = F.regexp_extract(b, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
+        base_path = F.regexp_extract(b, PARTS, 3)
+        folder = F.when(base_path == "", F.lit("/")).otherwise(F.regexp_replace(base_path, r"[^/]*$", ""))
+        h_path = F.regexp_extract(h, r"^([^?#]*)", 1)
+        h_rest = F.regexp_replace(h, r"^[^?#]*", "")
+        return (
+            F.when(h == "", b)
+            .when(h.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), h)
+            .when(h.startswith("//"), F.concat(F.regexp_extract(b, r"^([^/]*)", 1), h))
+            .when(h.startswith("/"), F.concat(origin, _without_dots(h_path), h_rest))
+            .when(h.startswith("?"), F.concat(origin, base_path, h))
+            .when(h.startswith("#"), F.concat(F.regexp_replace(b, "#.*$", ""), h))
+            .otherwise(F.concat(origin, _without_dots(F.concat(folder, h_path)), h_rest))
+        )
+
+    return bind(parts, resolve)
 
 
 def is_script_url(c: Column) -> Column:
@@ -133,21 +137,23 @@ def has_file_extension(c: Column, extensions=FILE_EXTENSIONS) -> Column:
 
 def is_file_url(c: Column) -> Column:
     """URL that is likely to return a document: extension, attachment handler or format in the query."""
-    u = F.lower(strip(c))
-    p = F.lower(path(u))
     ext = r"\.(" + "|".join(FILE_EXTENSIONS) + ")"
-    return u.startswith("http") & (
-        p.rlike(ext + "$")
-        | u.contains("pubatt/dl/")
-        | (u.contains("/api/now/attachment/") & u.contains("/file"))
-        | u.contains("sys_attachment.do")
-        | p.contains("attachment.do")
-        | u.rlike(r"format=pdf|filetype=pdf|type=pdf|content-?type=application/pdf")
-        | (p.contains(".ashx") & u.rlike("pdf|xlsx|xls|csv"))
-        | p.rlike("getfile|download\\.aspx|filedownload")
-        | (p.contains("/media/") & p.rlike(ext))
-        | (p.contains("export") & u.rlike("format=pdf|format=xlsx|type=pdf|type=xlsx"))
-    )
+    low = F.lower(strip(c))
+
+    def test(x):
+        u, p = x["u"], x["p"]
+        return u.startswith("http") & (
+            p.rlike(ext + "$")
+            | u.rlike(r"pubatt/dl/|/api/now/attachment/.*/file|sys_attachment\.do")
+            | p.contains("attachment.do")
+            | u.rlike(r"format=pdf|filetype=pdf|type=pdf|content-?type=application/pdf")
+            | (p.contains(".ashx") & u.rlike("pdf|xlsx|xls|csv"))
+            | p.rlike(r"getfile|download\.aspx|filedownload")
+            | (p.contains("/media/") & p.rlike(ext))
+            | (p.contains("export") & u.rlike("format=pdf|format=xlsx|type=pdf|type=xlsx"))
+        )
+
+    return bind(F.struct(low.alias("u"), path(low).alias("p")), test)
 
 
 def link_kind(c: Column) -> Column:

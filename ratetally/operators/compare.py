@@ -140,9 +140,8 @@ def reconcile(
         def rcell(c):
             return F.col("_right")[c] if has_right else F.lit(None).cast("string")
 
-        diffs = field_diffs(pairs, lcell, rcell, numeric_mode, profile)
-        differing = F.size(F.filter("_diffs", lambda d: ~d["same"]))
-        out = df.withColumn("_diffs", diffs).withColumn("_n", differing)
+        out = df.withColumn("_diffs", field_diffs(pairs, lcell, rcell, numeric_mode, profile))
+        out = out.withColumn("_n", F.size(F.filter("_diffs", lambda d: ~d["same"])))
         if has_left:
             status = F.when(F.col("_right").isNull(), "left_only").when(F.col("_n") == 0, "match").otherwise("mismatch")
             shown = (F.col(f"`{code_left}`"), F.col(f"`{modifier[0]}`") if modifier else F.lit(None))

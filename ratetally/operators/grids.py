@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ratetally.functions.cells import header_bonus, is_data_like, is_number_text, is_percent_header, is_rate_id, percent_text
 from ratetally.functions.text import strip
-from ratetally.operators.spread import attach, number_rows
+from ratetally.operators.spread import attach, cut_lineage, number_rows
 
 FILE = ["file_id"]
 SCAN_ROWS = 520
@@ -18,6 +18,11 @@ FALLBACK_ROWS = 80
 PLACEHOLDER = r"(?i)^col_\d+$"
 
 
+def near_cells(cells: DataFrame) -> DataFrame:
+    """The first rows of each file, which hold its header and what follows it; the filter reaches the scan."""
+    return cells.where(F.col("row_idx") < SCAN_ROWS + LOOK_AHEAD + 1)
+
+
 def row_features(cells: DataFrame) -> DataFrame:
     """One row per grid row: filled cells, data-like cells, rate ids, numbers, long cells, longest cell, header bonus."""
     s = strip(F.col("cell"))
@@ -25,9 +30,9 @@ def row_features(cells: DataFrame) -> DataFrame:
     f = cells.groupBy("file_id", "row_idx").agg(
         F.count_if(s != "").alias("width"), F.count_if(is_data_like(s)).alias("data_like"), F.count_if(is_rate_id(s)).alias("rate_ids"),
         F.count_if(is_number_text(s)).alias("numbers"), F.count_if(F.length(s) > 90).alias("long_cells"), F.max(F.length(s)).alias("longest"),
-        words.alias("_words"),
+        words.alias("words"),
     )
-    return f.withColumn("bonus", header_bonus(F.col("_words"))).drop("_words")
+    return f.withColumn("bonus", header_bonus(F.col("words")))
 
 
 def detect_header(cells: DataFrame, min_cols: int = 3) -> DataFrame:
@@ -36,7 +41,7 @@ def detect_header(cells: DataFrame, min_cols: int = 3) -> DataFrame:
     Only the first rows of a file are looked at, so a file of any length costs one small window.
     """
     size = cells.groupBy(*FILE).agg((F.max("row_idx") + 1).alias("n_rows"))
-    near = row_features(cells.where(F.col("row_idx") < SCAN_ROWS + LOOK_AHEAD + 1)).join(size, FILE)
+    near = row_features(near_cells(cells)).join(size, FILE)
     ahead = Window.partitionBy("file_id").orderBy("row_idx").rangeBetween(1, LOOK_AHEAD)
     top = F.slice(F.sort_array(F.collect_list("data_like").over(ahead), asc=False), 1, 2)
     near = near.withColumn("_top", top)
@@ -65,22 +70,23 @@ def detect_header(cells: DataFrame, min_cols: int = 3) -> DataFrame:
 
 
 def header_band(cells: DataFrame, headers: DataFrame) -> DataFrame:
-    """``headers`` with ``band``: the row above the header is a label band that belongs to it."""
-    h = headers.where("header_row > 0")
-    span = attach(cells, h.select("file_id", "header_row"), FILE)
-    close = span.where(F.col("row_idx").between(F.col("header_row") - 1, F.col("header_row")))
-    f = row_features(close.select("file_id", "row_idx", "col_idx", "cell")).join(h.select("file_id", "header_row", "n_rows"), FILE)
-    below = span.where((F.col("row_idx") > F.col("header_row")) & (strip(F.col("cell")) != "")).groupBy(*FILE).agg(F.min("row_idx").alias("_next"))
-    nxt = span.join(below.withColumnRenamed("_next", "row_idx"), ["file_id", "row_idx"])
-    nxt = row_features(nxt.select("file_id", "row_idx", "col_idx", "cell")).select("file_id", F.col("width").alias("n_width"), F.col("data_like").alias("n_data"))
+    """``headers`` with ``band``: the row above the header is a label band that belongs to it.
+
+    The row above must look like labels and the first filled row below like data.
+    """
+    h = headers.where("header_row > 0").select("file_id", "header_row", "n_rows")
+    f = row_features(near_cells(cells)).join(h, FILE).where("row_idx >= header_row - 1 AND (row_idx <= header_row OR width > 0)")
     word = r"workforce|hcbs|rescue|rate increase"
-    marks = close.where(F.col("row_idx") < F.col("header_row")).groupBy(*FILE).agg(F.max(F.lower("cell").rlike(word)).alias("_marked"))
-    at = lambda c, up: F.max(F.when((F.col("row_idx") < F.col("header_row")) == F.lit(up), F.col(c)))
-    g = f.groupBy(*FILE).agg(
-        *[at(c, True).alias(f"p_{c}") for c in ("width", "data_like", "rate_ids", "numbers")],
-        *[at(c, False).alias(f"q_{c}") for c in ("width", "data_like")],
-        F.first("header_row").alias("header_row"), F.first("n_rows").alias("n_rows"),
-    ).join(nxt, FILE, "left").join(marks, FILE, "left")
+    above, here = F.col("row_idx") == F.col("header_row") - 1, F.col("row_idx") == F.col("header_row")
+    below = F.col("row_idx") > F.col("header_row")
+    pick = lambda cond, c: F.max(F.when(cond, F.col(c)))
+    g = f.groupBy(*FILE, "header_row", "n_rows").agg(
+        *[pick(above, c).alias(f"p_{c}") for c in ("width", "data_like", "rate_ids", "numbers")],
+        F.max(F.when(above, F.col("words").rlike(word))).alias("_marked"),
+        *[pick(here, c).alias(f"q_{c}") for c in ("width", "data_like")],
+        F.min(F.when(below, F.struct("row_idx", "width", "data_like"))).alias("_n"),
+    )
+    g = g.withColumn("n_width", F.col("_n.width")).withColumn("n_data", F.col("_n.data_like"))
     half = F.greatest(F.lit(2), F.expr("(n_width + 1) DIV 2"))
     worthy = (
         (F.col("header_row") < F.col("n_rows") - 1) & (F.col("p_width") >= 2) & (F.col("q_width") >= 3)
@@ -93,7 +99,8 @@ def header_band(cells: DataFrame, headers: DataFrame) -> DataFrame:
         (F.col("p_width") >= 3) & (F.col("q_data_like") <= 2) & (F.col("q_width") >= 4) & (F.col("p_rate_ids") <= 1)
         & (F.col("p_numbers") <= 2) & (F.col("p_data_like") <= F.greatest(F.lit(3), F.expr("p_width DIV 2"))) & F.coalesce("_marked", F.lit(False))
     )
-    return headers.join(g.select("file_id", (worthy | marked).alias("band")), FILE, "left").withColumn("band", F.coalesce("band", F.lit(False)))
+    band = g.select("file_id", F.coalesce(worthy | marked, F.lit(False)).alias("band"))
+    return headers.join(band, FILE, "left").withColumn("band", F.coalesce("band", F.lit(False)))
 
 
 def merge_labels(above: Column, label: Column) -> Column:
@@ -133,42 +140,43 @@ def read_grid(cells: DataFrame, min_cols: int = 3, two_row_headers: bool = True,
     """Header and body of each grid.
 
     Rows above the header are left out, as are blank rows, note rows and, if asked for, repeats of the
-    header. Blank header cells become ``col_N``; columns that are empty and unnamed are dropped.
+    header. Blank header cells become ``col_N``; columns that are empty and unnamed are dropped. Cells of a
+    dropped column hold no text and belong to no entry of ``columns``. The header rows (one row per file) and
+    their labels are found first and stored, so that the cells are not searched again for every use of them.
     """
-    heads = detect_header(cells, min_cols)
+    heads = cut_lineage(detect_header(cells, min_cols))
+    edge = heads.select("file_id", "header_row")
     heads = header_band(cells, heads) if two_row_headers else heads.withColumn("band", F.lit(False))
-    known = attach(cells, heads.select("file_id", "header_row", "band"), FILE)
-    body = known.where(F.col("row_idx") > F.col("header_row"))
-    top = known.where(F.col("row_idx").between(F.col("header_row") - 1, F.col("header_row")))
+    top = near_cells(cells).join(heads.select("file_id", "header_row", "band"), FILE)
+    top = top.where(F.col("row_idx").between(F.col("header_row") - 1, F.col("header_row")))
     here = F.col("row_idx") == F.col("header_row")
-    labels = top.groupBy("file_id", "col_idx").agg(
-        F.max(F.when(here, strip(F.col("cell")))).alias("_label"),
-        F.max(F.when(~here & F.col("band"), strip(F.col("cell")))).alias("_above"),
-    )
-    by_row = body.groupBy("file_id", "row_idx").agg(
-        F.max(strip(F.col("cell")) != "").alias("_filled"),
-        F.max((F.col("col_idx") == 0) & F.lower(strip(F.col("cell"))).startswith("note")).alias("_note"),
-        F.array_sort(F.collect_list(F.struct("col_idx", F.lower(strip(F.col("cell"))).alias("t")))).alias("_texts"),
-    )
-    keep = by_row.where("_filled")
-    if skip_notes:
-        keep = keep.where("NOT _note")
+    labels = cut_lineage(top.groupBy("file_id", "col_idx").agg(
+        F.coalesce(F.max(F.when(here, strip(F.col("cell")))), F.lit("")).alias("_label"),
+        F.coalesce(F.max(F.when(~here & F.col("band"), strip(F.col("cell")))), F.lit("")).alias("_above"),
+    ))
     if repeated_headers:
         shown = labels.where("_label <> ''").groupBy(*FILE).agg(
-            F.array_sort(F.collect_list(F.struct("col_idx", F.lower("_label").alias("t")))).alias("_header")
+            F.transform(F.array_sort(F.collect_list(F.struct("col_idx", F.lower("_label").alias("t")))), lambda x: F.concat_ws(" ", x["col_idx"].cast("string"), x["t"])).alias("_header")
         )
-        filled = F.filter("_texts", lambda x: x["t"] != "")
-        keep = attach(keep, shown, FILE, "left").where(~F.coalesce(filled == F.col("_header"), F.lit(False)))
-    body = body.join(keep.select("file_id", "row_idx"), ["file_id", "row_idx"], "left_semi")
+        edge = edge.join(shown, FILE, "left")
+
+    # One shuffle by row: a grid row is as wide as its file, and even a very long file is spread over its rows.
+    rows = cells.groupBy("file_id", "row_idx").agg(F.array_sort(F.collect_list(F.struct("col_idx", F.coalesce("cell", F.lit("")).alias("cell")))).alias("_cells"))
+    rows = attach(rows, edge, FILE).where("row_idx > header_row").where(F.exists("_cells", lambda c: strip(c["cell"]) != ""))
+    if skip_notes:
+        rows = rows.where(~F.exists("_cells", lambda c: (c["col_idx"] == 0) & F.lower(strip(c["cell"])).startswith("note")))
+    if repeated_headers:
+        filled = F.filter("_cells", lambda c: strip(c["cell"]) != "")
+        said = F.transform(filled, lambda c: F.concat_ws(" ", c["col_idx"].cast("string"), F.lower(strip(c["cell"]))))
+        rows = rows.where(~F.coalesce(said == F.col("_header"), F.lit(False)))
+    body = rows.select("file_id", "row_idx", F.inline("_cells"))
 
     used = body.where(strip(F.col("cell")) != "").groupBy("file_id", "col_idx").agg(F.lit(True).alias("_used"))
     cols = labels.join(used, ["file_id", "col_idx"], "full_outer")
     name = merge_labels(F.coalesce("_above", F.lit("")), F.coalesce("_label", F.lit("")))
     name = F.when(name != "", name).otherwise(F.concat(F.lit("col_"), (F.col("col_idx") + 1).cast("string")))
     cols = cols.withColumn("name", name).where(F.coalesce("_used", F.lit(False)) | ~F.col("name").rlike(PLACEHOLDER))
-    cols = cols.select("file_id", "col_idx", "name")
-    body = attach(body, cols.select("file_id", "col_idx"), ["file_id", "col_idx"], "semi")
-    return Grid(cols, body.select("file_id", "row_idx", "col_idx", F.coalesce("cell", F.lit("")).alias("cell")), heads)
+    return Grid(cols.select("file_id", "col_idx", "name"), body, heads)
 
 
 def wide(grid: Grid, columns: Sequence[str], file_id: str | None = None) -> DataFrame:

@@ -88,17 +88,20 @@ def is_superseded(cells: Column, label: Column) -> Column:
     return F.upper(blob).contains("SUPERSEDED")
 
 
-def row_title(cells: Column, columns: Column) -> Column:
-    """Section of a row if it has one, else its schedule-name cell."""
+def row_title(cells: Column, schedule: Column) -> Column:
+    """Section of a row if it has one, else its cell in the ``schedule`` column."""
     section = strip(F.element_at(cells, F.lit("_schedule_section")))
-    return F.when(section != "", section).otherwise(strip(F.element_at(cells, column_role(columns, "schedule"))))
+    return F.when(section != "", section).otherwise(strip(F.element_at(cells, schedule)))
 
 
-def compose_label(cells: Column, columns: Column, portal_date: Column, fallback: Column) -> Column:
-    """``Program — Schedule — Jan 5, 2026`` with whatever of the three is known; else a short link text."""
-    fee_cell = strip(F.element_at(cells, column_role(columns, "schedule")))
-    fee = F.when(fee_cell != "", fee_cell).otherwise(row_title(cells, columns))
-    prog = strip(F.element_at(cells, column_role(columns, "program")))
+def compose_label(cells: Column, schedule: Column, program: Column, portal_date: Column, fallback: Column) -> Column:
+    """``Program — Schedule — Jan 5, 2026`` with whatever of the three is known; else a short link text.
+
+    ``schedule`` and ``program`` name the columns of these roles, see ``column_role``.
+    """
+    fee_cell = strip(F.element_at(cells, schedule))
+    fee = F.when(fee_cell != "", fee_cell).otherwise(row_title(cells, schedule))
+    prog = strip(F.element_at(cells, program))
     fb = strip(fallback)
     fb_ok = (F.length(fb) <= 48) & ~fb.rlike("(?i)^https?://") & ~F.lower(fb).isin("download", "download file", "click here", "here")
     base = (
@@ -127,31 +130,38 @@ def file_candidates(catalog: DataFrame, scope: Sequence[str], base: str = "url",
     """
     place = [*scope, "table_no", "row_no"]
     c = catalog.select(*dict.fromkeys([*place, base, "columns", "cells", "links"]))
-    by_link = c.select("*", F.posexplode("links").alias("at", "link")).select(
-        "*", F.lit(0).alias("side"), F.col("link.url").alias("raw"), F.substring(text(F.col("link.text")), 1, 400).alias("lab"),
-        F.coalesce(F.col("link.superseded"), F.lit(False)).alias("link_sup"), F.substring(text(F.col("link.slot")), 1, 32).alias("slot"),
-    ).drop("link")
-    by_cell = c.select("*", F.posexplode(F.map_entries("cells")).alias("at", "e")).where(
-        ~F.col("e.key").startswith("_") & strip(F.col("e.value")).rlike("^https?://")
-    ).select("*", F.lit(1).alias("side"), F.col("e.value").alias("raw"), F.lit("").alias("lab"), F.lit(False).alias("link_sup"), F.lit("").alias("slot")).drop("e")
-    both = by_link.unionByName(by_cell).withColumn("found_url", urls.absolute_url(F.col(base), F.col("raw")))
-    both = both.where(urls.is_file_url(F.col("found_url")))
+    item = lambda side, raw, lab, sup, slot: F.struct(
+        F.lit(side).alias("side"), raw.alias("raw"), lab.alias("lab"), sup.alias("link_sup"), slot.alias("slot")
+    )
+    in_links = F.transform("links", lambda k: item(
+        0, k["url"], F.substring(text(k["text"]), 1, 400), F.coalesce(k["superseded"], F.lit(False)), F.substring(text(k["slot"]), 1, 32)
+    ))
+    shown = F.filter(F.map_entries("cells"), lambda e: ~e["key"].startswith("_") & strip(e["value"]).rlike("^https?://"))
+    in_cells = F.transform(shown, lambda e: item(1, e["value"], F.lit(""), F.lit(False), F.lit("")))
+    both = c.withColumn("_items", F.concat(in_links, in_cells)).drop("links")
+    both = both.select("*", F.posexplode("_items").alias("at", "_item")).select("*", "_item.*").drop("_items", "_item")
+    # The URL is long to compute and read by the test: both come out of one expression.
+    target = bind(urls.absolute_url(F.col(base), F.col("raw")), lambda u: F.when(urls.is_file_url(u), u))
+    both = both.withColumn("found_url", target).where(F.col("found_url").isNotNull())
     one = F.col("found_url") if dedupe_on == "raw" else urls.normalize_url(F.col("found_url"))
     order = [F.col(x) for x in ("table_no", "row_no", "side", "at") if x not in scope]
     kept = first_per_group(both.withColumn("_one", one), [*scope, "_one"], order)
 
-    lab = strip(F.col("lab"))
-    title = row_title(F.col("cells"), F.col("columns"))
-    kept = kept.withColumn("_lab", lab).withColumn("_title", F.coalesce(title, F.lit("")))
-    kept = kept.withColumn("_link_date", F.coalesce(dates.label_date(F.col("_lab")), F.lit("")))
-    kept = kept.withColumn("_row_date", F.coalesce(dates.row_portal_date(F.col("cells"), F.col("columns")), F.lit("")))
+    # Roles, dates and titles are used several times below, so each is a column of its own first.
+    kept = kept.withColumns({
+        "_lab": strip(F.col("lab")), "_fee": column_role(F.col("columns"), "schedule"), "_prog": column_role(F.col("columns"), "program"),
+        "_row_date": F.coalesce(dates.row_portal_date(F.col("cells"), F.col("columns")), F.lit("")),
+    })
+    kept = kept.withColumns({
+        "_title": F.coalesce(row_title(F.col("cells"), F.col("_fee")), F.lit("")), "_link_date": F.coalesce(dates.label_date(F.col("_lab")), F.lit("")),
+    })
     day = F.when(F.col("_link_date") != "", F.col("_link_date")).otherwise(F.col("_row_date"))
     return kept.withColumn("_day", day).select(
         *scope,
         *[x for x in ("table_no", "row_no") if x not in scope],
         F.col("found_url").alias("file_url"),
         F.substring(F.when(F.col("_lab") != "", F.col("_lab")).otherwise(F.col("_title")), 1, 400).alias("label"),
-        F.substring(compose_label(F.col("cells"), F.col("columns"), F.col("_day"), F.col("_lab")), 1, 512).alias("catalog_display_label"),
+        F.substring(compose_label(F.col("cells"), F.col("_fee"), F.col("_prog"), F.col("_day"), F.col("_lab")), 1, 512).alias("catalog_display_label"),
         urls.candidate_key(F.element_at("cells", F.lit("_fee_topic_slug")), F.col("_title"), F.col("_lab")).alias("logical_schedule_key"),
         F.substring("_day", 1, 32).alias("portal_date"),
         F.when(F.col("_link_date") != "", "link_text").when(F.col("_row_date") != "", "row_cell").otherwise("").alias("effective_date_source"),

@@ -204,16 +204,10 @@ def table_headers(rows: DataFrame) -> DataFrame:
 
     A head section decides; otherwise the best scoring of the first rows, the earlier one in a tie.
     """
-    head = rows.where(F.exists("cells", lambda c: c["th"] & c["in_thead"])).groupBy(*TABLE).agg(
-        F.array_sort(F.collect_list(F.struct("row_no", F.filter("cells", lambda c: c["th"] & c["in_thead"]).alias("c")))).alias("h")
-    )
-    head_labels = clean_labels(F.flatten(F.transform("h", lambda r: F.transform(r["c"], lambda c: c["tight"]))))
-    head = head.select(*TABLE, head_labels.alias("columns"), F.lit(-1).alias("header_row")).where(F.size("columns") > 0)
-
-    near = rows.where(F.col("row_no") <= MAX_HEADER_ROWS)
+    is_head = lambda c: c["th"] & c["in_thead"]
     texts = F.transform("cells", lambda c: c["tight"])
-    filled = F.filter(texts, lambda t: t != "")
-    near = near.withColumn("filled", filled).withColumn("columns", clean_labels(texts))
+    near = rows.where((F.col("row_no") <= MAX_HEADER_ROWS) | F.exists("cells", is_head))
+    near = near.withColumn("filled", F.filter(texts, lambda t: t != "")).withColumn("columns", clean_labels(texts))
     nxt = F.lead(F.size("filled")).over(Window.partitionBy(*TABLE).orderBy("row_no"))
     near = near.withColumn("_next", F.coalesce(nxt, F.lit(-1)))
     n = F.size("columns")
@@ -227,12 +221,17 @@ def table_headers(rows: DataFrame) -> DataFrame:
         - F.size(F.filter("filled", lambda t: F.length(t) > 90)) * 3
         + F.when(F.col("_next") >= F.greatest(F.lit(2), n - 1), 8).otherwise(0)
     )
-    cand = near.where((F.col("row_no") < MAX_HEADER_ROWS) & (F.size("filled") >= 2) & ~nav & (n >= 2)).withColumn("score", score)
-    best = cand.where("score >= 0").groupBy(*TABLE).agg(
-        F.max_by(F.struct("row_no", "columns"), F.struct("score", -F.col("row_no"))).alias("b")
+    usable = (F.col("row_no") < MAX_HEADER_ROWS) & (F.size("filled") >= 2) & ~nav & (n >= 2)
+    near = near.withColumn("score", F.when(usable, score))
+    head_cells = F.transform(F.filter("cells", is_head), lambda c: c["tight"])
+    found = near.groupBy(*TABLE).agg(
+        F.array_sort(F.collect_list(F.when(F.exists("cells", is_head), F.struct("row_no", head_cells.alias("t"))))).alias("h"),
+        F.max(F.when(F.col("score") >= 0, F.struct("score", (-F.col("row_no")).alias("up"), "columns"))).alias("b"),
+    ).withColumn("_head", clean_labels(F.flatten(F.transform("h", lambda r: r["t"]))))
+    use_head = F.size("_head") > 0
+    return found.where(use_head | F.col("b").isNotNull()).select(
+        *TABLE, F.when(use_head, F.col("_head")).otherwise(F.col("b.columns")).alias("columns"), F.when(use_head, -1).otherwise(-F.col("b.up")).alias("header_row")
     )
-    best = best.join(head.select(*TABLE), TABLE, "left_anti").select(*TABLE, F.col("b.columns").alias("columns"), F.col("b.row_no").alias("header_row"))
-    return head.unionByName(best)
 
 
 def is_paging_row(links: Column, values: Column) -> Column:
