@@ -27,15 +27,25 @@ def strict_decimal(c: Column) -> Column:
     return F.when(s.rlike(shape) & s.rlike(r"\d"), F.when(negative, -value).otherwise(value).cast(NUMBER))
 
 
-def compare_cells(left: Column, right: Column, money: bool, numeric_mode: str = "loose") -> Column:
+def is_exact_number(data_type: T.DataType | None) -> bool:
+    """Types whose values are numbers as they stand."""
+    return isinstance(data_type, T.IntegralType) or (isinstance(data_type, T.DecimalType) and data_type.scale <= 10)
+
+
+def compare_cells(
+    left: Column, right: Column, money: bool, numeric_mode: str = "loose",
+    left_type: T.DataType | None = None, right_type: T.DataType | None = None,
+) -> Column:
     """Struct (same, left_value, right_value).
 
     Equal normalised text is equal. Otherwise both cells must hold numbers: money is rounded half up to
-    cents and compared, any other pair may differ by at most 0.005.
+    cents and compared, any other pair may differ by at most 0.005. Cells of a known numeric type need no
+    parsing.
     """
     parse = loose_decimal if numeric_mode == "loose" else strict_decimal
-    lt, rt = norm_text(left), norm_text(right)
-    ln, rn = parse(lt), parse(rt)
+    lt, rt = norm_text(left, left_type), norm_text(right, right_type)
+    ln = left.try_cast(NUMBER) if is_exact_number(left_type) else parse(lt)
+    rn = right.try_cast(NUMBER) if is_exact_number(right_type) else parse(rt)
     both = ln.isNotNull() & rn.isNotNull()
     if money:
         lc, rc = F.round(ln, 2), F.round(rn, 2)
@@ -48,26 +58,25 @@ def compare_cells(left: Column, right: Column, money: bool, numeric_mode: str =
     return F.struct(same.alias("same"), show_l.alias("left_value"), show_r.alias("right_value"))
 
 
-def field_diffs(
-    pairs: Sequence[tuple[str, str]], left, right, numeric_mode: str = "loose", profile: str = "compare"
-) -> Column:
-    """Array with one struct per mapped pair. ``left`` and ``right`` map a column name to its Column."""
-    items = []
-    for l, r in pairs:
-        cmp = compare_cells(left(l), right(r), is_money_pair(l, r, profile), numeric_mode)
-        items.append(
-            F.struct(
-                F.lit(l).alias("left_column"),
-                F.lit(r).alias("right_column"),
-                cmp["left_value"].alias("left_value"),
-                cmp["right_value"].alias("right_value"),
-                cmp["same"].alias("same"),
-            )
-        )
-    if not items:
-        return F.array().cast(
-            "array<struct<left_column:string,right_column:string,left_value:string,right_value:string,same:boolean>>"
+def comparisons(
+    pairs: Sequence[tuple[str, str]], left, right, numeric_mode: str = "loose", profile: str = "compare",
+    left_type=lambda c: None, right_type=lambda c: None,
+) -> list[Column]:
+    """One ``compare_cells`` struct per mapped pair. ``left`` and ``right`` map a column name to its Column."""
+    return [
+        compare_cells(left(l), right(r), is_money_pair(l, r, profile), numeric_mode, left_type(l), right_type(r)) for l, r in pairs
+    ]
+
+
+def field_diffs(pairs: Sequence[tuple[str, str]], compared: Sequence[Column]) -> Column:
+    """Array with one struct per mapped pair: names, shown values, and whether they are the same."""
+    items = [
+        F.struct(
+            F.lit(l).alias("left_column"), F.lit(r).alias("right_column"), c["left_value"].alias("left_value"),
+            c["right_value"].alias("right_value"), c["same"].alias("same"),
         )
+        for (l, r), c in zip(pairs, compared)
+    ]
     return F.array(*items)
 
 

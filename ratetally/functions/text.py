@@ -41,14 +41,22 @@ def blank_to_null(c: Column) -> Column:
     return F.when(s != "", s)
 
 
-def norm_text(c: Column) -> Column:
-    """Null becomes '', runs of white space become one blank, ends are trimmed."""
-    return F.trim(F.regexp_replace(text(c), WHITESPACE, " "))
+def norm_text(c: Column, data_type: T.DataType | None = None) -> Column:
+    """Null becomes '', runs of white space become one blank, ends are trimmed.
+
+    Plain text without double blanks passes a cheap test only, and so do values of a known type whose text
+    has no blanks.
+    """
+    s = text(c)
+    if isinstance(data_type, (T.NumericType, T.BooleanType, T.DateType)):
+        return s
+    odd = s.rlike(r"[^!-~ ]|  ")
+    return F.when(odd, F.trim(F.regexp_replace(s, WHITESPACE, " "))).otherwise(F.trim(s))
 
 
-def norm_key(c: Column) -> Column:
+def norm_key(c: Column, data_type: T.DataType | None = None) -> Column:
     """``norm_text`` in upper case: the form join keys are compared in."""
-    return F.upper(norm_text(c))
+    return F.upper(norm_text(c, data_type))
 
 
 @F.pandas_udf(T.StringType())

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ratetally.functions.cells import display, field_diffs
+from ratetally.functions.cells import comparisons, display, field_diffs
 from ratetally.functions.names import left_for_right, mapped_pairs, parse_mapping, pick_modifier, resolve_column
 from ratetally.functions.text import norm_key
 from ratetally.operators.spread import lookup_join, top_per_group
@@ -70,11 +70,12 @@ def _shared_keys(left, right, mapping, code, mode):
 
 
 def _with_keys(df, code, modifier, use_mod):
-    code_key = norm_key(F.col(f"`{code}`"))
+    key = lambda c: norm_key(F.col(f"`{c}`"), df.schema[c].dataType)
+    code_key = key(code)
     if modifier is None:
         mod_key = F.when(use_mod, F.raise_error(F.lit(NO_MODIFIER)).cast("string")).otherwise(F.lit(""))
     else:
-        mod_key = F.when(use_mod, norm_key(F.col(f"`{modifier}`"))).otherwise(F.lit(""))
+        mod_key = F.when(use_mod, key(modifier)).otherwise(F.lit(""))
     return df.withColumn("_code", code_key).where(F.col("_code") != "").withColumn("_mod", mod_key)
 
 
@@ -140,7 +141,11 @@ def reconcile(
         def rcell(c):
             return F.col("_right")[c] if has_right else F.lit(None).cast("string")
 
-        out = df.withColumn("_diffs", field_diffs(pairs, lcell, rcell, numeric_mode, profile))
+        ltype = lambda c: left.schema[c].dataType if has_left and c in left_cols else None
+        rtype = lambda c: right.schema[c].dataType if has_right else None
+        # The array is one column that is computed once; status and count read it. (As columns of their own the
+        # comparisons are repeated by the optimizer wherever they are used.)
+        out = df.withColumn("_diffs", field_diffs(pairs, comparisons(pairs, lcell, rcell, numeric_mode, profile, ltype, rtype)))
         out = out.withColumn("_n", F.size(F.filter("_diffs", lambda d: ~d["same"])))
         if has_left:
             status = F.when(F.col("_right").isNull(), "left_only").when(F.col("_n") == 0, "match").otherwise("mismatch")
