@@ -76,10 +76,11 @@ def displayed_values(spark, sf):
     return m.select("o_orderkey", *[F.element_at("m", F.lit(c)).alias(c) for c in ("price", "at", "day", "flag")])
 
 
-@check("""SELECT p_brand, row_number() OVER (ORDER BY cast(regexp_extract(p_brand, '\\d+') AS integer)) AS place FROM (SELECT DISTINCT p_brand FROM part)""")
-def natural_order(spark, sf):
-    b = read(spark, sf, "part").select("p_brand").distinct().orderBy(text.natural_key(F.col("p_brand")))
-    return b.coalesce(1).select("p_brand", (F.monotonically_increasing_id() + 1).alias("place"))
+@check("""SELECT p_partkey, 'brand#' || lpad('' || length(regexp_extract(p_brand, '\\d+')), 4, '0') || regexp_extract(p_brand, '\\d+') || ' no ' || lpad('' || length('' || p_partkey), 4, '0') || p_partkey AS k FROM part""")
+def natural_keys(spark, sf):
+    v = F.concat(F.col("p_brand"), F.lit(" No 00"), F.col("p_partkey").cast("string"))
+    p = read(spark, sf, "part").select("p_partkey", text.natural_key(v).alias("k"))
+    return p.orderBy("k")
 
 
 @check("""SELECT p_partkey, lower(replace(p_name, ' ', '_') || '_' || p_type || '_') || (p_partkey % 10) AS slug FROM part""")

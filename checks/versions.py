@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from checks import check, read
-from ratetally.functions.text import artifact_title
+from ratetally.functions.text import artifact_title, natural_key
 from ratetally.operators import registry as reg, versions as v
 from ratetally.plans import ingest
 from ratetally.streaming.fetches import best_version
@@ -74,10 +74,11 @@ def version_listing(spark, sf):
     return top.select("artifact_id", (F.monotonically_increasing_id() + 1).alias("place"))
 
 
-@check(f"""WITH {REG} SELECT artifact_id, row_number() OVER (ORDER BY logical_schedule_key, coalesce(portal_effective_date::timestamp, fetched_at_utc) DESC, artifact_id DESC) AS place FROM c QUALIFY place <= 300""")
+@check(f"""WITH {REG} SELECT artifact_id, CASE WHEN trim(logical_schedule_key) = '' THEN '' ELSE '0001' || lower(logical_schedule_key) END AS k,
+ strftime(coalesce(portal_effective_date::timestamp, fetched_at_utc), '%Y-%m-%d %H:%M:%S') AS edition FROM c""")
 def version_history_order(spark, sf):
-    top = v.version_history(registry(spark, sf)).limit(300)
-    return top.select("artifact_id", (F.monotonically_increasing_id() + 1).alias("place"))
+    h = v.version_history(registry(spark, sf))
+    return h.select("artifact_id", natural_key(F.col("logical_schedule_key")).alias("k"), F.date_format("edition", "yyyy-MM-dd HH:mm:ss").alias("edition"))
 
 
 HIST = "SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS recency FROM events QUALIFY recency <= 35"

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ratetally.functions.text import blank_to_null, norm_email, strip
-from ratetally.operators.spread import dense_ids, first_per_group
+from ratetally.operators.spread import attach, dense_ids, first_per_group
 from ratetally.operators.versions import state_key
 
 # Two-letter codes and names accepted as a state (fixed values).
@@ -47,7 +47,7 @@ def resolve_state(df: DataFrame, column: str, states: DataFrame | None = None, n
     keys = keys.groupBy("_k").agg(F.min(F.struct("_p", "_c")).alias("_m")).select("_k", F.col("_m._c").alias("_c"))
     by_code = keys.select(F.col("_k").alias("_k1"), F.col("_c").alias("_c1"))
     tagged = df.withColumn("_k1", compact).withColumn("_k", name_key(F.col(column)))
-    out = tagged.join(by_code, "_k1", "left").join(keys, "_k", "left")
+    out = attach(attach(tagged, by_code, ["_k1"], "left"), keys, ["_k"], "left")
     return out.withColumn(name, F.coalesce("_c1", "_c")).drop("_k", "_k1", "_c", "_c1")
 
 

@@ -92,19 +92,15 @@ def top_per_group(
 ) -> DataFrame:
     """First ``k`` rows of every group, with their rank when asked for.
 
-    Beyond ``GROUP_LIMIT`` each group is first cut down in ``ways`` slices, then as a whole.
+    Beyond ``GROUP_LIMIT`` each group is first cut down in up to ``ways`` slices and then as a whole. Slices
+    follow the input partitions, so copies of a row do not gather in one of them.
     """
     out = df
     if k > GROUP_LIMIT:
         ways = ways or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        names = [F.col(f"`{c}`") for c, t in df.dtypes if not t.startswith(("map", "variant")) and "map<" not in t and "variant" not in t]
         sliced = Window.partitionBy(*keys, "_slice").orderBy(*order)
-        out = (
-            out.withColumn("_slice", F.pmod(F.xxhash64(*names), F.lit(ways)))
-            .withColumn("_rn", F.row_number().over(sliced))
-            .where(F.col("_rn") <= k)
-            .drop("_rn", "_slice")
-        )
+        out = out.withColumn("_slice", F.pmod(F.spark_partition_id(), F.lit(ways)))
+        out = out.withColumn("_rn", F.row_number().over(sliced)).where(F.col("_rn") <= k).drop("_rn", "_slice")
     w = Window.partitionBy(*keys).orderBy(*order)
     out = out.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= k)
     return out.withColumnRenamed("_rn", rank) if rank else out.drop("_rn")

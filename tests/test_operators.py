@@ -277,3 +277,22 @@ def test_frontier_depth_and_budget(frame):
     seed = frame([("a#x",)], "url string")
     got = lambda **k: {(r["url"], r["depth"]) for r in frontier.expand_frontier(e, seed, **k).collect()}
     assert got(depth=1) == {("a", 0)} and got(depth=9) == {("a", 0), ("b", 1), ("c", 2), ("d", 3)} and got(depth=4, max_pages=2) == {("a", 0), ("b", 1)}
+
+
+def test_presentation_orders(frame):
+    import datetime as dt
+
+    from ratetally.operators import pages
+
+    t = frame([("b", 1, 0, None), ("a", 1, 0, None), ("c", 5, 0, "bad"), ("d", 5, 2, "bad"), ("e", 5, 0, None)], "block_id string, n_rows int, linked_rows int, error string")
+    assert [r[0] for r in pages.order_tables(t).collect()] == ["d", "e", "c", "a", "b"]
+    h = frame([(1, "k10", dt.date(2024, 1, 1), None), (2, "K2", dt.date(2024, 1, 1), None), (3, "k2", None, dt.datetime(2024, 2, 1)), (4, "k2", None, None)],
+              "artifact_id int, logical_schedule_key string, portal_effective_date date, fetched_at_utc timestamp_ntz")
+    assert [r["artifact_id"] for r in v.version_history(h).collect()] == [3, 2, 4, 1]
+
+
+def test_copies_do_not_gather_in_one_slice(spark):
+    df = spark.range(0, 20000, 1, 8).select(F.lit("one").alias("k"), F.lit(5).alias("x"))
+    out = spread.top_per_group(df, ["k"], [F.col("x")], 2000, ways=8)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "SPARK_PARTITION_ID" in plan and out.count() == 2000
