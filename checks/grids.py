@@ -73,12 +73,11 @@ def tidied_wide_table(spark, sf):
     return out.withColumn("p_partkey", F.col("p_partkey").cast("bigint"))
 
 
-@check("""SELECT p_brand AS file_id, cast(row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey % 2, p_partkey) - 1 AS integer) AS row_idx, '' || p_partkey AS first, CASE WHEN p_partkey % 2 = 0 THEN p_name ELSE p_type END AS last FROM part""")
+@check("""SELECT p_brand AS file_id, cast(row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey % 2, p_partkey) - 1 AS integer) AS row_idx, '' || p_partkey AS first, CASE WHEN p_partkey % 2 = 0 THEN p_name ELSE p_type END AS last FROM (SELECT * FROM part QUALIFY count(*) OVER (PARTITION BY p_brand, p_partkey % 2) >= 2)""")
 def merged_blocks(spark, sf):
     k = F.col("p_partkey")
     cells = lambda *xs: F.array(*[F.struct(F.lit(i).alias("col_idx"), x.alias("cell")) for i, x in enumerate(xs)])
     a, t, n = k.cast("string"), F.col("p_type"), F.col("p_name")
-    row = F.when(k % 2 == 0, cells(a, t, t, n)).otherwise(cells(a, n, n, t, n))
     p = read(spark, sf, "part").where("p_partkey % 2 = 0").select(F.col("p_brand").alias("file_id"), (k % 2).cast("int").alias("block_no"), (k * 3).cast("int").alias("row_idx"), F.inline(cells(a, t, t, n)))
     q = read(spark, sf, "part").where("p_partkey % 2 = 1").select(F.col("p_brand").alias("file_id"), (k % 2).cast("int").alias("block_no"), (k * 3).cast("int").alias("row_idx"), F.inline(cells(a, n, n, t)))
     far = read(spark, sf, "part").where("p_size > 48").select(F.col("p_brand").alias("file_id"), F.lit(7).alias("block_no"), k.cast("int").alias("row_idx"), F.inline(cells(a, a)))

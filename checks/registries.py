@@ -171,9 +171,9 @@ def rejected_contacts(spark, sf):
     return reg.upsert_contacts(contacts(spark, sf), new_contacts(spark, sf), now())[1].select("row_no")
 
 
-@check("""SELECT c_custkey AS contact_id, row_number() OVER (ORDER BY c_mktsegment, c_name, c_custkey) AS place FROM customer WHERE c_custkey % 2 = 0 AND c_nationkey = 3""")
+@check("""SELECT c_custkey AS contact_id, row_number() OVER (ORDER BY c_mktsegment, c_name, c_custkey) AS place FROM customer WHERE c_custkey % 2 = 0 AND c_nationkey = 2""")
 def contact_list(spark, sf):
-    return reg.list_contacts(contacts(spark, sf), "n3", 2000).select(F.col("notification_contact_id").alias("contact_id"), (F.monotonically_increasing_id() + 1).alias("place"))
+    return reg.list_contacts(contacts(spark, sf), "n2", 2000).select(F.col("notification_contact_id").alias("contact_id"), (F.monotonically_increasing_id() + 1).alias("place"))
 
 
 @check("SELECT c_custkey AS contact_id FROM customer WHERE c_custkey % 2 = 0 AND NOT (c_custkey % 6 = 0 AND c_nationkey <> 3)")
@@ -205,9 +205,9 @@ def bulk_rows(spark, sf):
 
 
 def bulk_artifacts(spark, sf):
-    k = F.col("s_suppkey")
+    k = F.col("c_custkey")
     base = registry(spark, sf)
-    a = read(spark, sf, "supplier").select(
+    a = read(spark, sf, "customer").select(
         k.alias("artifact_id"), F.lit("NY").alias("state_code"), F.concat(F.lit("key_"), k.cast("string")).alias("logical_schedule_key"),
         F.when(k < 20, F.concat(F.lit("Label "), k.cast("string"))).when(k >= 30, "Shared").alias("source_label"),
     )
@@ -216,8 +216,8 @@ def bulk_artifacts(spark, sf):
 
 
 def saved_mappings(spark, sf):
-    k = F.col("s_suppkey")
-    return read(spark, sf, "supplier").where("s_suppkey < 30").select(
+    k = F.col("c_custkey")
+    return read(spark, sf, "customer").where("c_custkey < 30").select(
         (k + 1).alias("mapping_id"), F.lit("NY").alias("state_code"), F.concat(F.lit("key_"), k.cast("string")).alias("state_logical_schedule_key"),
         F.concat(F.lit("dst_"), (k % 7).cast("string")).alias("dst_fsname"), F.lit('{"Saved": "S1", "Col 0": "S2"}').alias("column_map_json"),
         stamp("created_at_utc"), F.expr(NONE_TS).alias("updated_at_utc"), F.lit("me").alias("updated_by"),
@@ -239,7 +239,7 @@ def bulk_import_applied(spark, sf):
 
 @check(f"""WITH {BULK} SELECT row_no, 'DstSchedule, StateColumn, and DstColumn are required.' AS message FROM b WHERE g = 59 UNION ALL
 SELECT first_row, 'No saved file matches StateSchedule Nothing for NY.' FROM grp WHERE gk = 'nothing' UNION ALL
-SELECT first_row, 'Multiple artifacts match Shared: ids 30, 31, 32, 33, 34, 35, 36, 37, 38, 39, 40, 41…. Set ArtifactId column to disambiguate.' FROM grp WHERE gk = 'shared' AND (SELECT count(*) FROM supplier) > 60""")
+SELECT first_row, 'Multiple artifacts match Shared: ids 30, 31, 32, 33, 34, 35, 36, 37, 38, 39, 40, 41…. Set ArtifactId column to disambiguate.' FROM grp WHERE gk = 'shared'""")
 def bulk_import_errors(spark, sf):
     return m.bulk_import(bulk_rows(spark, sf), bulk_artifacts(spark, sf), saved_mappings(spark, sf), "ny", now()).errors
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from checks import check, read
+from checks.urlcells import NORMAL
 from ratetally.functions.text import artifact_title, natural_key
 from ratetally.operators import registry as reg, versions as v
 from ratetally.plans import ingest
@@ -165,9 +166,6 @@ def merge_current_and_history(spark, sf):
     return v.merge_lists(cur, c.where("id % 3 = 0").withColumn("src", F.lit("history")), "id")
 
 
-URLS = """CASE WHEN page_id % 6 = 0 THEN regexp_replace(url, '#.*$', '') || '#frag' ELSE url END"""
-
-
 def page_registry(spark, sf):
     p = read(spark, sf, "pages")
     return p.select(
@@ -180,7 +178,7 @@ def noisy(p):
     return F.when(F.col("page_id") % 4 == 0, F.concat(F.regexp_replace(u, "#.*$", ""), F.lit("#x"))).otherwise(F.concat(F.lit("  "), u, F.lit(" ")))
 
 
-@check("SELECT page_id FROM pages WHERE page_id % 2 = 0 OR page_id % 3 = 0")
+@check(f"""WITH u AS (SELECT page_id, {NORMAL} AS u FROM pages) SELECT page_id FROM u WHERE page_id % 3 = 0 OR u IN (SELECT u FROM u WHERE page_id % 2 = 0 AND page_id % 3 <> 0)""")
 def prune_unpublished(spark, sf):
     p = read(spark, sf, "pages")
     pub = p.where("page_id % 2 = 0 AND page_id % 3 <> 0").select(F.lit("GA").alias("state_code"), noisy(p).alias("url"))
