@@ -34,6 +34,6 @@ def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def load_all() -> dict[str, Check]:
-    from checks import cells, compare, grids, jsoncells, links, pages, registries, streams, urlcells, versions  # noqa: F401
+    from checks import cells, compare, files, grids, jsoncells, links, pages, registries, streams, urlcells, versions  # noqa: F401
 
     return REGISTRY

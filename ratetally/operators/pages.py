@@ -40,6 +40,7 @@ REAL_WORDS = [
     "fee schedule", "fee", "schedule", "reimbursement", "provider", "rate book", "rate manual", "medi-cal", "medicaid",
     "hcpcs", "cpt", "allowable",
 ]
+# Parts of URLs that belong to data APIs.
 API_SIGNS = ["/api/now/", "/servicenow", "/query", "/list", "/search", "/export", "/datatable"]
 MAX_HEADER_ROWS = 22
 MAX_TABLE_COLUMNS = 40
