@@ -12,7 +12,7 @@ from ratetally.operators.spread import attach, first_per_group
 
 LIST_CALL = "/api/now/sp/rectangle/"
 RESPONSE = (
-    "result struct<template:string, data:struct<table:string, title:string, fields:string, "
+    "result struct<data:struct<table:string, title:string, fields:string, "
     "column_labels:map<string,string>, row_count:string, list:array<string>>>"
 )
 
@@ -54,12 +54,12 @@ def pick_best(calls: DataFrame, scope: list[str]) -> DataFrame:
 def download_base(calls: DataFrame, scope: list[str]) -> DataFrame:
     """Public download prefix of each scope, taken from the first call or page template that shows one."""
     seen = F.regexp_extract(text(F.col("url")), r"^(.*?pubatt/dl/)", 1)
-    template = text(F.col("_r.template"))
+    template = text(F.from_json("data_sample", "result struct<template:string>")["result"]["template"])
     absolute = F.regexp_extract(template, r"(?i)(https?://[^\"'\s>]+/pubatt/dl/)", 1)
     relative = F.regexp_extract(template, r"(/api/[A-Za-z0-9_]+/pubatt/dl/)", 1)
     origin = F.concat(urls.scheme(F.col("url")), F.lit("://"), urls.host(F.col("url")))
     shown = F.when(absolute != "", absolute).when(relative != "", F.concat(origin, relative))
-    c = _parsed(calls).select(*scope, "call_no", F.when(seen != "", seen).alias("seen"), shown.alias("shown"))
+    c = calls.select(*scope, "call_no", F.when(seen != "", seen).alias("seen"), shown.alias("shown"))
     return c.groupBy(*scope).agg(
         F.coalesce(F.min_by("seen", F.when(F.col("seen").isNotNull(), F.col("call_no"))), F.min_by("shown", F.when(F.col("shown").isNotNull(), F.col("call_no")))).alias("base")
     )

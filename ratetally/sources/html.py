@@ -26,6 +26,9 @@ HINTS = {"strong", "legend", "caption"}
 UPDATED = re.compile(r"file\s+(?:updated|update)\s*(\d{1,2}[/-]\d{1,2}[/-]\d{2,4})", re.I)
 
 
+ROOT = {"tag": "", "attrs": {}, "table": None, "row": None, "cell": None, "thead": False, "footer": False, "silent": False}
+
+
 class _Outline(HTMLParser):
     """Start and end positions of the tags and the positions of the text pieces."""
 
@@ -38,7 +41,17 @@ class _Outline(HTMLParser):
         self.texts: list[str] = []
 
     def handle_starttag(self, tag, attrs):
-        node = {"tag": tag, "attrs": dict(attrs), "start": self.pos, "end": None, "up": self.open[-1] if self.open else None}
+        up = self.open[-1] if self.open else ROOT
+        # What a node inherits from the tags around it, so that nothing walks up the tree later.
+        node = {
+            "tag": tag, "attrs": dict(attrs), "start": self.pos, "end": None, "up": up,
+            "table": up if up["tag"] == "table" else up["table"],
+            "row": up if up["tag"] in ("tr", "table") else up["row"],
+            "cell": up if up["tag"] in ("td", "th") else up["cell"],
+            "thead": up["thead"] or up["tag"] == "thead",
+            "footer": up["footer"] or up["tag"] == "footer" or up["attrs"].get("role") == "contentinfo",
+            "silent": up["silent"] or tag in SILENT,
+        }
         self.pos += 1
         self.nodes.append(node)
         if tag in VOID:
@@ -60,9 +73,10 @@ class _Outline(HTMLParser):
                     break
 
     def handle_data(self, data):
-        if not any(n["tag"] in SILENT for n in self.open) and data.strip():
+        piece = data.strip()
+        if piece and not (self.open and self.open[-1]["silent"]):
             self.text_at.append(self.pos)
-            self.texts.append(data.strip())
+            self.texts.append(piece)
             self.pos += 1
 
     def pieces(self, node):
@@ -70,11 +84,19 @@ class _Outline(HTMLParser):
         return self.texts[bisect_left(self.text_at, node["start"]) : bisect_left(self.text_at, end)]
 
 
-def _parents(node):
-    node = node["up"]
-    while node is not None:
-        yield node
+def _updated_note(doc, anchor) -> str:
+    """Date of the nearest "file updated" note in the five tags around a link; every tag is searched once."""
+    node = anchor["up"]
+    for _ in range(5):
+        if node is ROOT:
+            break
+        if "note" not in node:
+            hit = UPDATED.search(" ".join(doc.pieces(node)))
+            node["note"] = hit.group(1) if hit else ""
+        if node["note"]:
+            return node["note"]
         node = node["up"]
+    return ""
 
 
 def _elements(page_id, url, html) -> Iterator[tuple]:
@@ -82,26 +104,19 @@ def _elements(page_id, url, html) -> Iterator[tuple]:
     doc.feed(html or "")
     doc.close()
     has_updates = UPDATED.search(" ".join(doc.texts)) is not None
-    rows_in: dict[int, int] = {}
-    cells_in: dict[int, int] = {}
     n_tables = 0
     for node in doc.nodes:
-        tag = node["tag"]
-        up = list(_parents(node))
-        table = next((p for p in up if p["tag"] == "table"), None)
-        row = next((p for p in up if p["tag"] in ("tr", "table")), None)
+        tag, table, row = node["tag"], node["table"], node["row"]
+        in_row = row is not None and "row_no" in row
         if tag == "table":
-            node["table_no"] = n_tables
+            node["table_no"], node["rows"], kind = n_tables, 0, "table"
             n_tables += 1
-            kind = "table"
         elif tag == "tr" and table is not None:
-            node["row_no"] = rows_in.get(table["start"], 0)
-            rows_in[table["start"]] = node["row_no"] + 1
-            kind = "row"
-        elif tag in ("td", "th") and row is not None and row["tag"] == "tr" and "row_no" in row:
-            node["col_no"] = cells_in.get(row["start"], 0)
-            cells_in[row["start"]] = node["col_no"] + 1
-            kind = "cell"
+            node["row_no"], node["cells"], kind = table["rows"], 0, "row"
+            table["rows"] += 1
+        elif tag in ("td", "th") and in_row:
+            node["col_no"], kind = row["cells"], "cell"
+            row["cells"] += 1
         elif tag in HEADINGS:
             kind = "heading"
         elif tag == "a":
@@ -112,24 +127,16 @@ def _elements(page_id, url, html) -> Iterator[tuple]:
             kind = "hint"
         else:
             continue
-        place = node if "row_no" in node else row if row is not None and "row_no" in row else None
-        cell = node if "col_no" in node else next((p for p in up if "col_no" in p), None)
+        place = node if "row_no" in node else row if in_row else None
+        cell = node if "col_no" in node else node["cell"]
         pieces = doc.pieces(node) if kind not in ("table", "row", "control") else []
-        updated = ""
-        if kind == "anchor" and has_updates:
-            for p in up[:5]:
-                hit = UPDATED.search(" ".join(doc.pieces(p)))
-                if hit:
-                    updated = hit.group(1)
-                    break
         yield (
             page_id, url, node["start"], kind, tag, node["attrs"].get("href"), " ".join(pieces), "".join(pieces), len(pieces),
             node["table_no"] if kind == "table" else table["table_no"] if table is not None else None,
             place["row_no"] if place is not None else None,
-            cell["col_no"] if cell is not None else None,
-            any(p["tag"] == "thead" for p in up),
-            any(p["tag"] == "footer" or p["attrs"].get("role") == "contentinfo" for p in up),
-            updated,
+            cell.get("col_no") if cell is not None else None,
+            node["thead"], node["footer"],
+            _updated_note(doc, node) if kind == "anchor" and has_updates else "",
         )
     for at, piece in zip(doc.text_at, doc.texts):
         yield (page_id, url, at, "text", "", None, piece, piece, 1, None, None, None, False, False, "")
