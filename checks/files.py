@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from checks import check, read
+from checks.grids import FILES, parts
 from ratetally.operators import grids as g
 from ratetally.operators.spread import shared_folder
 from ratetally.sources import sinks, textfiles as tf
@@ -24,11 +25,11 @@ def csv_written_and_read(spark, sf):
     return tf.read_delimited(spark, out)
 
 
-@check("""SELECT p_brand AS brand, '' || p_partkey AS code, p_name AS name, cast(cast(p_retailprice AS decimal(18,2)) AS varchar) AS rate FROM part""")
+@check(f"""WITH {FILES} SELECT p_brand AS brand, '' || p_partkey AS code, p_name AS name, cast(cast(p_retailprice AS decimal(18,2)) AS varchar) AS rate FROM part""")
 def delimited_files_read_as_grids(spark, sf):
-    """One semicolon file per brand with a title line and a header."""
+    """Semicolon files of bounded length, each with a title line and a header."""
     out = folder(spark)
-    p = read(spark, sf, "part")
+    p = parts(spark, sf)
     line = F.concat_ws(";", F.col("p_partkey").cast("string"), F.concat(F.lit('"'), F.col("p_name"), F.lit('"')), F.col("p_retailprice").cast("decimal(18,2)").cast("string"))
     rows = p.select(F.col("p_brand").alias("brand"), (F.col("p_partkey") + 2).alias("at"), line.alias("value"))
     brands = p.select(F.col("p_brand").alias("brand")).distinct()
@@ -44,14 +45,13 @@ def delimited_files_read_as_grids(spark, sf):
 
 @check("""SELECT l_orderkey, l_linenumber, l_partkey, 'R' || l_returnflag AS flag FROM lineitem""")
 def json_arrays_read(spark, sf):
-    """One array of order lines per file and supplier group."""
+    """One array of order lines per thousand order keys and file."""
     out = folder(spark)
-    li = read(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.concat(F.lit("R"), F.col("l_returnflag")).alias("flag"), (F.col("l_suppkey") % 8).alias("part"))
+    li = read(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.concat(F.lit("R"), F.col("l_returnflag")).alias("flag"))
     rec = F.to_json(F.struct("l_orderkey", "l_linenumber", "l_partkey", "flag"))
-    # Bounded groups of records make one array each, as the files of an export would.
-    text = li.groupBy("part", (F.col("l_orderkey") % 50).alias("piece")).agg(F.concat(F.lit("["), F.array_join(F.collect_list(rec), ","), F.lit("]")).alias("value"))
-    text.select("part", "piece", "value").write.partitionBy("part", "piece").text(out)
-    df = tf.read_json_rows(spark, f"{out}/*/*")
+    text = li.groupBy(F.floor(F.col("l_orderkey") / 1000).alias("piece")).agg(F.concat(F.lit("["), F.array_join(F.collect_list(rec), ","), F.lit("]")).alias("value"))
+    text.select("piece", "value").write.partitionBy("piece").text(out)
+    df = tf.read_json_rows(spark, f"{out}/*")
     return df.select("l_orderkey", F.col("l_linenumber").cast("int").alias("l_linenumber"), "l_partkey", "flag")
 
 

@@ -9,10 +9,19 @@ from ratetally.operators import grids as g
 from ratetally.sources import textfiles as tf
 
 
+def parts(spark, sf) -> DataFrame:
+    """Parts whose brand names a file of bounded length: a new file starts every 20,000 part keys."""
+    piece = F.floor(F.col("p_partkey") / 20000).cast("string")
+    return read(spark, sf, "part").withColumn("p_brand", F.concat("p_brand", F.lit("-"), piece))
+
+
+FILES = "part AS (SELECT * REPLACE (p_brand || '-' || (p_partkey // 20000) AS p_brand) FROM part)"
+
+
 def part_grid(spark, sf) -> DataFrame:
     """Title, label band, header, data on every second row, a note, a repeated header, an empty and an unnamed column."""
     w = Window.partitionBy("p_brand").orderBy("p_partkey")
-    part = read(spark, sf, "part").withColumn("n", F.row_number().over(w))
+    part = parts(spark, sf).withColumn("n", F.row_number().over(w))
     cells = lambda *xs: F.array(*[F.struct(F.lit(i).alias("col_idx"), x.alias("cell")) for i, x in enumerate(xs)])
     head = [F.lit("Procedure Code"), F.lit(" Description"), F.lit("Facility Rate"), F.lit("Non-Facility Rate"), F.lit(""), F.lit("")]
     price = F.col("p_retailprice").cast("decimal(18,2)")
@@ -33,30 +42,30 @@ def part_grid(spark, sf) -> DataFrame:
 RANKED = """r AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS n FROM part)"""
 
 
-@check(f"WITH {RANKED} SELECT p_brand AS file_id, 3 AS header_row, cast(greatest(max(n) * 2 + 3, 8) + 1 AS integer) AS n_rows FROM r GROUP BY p_brand")
+@check(f"WITH {FILES}, {RANKED} SELECT p_brand AS file_id, 3 AS header_row, cast(greatest(max(n) * 2 + 3, 8) + 1 AS integer) AS n_rows FROM r GROUP BY p_brand")
 def header_rows(spark, sf):
     return g.detect_header(part_grid(spark, sf)).select("file_id", "header_row", "n_rows")
 
 
-@check(f"""WITH {RANKED} SELECT p_brand AS file_id, cast(n * 2 + 3 AS integer) AS row_idx, lpad('' || p_partkey, 6, '1') AS code, p_name || ' of many words' AS description,
+@check(f"""WITH {FILES}, {RANKED} SELECT p_brand AS file_id, cast(n * 2 + 3 AS integer) AS row_idx, lpad('' || p_partkey, 6, '1') AS code, p_name || ' of many words' AS description,
  cast(cast(p_retailprice AS decimal(18,2)) AS varchar) AS rate, CASE WHEN n = 1 THEN 'x' ELSE '' END AS extra FROM r""")
 def grid_bodies(spark, sf):
     out = g.wide(g.read_grid(part_grid(spark, sf), repeated_headers=True), ["Procedure Code", "Description", "Workforce · Facility Rate", "col_6"])
     return out.select("file_id", "row_idx", F.col("`Procedure Code`").alias("code"), F.col("Description").alias("description"), F.col("`Workforce · Facility Rate`").alias("rate"), F.col("col_6").alias("extra"))
 
 
-@check("""SELECT p_brand AS file_id, cast(c.i AS integer) AS col_idx, c.name AS name FROM (SELECT DISTINCT p_brand FROM part), (VALUES (0, 'Procedure Code'), (1, 'Description'), (2, 'Workforce · Facility Rate'), (3, 'Workforce · Non-Facility Rate'), (5, 'col_6')) c(i, name)""")
+@check(f"""WITH {FILES} SELECT p_brand AS file_id, cast(c.i AS integer) AS col_idx, c.name AS name FROM (SELECT DISTINCT p_brand FROM part), (VALUES (0, 'Procedure Code'), (1, 'Description'), (2, 'Workforce · Facility Rate'), (3, 'Workforce · Non-Facility Rate'), (5, 'col_6')) c(i, name)""")
 def grid_columns(spark, sf):
     return g.read_grid(part_grid(spark, sf)).columns
 
 
-@check(f"""WITH {RANKED} SELECT p_brand AS file_id, count(*) + 2 AS rows_kept FROM r GROUP BY p_brand""")
+@check(f"""WITH {FILES}, {RANKED} SELECT p_brand AS file_id, count(*) + 2 AS rows_kept FROM r GROUP BY p_brand""")
 def grid_rows_with_notes_and_repeats(spark, sf):
     out = g.as_rows(g.read_grid(part_grid(spark, sf), two_row_headers=False, skip_notes=False))
     return out.groupBy("file_id").agg(F.count(F.lit(1)).alias("rows_kept"))
 
 
-@check(f"""WITH {RANKED} SELECT p_brand AS file_id, (5 + max(n)) * 6 AS cells, cast(6 AS bigint) AS width FROM r GROUP BY p_brand""")
+@check(f"""WITH {FILES}, {RANKED} SELECT p_brand AS file_id, (5 + max(n)) * 6 AS cells, cast(6 AS bigint) AS width FROM r GROUP BY p_brand""")
 def padded_grids(spark, sf):
     out = g.pad_grid(part_grid(spark, sf))
     return out.groupBy("file_id").agg(F.count(F.lit(1)).alias("cells"), (F.max("col_idx") + 1).cast("bigint").alias("width"))
@@ -65,7 +74,7 @@ def padded_grids(spark, sf):
 @check("""SELECT p_partkey, p_name, '' AS Notes, 'x' AS col_3, CASE WHEN p_size % 2 = 0 THEN '50%' ELSE 'n/a' END AS rate FROM part WHERE p_partkey % 10 <> 0""")
 def tidied_wide_table(spark, sf):
     k = F.col("p_partkey")
-    t = read(spark, sf, "part").select(
+    t = parts(spark, sf).select(
         F.when(k % 10 == 0, F.lit("NOTE: none")).otherwise(F.col("p_name")).alias("p_name"), "p_partkey", F.lit("").alias("Notes"), F.lit(" ").alias("col_2"), F.lit("x").alias("col_3"),
         F.when(F.col("p_size") % 2 == 0, "0.5").otherwise("n/a").alias("rate"),
     )
@@ -73,14 +82,14 @@ def tidied_wide_table(spark, sf):
     return out.withColumn("p_partkey", F.col("p_partkey").cast("bigint"))
 
 
-@check("""SELECT p_brand AS file_id, cast(row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey % 2, p_partkey) - 1 AS integer) AS row_idx, '' || p_partkey AS first, CASE WHEN p_partkey % 2 = 0 THEN p_name ELSE p_type END AS last FROM (SELECT * FROM part QUALIFY count(*) OVER (PARTITION BY p_brand, p_partkey % 2) >= 2)""")
+@check(f"""WITH {FILES} SELECT p_brand AS file_id, cast(row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey % 2, p_partkey) - 1 AS integer) AS row_idx, '' || p_partkey AS first, CASE WHEN p_partkey % 2 = 0 THEN p_name ELSE p_type END AS last FROM (SELECT * FROM part QUALIFY count(*) OVER (PARTITION BY p_brand, p_partkey % 2) >= 2)""")
 def merged_blocks(spark, sf):
     k = F.col("p_partkey")
     cells = lambda *xs: F.array(*[F.struct(F.lit(i).alias("col_idx"), x.alias("cell")) for i, x in enumerate(xs)])
     a, t, n = k.cast("string"), F.col("p_type"), F.col("p_name")
-    p = read(spark, sf, "part").where("p_partkey % 2 = 0").select(F.col("p_brand").alias("file_id"), (k % 2).cast("int").alias("block_no"), (k * 3).cast("int").alias("row_idx"), F.inline(cells(a, t, t, n)))
-    q = read(spark, sf, "part").where("p_partkey % 2 = 1").select(F.col("p_brand").alias("file_id"), (k % 2).cast("int").alias("block_no"), (k * 3).cast("int").alias("row_idx"), F.inline(cells(a, n, n, t)))
-    far = read(spark, sf, "part").where("p_size > 48").select(F.col("p_brand").alias("file_id"), F.lit(7).alias("block_no"), k.cast("int").alias("row_idx"), F.inline(cells(a, a)))
+    p = parts(spark, sf).where("p_partkey % 2 = 0").select(F.col("p_brand").alias("file_id"), (k % 2).cast("int").alias("block_no"), (k * 3).cast("int").alias("row_idx"), F.inline(cells(a, t, t, n)))
+    q = parts(spark, sf).where("p_partkey % 2 = 1").select(F.col("p_brand").alias("file_id"), (k % 2).cast("int").alias("block_no"), (k * 3).cast("int").alias("row_idx"), F.inline(cells(a, n, n, t)))
+    far = parts(spark, sf).where("p_size > 48").select(F.col("p_brand").alias("file_id"), F.lit(7).alias("block_no"), k.cast("int").alias("row_idx"), F.inline(cells(a, a)))
     out = g.merge_blocks(p.unionByName(q).unionByName(far))
     return out.groupBy("file_id", "row_idx").agg(F.max(F.when(F.col("col_idx") == 0, F.col("cell"))).alias("first"), F.max(F.when(F.col("col_idx") == 3, F.col("cell"))).alias("last"))
 
@@ -90,7 +99,7 @@ def part_lines(spark, sf) -> DataFrame:
     n = F.regexp_extract("p_brand", r"(\d+)", 1).cast("int") % 3
     sep = F.when(n == 0, ",").when(n == 1, "\t").otherwise(";")
     line = F.concat_ws("", F.col("p_partkey").cast("string"), sep, F.lit('"'), F.col("p_name"), sep, F.lit(' ""x"""'), sep, F.lit(""), sep, F.col("p_type"))
-    lines = read(spark, sf, "part").select(F.col("p_brand").alias("file_id"), F.inline(F.array(
+    lines = parts(spark, sf).select(F.col("p_brand").alias("file_id"), F.inline(F.array(
         F.struct((F.col("p_partkey") * 2).alias("line_no"), line.alias("line")), F.struct((F.col("p_partkey") * 2 + 1).alias("line_no"), F.lit("  ").alias("line"))
     )))
     return lines
@@ -99,14 +108,14 @@ def part_lines(spark, sf) -> DataFrame:
 SEP = "CASE cast(regexp_extract(p_brand, '\\d+') AS integer) % 3 WHEN 0 THEN ',' WHEN 1 THEN chr(9) ELSE ';' END"
 
 
-@check(f"""SELECT p_brand AS file_id, cast(row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS integer) AS row_idx, 4 AS cells, '' || p_partkey AS c0, p_name || {SEP} || ' "x"' AS c1, '' AS c2, p_type AS c3 FROM part""")
+@check(f"""WITH {FILES} SELECT p_brand AS file_id, cast(row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS integer) AS row_idx, 4 AS cells, '' || p_partkey AS c0, p_name || {SEP} || ' "x"' AS c1, '' AS c2, p_type AS c3 FROM part""")
 def delimited_lines(spark, sf):
     c = tf.delimited_cells(part_lines(spark, sf))
     at = lambda i: F.max(F.when(F.col("col_idx") == i, F.col("cell"))).alias(f"c{i}")
     return c.groupBy("file_id", "row_idx").agg(F.count(F.lit(1)).cast("int").alias("cells"), *[at(i) for i in range(4)])
 
 
-@check(f"SELECT DISTINCT p_brand AS file_id, {SEP} AS sep FROM part")
+@check(f"WITH {FILES} SELECT DISTINCT p_brand AS file_id, {SEP} AS sep FROM part")
 def sniffed_delimiters(spark, sf):
     return tf.sniff_delimiter(part_lines(spark, sf))
 
