@@ -7,11 +7,15 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ratetally.llm.common import stored, word_count
 from ratetally.llm.exact import exact_dedup
+from ratetally.llm.jaccard import jaccard_join
+from ratetally.llm.lines import line_dedup
 from ratetally.llm.mixing import mix
 from ratetally.llm.packing import pack_documents
 from ratetally.llm.quality import score, train
+from ratetally.llm.substrings import substring_dedup
 from ratetally.llm.tokens import section_tokens
 from ratetally.llm.urlrules import filter_urls
+from ratetally.llm.vectors import near_vectors
 
 LISTED_URLS = [
     ("allow", "com", "/"),
@@ -43,6 +47,22 @@ def op2_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     return score(docs, train(docs, table(spark, folder, "labels"))).drop("text")
 
 
+def op3_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard_join(table(spark, folder, "documents"), k=4, percent=85)
+
+
+def op4_embedding_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return near_vectors(table(spark, folder, "embeddings"), 0.9)
+
+
+def with_digest(out: DataFrame) -> DataFrame:
+    return out.withColumn("kept_sha256", F.sha2("kept_text", 256)).drop("kept_text")
+
+
+def op5_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return with_digest(substring_dedup(table(spark, folder, "documents"), window=13))
+
+
 def op6_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack_documents(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -86,5 +106,12 @@ def op9_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return filter_urls(table(spark, folder, "pages"), LISTED_URLS)
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_quality_classifier, op6_packing, op7_mixing, op8_token_counts, op9_url_filter)}
+def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return with_digest(line_dedup(table(spark, folder, "documents")))
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_exact_dedup, op2_quality_classifier, op3_ngram_jaccard, op4_embedding_near_dedup, op5_substring_dedup,
+    op6_packing, op7_mixing, op8_token_counts, op9_url_filter, op10_line_dedup,
+)}
 SQL = {"op1_exact_dedup": OP1_SQL, "op7_mixing": OP7_SQL}

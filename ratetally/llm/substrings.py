@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from numpy.lib.stride_tricks import sliding_window_view
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ratetally.llm.words import chunks, grams
 
@@ -196,13 +195,14 @@ def repeated_runs(docs: DataFrame, window: int) -> DataFrame:
     return found.groupBy("id", "check").agg(F.flatten(F.collect_list("runs")).alias("runs"))
 
 
-def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def keyed(docs: DataFrame, id_col: str, text_col: str, *more: Column) -> DataFrame:
+    """_id (null as the largest number), _check (a hash of the text) and _text (null as empty) of every row."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(int(NO_ID))).alias("_id"), F.xxhash64(text).alias("_check"), text.alias("_text"))
+    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(int(NO_ID))).alias("_id"), F.xxhash64(text).alias("_check"), text.alias("_text"), *more)
 
 
 def substring_dedup(docs: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: id, n_words, n_removed, kept_text, kept_sha256.
+    """One row per document: id, n_words, n_removed, kept_text.
 
     A word is removed where it lies in ``window`` consecutive words that also start somewhere in a document of a
     smaller id, judged on the input. Documents meet on anchors: of every window the seed of ``SEED_WORDS`` words
@@ -222,19 +222,17 @@ def substring_dedup(docs: DataFrame, window: int = 13, id_col: str = "doc_id", t
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n_words, n_removed, kept, digests = [], [], [], []
+            n_words, n_removed, kept = [], [], []
             for text, runs in zip(batch.column(1), batch.column(2)):
                 words = text.as_py().encode().split()
                 n = len(words)
                 if runs.is_valid:
                     gone = covered(n, runs.values.to_numpy(), window)
                     words = [words[i] for i in np.flatnonzero(~gone)]
-                rest = b" ".join(words)
                 n_words.append(n)
                 n_removed.append(n - len(words))
-                kept.append(rest.decode())
-                digests.append(hashlib.sha256(rest).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string()), pa.array(digests, pa.string())], names=["id", "n_words", "n_removed", "kept_text", "kept_sha256"])
+                kept.append(b" ".join(words).decode())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())], names=["id", "n_words", "n_removed", "kept_text"])
 
-    out = met.mapInArrow(keep, "id long, n_words long, n_removed long, kept_text string, kept_sha256 string")
-    return out.select(F.nullif("id", F.lit(int(NO_ID))).alias(id_col), "n_words", "n_removed", "kept_text", "kept_sha256")
+    out = met.mapInArrow(keep, "id long, n_words long, n_removed long, kept_text string")
+    return out.select(F.nullif("id", F.lit(int(NO_ID))).alias(id_col), "n_words", "n_removed", "kept_text")
