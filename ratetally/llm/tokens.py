@@ -37,13 +37,17 @@ def sections_of(raw: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], inner, [len(raw)]])
 
 
+def starts_of(ends: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], ends])[: len(ends)].astype("int64")
+
+
 def allot(bounds: np.ndarray, ends: np.ndarray, rule: str) -> np.ndarray:
     """Section of every token, given section bounds and token ends, both in bytes and ascending.
 
     Interval join of two sorted lists. A token that crosses a bound goes to the section of its first byte
     ("start"), of its last ("end"), or to the one that holds most of it, the earlier on a tie ("most").
     """
-    begins = np.concatenate([[0], ends[:-1]])
+    begins = starts_of(ends)
     first = np.searchsorted(bounds, begins, "right") - 1
     last = np.searchsorted(bounds, ends - 1, "right") - 1
     if rule == "start":
@@ -86,7 +90,7 @@ def section_tokens(docs: DataFrame, ranks: str, pattern: str, rule: str = "most"
                 ends = np.cumsum(widths[encode.encode_ordinary(text)]) if text else np.zeros(0, "int64")
                 home = allot(bounds, ends, rule)
                 n = len(bounds) - 1
-                crossing = np.searchsorted(bounds, ends, "left") - np.searchsorted(bounds, np.concatenate([[0], ends[:-1]]), "right") > 0 if len(ends) else np.zeros(0, bool)
+                crossing = np.searchsorted(bounds, ends, "left") > np.searchsorted(bounds, starts_of(ends), "right")
                 chars = bounds if len(raw) == len(text) else np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])[bounds]
                 held.append((np.full(n, i), np.arange(n), chars[:-1], np.diff(chars), np.bincount(home, minlength=n), np.bincount(home[crossing], minlength=n)))
                 rows += n
