@@ -121,7 +121,7 @@ def sniffed_delimiters(spark, sf):
 
 
 @check(r"""WITH l AS (SELECT doc_id, trim(x.line, E' \t\r\n') AS line, x.i AS i FROM (SELECT doc_id, unnest(list_zip(string_split(text, chr(10)), range(len(string_split(text, chr(10)))))) AS z FROM documents) y, LATERAL (SELECT z[1] AS line, z[2] AS i) x)
-SELECT cast(doc_id AS varchar) AS file_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS n, md5(substr(line, 1, 4000)) AS line FROM l WHERE line <> ''""")
+SELECT cast(doc_id AS varchar) AS file_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS n, md5(line) AS line FROM l WHERE line <> ''""")
 def numbered_text_lines(spark, sf):
     d = read(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("file_id"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     return tf.text_lines(d).select("file_id", "n", F.md5("line").alias("line"))

@@ -98,7 +98,7 @@ def html_table_rows(spark, sf):
 @check(f"""WITH {BUILT} SELECT page_id, '{HOME}' || page_id || '/files/' || k || '.pdf' AS file_url, CASE WHEN shown = '' THEN k || '.pdf' ELSE 'PDF' END AS title, 'Current  Fee Schedules' AS section, 'pdf' AS file_type, '' AS updated FROM t
 UNION ALL SELECT page_id, 'https://portal.example.com/rates/old/' || page_id || '.xlsx', 'Rate manual', 'Archive', 'xlsx', '01/02/23' FROM s""")
 def file_link_catalog(spark, sf):
-    out = p.file_link_catalog(elements(spark, sf), 1_000_000)
+    out = p.file_link_catalog(elements(spark, sf))
     return out.select("page_id", "file_url", "title", "section", "file_type", F.when(F.col("file_type") == "xlsx", F.col("updated")).otherwise("").alias("updated"))
 
 
@@ -116,17 +116,17 @@ def capped_file_link_catalog(spark, sf):
  SELECT 1 AS section_no, 'Current  Fee Schedules' AS title, 'All rates. User information' AS text_start, true AS has_table, n AS files UNION ALL
  SELECT 2, 'Again', 'User information Login Prog', true, n UNION ALL SELECT 3, 'Archive', 'Old ones, file updated 01/0', false, 2) z""")
 def page_sections(spark, sf):
-    out = p.page_sections(elements(spark, sf))
+    out = p.page_sections(elements(spark, sf), sample=27)
     return out.select("page_id", F.col("section_no").cast("int").alias("section_no"), "title", F.substring("text_sample", 1, 27).alias("text_start"), "has_table", F.col("file_count").cast("bigint").alias("file_count"))
 
 
-@check(f"""WITH {BUILT} SELECT page_id, 'table_0' AS block_id, 'Current  Fee Schedules' AS heading_hint, n + 3 AS row_count, cast(least(n + 2, 3) AS integer) AS samples, cast(least(n, 8) AS integer) AS link_samples, n > 0 AS has_file_links FROM c""")
+@check(f"""WITH {BUILT} SELECT page_id, 'table_0' AS block_id, 'Current  Fee Schedules' AS heading_hint, n + 3 AS row_count, cast(n + 2 AS integer) AS samples, cast(n AS integer) AS link_samples, n > 0 AS has_file_links FROM c""")
 def table_blocks(spark, sf):
     b = p.table_blocks(elements(spark, sf))
     return b.select("page_id", "block_id", "heading_hint", "row_count", F.size("data_sample").alias("samples"), F.size("link_samples").alias("link_samples"), "has_file_links")
 
 
-@check(f"""WITH {BUILT} SELECT page_id, 'table_0' AS block_id, cast(1 AS integer) AS block_rank, cast(least(n, 8) * 61 AS integer) AS score FROM c""")
+@check(f"""WITH {BUILT} SELECT page_id, 'table_0' AS block_id, cast(1 AS integer) AS block_rank, cast(n * 61 AS integer) AS score FROM c""")
 def ranked_blocks(spark, sf):
     return p.rank_blocks(p.table_blocks(elements(spark, sf)), 3).select("page_id", "block_id", "block_rank", "score")
 

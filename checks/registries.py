@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from checks import check, read
 from checks.versions import REG, registry
@@ -54,7 +54,8 @@ def mapping_lookup(spark, sf):
 
 @check(f"WITH {MAPS} SELECT mapping_id, row_number() OVER (ORDER BY changed DESC, mapping_id DESC) AS place FROM m WHERE state_code = 'S2'")
 def mapping_list(spark, sf):
-    return reg.list_mappings(mappings(spark, sf), "s2", 2000).select("mapping_id", (F.monotonically_increasing_id() + 1).alias("place"))
+    listed = reg.list_mappings(mappings(spark, sf), "s2")
+    return listed.select("mapping_id", place_of(listed, F.coalesce("updated_at_utc", "created_at_utc").desc(), F.col("mapping_id").desc()))
 
 
 INCOMING = """i AS (SELECT p_partkey AS row_no, upper('s' || (p_partkey % 5)) AS state_code, 'key_' || (p_partkey % 37) AS k, CASE WHEN p_partkey % 29 = 0 THEN '' ELSE 'table_' || (p_partkey % 900) END AS t,
@@ -84,25 +85,25 @@ def rejected_mappings(spark, sf):
     return reg.upsert_mappings(mappings(spark, sf), incoming(spark, sf), now())[1].select("row_no")
 
 
-STATES = ["AL", "AK", "AZ", "AR", "CA", "CO", "CT", "DE", "FL", "GA"]
+STATES = ["AL", "AK", "AZ", "AR", "CA", "CO", "CT", "DE", "FL", "GA", "HI", "ID", "IL", "IN", "IA", "KS", "KY", "LA", "ME", "MD", "MA", "MI", "MN", "MS", "MO", "MT", "NE", "NV", "NH", "NJ"]
 
 
 def nation_state(key):
-    return F.element_at(F.array(*[F.lit(s) for s in STATES]), (key % 10 + 1).cast("int"))
+    return F.element_at(F.array(*[F.lit(s) for s in STATES]), (key % 30 + 1).cast("int"))
 
 
 def sql_state(key):
-    return f"(ARRAY{STATES})[cast({key} % 10 + 1 AS integer)]".replace("ARRAY", "")
+    return f"(ARRAY{STATES})[cast({key} % 30 + 1 AS integer)]".replace("ARRAY", "")
 
 
 def portals(spark, sf):
-    n = read(spark, sf, "nation").where("n_nationkey < 5")
+    n = read(spark, sf, "nation")
     k = F.col("n_nationkey").cast("long")
     return n.select((k + 1).alias("link_id"), nation_state(k).alias("state_code"), F.col("n_name").alias("display_label"), F.concat(F.lit("http://old/"), k.cast("string")).alias("portal_url"),
                     F.lit(0).alias("sort_order"), stamp("created_at_utc"), F.expr(NONE_TS).alias("updated_at_utc"), F.expr(NONE_TS).alias("last_agent_run_at_utc"))
 
 
-PORTALS = f"p AS (SELECT n_nationkey + 1 AS link_id, {sql_state('n_nationkey')} AS state_code, n_name AS display_label, 'http://old/' || n_nationkey AS portal_url FROM nation WHERE n_nationkey < 5)"
+PORTALS = f"p AS (SELECT n_nationkey + 1 AS link_id, {sql_state('n_nationkey')} AS state_code, n_name AS display_label, 'http://old/' || n_nationkey AS portal_url FROM nation)"
 NEWP = f"""n AS (SELECT s_suppkey AS row_no, {sql_state('s_suppkey')} AS state_code, CASE WHEN s_suppkey % 2 = 0 THEN '' ELSE s_name END AS display_label, 'http://new/' || s_suppkey AS portal_url FROM supplier WHERE s_suppkey % 9 <> 0),
 l AS (SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY state_code ORDER BY row_no DESC) = 1)"""
 
@@ -118,67 +119,107 @@ def upserted_portals(spark, sf):
     return nxt.select("link_id", "state_code", "display_label", "portal_url")
 
 
-@check(f"""WITH {PORTALS} SELECT cast(link_id AS bigint) AS link_id, CASE WHEN link_id = 2 THEN 'Two' ELSE display_label END AS display_label, CASE WHEN link_id IN (2, 3) THEN 1 ELSE 0 END AS touched,
- CASE WHEN state_code IN ('AL', 'CA') THEN 1 ELSE 0 END AS ran FROM p""")
+PATCHES = """a AS (SELECT s_suppkey AS row_no, s_suppkey * 6 % 40 + 1 AS link_id, CASE WHEN s_suppkey % 3 = 0 THEN s_name END AS label, CASE WHEN s_suppkey % 5 = 0 THEN s_suppkey END AS sort FROM supplier)"""
+
+
+def portal_patches(spark, sf):
+    k = F.col("s_suppkey")
+    return read(spark, sf, "supplier").select(
+        k.alias("row_no"), (k * 6 % 40 + 1).alias("link_id"), F.when(k % 3 == 0, F.concat(F.lit(" "), "s_name", F.lit(" "))).alias("display_label"),
+        F.lit(None).cast("string").alias("portal_url"), F.when(k % 5 == 0, k).alias("sort_order"),
+    )
+
+
+@check(f"""WITH {PORTALS}, {PATCHES}, g AS (SELECT link_id, arg_max(label, row_no) AS label, arg_max(sort, row_no) AS sort FROM a GROUP BY link_id)
+SELECT cast(p.link_id AS bigint) AS link_id, coalesce(g.label, p.display_label) AS display_label, cast(coalesce(g.sort, 0) AS bigint) AS sort_order,
+ CASE WHEN coalesce(g.label, cast(g.sort AS varchar)) IS NOT NULL THEN 1 ELSE 0 END AS touched, CASE WHEN state_code IN ('AL', 'CA', 'IA') THEN 1 ELSE 0 END AS ran FROM p LEFT JOIN g ON p.link_id = g.link_id""")
 def patched_and_touched_portals(spark, sf):
     p = portals(spark, sf)
-    patch = read(spark, sf, "nation").where("n_nationkey IN (2, 3)").select(
-        F.col("n_nationkey").cast("long").alias("link_id"), F.when(F.col("n_nationkey") == 2, " Two ").alias("display_label"),
-        F.lit(None).cast("string").alias("portal_url"), F.when(F.col("n_nationkey") == 3, 7).alias("sort_order"),
-    )
-    patched = reg.patch_portals(p, patch, now())
+    patched, _ = reg.patch_portals(p, portal_patches(spark, sf), now())
     states = read(spark, sf, "nation").where("n_nationkey IN (0, 4, 14)").select(F.lower(nation_state(F.col("n_nationkey"))).alias("state_code"))
     ran = reg.touch_portals(p, states, now()).select("link_id", F.col("last_agent_run_at_utc").isNotNull().cast("int").alias("ran"))
-    return patched.join(ran, "link_id").select("link_id", "display_label", F.col("updated_at_utc").isNotNull().cast("int").alias("touched"), "ran")
+    patched = patched.select("link_id", "display_label", F.col("sort_order").cast("bigint").alias("sort_order"), F.col("updated_at_utc").isNotNull().cast("int").alias("touched"))
+    return patched.join(ran, "link_id").select("link_id", "display_label", "sort_order", "touched", "ran")
 
 
-def contacts(spark, sf):
+@check(f"WITH {PORTALS}, {PATCHES} SELECT row_no FROM a WHERE link_id NOT IN (SELECT link_id FROM p)")
+def rejected_portal_patches(spark, sf):
+    return reg.patch_portals(portals(spark, sf), portal_patches(spark, sf), now())[1].select("row_no")
+
+
+def contacts(spark, sf, which="c_custkey % 2 = 0"):
     k = F.col("c_custkey")
     flags = [F.lit(True).alias(f) for f in ("notifications_enabled", "notify_new_state_file", "notify_compare_result")]
-    return read(spark, sf, "customer").where("c_custkey % 2 = 0").select(
+    return read(spark, sf, "customer").where(which).select(
         k.alias("notification_contact_id"), F.concat(F.lit("N"), F.col("c_nationkey").cast("string")).alias("state_code"), F.col("c_name").alias("contact_name"),
         F.concat(F.lower("c_name"), F.lit("@x.org")).alias("email"), F.lit(None).cast("string").alias("team_name"), F.col("c_mktsegment").alias("department_name"), *flags,
         stamp("created_at_utc"), F.expr(NONE_TS).alias("updated_at_utc"),
     )
 
 
+# A batch with repeated updates, updates of unknown contacts, and addresses that an update gives up.
 NEWC = """i AS (SELECT c_custkey AS row_no, 'N' || c_nationkey AS state_code, CASE WHEN c_custkey % 10 = 7 THEN '' ELSE 'New ' || c_custkey END AS contact_name,
-  CASE WHEN c_custkey % 10 = 9 THEN 'none' ELSE lower(c_name) || '@x.org' END AS email, CASE WHEN c_custkey % 8 = 0 THEN c_custkey END AS id FROM customer WHERE c_custkey % 4 <> 1),
+  CASE WHEN c_custkey % 10 = 9 THEN 'none' ELSE lower(c_name) || '@x.org' END AS email, CASE WHEN c_custkey % 8 = 0 THEN c_custkey END AS id FROM customer WHERE c_custkey % 4 <> 1 UNION ALL
+ SELECT 1000000000 + c_custkey, 'N' || c_nationkey, 'Again ' || c_custkey, lower(c_name) || '@x.org', c_custkey FROM customer WHERE c_custkey % 16 = 0 UNION ALL
+ SELECT 2000000000 + c_custkey, 'N' || c_nationkey, 'Lost ' || c_custkey, 'lost' || c_custkey || '@x.org', c_custkey + 500000000 FROM customer WHERE c_custkey % 12 = 3 UNION ALL
+ SELECT 3000000000 + c_custkey, 'N' || c_nationkey, 'Moved ' || c_custkey, 'moved' || c_custkey || '@x.org', c_custkey FROM customer WHERE c_custkey % 20 = 10 UNION ALL
+ SELECT 4000000000 + c_custkey, 'N' || c_nationkey, 'Heir ' || c_custkey, lower(c_name) || '@x.org', NULL FROM customer WHERE c_custkey % 20 = 10),
 cur AS (SELECT c_custkey AS id, 'N' || c_nationkey AS state_code, c_name AS contact_name, lower(c_name) || '@x.org' AS email FROM customer WHERE c_custkey % 2 = 0),
-ok AS (SELECT i.*, cur.id AS owner FROM i LEFT JOIN cur USING (state_code, email) WHERE i.contact_name <> '' AND i.email <> 'none'),
-fine AS (SELECT * FROM ok WHERE owner IS NULL OR owner = id)"""
+ok AS (SELECT * FROM i WHERE contact_name <> '' AND email <> 'none'),
+upd AS (SELECT ok.* FROM ok JOIN cur USING (id, state_code) QUALIFY row_number() OVER (PARTITION BY id ORDER BY row_no DESC) = 1),
+after AS (SELECT cur.id, cur.state_code, coalesce(u.contact_name, cur.contact_name) AS contact_name, coalesce(u.email, cur.email) AS email FROM cur LEFT JOIN upd u ON u.id = cur.id),
+ins AS (SELECT * FROM ok WHERE id IS NULL AND (state_code, email) NOT IN (SELECT (state_code, email) FROM after) QUALIFY row_number() OVER (PARTITION BY state_code, email ORDER BY row_no) = 1)"""
 
 
 def new_contacts(spark, sf):
-    k = F.col("c_custkey")
-    return read(spark, sf, "customer").where("c_custkey % 4 <> 1").select(
-        k.alias("row_no"), F.concat(F.lit("n"), F.col("c_nationkey").cast("string")).alias("state_code"), F.when(k % 10 == 7, " ").otherwise(F.concat(F.lit("New "), k.cast("string"))).alias("contact_name"),
-        F.when(k % 10 == 9, "none").otherwise(F.concat(F.col("c_name"), F.lit("@X.org "))).alias("email"), F.lit("t").alias("team_name"), F.lit("d").alias("department_name"),
-        *[F.lit(None).cast("boolean").alias(f) for f in ("notifications_enabled", "notify_new_state_file", "notify_compare_result")],
-        F.when(k % 8 == 0, k).alias("notification_contact_id"),
-    )
-
-
-@check(f"""WITH {NEWC} SELECT cur.id AS contact_id, coalesce(f.contact_name, cur.contact_name) AS contact_name, cur.email FROM cur LEFT JOIN fine f ON f.id = cur.id AND f.state_code = cur.state_code UNION ALL
-SELECT (SELECT max(id) FROM cur) + row_number() OVER (ORDER BY row_no), contact_name, email FROM fine WHERE id IS NULL""")
+    k, name, state = F.col("c_custkey"), F.col("c_name"), F.concat(F.lit("n"), F.col("c_nationkey").cast("string"))
+    c = read(spark, sf, "customer")
+    own = F.concat(name, F.lit("@X.org "))
+
+    def rows(which, first, label, email, contact):
+        return c.where(which).select(
+            (k + F.lit(first).cast("long")).alias("row_no"), state.alias("state_code"), label.alias("contact_name"), email.alias("email"), F.lit("t").alias("team_name"), F.lit("d").alias("department_name"),
+            *[F.lit(None).cast("boolean").alias(f) for f in ("notifications_enabled", "notify_new_state_file", "notify_compare_result")], contact.cast("long").alias("notification_contact_id"),
+        )
+
+    said = lambda word: F.concat(F.lit(word + " "), k.cast("string"))
+    at = lambda word: F.concat(F.lit(word), k.cast("string"), F.lit("@x.org"))
+    base = rows("c_custkey % 4 <> 1", 0, F.when(k % 10 == 7, " ").otherwise(said("New")), F.when(k % 10 == 9, "none").otherwise(own), F.when(k % 8 == 0, k))
+    more = [
+        rows("c_custkey % 16 = 0", 1_000_000_000, said("Again"), own, k), rows("c_custkey % 12 = 3", 2_000_000_000, said("Lost"), at("lost"), k + 500_000_000),
+        rows("c_custkey % 20 = 10", 3_000_000_000, said("Moved"), at("moved"), k), rows("c_custkey % 20 = 10", 4_000_000_000, said("Heir"), own, F.lit(None)),
+    ]
+    for m in more:
+        base = base.unionByName(m)
+    return base
+
+
+@check(f"""WITH {NEWC} SELECT id AS contact_id, contact_name, email FROM after UNION ALL
+SELECT (SELECT max(id) FROM cur) + row_number() OVER (ORDER BY row_no), contact_name, email FROM ins""")
 def upserted_contacts(spark, sf):
     nxt, _ = reg.upsert_contacts(contacts(spark, sf), new_contacts(spark, sf), now())
     return nxt.select(F.col("notification_contact_id").alias("contact_id"), "contact_name", "email")
 
 
-@check(f"WITH {NEWC} SELECT row_no FROM i WHERE row_no NOT IN (SELECT row_no FROM fine)")
+@check(f"WITH {NEWC} SELECT row_no FROM i WHERE row_no NOT IN (SELECT row_no FROM upd UNION ALL SELECT row_no FROM ins)")
 def rejected_contacts(spark, sf):
     return reg.upsert_contacts(contacts(spark, sf), new_contacts(spark, sf), now())[1].select("row_no")
 
 
-@check("""SELECT c_custkey AS contact_id, row_number() OVER (ORDER BY c_mktsegment, c_name, c_custkey) AS place FROM customer WHERE c_custkey % 2 = 0 AND c_nationkey = 2""")
+@check("""SELECT c_custkey AS contact_id, row_number() OVER (ORDER BY c_mktsegment, c_name, c_custkey) AS place FROM customer WHERE c_nationkey = 2""")
 def contact_list(spark, sf):
-    return reg.list_contacts(contacts(spark, sf), "n2", 2000).select(F.col("notification_contact_id").alias("contact_id"), (F.monotonically_increasing_id() + 1).alias("place"))
+    listed = reg.list_contacts(contacts(spark, sf, "true"), "n2")
+    return listed.select(F.col("notification_contact_id").alias("contact_id"), place_of(listed, "department_name", "team_name", "contact_name", "notification_contact_id"))
+
+
+def place_of(listed, *order):
+    """Place of a row in a listing, by the keys the listing is sorted by."""
+    return F.row_number().over(Window.orderBy(*order)).cast("bigint").alias("place")
 
 
-@check("SELECT c_custkey AS contact_id FROM customer WHERE c_custkey % 2 = 0 AND NOT (c_custkey % 6 = 0 AND c_nationkey <> 3)")
+@check("SELECT c_custkey AS contact_id FROM customer WHERE NOT (c_custkey % 6 = 0 AND c_nationkey <> 3)")
 def deleted_rows(spark, sf):
-    c = contacts(spark, sf)
+    c = contacts(spark, sf, "true")
     victims = c.where("notification_contact_id % 6 = 0").select("notification_contact_id", F.when(F.col("state_code") == "N3", "other").otherwise(F.col("state_code")).alias("state_code"))
     return reg.delete_rows(c, victims, ["notification_contact_id", "state_code"]).select(F.col("notification_contact_id").alias("contact_id"))
 

@@ -51,7 +51,7 @@ def portal_date(cell: Column) -> Column:
     follow), then an ISO day anywhere, then ``January 5, 2026``.
     """
     raw = strip(cell)
-    s = strip(F.substring(raw, 1, 48))
+    s = raw
 
     def at_start(pattern, y, m, d):
         p = "^" + pattern
@@ -98,8 +98,8 @@ def label_date(link_text: Column) -> Column:
 
 def hint_date(c: Column) -> Column:
     """DATE of an effective-date hint. A cell that starts like an ISO day is read as one or not at all."""
-    s = F.substring(strip(c), 1, 48)
-    t = strip(F.substring(s, 1, 29))
+    s = strip(c)
+    t = s
 
     def whole(pattern, y, m, d, clock=CLOCK):
         p = "^" + pattern + clock + "$"

@@ -2,18 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, SparkSession, functions as F
 
 from ratetally.functions.text import bind, strip, text
 
 
+def read_repeated_names(spark: SparkSession) -> None:
+    """From now on the last member of a repeated name counts; without this such an object is not read at all."""
+    spark.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
+
+
 def _first_object(s: Column) -> Column:
     """Text of the first JSON object that starts at any ``{`` of ``s``; what follows it is ignored."""
     starts = F.filter(F.sequence(F.lit(1), F.length(s)), lambda i: F.substr(s, i, F.lit(1)) == "{")
-    found = F.filter(
-        F.transform(starts, lambda i: F.get_json_object(F.substr(s, i), "$")), lambda o: o.startswith("{")
-    )
-    return F.when(s.contains("{"), F.get(found, F.lit(0)))
+    none = F.lit(None).cast("string")
+
+    def at(found, i):
+        here = F.get_json_object(F.substr(s, i), "$")
+        return F.when(found.isNotNull(), found).otherwise(F.when(here.startswith("{"), here))
+
+    # Nothing is parsed once an object is found.
+    return F.when(s.contains("{"), F.aggregate(starts, none, at))
 
 
 def _clean(s: Column) -> Column:

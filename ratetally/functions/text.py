@@ -99,17 +99,17 @@ def natural_key(c: Column) -> Column:
     return F.array_join(F.transform(runs, encode), "")
 
 
-def slug(c: Column, max_len: int = 96, default: str = "fee_schedule") -> Column:
+def slug(c: Column, default: str = "fee_schedule") -> Column:
     """File-system friendly lower-case key."""
     ends = r"^[._-]+|[._-]+$"
     s = F.regexp_replace(F.regexp_replace(strip(c), r"[^A-Za-z0-9._-]+", "_"), ends, "")
     s = F.when(s == "", F.lit(default)).otherwise(s)
-    return F.lower(F.regexp_replace(F.substring(s, 1, max_len), r"[._-]+$", ""))
+    return F.lower(s)
 
 
 def norm_email(c: Column) -> Column:
-    """Lower-cased, trimmed and clipped address; null when it cannot be an address."""
-    s = F.substring(F.lower(strip(c)), 1, 320)
+    """Lower-cased and trimmed address; null when it cannot be an address."""
+    s = F.lower(strip(c))
     return F.when(s.contains("@"), s)
 
 

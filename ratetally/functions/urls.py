@@ -219,7 +219,7 @@ def leaf_name(c: Column) -> Column:
     leaf = F.regexp_extract(p, r"([^/]*)$", 1)
     leaf = F.coalesce(F.try_url_decode(F.replace(leaf, F.lit("+"), F.lit("%2B"))), leaf)
     leaf = F.when(leaf == "", F.lit("download")).otherwise(leaf)
-    return F.substring(F.regexp_replace(leaf, r"[^A-Za-z0-9._-]+", "_"), 1, 180)
+    return F.regexp_replace(leaf, r"[^A-Za-z0-9._-]+", "_")
 
 
 def stem(leaf: Column) -> Column:
@@ -248,7 +248,7 @@ def is_opaque_name(c: Column) -> Column:
     return bare.rlike(r"(?i)^[a-f0-9]{28,}$") | s.rlike(uuid)
 
 
-def safe_stem(c: Column, max_len: int = 120) -> Column:
+def safe_stem(c: Column) -> Column:
     """User-facing file stem without path, known extension and reserved characters."""
     s = F.regexp_replace(text(c), "[–—]", "-")
     s = F.regexp_extract(F.replace(s, F.lit("\\"), F.lit("/")), r"([^/]*)$", 1)
@@ -256,7 +256,7 @@ def safe_stem(c: Column, max_len: int = 120) -> Column:
     s = F.regexp_replace(s, r'[<>:"/\\|?*\x00-\x1f]', "_")
     s = F.regexp_replace(F.regexp_replace(s, r"\s+", " "), r"^[ ._]+|[ ._]+$", "")
     s = F.regexp_replace(F.regexp_replace(s, r"_+", "_"), r"^_+|_+$", "")
-    return F.regexp_replace(F.substring(s, 1, max_len), r"[ ._]+$", "")
+    return F.regexp_replace(s, r"[ ._]+$", "")
 
 
 def folder_slug(c: Column) -> Column:
@@ -264,7 +264,6 @@ def folder_slug(c: Column) -> Column:
     s = F.lower(strip(c))
     s = F.when(s == "", F.lit("fee_schedule")).otherwise(s)
     s = F.regexp_replace(F.regexp_replace(s, r"[^A-Za-z0-9._-]+", "_"), r"^[._-]+|[._-]+$", "")
-    s = F.substring(s, 1, 96)
     return F.when(s == "", F.lit("fee_schedule")).otherwise(s)
 
 
@@ -294,4 +293,4 @@ def candidate_key(section_slug: Column, row_title: Column, link_text: Column) ->
     named = F.when((title != "") & is_generic_link_text(label), slug(title)).when(
         ~is_generic_link_text(label), slug(label)
     ).when(title != "", slug(title)).otherwise(F.lit("fee_schedule"))
-    return F.substring(F.when(strip(section_slug) != "", strip(section_slug)).otherwise(named), 1, 256)
+    return F.when(strip(section_slug) != "", strip(section_slug)).otherwise(named)

@@ -36,8 +36,8 @@ def dedupe_tables(tables: DataFrame, scope: Sequence[str], fingerprint: str, ord
 
 
 def table_fingerprint(first_row: Column) -> Column:
-    """Ten cells of the first row, fifty characters each."""
-    return F.array_join(F.transform(F.slice(first_row, 1, 10), lambda c: F.substring(strip(c), 1, 50)), "|")
+    """All cells of the first row."""
+    return F.array_join(F.transform(first_row, strip), "|")
 
 
 def union_tables(tables: Sequence[DataFrame], placeholder: DataFrame | None = None) -> DataFrame:

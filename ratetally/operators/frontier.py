@@ -11,14 +11,13 @@ from ratetally.operators.spread import cut_lineage, top_per_group
 
 # Extensions of documents, which are collected rather than followed.
 SKIP_EXTENSIONS = ["pdf", "xlsx", "xls", "docx", "doc", "csv", "zip", "xlsm"]
-MAX_DEPTH = 4
 
 
 def page_edges(
-    elements: DataFrame, path_must_contain: str = "", same_host: bool = True, max_links: int | None = 120,
+    elements: DataFrame, path_must_contain: str = "", same_host: bool = True, max_links: int | None = None,
     skip: Sequence[str] = SKIP_EXTENSIONS,
 ) -> DataFrame:
-    """(src, pos, dst): links of each page that may be followed, each target once per page, at most ``max_links``."""
+    """(src, pos, dst): links of each page that may be followed, each target once per page; the first ``max_links`` where given."""
     href = F.trim(F.coalesce("href", F.lit("")))
     a = elements.where((F.col("kind") == "anchor") & (href != "") & ~href.startswith("#") & ~F.lower(href).startswith("javascript:"))
     a = a.withColumn("_full", urls.join_url(F.col("url"), href))
@@ -30,17 +29,16 @@ def page_edges(
     e = a.where(keep).select(urls.drop_fragment(F.col("url")).alias("src"), "pos", urls.drop_fragment(F.col("_full")).alias("dst"))
     e = e.groupBy("src", "dst").agg(F.min("pos").alias("pos"))
     if max_links is not None:
-        e = top_per_group(e, ["src"], [F.col("pos"), F.col("dst")], max(4, min(400, max_links)))
+        e = top_per_group(e, ["src"], [F.col("pos"), F.col("dst")], max_links)
     return e.select("src", "pos", "dst")
 
 
 def expand_frontier(edges: DataFrame, seeds: DataFrame, depth: int = 2, max_pages: int | None = None) -> DataFrame:
     """(url, depth) of every page reached from ``seeds`` (url) in fewer than ``depth`` steps, at its least depth.
 
-    ``depth`` is kept between 1 and 4. ``max_pages`` keeps the first pages by depth and URL. Every round
+    ``max_pages`` keeps the first pages by depth and URL. Every round
     is one join of the new pages with their edges; lineage is cut once per round.
     """
-    depth = max(1, min(MAX_DEPTH, depth))
     new = seeds.select(urls.drop_fragment(F.col("url")).alias("url")).where("url <> ''").distinct()
     seen = cut_lineage(new.withColumn("depth", F.lit(0)))
     for d in range(1, depth):

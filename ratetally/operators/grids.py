@@ -12,15 +12,15 @@ from ratetally.functions.text import strip
 from ratetally.operators.spread import attach, cut_lineage, number_rows
 
 FILE = ["file_id"]
-SCAN_ROWS = 520
 LOOK_AHEAD = 14
-FALLBACK_ROWS = 80
+# Rows of a file that one task judges.
+SLICE_ROWS = 100_000
 PLACEHOLDER = r"(?i)^col_\d+$"
 
 
-def near_cells(cells: DataFrame) -> DataFrame:
-    """The first rows of each file, which hold its header and what follows it; the filter reaches the scan."""
-    return cells.where(F.col("row_idx") < SCAN_ROWS + LOOK_AHEAD + 1)
+def near_cells(cells: DataFrame, scan_rows: int | None) -> DataFrame:
+    """All cells, or those of the first rows and of what follows them; the filter reaches the scan."""
+    return cells if scan_rows is None else cells.where(F.col("row_idx") < scan_rows + LOOK_AHEAD + 1)
 
 
 def row_features(cells: DataFrame) -> DataFrame:
@@ -35,16 +35,21 @@ def row_features(cells: DataFrame) -> DataFrame:
     return f.withColumn("bonus", header_bonus(F.col("words")))
 
 
-def detect_header(cells: DataFrame, min_cols: int = 3) -> DataFrame:
+def detect_header(cells: DataFrame, min_cols: int = 3, scan_rows: int | None = None, fallback_rows: int | None = None) -> DataFrame:
     """(file_id, header_row, header_score): the row of each grid that is most likely its header.
 
-    Only the first rows of a file are looked at, so a file of any length costs one small window.
+    All rows are looked at, unless ``scan_rows`` says how many (``fallback_rows``: how many where no row scores).
+    A row is judged with the ``LOOK_AHEAD`` rows below it; a long file is cut into slices that overlap by as
+    many, so no task holds a whole file.
     """
     size = cells.groupBy(*FILE).agg((F.max("row_idx") + 1).alias("n_rows"))
-    near = row_features(near_cells(cells)).join(size, FILE)
-    ahead = Window.partitionBy("file_id").orderBy("row_idx").rangeBetween(1, LOOK_AHEAD)
+    near = row_features(near_cells(cells, scan_rows)).join(size, FILE)
+    own = F.floor(F.col("row_idx") / SLICE_ROWS)
+    again = F.when((own > 0) & (F.col("row_idx") % SLICE_ROWS < LOOK_AHEAD), F.array(own, own - 1)).otherwise(F.array(own))
+    near = near.withColumn("_own", own).withColumn("_slice", F.explode(again))
+    ahead = Window.partitionBy("file_id", "_slice").orderBy("row_idx").rangeBetween(1, LOOK_AHEAD)
     top = F.slice(F.sort_array(F.collect_list("data_like").over(ahead), asc=False), 1, 2)
-    near = near.withColumn("_top", top)
+    near = near.withColumn("_top", top).where("_slice = _own")
     zero = F.lit(0).cast("long")
     top1 = F.coalesce(F.get("_top", F.lit(0)), zero)
     pair = top1 + F.coalesce(F.get("_top", F.lit(1)), zero)
@@ -57,25 +62,25 @@ def detect_header(cells: DataFrame, min_cols: int = 3) -> DataFrame:
     )
     signal = (F.col("pair") >= 2) | (F.col("top1") >= 3) | ((F.col("bonus") >= 14) & (F.col("top1") >= 2))
     prose = (F.col("long_cells") >= F.greatest(F.lit(1), F.expr("width DIV 2"))) & (F.col("width") <= 4)
-    usable = (F.col("row_idx") < F.least(F.col("n_rows") - 2, F.lit(SCAN_ROWS))) & (F.col("width") >= min_cols) & ~prose & signal
+    usable = (F.col("row_idx") < F.col("n_rows") - 2 if scan_rows is None else F.least(F.col("n_rows") - 2, F.lit(scan_rows))) & (F.col("width") >= min_cols) & ~prose & signal
     scored = near.withColumn("score", F.round(score, 6))
     best = scored.where(usable & (F.col("score") >= 0)).groupBy(*FILE).agg(
         F.max(F.struct("score", (-F.col("row_idx")).alias("r"))).alias("b")
     ).select("file_id", (-F.col("b.r")).alias("header_row"), F.col("b.score").alias("header_score"))
-    early = scored.where((F.col("row_idx") < FALLBACK_ROWS) & (F.col("width") >= min_cols)).groupBy(*FILE).agg(
+    early = (scored if fallback_rows is None else scored.where(F.col("row_idx") < fallback_rows)).where(F.col("width") >= min_cols).groupBy(*FILE).agg(
         F.min(F.struct((-F.col("width")).alias("w"), "data_like", (-F.col("bonus")).alias("bonus"), "row_idx")).alias("b")
     ).select("file_id", F.col("b.row_idx").alias("_fallback"))
     out = size.join(best, FILE, "left").join(early, FILE, "left")
     return out.select("file_id", F.coalesce("header_row", "_fallback", F.lit(0)).cast("int").alias("header_row"), "header_score", "n_rows")
 
 
-def header_band(cells: DataFrame, headers: DataFrame) -> DataFrame:
+def header_band(cells: DataFrame, headers: DataFrame, scan_rows: int | None = None) -> DataFrame:
     """``headers`` with ``band``: the row above the header is a label band that belongs to it.
 
     The row above must look like labels and the first filled row below like data.
     """
     h = headers.where("header_row > 0").select("file_id", "header_row", "n_rows")
-    f = row_features(near_cells(cells)).join(h, FILE).where("row_idx >= header_row - 1 AND (row_idx <= header_row OR width > 0)")
+    f = row_features(near_cells(cells, scan_rows)).join(h, FILE).where("row_idx >= header_row - 1 AND (row_idx <= header_row OR width > 0)")
     word = r"workforce|hcbs|rescue|rate increase"
     above, here = F.col("row_idx") == F.col("header_row") - 1, F.col("row_idx") == F.col("header_row")
     below = F.col("row_idx") > F.col("header_row")
@@ -136,7 +141,10 @@ def pad_grid(cells: DataFrame, widths: DataFrame | None = None) -> DataFrame:
     return full.select("file_id", "row_idx", "col_idx", F.coalesce(F.element_at("m", F.col("col_idx")), F.lit("")).alias("cell"))
 
 
-def read_grid(cells: DataFrame, min_cols: int = 3, two_row_headers: bool = True, skip_notes: bool = True, repeated_headers: bool = False) -> Grid:
+def read_grid(
+    cells: DataFrame, min_cols: int = 3, two_row_headers: bool = True, skip_notes: bool = True, repeated_headers: bool = False,
+    scan_rows: int | None = None, fallback_rows: int | None = None,
+) -> Grid:
     """Header and body of each grid.
 
     Rows above the header are left out, as are blank rows, note rows and, if asked for, repeats of the
@@ -144,10 +152,10 @@ def read_grid(cells: DataFrame, min_cols: int = 3, two_row_headers: bool = True,
     dropped column hold no text and belong to no entry of ``columns``. The header rows (one row per file) and
     their labels are found first and stored, so that the cells are not searched again for every use of them.
     """
-    heads = cut_lineage(detect_header(cells, min_cols))
+    heads = cut_lineage(detect_header(cells, min_cols, scan_rows, fallback_rows))
     edge = heads.select("file_id", "header_row")
-    heads = header_band(cells, heads) if two_row_headers else heads.withColumn("band", F.lit(False))
-    top = near_cells(cells).join(heads.select("file_id", "header_row", "band"), FILE)
+    heads = header_band(cells, heads, scan_rows) if two_row_headers else heads.withColumn("band", F.lit(False))
+    top = near_cells(cells, scan_rows).join(heads.select("file_id", "header_row", "band"), FILE)
     top = top.where(F.col("row_idx").between(F.col("header_row") - 1, F.col("header_row")))
     here = F.col("row_idx") == F.col("header_row")
     labels = cut_lineage(top.groupBy("file_id", "col_idx").agg(

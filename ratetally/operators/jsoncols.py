@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from ratetally.functions.jsontext import flatten_json, has_nested_object, parse_json_cell
+from ratetally.functions.jsontext import flatten_json, has_nested_object, parse_json_cell, read_repeated_names
 from ratetally.functions.text import strip
 
 MIN_OBJECT_SHARE = 0.5
@@ -23,6 +23,7 @@ def json_columns(df: DataFrame, columns: Sequence[str] | None = None) -> DataFra
 
     One aggregation over all columns; nothing but the counts leaves the tasks.
     """
+    read_repeated_names(df.sparkSession)
     names = list(columns) if columns is not None else text_columns(df)
     # Each object text is computed once below the aggregation rather than once per aggregate.
     parsed = df.select(
@@ -59,8 +60,10 @@ def expand_json(df: DataFrame, columns: Sequence[str] | None = None, keys: Seque
     """Replace JSON columns by one text column per member name, in name order after the other columns.
 
     Columns and names are looked up in the data unless given. A member hides a plain column of the same
-    name; of two JSON columns the later one wins where it has a value. Only names reach the driver.
+    name; of two JSON columns the later one wins where it has a value, and of a repeated member name the last
+    member. Only names reach the driver.
     """
+    read_repeated_names(df.sparkSession)
     if columns is None:
         columns = [r["column_name"] for r in json_columns(df).where("expand").collect()] if text_columns(df) else []
         columns = [c for c in df.columns if c in set(columns)]

@@ -134,7 +134,7 @@ def file_candidates(catalog: DataFrame, scope: Sequence[str], base: str = "url",
         F.lit(side).alias("side"), raw.alias("raw"), lab.alias("lab"), sup.alias("link_sup"), slot.alias("slot")
     )
     in_links = F.transform("links", lambda k: item(
-        0, k["url"], F.substring(text(k["text"]), 1, 400), F.coalesce(k["superseded"], F.lit(False)), F.substring(text(k["slot"]), 1, 32)
+        0, k["url"], text(k["text"]), F.coalesce(k["superseded"], F.lit(False)), text(k["slot"])
     ))
     shown = F.filter(F.map_entries("cells"), lambda e: ~e["key"].startswith("_") & strip(e["value"]).rlike("^https?://"))
     in_cells = F.transform(shown, lambda e: item(1, e["value"], F.lit(""), F.lit(False), F.lit("")))
@@ -160,10 +160,10 @@ def file_candidates(catalog: DataFrame, scope: Sequence[str], base: str = "url",
         *scope,
         *[x for x in ("table_no", "row_no") if x not in scope],
         F.col("found_url").alias("file_url"),
-        F.substring(F.when(F.col("_lab") != "", F.col("_lab")).otherwise(F.col("_title")), 1, 400).alias("label"),
-        F.substring(compose_label(F.col("cells"), F.col("_fee"), F.col("_prog"), F.col("_day"), F.col("_lab")), 1, 512).alias("catalog_display_label"),
+        F.when(F.col("_lab") != "", F.col("_lab")).otherwise(F.col("_title")).alias("label"),
+        compose_label(F.col("cells"), F.col("_fee"), F.col("_prog"), F.col("_day"), F.col("_lab")).alias("catalog_display_label"),
         urls.candidate_key(F.element_at("cells", F.lit("_fee_topic_slug")), F.col("_title"), F.col("_lab")).alias("logical_schedule_key"),
-        F.substring("_day", 1, 32).alias("portal_date"),
+        F.col("_day").alias("portal_date"),
         F.when(F.col("_link_date") != "", "link_text").when(F.col("_row_date") != "", "row_cell").otherwise("").alias("effective_date_source"),
         (is_superseded(F.col("cells"), F.col("_lab")) | F.col("link_sup")).alias("superseded_hint"),
         F.col("slot").alias("artifact_slot"),
@@ -251,7 +251,7 @@ def annotate_sections(catalog: DataFrame, section: str = "section") -> DataFrame
     """Rows of effective-date tables get their section, its slug and ranked links; other rows stay as they are."""
     use = is_effective_date_table(F.col("columns")) & (strip(F.col(section)) != "")
     extra = F.create_map(
-        F.lit("_schedule_section"), strip(F.col(section)), F.lit("_fee_topic_slug"), F.substring(slug(F.col(section)), 1, 256)
+        F.lit("_schedule_section"), strip(F.col(section)), F.lit("_fee_topic_slug"), slug(F.col(section))
     )
     return catalog.withColumn("cells", F.when(use, F.map_concat("cells", extra)).otherwise(F.col("cells"))).withColumn(
         "links", F.when(use, rank_links(F.col("links"))).otherwise(F.col("links"))
@@ -328,7 +328,7 @@ def related_score(url: Column, anchor: Column, weights: Mapping[str, int] = PHRA
     return score + F.when(F.lower(url).rlike(FILE_WORDS), 12).otherwise(0) + F.when(url.rlike(PATH_WORDS), 5).otherwise(0)
 
 
-def rank_related_links(elements: DataFrame, k: int = 25, same_host: bool = True, min_score: int = 3, weights: Mapping[str, int] = PHRASE_WEIGHTS) -> DataFrame:
+def rank_related_links(elements: DataFrame, k: int, same_host: bool = True, min_score: int = 3, weights: Mapping[str, int] = PHRASE_WEIGHTS) -> DataFrame:
     """Top ``k`` links per page that may lead to rates, best first; a link counts where it occurs first."""
     href = strip(F.col("href"))
     a = elements.where((F.col("kind") == "anchor") & (href != "") & ~href.startswith("#") & ~F.lower(href).startswith("javascript:"))
@@ -339,7 +339,7 @@ def rank_related_links(elements: DataFrame, k: int = 25, same_host: bool = True,
     a = a.withColumn("_s", related_score(F.col("link_url"), F.col("text"), weights)).withColumn("is_file_url", F.lower("link_url").rlike(FILE_WORDS))
     a = a.where((F.col("_s") >= min_score) | F.col("is_file_url")).withColumn("score", F.greatest("_s", F.lit(1)))
     a = top_per_group(a, ["page_id"], [F.col("score").desc(), F.col("link_url")], k, rank="link_rank")
-    return a.select("page_id", "link_rank", "link_url", F.substring("text", 1, 300).alias("anchor_text"), "score", "is_file_url")
+    return a.select("page_id", "link_rank", "link_url", F.col("text").alias("anchor_text"), "score", "is_file_url")
 
 
 def apply_decisions(candidates: DataFrame, decisions: DataFrame, scope: Sequence[str]) -> DataFrame:
@@ -355,7 +355,7 @@ def apply_decisions(candidates: DataFrame, decisions: DataFrame, scope: Sequence
     tagged = tagged.withColumn("_drop", F.coalesce(F.col("_hit._d.include") == F.lit(False), F.lit(False)))
     alive = tagged.groupBy(*scope).agg(F.max(~F.col("_drop")).alias("_any"))
     j = attach(tagged, alive, scope) if scope else tagged.withColumn("_any", tagged.agg(F.max(~F.col("_drop"))).scalar())
-    title = F.substring(strip(F.col("_hit._d.display_title")), 1, 600)
+    title = strip(F.col("_hit._d.display_title"))
     return j.where(~F.col("_any") | ~F.col("_drop")).select(
         *[F.col(c) for c in candidates.columns if c != "title"],
         F.when(F.col("_any") & (title != ""), title).otherwise(F.col("title")).alias("title"),
@@ -377,7 +377,7 @@ def apply_link_labels(links: DataFrame, labels: DataFrame, allowed: DataFrame, r
     """
     ok = allowed.select(urls.normalize_url(F.col("url")).alias("_u")).where("_u <> ''").distinct()
     lab = labels.withColumn("_u", urls.normalize_url(F.col("url"))).join(ok, "_u", "left_semi")
-    lab = lab.groupBy("_u").agg(F.max(F.struct("position", F.substring(strip(F.col("display_label")), 1, 500).alias("new_text"), F.col("superseded").alias("new_sup"))).alias("_l"))
+    lab = lab.groupBy("_u").agg(F.max(F.struct("position", strip(F.col("display_label")).alias("new_text"), F.col("superseded").alias("new_sup"))).alias("_l"))
     j = lookup_join(links.withColumn("_u", urls.normalize_url(F.col("url"))), lab, ["_u"], "_hit")
     new = F.col("_hit._l")
     j = j.withColumn("text", F.when(new["new_text"] != "", new["new_text"]).otherwise(F.col("text"))).withColumn(

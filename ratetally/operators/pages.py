@@ -42,9 +42,6 @@ REAL_WORDS = [
 ]
 # Parts of URLs that belong to data APIs.
 API_SIGNS = ["/api/now/", "/servicenow", "/query", "/list", "/search", "/export", "/datatable"]
-MAX_HEADER_ROWS = 22
-MAX_TABLE_COLUMNS = 40
-MAX_TABLES = 48
 
 
 def any_of(c: Column, words) -> Column:
@@ -54,14 +51,14 @@ def any_of(c: Column, words) -> Column:
     return out
 
 
-def carry_section(elements: DataFrame, tags=("h1", "h2", "h3", "h4"), name: str = "section", column: str = "tight", max_len: int = 600) -> DataFrame:
+def carry_section(elements: DataFrame, tags=("h1", "h2", "h3", "h4"), name: str = "section", column: str = "tight") -> DataFrame:
     """Every element with the text of the latest non-empty heading before it on its page."""
-    heading = F.when(F.col("kind").isin("heading", "hint") & F.col("tag").isin(*tags) & (F.col(column) != ""), F.substring(F.col(column), 1, max_len))
+    heading = F.when(F.col("kind").isin("heading", "hint") & F.col("tag").isin(*tags) & (F.col(column) != ""), F.col(column))
     before = Window.partitionBy("page_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     return elements.withColumn("_h", heading).withColumn(name, F.coalesce(F.last("_h", ignorenulls=True).over(before), F.lit(""))).drop("_h")
 
 
-def file_link_catalog(elements: DataFrame, max_rows: int = 500) -> DataFrame:
+def file_link_catalog(elements: DataFrame, max_rows: int | None = None) -> DataFrame:
     """Links to files on the host of their page, outside the footer, once per page, with the heading above them."""
     href = strip(F.col("href"))
     a = carry_section(elements.where("kind IN ('heading', 'anchor')"))
@@ -69,9 +66,10 @@ def file_link_catalog(elements: DataFrame, max_rows: int = 500) -> DataFrame:
     a = a.withColumn("file_url", urls.join_url(F.col("url"), href))
     a = a.where((urls.host(F.col("file_url")) == urls.host(F.col("url"))) & urls.has_file_extension(F.col("file_url"), urls.CATALOG_EXTENSIONS))
     a = first_per_group(a, ["page_id", "file_url"], [F.col("pos")])
-    a = top_per_group(a, PAGE, [F.col("pos")], max_rows)
+    if max_rows is not None:
+        a = top_per_group(a, PAGE, [F.col("pos")], max_rows)
     leaf = F.regexp_extract(urls.path(F.col("file_url")), r"([^/]*)$", 1)
-    title = F.coalesce(F.nullif(F.substring(F.col("text"), 1, 600), F.lit("")), F.nullif(leaf, F.lit("")), F.col("file_url"))
+    title = F.coalesce(F.nullif(F.col("text"), F.lit("")), F.nullif(leaf, F.lit("")), F.col("file_url"))
     return a.select("page_id", "pos", "section", title.alias("title"), "file_url", urls.kind_name(F.col("file_url")).alias("file_type"), "updated")
 
 
@@ -95,10 +93,24 @@ def first_row_fingerprints(elements: DataFrame) -> DataFrame:
     return first.groupBy(*TABLE).agg(F.array_join(F.transform(cells, lambda c: c["t"]), "|").alias("fingerprint"))
 
 
-def unique_tables(elements: DataFrame) -> DataFrame:
-    """(page_id, table_no, table_index): tables of a page whose first row has not been seen before on it."""
+def table_fingerprints(elements: DataFrame) -> DataFrame:
+    """Per table a 128-bit hash of its rows, cells and links; rows are hashed first, so no task holds a table."""
+    cell = F.struct("pos", "kind", "row_no", "col_no", "tight", "href")
+    own = elements.where("kind IN ('cell', 'anchor') AND table_no IS NOT NULL")
+    rows = own.groupBy(*TABLE, "row_no").agg(F.array_sort(F.collect_list(cell)).alias("_cells"))
+    rows = rows.withColumn("_cells", F.to_json(F.transform("_cells", lambda c: F.struct(c["kind"], c["col_no"], c["tight"], c["href"]))))
+    rows = rows.select(*TABLE, F.struct("row_no", F.md5("_cells").alias("h")).alias("_row"))
+    return rows.groupBy(*TABLE).agg(F.md5(F.to_json(F.array_sort(F.collect_list("_row")))).alias("fingerprint"))
+
+
+def unique_tables(elements: DataFrame, by_first_row: bool = False) -> DataFrame:
+    """(page_id, table_no, table_index): tables of a page whose content has not been seen before on it.
+
+    ``by_first_row`` takes tables for equal when the beginnings of their first rows are.
+    """
     t = elements.where("kind = 'table'").select(*TABLE)
-    t = t.join(first_row_fingerprints(elements), TABLE, "left").withColumn("fingerprint", F.coalesce("fingerprint", F.lit("")))
+    prints = first_row_fingerprints(elements) if by_first_row else table_fingerprints(elements)
+    t = t.join(prints, TABLE, "left").withColumn("fingerprint", F.coalesce("fingerprint", F.lit("")))
     named = first_per_group(t.where("fingerprint <> ''"), ["page_id", "fingerprint"], [F.col("table_no")])
     kept = named.unionByName(t.where("fingerprint = ''"))
     w = Window.partitionBy("page_id").orderBy("table_no")
@@ -107,7 +119,7 @@ def unique_tables(elements: DataFrame) -> DataFrame:
 
 def page_counts(elements: DataFrame) -> DataFrame:
     """Counters per page: tables, table rows, links, buttons, inputs, selects, lists, file links and their types."""
-    kept = unique_tables(elements).where(F.col("table_index") < MAX_TABLES).select(*TABLE, F.lit(True).alias("_kept"))
+    kept = unique_tables(elements).select(*TABLE, F.lit(True).alias("_kept"))
     tag = lambda *t: F.count_if(F.col("tag").isin(*t))
     per_page = elements.groupBy(*PAGE).agg(
         tag("a").alias("links"), tag("button").alias("buttons"), tag("select").alias("selects"), tag("input").alias("inputs"),
@@ -185,9 +197,9 @@ def page_gate(pages: DataFrame, elements: DataFrame) -> DataFrame:
 
 
 def clean_labels(labels: Column) -> Column:
-    """Header labels without blanks, list marks, result counters and texts over 120 characters."""
+    """Header labels without blanks, list marks and result counters."""
     marked = F.transform(labels, lambda t: F.when(strip(t).startswith("»"), strip(F.regexp_replace(strip(t), "^»+", ""))).otherwise(strip(t)))
-    keep = lambda t: ~(F.lower(t).contains("rows returned") & F.lower(t).contains("fee schedule")) & (F.length(t) <= 120)
+    keep = lambda t: ~(F.lower(t).contains("rows returned") & F.lower(t).contains("fee schedule"))
     blank_gone = F.filter(F.arrays_zip(labels.alias("l"), marked.alias("m")), lambda z: (strip(z["l"]) != "") & keep(z["m"]))
     return F.transform(blank_gone, lambda z: z["m"])
 
@@ -200,14 +212,15 @@ def table_rows(elements: DataFrame) -> DataFrame:
     return c
 
 
-def table_headers(rows: DataFrame) -> DataFrame:
+def table_headers(rows: DataFrame, scan_rows: int | None = None) -> DataFrame:
     """Columns of each table and the row they were found in (-1 for a head section).
 
-    A head section decides; otherwise the best scoring of the first rows, the earlier one in a tie.
+    A head section decides; otherwise the best scoring row, the earlier one in a tie. ``scan_rows`` looks at the
+    first rows only.
     """
     is_head = lambda c: c["th"] & c["in_thead"]
     texts = F.transform("cells", lambda c: c["tight"])
-    near = rows.where((F.col("row_no") <= MAX_HEADER_ROWS) | F.exists("cells", is_head))
+    near = rows if scan_rows is None else rows.where((F.col("row_no") <= scan_rows) | F.exists("cells", is_head))
     near = near.withColumn("filled", F.filter(texts, lambda t: t != "")).withColumn("columns", clean_labels(texts))
     nxt = F.lead(F.size("filled")).over(Window.partitionBy(*TABLE).orderBy("row_no"))
     near = near.withColumn("_next", F.coalesce(nxt, F.lit(-1)))
@@ -222,7 +235,8 @@ def table_headers(rows: DataFrame) -> DataFrame:
         - F.size(F.filter("filled", lambda t: F.length(t) > 90)) * 3
         + F.when(F.col("_next") >= F.greatest(F.lit(2), n - 1), 8).otherwise(0)
     )
-    usable = (F.col("row_no") < MAX_HEADER_ROWS) & (F.size("filled") >= 2) & ~nav & (n >= 2)
+    usable = F.lit(True) if scan_rows is None else F.col("row_no") < scan_rows
+    usable = usable & (F.size("filled") >= 2) & ~nav & (n >= 2)
     near = near.withColumn("score", F.when(usable, score))
     head_cells = F.transform(F.filter("cells", is_head), lambda c: c["tight"])
     found = near.groupBy(*TABLE).agg(
@@ -271,12 +285,11 @@ EMPTY_LINKS = "array<struct<url:string,text:string,superseded:boolean,slot:strin
 def html_tables(elements: DataFrame) -> DataFrame:
     """Catalog rows of all tables: page_id, url, table_no, row_no, columns, cells (MAP) and links.
 
-    Repeated tables of a page are taken once; tables with more than forty columns, blank rows and paging
-    rows are left out.
+    Repeated tables of a page are taken once; blank rows and paging rows are left out.
     """
     rows = table_rows(elements)
     rows = rows.join(unique_tables(elements).select(*TABLE), TABLE, "left_semi")
-    heads = table_headers(rows).where(F.size("columns") <= MAX_TABLE_COLUMNS)
+    heads = table_headers(rows)
     body = rows.join(heads, TABLE).where(
         F.when(F.col("header_row") < 0, ~F.exists("cells", lambda c: c["in_thead"])).otherwise(F.col("row_no") > F.col("header_row"))
     )
@@ -288,28 +301,32 @@ def html_tables(elements: DataFrame) -> DataFrame:
     return body.withColumn("_v", vals).select("page_id", "url", "table_no", "row_no", "columns", distinct_map(entries).alias("cells"), "links")
 
 
-def table_blocks(elements: DataFrame, samples: int = 3, link_samples: int = 8) -> DataFrame:
-    """One row per unique table: heading above it, columns, row count, first data rows and links."""
+def table_blocks(elements: DataFrame, samples: int | None = None, link_samples: int | None = None) -> DataFrame:
+    """One row per unique table: heading above it, columns, row count, data rows and links, and what all its links score.
+
+    ``samples`` and ``link_samples`` show the first data rows and links only.
+    """
     hints = carry_section(
-        elements.where("kind IN ('heading', 'hint', 'table') AND tag <> 'h5'"), ("h1", "h2", "h3", "h4", "strong", "legend"), "hint_text", "text", 300
+        elements.where("kind IN ('heading', 'hint', 'table') AND tag <> 'h5'"), ("h1", "h2", "h3", "h4", "strong", "legend"), "hint_text", "text"
     ).where("kind = 'table'").select(*TABLE, "hint_text")
-    captions = elements.where("tag = 'caption'").groupBy(*TABLE).agg(F.min_by(F.substring("text", 1, 300), "pos").alias("caption"))
+    captions = elements.where("tag = 'caption'").groupBy(*TABLE).agg(F.min_by("text", "pos").alias("caption"))
     rows = table_rows(elements)
     n_rows = elements.where("kind = 'row'").groupBy(*TABLE).agg(F.count(F.lit(1)).alias("row_count"))
-    td = F.transform(F.slice(F.filter("cells", lambda c: ~c["th"]), 1, 14), lambda c: F.substring(c["text"], 1, 120))
+    td = F.transform(F.filter("cells", lambda c: ~c["th"]), lambda c: c["text"])
     data = rows.withColumn("td", td).where(F.exists("td", lambda t: t != ""))
-    data = top_per_group(data, TABLE, [F.col("row_no")], samples).groupBy(*TABLE).agg(
+    data = (data if samples is None else top_per_group(data, TABLE, [F.col("row_no")], samples)).groupBy(*TABLE).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("row_no", "td"))), lambda r: r["td"]).alias("data_sample")
     )
     links = elements.where("kind = 'anchor' AND href IS NOT NULL AND trim(href) <> '' AND table_no IS NOT NULL")
-    links = top_per_group(links, TABLE, [F.col("pos")], link_samples).groupBy(*TABLE).agg(
+    points = links.groupBy(*TABLE).agg(F.sum(link_points(F.col("href"), F.col("text")) + 1).alias("link_score"))
+    links = (links if link_samples is None else top_per_group(links, TABLE, [F.col("pos")], link_samples)).groupBy(*TABLE).agg(
         F.transform(
-            F.array_sort(F.collect_list(F.struct("pos", F.substring("href", 1, 500).alias("href"), F.substring("text", 1, 200).alias("text")))),
+            F.array_sort(F.collect_list(F.struct("pos", "href", "text"))),
             lambda l: F.struct(l["href"].alias("href"), l["text"].alias("text")),
         ).alias("link_samples")
     )
     out = unique_tables(elements).join(table_headers(rows).drop("header_row"), TABLE, "left")
-    for side in (n_rows, captions, hints, data, links):
+    for side in (n_rows, captions, hints, data, links, points):
         out = out.join(side, TABLE, "left")
     return out.select(
         "page_id", "table_no", F.concat(F.lit("table_"), F.col("table_index").cast("string")).alias("block_id"),
@@ -319,11 +336,14 @@ def table_blocks(elements: DataFrame, samples: int = 3, link_samples: int = 8) -
         F.coalesce("data_sample", F.array().cast("array<array<string>>")).alias("data_sample"),
         F.coalesce("link_samples", F.array().cast("array<struct<href:string,text:string>>")).alias("link_samples"),
         F.col("link_samples").isNotNull().alias("has_file_links"),
+        F.coalesce("link_score", F.lit(0)).cast("long").alias("link_score"),
     )
 
 
-def page_sections(elements: DataFrame, sample: int = 500) -> DataFrame:
-    """Sections between headings: title, text sample, tables, file links and their types.
+def page_sections(elements: DataFrame, sample: int | None = None) -> DataFrame:
+    """Sections between headings: title, text, tables, file links and their types.
+
+    ``sample`` keeps that many characters of the text; only the pieces that hold them are gathered.
 
     A page without headings is one section named ``Entire Page``.
     """
@@ -336,9 +356,11 @@ def page_sections(elements: DataFrame, sample: int = 500) -> DataFrame:
     body = e.where("kind = 'text'").join(titles, ["page_id", "section_no"], "left").withColumn(
         "_rank", F.row_number().over(Window.partitionBy("page_id", "section_no").orderBy("pos"))
     ).where(F.col("_rank") > F.coalesce("_own", F.lit(0)))
-    texts = body.groupBy("page_id", "section_no").agg(
-        F.substring(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda t: t["text"]), " "), 1, sample).alias("text_sample")
-    )
+    if sample is not None:
+        before = Window.partitionBy("page_id", "section_no").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+        body = body.withColumn("_before", F.coalesce(F.sum(F.length("text") + 1).over(before), F.lit(0))).where(F.col("_before") < sample)
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda t: t["text"]), " ")
+    texts = body.groupBy("page_id", "section_no").agg((whole if sample is None else F.substring(whole, 1, sample)).alias("text_sample"))
     links = file_links(e).where("is_file_link")
     low = F.lower("text")
     marks = links.groupBy("page_id", "section_no").agg(
@@ -390,18 +412,19 @@ def page_summary(structure: DataFrame, blocks: DataFrame, sections: DataFrame, o
     )
 
 
+def link_points(href: Column, label: Column) -> Column:
+    """What a link says for its table (fixed values)."""
+    h, t = F.lower(href), F.lower(label)
+    return (
+        F.when(h.contains("__dopostback") | h.startswith("javascript:"), 150).otherwise(0)
+        + F.when(h.rlike(LINK_EXTENSIONS) | t.rlike(LINK_EXTENSIONS), 60).otherwise(0)
+        + F.when(t.rlike("fee|schedule|cpt|hcpcs|reimburse"), 12).otherwise(0)
+    )
+
+
 def rank_blocks(blocks: DataFrame, k: int) -> DataFrame:
-    """Top ``k`` tables of each page by the links they sample, then by rows."""
-    def points(l):
-        h, t = F.lower(l["href"]), F.lower(l["text"])
-        return (
-            F.when(h.contains("__dopostback") | h.startswith("javascript:"), 150).otherwise(0)
-            + F.when(h.rlike(LINK_EXTENSIONS) | t.rlike(LINK_EXTENSIONS), 60).otherwise(0)
-            + F.when(t.rlike("fee|schedule|cpt|hcpcs|reimburse"), 12).otherwise(0)
-        )
-
-    score = F.aggregate("link_samples", F.lit(0), lambda acc, l: acc + points(l)) + F.size("link_samples")
-    return top_per_group(blocks.withColumn("score", score), PAGE, [F.col("score").desc(), F.col("row_count").desc(), F.col("table_no")], k, rank="block_rank")
+    """Top ``k`` tables of each page by all their links, then by rows."""
+    return top_per_group(blocks.withColumn("score", F.col("link_score").cast("int")), PAGE, [F.col("score").desc(), F.col("row_count").desc(), F.col("table_no")], k, rank="block_rank")
 
 
 def order_tables(tables: DataFrame) -> DataFrame:

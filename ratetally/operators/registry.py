@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ratetally.functions.text import blank_to_null, norm_email, strip
-from ratetally.operators.spread import attach, dense_ids, first_per_group
+from ratetally.operators.spread import attach, cut_lineage, dense_ids, first_per_group
 from ratetally.operators.versions import state_key
 
 # Two-letter codes and names accepted as a state (fixed values).
@@ -100,10 +100,10 @@ def upsert_mappings(current: DataFrame, incoming: DataFrame, now: Column, positi
     map_text = F.coalesce(blank_to_null(F.col("column_map_json")), F.lit("{}"))
     clean = (
         incoming.withColumn("state_code", state_key(F.col("state_code")))
-        .withColumn("state_logical_schedule_key", F.substring(strip(F.col("state_logical_schedule_key")), 1, 256))
-        .withColumn("dst_fsname", F.substring(strip(F.col("dst_fsname")), 1, 256))
+        .withColumn("state_logical_schedule_key", strip(F.col("state_logical_schedule_key")))
+        .withColumn("dst_fsname", strip(F.col("dst_fsname")))
         .withColumn("column_map_json", map_text)
-        .withColumn("updated_by", F.substring(blank_to_null(F.col("updated_by")), 1, 128))
+        .withColumn("updated_by", blank_to_null(F.col("updated_by")))
     )
     reason = F.when(
         (F.col("state_code") == "") | (F.col("state_logical_schedule_key") == "") | (F.col("dst_fsname") == ""),
@@ -118,8 +118,8 @@ def upsert_mappings(current: DataFrame, incoming: DataFrame, now: Column, positi
 
 def upsert_portals(current: DataFrame, incoming: DataFrame, now: Column, position: str = "row_no") -> tuple[DataFrame, DataFrame]:
     """(next snapshot, rejected rows) of the portal list: one URL per state, the label defaults to the URL."""
-    url = F.substring(strip(F.col("portal_url")), 1, 2048)
-    label = F.coalesce(F.nullif(F.substring(strip(F.col("display_label")), 1, 256), F.lit("")), F.substring(url, 1, 256))
+    url = strip(F.col("portal_url"))
+    label = F.coalesce(F.nullif(strip(F.col("display_label")), F.lit("")), url)
     clean = resolve_state(incoming, "state_code", name="_state").withColumn("display_label", label).withColumn("portal_url", url)
     reason = F.when(F.col("_state").isNull(), "state_code is unknown").when(F.col("portal_url") == "", "portal_url is required")
     judged = clean.withColumn("reason", reason)
@@ -132,25 +132,30 @@ def upsert_portals(current: DataFrame, incoming: DataFrame, now: Column, positio
     return nxt, judged.where("reason IS NOT NULL").drop("_state")
 
 
-def patch_portals(current: DataFrame, patches: DataFrame, now: Column) -> DataFrame:
-    """Change only the fields that are not null in ``patches`` (link_id, display_label, portal_url, sort_order)."""
-    p = patches.select(
-        "link_id",
-        F.substring(strip(F.col("display_label")), 1, 256).alias("_label"),
-        F.substring(strip(F.col("portal_url")), 1, 2048).alias("_url"),
-        F.col("sort_order").alias("_sort"),
-        F.col("display_label").isNotNull().alias("_has_label"),
-        F.col("portal_url").isNotNull().alias("_has_url"),
-    )
-    j = current.join(p, "link_id", "left")
-    touched = F.coalesce(F.col("_has_label"), F.lit(False)) | F.coalesce(F.col("_has_url"), F.lit(False)) | F.col("_sort").isNotNull()
-    return (
-        j.withColumn("display_label", F.when(F.col("_has_label"), F.col("_label")).otherwise(F.col("display_label")))
-        .withColumn("portal_url", F.when(F.col("_has_url"), F.col("_url")).otherwise(F.col("portal_url")))
-        .withColumn("sort_order", F.coalesce("_sort", "sort_order"))
-        .withColumn("updated_at_utc", F.when(touched, now).otherwise(F.col("updated_at_utc")))
-        .select(*current.columns)
+def patch_portals(current: DataFrame, patches: DataFrame, now: Column, position: str = "row_no") -> tuple[DataFrame, DataFrame]:
+    """(next snapshot, rejected patches): change only the fields that are not null in ``patches``.
+
+    ``patches`` has link_id, display_label, portal_url and sort_order. Several patches of one portal count
+    together, for each field the last one by ``position`` that has it. Patches of unknown portals are rejected.
+    """
+    last = lambda c, value: F.max_by(value, F.when(F.col(c).isNotNull(), F.col(position)))
+    p = patches.where("link_id IS NOT NULL").groupBy("link_id").agg(
+        last("display_label", strip(F.col("display_label"))).alias("_label"),
+        last("portal_url", strip(F.col("portal_url"))).alias("_url"),
+        last("sort_order", F.col("sort_order")).alias("_sort"),
+        F.max(F.col("display_label").isNotNull()).alias("_has_label"),
+        F.max(F.col("portal_url").isNotNull()).alias("_has_url"),
+        F.max(F.col("sort_order").isNotNull()).alias("_has_sort"),
     )
+    hit = F.coalesce(F.col("_has_label") | F.col("_has_url") | F.col("_has_sort"), F.lit(False))
+    patched = attach(current, p, ["link_id"], "left").withColumns({
+        "display_label": F.when(F.col("_has_label"), F.col("_label")).otherwise(F.col("display_label")),
+        "portal_url": F.when(F.col("_has_url"), F.col("_url")).otherwise(F.col("portal_url")),
+        "sort_order": F.coalesce("_sort", "sort_order"),
+        "updated_at_utc": F.when(hit, now).otherwise(F.col("updated_at_utc")),
+    })
+    unknown = attach(patches, current.select("link_id"), ["link_id"], "anti").withColumn("reason", F.lit("portal not found"))
+    return patched.select(*current.columns), unknown
 
 
 def touch_portals(current: DataFrame, states: DataFrame, now: Column) -> DataFrame:
@@ -166,43 +171,70 @@ def upsert_contacts(current: DataFrame, incoming: DataFrame, now: Column, positi
     """(next snapshot, rejected rows) of the contacts, unique on state and e-mail.
 
     Incoming rows with ``notification_contact_id`` update that contact of their state, the others are
-    inserted. A missing name or address, and an insert or a changed address that is already taken, is rejected.
+    inserted. Rejected are rows without a name or an address, updates of unknown contacts, all but the last
+    update of one contact, and rows whose address is taken in the resulting table: contacts that keep their
+    address come first, then updates, then inserts, by ``position``. An address that an update gives up is free.
+    An update that is rejected for its address leaves its contact, and the address of it, as they were.
     """
-    clip = lambda c: F.substring(blank_to_null(F.col(c)), 1, 256)
+    id_col, mail = "notification_contact_id", ["state_code", "email"]
     clean = incoming.withColumn("state_code", state_key(F.col("state_code"))).withColumn("email", norm_email(F.col("email")))
-    for c in ("contact_name", "team_name", "department_name"):
-        clean = clean.withColumn(c, clip(c))
     flags = ("notifications_enabled", "notify_new_state_file", "notify_compare_result")
-    for c in flags:
-        clean = clean.withColumn(c, F.coalesce(F.col(c), F.lit(True)))
+    clean = clean.withColumns({c: blank_to_null(F.col(c)) for c in ("contact_name", "team_name", "department_name")})
+    clean = clean.withColumns({c: F.coalesce(F.col(c), F.lit(True)) for c in flags})
     reason = F.when(F.col("contact_name").isNull(), "contact_name is required").when(F.col("email").isNull(), "email is required")
     judged = clean.withColumn("reason", reason)
-    fine = judged.where("reason IS NULL").drop("reason")
-
-    owners = current.select("state_code", "email", F.col("notification_contact_id").alias("_owner"))
-    fine = fine.join(owners, ["state_code", "email"], "left")
-    taken = F.col("_owner").isNotNull() & ~F.col("_owner").eqNullSafe(F.col("notification_contact_id"))
-    free = first_per_group(fine.where(~taken), ["state_code", "email"], [F.col(position)]).drop("_owner")
-    first_pos = free.select("state_code", "email", F.col(position).alias("_kept"))
-    again = fine.where(~taken).join(first_pos, ["state_code", "email"]).where(F.col(position) != F.col("_kept")).drop("_kept")
-    refused = fine.where(taken).unionByName(again).drop("_owner").withColumn("reason", F.lit("email is already registered for the state"))
+    columns = judged.columns
+    known = current.select(id_col, "state_code", F.col("email").alias("_old"))
+    updates = judged.where(f"reason IS NULL AND {id_col} IS NOT NULL")
+    updates = attach(updates, known.withColumn("_known", F.lit(True)), [id_col, "state_code"], "left")
+    unknown = updates.where("_known IS NULL").withColumn("reason", F.lit("contact not found"))
+    updates = updates.where("_known")
+    last = updates.groupBy(id_col).agg(F.max(position).alias("_last"))
+    updates = attach(updates, last, [id_col])
+    early = updates.where(F.col(position) < F.col("_last")).withColumn("reason", F.lit("a later row updates the contact"))
+    updates = updates.where(F.col(position) == F.col("_last"))
+    inserts = judged.where(f"reason IS NULL AND {id_col} IS NULL")
+    # An update that stays on its address holds it; one that moves may give its old one to others. Rounds of moves are
+    # settled one by one: a refused move holds its old address again, which may refuse others.
+    moves = cut_lineage(updates.where("NOT (email <=> _old)"))
+    held = attach(current.select(id_col, *mail), moves.select(id_col), [id_col], "anti").select(*mail)
+    lost = None
+    while True:
+        queue = moves.select(*mail, F.lit(0).alias("_turn"), F.col(position).alias("_at"), F.col(id_col).alias("_who"))
+        first = first_per_group(queue, mail, [F.col("_at")])
+        winners = attach(first, held.distinct(), mail, "anti").select("_who")
+        refused = attach(moves.withColumn("_who", F.col(id_col)), winners, ["_who"], "anti").drop("_who")
+        refused = cut_lineage(refused)
+        if refused.isEmpty():
+            break
+        lost = refused if lost is None else lost.unionByName(refused)
+        held = cut_lineage(held.unionByName(refused.select("state_code", F.col("_old").alias("email"))))
+        moves = cut_lineage(attach(moves, refused.select(id_col), [id_col], "anti"))
+    good = updates.where("email <=> _old").unionByName(moves)
+    taken = held.unionByName(moves.select(*mail)).distinct()
+    free = attach(inserts, taken, mail, "anti")
+    added = first_per_group(free, mail, [F.col(position)])
+    kept = added.select(*mail, F.col(position).alias("_kept"))
+    again = attach(free, kept, mail).where(F.col(position) != F.col("_kept"))
+    occupied = attach(inserts, taken, mail, "semi").select(*columns).unionByName(again.select(*columns))
+    if lost is not None:
+        occupied = occupied.unionByName(lost.select(*columns))
+    occupied = occupied.withColumn("reason", F.lit("email is already registered for the state"))
 
     fields = ["contact_name", "email", "team_name", "department_name", *flags]
-    new = free.where("notification_contact_id IS NOT NULL").select(
-        "notification_contact_id", "state_code", F.struct(*fields).alias("_new")
-    )
-    updated = current.join(new, ["notification_contact_id", "state_code"], "left")
-    for c in fields:
-        updated = updated.withColumn(c, F.when(F.col("_new").isNotNull(), F.col(f"_new.{c}")).otherwise(F.col(c)))
-    updated = updated.withColumn("updated_at_utc", F.when(F.col("_new").isNotNull(), now).otherwise(F.col("updated_at_utc")))
-    top = F.coalesce(current.agg(F.max("notification_contact_id")).scalar(), F.lit(0))
-    added = dense_ids(free.where("notification_contact_id IS NULL").drop("notification_contact_id"), "notification_contact_id", top, position, ["state_code", "email"])
+    new = good.select(id_col, F.struct(*fields).alias("_new"))
+    updated = attach(current, new, [id_col], "left")
+    hit = F.col("_new").isNotNull()
+    updated = updated.withColumns({c: F.when(hit, F.col(f"_new.{c}")).otherwise(F.col(c)) for c in fields})
+    updated = updated.withColumn("updated_at_utc", F.when(hit, now).otherwise(F.col("updated_at_utc")))
+    top = F.coalesce(current.agg(F.max(id_col)).scalar(), F.lit(0))
+    added = dense_ids(added.drop(id_col), id_col, top, position, mail)
     added = added.withColumn("created_at_utc", now).withColumn("updated_at_utc", F.lit(None))
     cols = [F.col(c).cast(current.schema[c].dataType).alias(c) for c in current.columns]
-    return (
-        updated.select(*cols).unionByName(added.select(*cols)),
-        judged.where("reason IS NOT NULL").unionByName(refused.select(*judged.columns)),
-    )
+    rejected = judged.where("reason IS NOT NULL")
+    for some in (unknown, early, occupied):
+        rejected = rejected.unionByName(some.select(*columns))
+    return updated.select(*cols).unionByName(added.select(*cols)), rejected
 
 
 def delete_rows(current: DataFrame, victims: DataFrame, on: Sequence[str]) -> DataFrame:
@@ -210,14 +242,16 @@ def delete_rows(current: DataFrame, victims: DataFrame, on: Sequence[str]) -> Da
     return current.join(victims.select(*on).distinct(), list(on), "left_anti").select(*current.columns)
 
 
-def list_contacts(contacts: DataFrame, state: str, limit: int = 500) -> DataFrame:
-    """Contacts of a state by department, team, name and id; ``limit`` is kept between 1 and 2000."""
+def list_contacts(contacts: DataFrame, state: str, limit: int | None = None) -> DataFrame:
+    """Contacts of a state by department, team, name and id, all of them unless ``limit`` says otherwise."""
     mine = contacts.where(F.col("state_code") == state.strip().upper())
-    return mine.orderBy("department_name", "team_name", "contact_name", "notification_contact_id").limit(max(1, min(limit, 2000)))
+    mine = mine.orderBy("department_name", "team_name", "contact_name", "notification_contact_id")
+    return mine if limit is None else mine.limit(limit)
 
 
-def list_mappings(mappings: DataFrame, state: str, limit: int = 500) -> DataFrame:
-    """Mappings of a state, last changed first; ``limit`` is kept between 1 and 2000."""
-    mine = mappings.where(F.col("state_code") == state.strip().upper()[:8])
+def list_mappings(mappings: DataFrame, state: str, limit: int | None = None) -> DataFrame:
+    """Mappings of a state, last changed first, all of them unless ``limit`` says otherwise."""
+    mine = mappings.where(F.col("state_code") == state.strip().upper())
     changed = F.coalesce(F.col("updated_at_utc"), F.col("created_at_utc"))
-    return mine.orderBy(changed.desc(), F.col("mapping_id").desc()).limit(max(1, min(limit, 2000)))
+    mine = mine.orderBy(changed.desc(), F.col("mapping_id").desc())
+    return mine if limit is None else mine.limit(limit)

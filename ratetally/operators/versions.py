@@ -9,22 +9,21 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ratetally.functions.text import blank_to_null, natural_key, norm_key, strip, text
 from ratetally.operators.spread import dense_ids, first_per_group, lookup_join, top_per_group
 
-# Text columns of a stored version and the length they are cut to.
-VERSION_LENGTHS = {
-    "state_code": 8, "logical_schedule_key": 256, "source_url": 2048, "content_sha256": 64,
-    "stored_rel_path": 1024, "original_filename": 512, "mime_type": 256, "source_label": 512,
-    "remote_etag": 256, "effective_date_source": 32,
-}
+# Text columns of a stored version; blank ones are stored as null.
+VERSION_TEXTS = (
+    "state_code", "logical_schedule_key", "source_url", "content_sha256", "stored_rel_path", "original_filename", "mime_type",
+    "source_label", "remote_etag", "effective_date_source",
+)
 
 
 def state_key(c: Column) -> Column:
     """Upper-cased state code, '' when there is none."""
-    return F.substring(F.upper(strip(c)), 1, 8)
+    return F.upper(strip(c))
 
 
 def schedule_key(key: Column, artifact_id: Column) -> Column:
     """Key a mapping is stored under: the key of the file, else ``artifact:<id>``."""
-    return F.coalesce(F.substring(blank_to_null(key), 1, 256), F.concat(F.lit("artifact:"), artifact_id.cast("string")))
+    return F.coalesce(blank_to_null(key), F.concat(F.lit("artifact:"), artifact_id.cast("string")))
 
 
 def effective_day(effective: Column, fetched: Column) -> Column:
@@ -42,9 +41,7 @@ def _rank():
 
 
 def _keyed(registry: DataFrame) -> DataFrame:
-    return registry.withColumn("_state", state_key(F.col("state_code"))).withColumn(
-        "_key", F.substring(strip(F.col("logical_schedule_key")), 1, 256)
-    )
+    return registry.withColumn("_state", state_key(F.col("state_code"))).withColumn("_key", strip(F.col("logical_schedule_key")))
 
 
 def winners(registry: DataFrame) -> DataFrame:
@@ -67,7 +64,7 @@ def mark_current(registry: DataFrame) -> DataFrame:
 
 def mark_current_for(registry: DataFrame, state: str) -> DataFrame:
     """``mark_current`` for one state; other states keep their flags."""
-    inside = state_key(F.col("state_code")) == state.strip().upper()[:8]
+    inside = state_key(F.col("state_code")) == state.strip().upper()
     cols = registry.columns
     return mark_current(registry.where(inside)).select(*cols).unionByName(registry.where(~inside))
 
@@ -87,7 +84,7 @@ def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> D
 def with_known_content(new: DataFrame, registry: DataFrame) -> DataFrame:
     """``new`` with ``known_artifact_id``: the newest stored row of the same state, key and content, or null."""
     same = ["_state", "_key", "_sha"]
-    tag = lambda df: _keyed(df).withColumn("_sha", F.substring(strip(F.col("content_sha256")), 1, 64))
+    tag = lambda df: _keyed(df).withColumn("_sha", strip(F.col("content_sha256")))
     stored = tag(registry).where("_key <> '' AND _sha <> ''").groupBy(*same).agg(F.max("artifact_id").alias("known_artifact_id"))
     found = lookup_join(tag(new), stored, same, "_hit")
     return found.select(*[F.col(f"`{c}`") for c in new.columns], F.col("_hit.known_artifact_id").alias("known_artifact_id"))
@@ -100,7 +97,7 @@ def skip_known(new: DataFrame, registry: DataFrame) -> DataFrame:
 
 def norm_etag(c: Column) -> Column:
     """Entity tag without blanks; null when there is none."""
-    return F.substring(blank_to_null(c), 1, 256)
+    return blank_to_null(c)
 
 
 def with_unchanged(heads: DataFrame, registry: DataFrame) -> DataFrame:
@@ -111,14 +108,10 @@ def with_unchanged(heads: DataFrame, registry: DataFrame) -> DataFrame:
     return found.select(*[F.col(f"`{c}`") for c in heads.columns], F.coalesce(same, F.lit(False)).alias("unchanged"))
 
 
-def clip_version(df: DataFrame) -> DataFrame:
-    """Text columns cut to their stored lengths, blanks stored as null, states upper-cased."""
-    out = df
-    for c, n in VERSION_LENGTHS.items():
-        if c in df.columns:
-            value = F.upper(F.col(c)) if c == "state_code" else F.col(c)
-            out = out.withColumn(c, F.substring(blank_to_null(value), 1, n))
-    return out
+def clean_version(df: DataFrame) -> DataFrame:
+    """Text columns as they are stored: trimmed, blanks as null, states upper-cased."""
+    stored = {c: blank_to_null(F.upper(F.col(c)) if c == "state_code" else F.col(c)) for c in VERSION_TEXTS if c in df.columns}
+    return df.withColumns(stored)
 
 
 def append_versions(registry: DataFrame, new: DataFrame, position: str | None = None) -> DataFrame:
@@ -127,7 +120,7 @@ def append_versions(registry: DataFrame, new: DataFrame, position: str | None =
     ``position`` (an integer column of ``new``) fixes the order of the ids.
     """
     top = F.coalesce(registry.agg(F.max("artifact_id")).scalar(), F.lit(0))
-    fresh = clip_version(new)
+    fresh = clean_version(new)
     by = ["state_code", "logical_schedule_key", "content_sha256", "source_url"]
     fresh = dense_ids(fresh, "artifact_id", top, position, by).withColumn("is_current", F.lit(False))
     have = set(fresh.columns)
@@ -143,21 +136,21 @@ def remove_versions(registry: DataFrame, ids: DataFrame) -> DataFrame:
     return mark_current(left.select(*registry.columns))
 
 
-def list_versions(registry: DataFrame, state: str | None = None, current_only: bool = True, limit: int | None = 200) -> DataFrame:
+def list_versions(registry: DataFrame, state: str | None = None, current_only: bool = True, limit: int | None = None) -> DataFrame:
     """Listing by state, key, effective date (newest first, none last), fetch time and id.
 
-    ``limit`` is kept between 1 and 5000; None lists everything.
+    Everything is listed unless ``limit`` says otherwise.
     """
     out = registry
     if state:
-        out = out.where(state_key(F.col("state_code")) == state.strip().upper()[:8])
+        out = out.where(state_key(F.col("state_code")) == state.strip().upper())
     if current_only:
         out = out.where("is_current")
     out = out.orderBy(
         F.col("state_code").asc(), F.col("logical_schedule_key").asc(), F.col("portal_effective_date").desc_nulls_last(),
         F.col("fetched_at_utc").desc(), F.col("artifact_id").desc(),
     )
-    return out if limit is None else out.limit(max(1, min(int(limit), 5000)))
+    return out if limit is None else out.limit(limit)
 
 
 def version_history(registry: DataFrame) -> DataFrame:

@@ -61,10 +61,10 @@ def ingest_run(registry: DataFrame, fetched: DataFrame, fetched_at: Column) -> I
     state and key, is skipped. Versions that are no longer published are pruned, current flags elected.
     """
     leaf = urls.leaf_name(F.col("url"))
-    key = F.coalesce(F.substring(blank_to_null(F.col("logical_schedule_key")), 1, 256), urls.folder_slug(F.regexp_replace(leaf, r"\.[^.]*$", "")))
+    key = F.coalesce(blank_to_null(F.col("logical_schedule_key")), urls.folder_slug(F.regexp_replace(leaf, r"\.[^.]*$", "")))
     day = hint_date(F.col("portal_date"))
     hint = strip(F.col("portal_date"))
-    prefix = F.coalesce(day.cast("string"), F.nullif(F.substring(hint, 1, 32), F.lit("")), F.date_format(fetched_at, "yyyy-MM-dd"))
+    prefix = F.coalesce(day.cast("string"), F.nullif(hint, F.lit("")), F.date_format(fetched_at, "yyyy-MM-dd"))
     f = fetched.withColumn("state_code", F.nullif(state_key(F.col("state_code")), F.lit(""))).withColumn("logical_schedule_key", key)
     good = f.where("error IS NULL")
     new = good.select(
@@ -72,7 +72,7 @@ def ingest_run(registry: DataFrame, fetched: DataFrame, fetched_at: Column) -> I
         urls.stored_path(F.col("state_code"), F.col("logical_schedule_key"), prefix, F.col("content_sha256"), leaf).alias("stored_rel_path"),
         leaf.alias("original_filename"), "mime_type", "bytes_size", fetched_at.alias("fetched_at_utc"), "source_label",
         day.alias("portal_effective_date"),
-        F.coalesce(F.substring(blank_to_null(F.col("effective_date_source")), 1, 32), F.when(day.isNotNull(), "catalog")).alias("effective_date_source"),
+        F.coalesce(blank_to_null(F.col("effective_date_source")), F.when(day.isNotNull(), "catalog")).alias("effective_date_source"),
         F.col("superseded_hint").alias("is_superseded_hint"),
     )
     judged = with_known_content(new, registry)

@@ -6,8 +6,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ratetally.functions.text import strip, text
 
-MAX_BYTES = 50 * 1024 * 1024
-
 
 def sniffed_type(content: Column) -> Column:
     """Struct (suffix, mime) by the first bytes; empty texts when they are not known."""
@@ -35,13 +33,19 @@ def fingerprint(df: DataFrame, content: str = "content") -> DataFrame:
     )
 
 
-def scan_files(spark: SparkSession, path: str, max_bytes: int = MAX_BYTES) -> DataFrame:
-    """Files below ``path`` with size, SHA-256, sniffed type and name. The size is checked before a file is read."""
-    files = spark.read.format("binaryFile").load(path).where(F.col("length") <= max_bytes)
-    out = fingerprint(files)
+def scan_files(spark: SparkSession, path: str, max_bytes: int | None = None) -> DataFrame:
+    """Files below ``path`` with size, SHA-256, sniffed type, name and error.
+
+    Files over ``max_bytes`` are rows with the error ``too_large`` and without content: they are not read.
+    """
+    files = spark.read.format("binaryFile").load(path)
+    out = fingerprint(files if max_bytes is None else files.where(F.col("length") <= max_bytes)).withColumn("error", F.lit(None).cast("string"))
+    if max_bytes is not None:
+        large = files.where(F.col("length") > max_bytes).select("path", "modificationTime", F.col("length").alias("bytes_size"), F.lit("too_large").alias("error"))
+        out = out.drop("length").unionByName(large, allowMissingColumns=True)
     return out.select(
         F.col("path"), F.regexp_extract("path", r"([^/]*)$", 1).alias("original_filename"),
-        F.col("modificationTime").alias("modified_at"), "bytes_size", "content_sha256", "sniffed_suffix", "sniffed_mime", "content",
+        F.col("modificationTime").alias("modified_at"), "bytes_size", "content_sha256", "sniffed_suffix", "sniffed_mime", "content", "error",
     )
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ratetally.functions.text import strip
-from ratetally.operators.spread import attach, first_per_group, number_rows, top_per_group
+from ratetally.operators.spread import attach, first_per_group, number_rows
 
 FILE_LINE = ["file_id", "line_no"]
 
@@ -30,19 +30,25 @@ def read_numbered(spark: SparkSession, path: str) -> DataFrame:
     return out.select("file_id", (F.col("_off") + F.col("_p")).alias("line_no"), F.regexp_replace("line", "^﻿", "").alias("line"))
 
 
-def text_lines(lines: DataFrame, clip: int = 4000) -> DataFrame:
-    """(file_id, n, line): filled lines, stripped, numbered from 1. ``clip`` shortens the shown text."""
+def text_lines(lines: DataFrame, clip: int | None = None) -> DataFrame:
+    """(file_id, n, line): filled lines, stripped, numbered from 1.
+
+    ``clip`` shortens longer lines, and adds a column ``clipped`` that says which.
+    """
     filled = lines.withColumn("line", strip(F.col("line"))).where("line <> ''")
     out = number_rows(filled, ["file_id"], "line_no", "_n")
-    return out.select("file_id", (F.col("_n") + 1).alias("n"), F.substring("line", 1, clip).alias("line"))
+    out = out.select("file_id", (F.col("_n") + 1).alias("n"), "line")
+    if clip is None:
+        return out
+    return out.withColumn("clipped", F.length("line") > clip).withColumn("line", F.substring("line", 1, clip))
 
 
-def sniff_delimiter(lines: DataFrame, sample: int = 50) -> DataFrame:
-    """(file_id, sep): the delimiter (comma, tab or semicolon) of each file by its first filled lines.
+def sniff_delimiter(lines: DataFrame) -> DataFrame:
+    """(file_id, sep): the delimiter (comma, tab or semicolon) of each file by its filled lines.
 
     Wanted is the one that occurs in most lines, then the one with the most even count, then the most frequent.
     """
-    first = top_per_group(lines.where(strip(F.col("line")) != ""), ["file_id"], [F.col("line_no")], sample)
+    first = lines.where(strip(F.col("line")) != "")
     bare = F.regexp_replace("line", r'"[^"]*"', "")
     counts = F.array(*[
         F.struct(F.lit(i).alias("pref"), F.lit(d).alias("sep"), (F.length(bare) - F.length(F.replace(bare, F.lit(d), F.lit("")))).alias("n"))
@@ -112,10 +118,10 @@ def _split_header(line: str, sep: str) -> list[str]:
 
 
 def read_json_rows(spark: SparkSession, path: str) -> DataFrame:
-    """Files that hold a JSON array of objects, columns in the order of the first object."""
+    """Files that hold a JSON array of objects: the members of the first object in their order, then all others by name."""
     df = spark.read.option("multiLine", True).json(path)
-    first = spark.read.text(path, wholetext=True).select(
-        F.json_object_keys(F.get_json_object("value", "$[0]")).alias("k")
-    ).first()
+    named = spark.read.text(path, wholetext=True).select(F.struct(F.col("_metadata.file_path").alias("at"), F.json_object_keys(F.get_json_object("value", "$[0]")).alias("k")).alias("f"))
+    first = named.agg(F.min("f").alias("f")).first()["f"]
     order = [k for k in (first["k"] or []) if k in df.columns] if first else []
+    order += [c for c in df.columns if c not in order]
     return df.select(*[F.col(f"`{c}`") for c in order])

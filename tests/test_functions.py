@@ -60,14 +60,9 @@ def test_metadata_helpers():
     assert names.mapped_pairs(m, ["code", "Mod 2", "fac"]) == [("Code", "code"), ("M", "Mod 2"), ("Rate", "fac")]
     with pytest.raises(ValueError, match="FAC"):
         names.mapped_pairs(m, ["code", "mod 2"])
-    assert names.invert_mapping({"a": "x", "b": " X"}) == {"X": "b"}
     assert names.resolve_column(["ﬁle"], "FILE") == "ﬁle"
     with pytest.raises(ValueError):
         names.validate_table_name("x; drop")
-    assert names.schedule_name_column(["Program", "Thing"]) == "Thing"
-    assert names.program_column(["Program", "Fee Schedule"], "Fee Schedule") == "Program"
-    assert names.effective_date_column(["End Date", "EFF DATE"]) == "EFF DATE"
-    assert names.sort_column(["x", "HCPCS code"]) == "HCPCS code"
 
 
 def test_display(spark):

@@ -276,7 +276,7 @@ def test_frontier_depth_and_budget(frame):
     e = frame([("a", 0, "b"), ("b", 0, "c"), ("c", 0, "d"), ("d", 0, "e"), ("a", 1, "a")], "src string, pos int, dst string")
     seed = frame([("a#x",)], "url string")
     got = lambda **k: {(r["url"], r["depth"]) for r in frontier.expand_frontier(e, seed, **k).collect()}
-    assert got(depth=1) == {("a", 0)} and got(depth=9) == {("a", 0), ("b", 1), ("c", 2), ("d", 3)} and got(depth=4, max_pages=2) == {("a", 0), ("b", 1)}
+    assert got(depth=1) == {("a", 0)} and got(depth=9) == {("a", 0), ("b", 1), ("c", 2), ("d", 3), ("e", 4)} and got(depth=4, max_pages=2) == {("a", 0), ("b", 1)}
 
 
 def test_presentation_orders(frame):
