@@ -15,7 +15,7 @@ SEED_WORDS = 4
 # Documents looked at to find anchors that many documents share; it decides where rows go, never what is found.
 SAMPLE_DOCS = 20_000
 OFTEN = 4
-BUCKET_BYTES = 12_000_000
+BUCKET_BYTES = 6_000_000
 NO_ID = np.iinfo("int64").max
 _FIVE = np.uint64((1 << 40) - 1)
 
@@ -108,19 +108,14 @@ def sent(ids: np.ndarray, checks: np.ndarray, counts: list[int], hashes: np.ndar
     return out, (ids[doc[later]], checks[doc[later]], place[later])
 
 
-def runs_by_document(ids: np.ndarray, checks: np.ndarray, places: np.ndarray) -> pa.RecordBatch:
-    """Window starts as (id, check, [first, last, first, last, …]): neighbouring starts join to one repeat."""
+def runs_of(ids: np.ndarray, checks: np.ndarray, places: np.ndarray) -> pa.RecordBatch:
+    """Window starts as runs (id, check, first, last): neighbouring starts join to one repeat."""
     order = np.lexsort((places, checks, ids))
     ids, checks, places = ids[order], checks[order], places[order]
-    other = np.append(True, (np.diff(ids) != 0) | (np.diff(checks) != 0)) if len(ids) else np.zeros(0, bool)
-    new = other | np.append(True, np.diff(places) > 1)[: len(ids)]
-    head = np.flatnonzero(new)
-    tail = np.append(head[1:] - 1, len(ids) - 1) if len(ids) else head
-    pairs = np.stack([places[head], places[tail]], 1).ravel()
-    doc_head = np.flatnonzero(other)
-    bounds = np.append(np.searchsorted(head, doc_head) * 2, len(pairs))
-    runs = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(pairs, pa.int64()))
-    return pa.RecordBatch.from_arrays([pa.array(ids[doc_head], pa.int64()), pa.array(checks[doc_head], pa.int64()), runs], names=["id", "check", "runs"])
+    new = (np.diff(ids) != 0) | (np.diff(checks) != 0) | (np.diff(places) > 1)
+    head = np.flatnonzero(np.append(True, new)[: len(ids)])
+    tail = np.flatnonzero(np.append(new, True)[: len(ids)])
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in (ids[head], checks[head], places[head], places[tail])], names=["id", "check", "first", "last"])
 
 
 def decide(table: pa.Table) -> pa.RecordBatch:
@@ -153,15 +148,14 @@ def decide(table: pa.Table) -> pa.RecordBatch:
         later = order[d > d[new][np.cumsum(new) - 1]]
         found = [ids[later], checks[later], places[later]]
     parts = [found, *done]
-    return runs_by_document(*[np.concatenate([p[i] for p in parts]) for i in range(3)])
+    return runs_of(*[np.concatenate([p[i] for p in parts]) for i in range(3)])
 
 
-def covered(n: int, runs, window: int) -> np.ndarray:
-    """Which of ``n`` words lie in a window that starts in one of the runs [first, last, …]."""
+def covered(n: int, runs: pa.StructArray, window: int) -> np.ndarray:
+    """Which of ``n`` words lie in a window that starts in one of the runs (first, last)."""
     marks = np.zeros(n + 1, "int64")
-    pairs = np.asarray(runs if runs is not None else [], "int64").reshape(-1, 2)
-    np.add.at(marks, pairs[:, 0], 1)
-    np.add.at(marks, np.minimum(pairs[:, 1] + window, n), -1)
+    np.add.at(marks, runs.field("first").to_numpy(), 1)
+    np.add.at(marks, np.minimum(runs.field("last").to_numpy() + window, n), -1)
     return np.cumsum(marks[:n]) > 0
 
 
@@ -191,8 +185,8 @@ def repeated_runs(docs: DataFrame, window: int) -> DataFrame:
         return pa.Table.from_batches([decide(table)])
 
     rows = docs.select("_id", "_check", "_text").mapInArrow(send, "bucket long, done boolean, docs binary, key binary, doc binary, place binary, size binary, windows binary")
-    found = rows.groupBy("bucket").applyInArrow(meet, "id long, check long, runs array<long>")
-    return found.groupBy("id", "check").agg(F.flatten(F.collect_list("runs")).alias("runs"))
+    found = rows.groupBy("bucket").applyInArrow(meet, "id long, check long, first long, last long")
+    return found.groupBy("id", "check").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str, *more: Column) -> DataFrame:
@@ -227,7 +221,7 @@ def substring_dedup(docs: DataFrame, window: int = 13, id_col: str = "doc_id", t
                 words = text.as_py().encode().split()
                 n = len(words)
                 if runs.is_valid:
-                    gone = covered(n, runs.values.to_numpy(), window)
+                    gone = covered(n, runs.values, window)
                     words = [words[i] for i in np.flatnonzero(~gone)]
                 n_words.append(n)
                 n_removed.append(n - len(words))
