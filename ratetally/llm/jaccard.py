@@ -6,7 +6,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ratetally.llm.common import components, stored
@@ -17,6 +16,10 @@ from ratetally.llm.words import chunks, grams, mixed
 FRAGMENT_BITS = 3
 LEADING_FRAGMENTS = 2
 BUCKET_BYTES = 12_000_000
+# Pairs per posting from which a round of stars comes first.
+MANY_PAIRS = 16
+# Documents whose ids are sent to every task at most (16 bytes each); more are joined by shuffle.
+SENT_ROWS = 2_000_000
 
 
 def sets_of(counts: list[int], hashes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -107,28 +110,25 @@ def lonely(docs: DataFrame, k: int, percent: int) -> DataFrame:
 
 
 def gram_sets(docs: DataFrame, k: int) -> DataFrame:
-    """(id, check, n, digest, fragment, grams): the n-gram set of every document, a row per fragment of the order.
+    """(id, check, n, fragment, grams): the n-gram set of every document, a row per fragment of the order.
 
-    digest is a 128-bit hash of the whole set. Every document also has one row with neither fragment nor grams.
+    Every document also has one row with neither fragment nor grams.
     """
-    names = ["id", "check", "n", "digest", "fragment", "grams"]
+    names = ["id", "check", "n", "fragment", "grams"]
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, checks = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
             for first, counts, hashes in chunks(batch.column(2), lower=True):
                 owner, gram = sets_of(counts, hashes, k)
-                n = np.bincount(owner, minlength=len(counts))
-                bounds = np.concatenate([[0], np.cumsum(n)])
-                digests = [xxhash.xxh3_128_digest(gram[a:b].tobytes()) for a, b in zip(bounds[:-1], bounds[1:])]
+                n = np.bincount(owner, minlength=len(counts)).astype("int64")
                 fragment = (gram >> np.uint64(64 - FRAGMENT_BITS)).astype("int64")
                 cell = np.flatnonzero(np.append(True, (np.diff(owner) != 0) | (np.diff(fragment) != 0))) if len(gram) else np.zeros(0, "int64")
                 lists = pa.ListArray.from_arrays(pa.array(np.append(cell, len(gram)), pa.int32()), pa.array(gram.view("int64")))
                 for at, place, grams_here in ((owner[cell], pa.array(fragment[cell], pa.int32()), lists), (np.arange(len(n)), pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.list_(pa.int64())))):
-                    known = [pa.array(x) for x in (ids[first + at], checks[first + at], n[at].astype("int64"))]
-                    yield pa.RecordBatch.from_arrays([*known, pa.array([digests[i] for i in at], pa.binary()), place, grams_here], names=names)
+                    yield pa.RecordBatch.from_arrays([*[pa.array(x) for x in (ids[first + at], checks[first + at], n[at])], place, grams_here], names=names)
 
-    return docs.mapInArrow(build, "id long, check long, n long, digest binary, fragment int, grams array<long>")
+    return docs.mapInArrow(build, "id long, check long, n long, fragment int, grams array<long>")
 
 
 def overlapping(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -147,9 +147,10 @@ def prefixes(sets: DataFrame, percent: int) -> DataFrame:
     The order is by how many sets have an n-gram, the rare ones first. n-grams of one set only come first of
     all, so they fill the prefix but need no posting; ``own`` counts them.
     """
-    postings = sets.where("n > 0").select("id", "n", F.explode("grams").alias("gram"))
+    postings = sets.select("id", "n", F.explode("grams").alias("gram"))
     often = postings.groupBy("gram").agg(F.count(F.lit(1)).alias("often")).where("often > 1")
-    met = postings.withColumn("_k", F.struct("gram")).join(often.select(F.struct("gram").alias("_g"), "often"), F.col("_k") == F.col("_g")).select("id", "n", "gram", "often")
+    key = F.struct("gram")
+    met = postings.withColumn("_k", key).join(often.select(key.alias("_g"), F.col("often").cast("int").alias("often")), F.col("_k") == F.col("_g")).select("id", "n", "gram", "often")
     w = Window.partitionBy("id", "n")
     ranked = met.withColumns({"_rank": F.row_number().over(w.orderBy("often", "gram")), "own": F.col("n") - F.count(F.lit(1)).over(w)})
     return ranked.where(F.col("own") + F.col("_rank") <= spare(F.col("n"), percent)).select("gram", "id", "n", "own")
@@ -160,44 +161,51 @@ def may_link(percent: int) -> Column:
     return F.least(F.col("n") - F.col("own"), F.col("n2") - F.col("own2")) * (100 + percent) >= (F.col("n") + F.col("n2")) * percent
 
 
-def linked_sets(sets: DataFrame, percent: int, rounds: int = 2) -> DataFrame:
+def linked_sets(sets: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) that connect just the sets that all links connect.
 
-    Sets that share an n-gram of their prefixes may link. Two rounds compare every set with one other per
-    n-gram only, the one with the fewest n-grams of its own, which joins groups of near copies by a star. After
-    that all pairs across groups that were not yet compared are compared; sets in one group need not be.
+    Sets that share an n-gram of their prefixes may link. Where an n-gram has many sets, a round compares every
+    one of them with a single leader, which joins groups of near copies by a star; rounds go on while they find
+    links. At last all pairs across groups that were not yet compared are compared; sets in one group need not be.
     """
     posts = stored(prefixes(sets, percent))
-    links = None
-    tried = None
-    group = None
-    for turn in range(rounds + 1):
-        now = posts if group is None else posts.join(group, posts["id"] == group["node"], "left").select(*posts.columns, F.coalesce("component", "id").alias("component"))
-        if group is None:
-            now = now.withColumn("component", F.col("id"))
-        mixed_up = now.groupBy("gram").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi")).where("_lo <> _hi").select(F.struct("gram").alias("_g"))
-        now = now.withColumn("_k", F.struct("gram")).join(mixed_up, F.col("_k") == F.col("_g")).drop("_g")
-        if turn < rounds:
-            # Of the members outside the largest group of the first leader, the next leader.
-            head = now.groupBy("gram").agg(F.min(F.struct("own", "id", "n", "component")).alias("_h"))
-            if turn:
-                rest = now.join(head.select(F.struct("gram").alias("_g"), F.col("_h.component").alias("_c")), F.col("_k") == F.col("_g")).where("component <> _c")
-                head = rest.groupBy("gram").agg(F.min(F.struct("own", "id", "n", "component")).alias("_h"))
-            other = head.select(F.struct("gram").alias("_g"), F.col("_h.id").alias("id2"), F.col("_h.n").alias("n2"), F.col("_h.own").alias("own2"), F.col("_h.component").alias("component2"))
-            near = now.join(other, (F.col("_k") == F.col("_g")) & (F.col("component") != F.col("component2")) & may_link(percent))
+    links, tried, turn, found = None, None, 0, True
+    now = posts.withColumn("component", F.col("id"))
+    key = F.struct("gram")
+    while True:
+        counts = now.groupBy("gram").agg(F.count(F.lit(1)).alias("c"))
+        pairs, rows = counts.agg(F.sum(F.col("c") * (F.col("c") - 1)), F.sum("c")).first()
+        star = found and (pairs or 0) > MANY_PAIRS * (rows or 0)
+        lead = F.struct(F.col("own") if turn == 0 else F.xxhash64(F.lit(turn), "id").alias("own"), F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("own").alias("own2"), F.col("component").alias("component2"))
+        if star:
+            other = now.groupBy("gram").agg(F.min(lead).alias("_h")).select(key.alias("_g"), "_h.id2", "_h.n2", "_h.own2", "_h.component2")
+            across = F.col("component") != F.col("component2")
         else:
-            other = now.select(F.col("_k").alias("_g"), F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("own").alias("own2"), F.col("component").alias("component2"))
-            near = now.join(other, (F.col("_k") == F.col("_g")) & (F.col("component") < F.col("component2")) & may_link(percent))
-        pairs = near.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct()
+            other = now.select(key.alias("_g"), F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("own").alias("own2"), F.col("component").alias("component2"))
+            across = F.col("component") < F.col("component2")
+        near = now.withColumn("_k", key).join(other, (F.col("_k") == F.col("_g")) & across & may_link(percent))
+        fresh = near.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct()
         if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = stored(pairs)
-        fresh = stored(overlapping(pairs, sets, percent))
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        links = fresh if links is None else links.unionByName(fresh)
-        if turn < rounds:
-            group = stored(components(links))
-    return links
+            fresh = fresh.join(tried, ["a", "b"], "left_anti")
+        fresh = stored(fresh)
+        good = stored(overlapping(fresh, sets, percent))
+        links = good if links is None else links.unionByName(good)
+        if not star:
+            return links
+        tried = fresh if tried is None else tried.unionByName(fresh)
+        found = not good.isEmpty()
+        group = components(links)
+        named = posts.join(group.select(F.struct("node").alias("_n"), "component"), F.struct("id") == F.col("_n"), "left").select(*posts.columns, F.coalesce("component", "id").alias("component"))
+        mixed_up = named.groupBy("gram").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi")).where("_lo <> _hi").select(key.alias("_g"))
+        now = stored(named.withColumn("_k", key).join(mixed_up, F.col("_k") == F.col("_g"), "left_semi").drop("_k"))
+        turn += 1
+
+
+def only(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Rows of ``rows`` (_id, _check, …) that ``wanted`` (id, check) names. A short list is sent, a long one joined."""
+    if wanted.count() > SENT_ROWS:
+        return rows.join(wanted, (F.col("_id") == F.col("id")) & (F.col("_check") == F.col("check")), "left_semi")
+    return rows.join(F.broadcast(wanted), (F.col("_id") == F.col("id")) & (F.col("_check") == F.col("check")), "left_semi")
 
 
 def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -205,23 +213,26 @@ def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "
 
     Words are lower-cased A-Z; a document's set holds its distinct runs of ``k`` words, or the whole sequence
     where it has fewer. Two documents link when 100 * intersection >= ``percent`` * union, checked exactly. A
-    document without words, or with null text, has no set and links with nothing. Copies with one set are one
-    class, and only its smallest id is compared. Rows that share an id are one document, which has the links of each of
-    its texts; null ids rank last and are one id. An empty table gives an empty result; other columns are
-    ignored.
+    document without words, or with null text, has no set and links with nothing. Copies of a text (told by 96
+    bits of hashes) are one class, and only its smallest id is compared. Rows that share an id are one document,
+    which has the links of each of its texts; null ids rank last and are one id. An empty table gives an empty
+    result; other columns are ignored.
     """
-    rows = keyed(docs, id_col, text_col)
-    out = stored(lonely(rows, k, percent))
-    met = rows.join(out.select(F.col("id").alias("_i"), F.col("check").alias("_c")), (F.col("_id") == F.col("_i")) & (F.col("_check") == F.col("_c")), "left_anti")
-    sets = stored(gram_sets(met, k))
-    members = sets.where("fragment is null").select("id", "check", "n", "digest")
-    first = F.row_number().over(Window.partitionBy("digest", "fragment").orderBy("id"))
-    alone = stored(sets.where("fragment is not null").withColumn("_r", first).where("_r = 1").select("id", "n", "fragment", "grams"))
-    heads = members.where("n > 0").groupBy("digest").agg(F.min("id").alias("head")).select(F.struct("digest").alias("_d"), "head")
-    copies = members.where("n > 0").join(heads, F.struct("digest") == F.col("_d")).where("id <> head").select(F.col("id").alias("a"), F.col("head").alias("b"))
-    group = components(linked_sets(alone, percent).unionByName(copies))
-    sizes = out.unionByName(members.select("id", "check", "n").distinct())
-    sizes = sizes.join(group, sizes["id"] == group["node"], "left").select(F.struct("id", "check").alias("_k"), "n", F.coalesce("component", "id").alias("component"))
-    final = rows.select("_id", F.struct("_id", "_check").alias("_key")).join(sizes, F.col("_key") == F.col("_k"))
+    rows = keyed(docs, id_col, text_col, F.hash(F.coalesce(F.col(text_col), F.lit(""))).alias("_more"))
+    here = rows.select("_id", "_check", "_more")
+    out = stored(lonely(rows.select("_id", "_check", "_text"), k, percent))
+    left = here.distinct().join(out.select(F.col("id").alias("_i"), F.col("check").alias("_c")), (F.col("_id") == F.col("_i")) & (F.col("_check") == F.col("_c")), "left_anti")
+    heads = left.groupBy("_check", "_more").agg(F.min("_id").alias("head"))
+    named = left.join(heads.select(F.struct("_check", "_more").alias("_k"), "head"), F.struct("_check", "_more") == F.col("_k")).select("_id", "_check", "head")
+    named = stored(named)
+    sets = stored(gram_sets(only(rows.select("_id", "_check", "_text"), named.where("_id = head").select(F.col("_id").alias("id"), F.col("_check").alias("check"))), k))
+    links = linked_sets(sets.where("fragment IS NOT NULL").select("id", "n", "fragment", "grams"), percent)
+    # Texts without n-grams are no copies of each other.
+    size = sets.where("fragment IS NULL").select(F.struct(F.col("id").alias("head"), "check").alias("_s"), "n").distinct()
+    sized = named.join(size, F.struct("head", F.col("_check").alias("check")) == F.col("_s")).select("_id", "_check", "head", "n")
+    group = components(links.unionByName(sized.where("n > 0 AND _id <> head").select(F.col("_id").alias("a"), F.col("head").alias("b"))))
+    facts = out.unionByName(sized.select(F.col("_id").alias("id"), F.col("_check").alias("check"), "n"))
+    facts = facts.join(group, facts["id"] == group["node"], "left").select(F.struct("id", "check").alias("_k"), "n", F.coalesce("component", "id").alias("component"))
+    final = here.select("_id", F.struct("_id", "_check").alias("_key")).join(facts, F.col("_key") == F.col("_k"))
     known = lambda c: F.nullif(c, F.lit(int(NO_ID)))
     return final.select(known(F.col("_id")).alias(id_col), F.col("n").alias("n_shingles"), known(F.col("component")).alias("component_id"))
