@@ -166,9 +166,9 @@ def compare_bucket_counts(spark, sf):
     return c.bucket_counts(lines_result(spark, sf).rows)
 
 
-@check(f"WITH {PART_SQL} SELECT status, count(*) AS n_rows FROM res WHERE status <> 'match' GROUP BY status")
+@check(f"WITH {PART_SQL} SELECT status, code, diff_count FROM res WHERE status <> 'match'")
 def compare_changed_rows(spark, sf):
-    return c.bucket_counts(c.filter_status(part_result(spark, sf).rows, "changed"))
+    return c.filter_status(part_result(spark, sf).rows, "changed").select("status", "code", "diff_count")
 
 
 @check(f"""WITH {LINES_SQL} SELECT 'Units' AS left_column, 'QTY' AS right_column, count(*) AS compared, cast(sum(dq) AS bigint) AS differing FROM res WHERE dq IS NOT NULL
@@ -202,7 +202,7 @@ CAP = 100
 
 def capped(spark, sf, method, cap=CAP):
     rows = lines_result(spark, sf).rows
-    return c.cap_result(rows.withColumn("_m", F.coalesce("modifier", F.lit(""))), cap, ["code", "_m", "diff_count", "right_group_rows"], method)
+    return c.cap_result(rows.withColumn("_m", F.coalesce("modifier", F.lit(""))), cap, ["code", "_m", "right_group_rows", "diff_count"], method).select("status", "code", "modifier", "right_group_rows", F.col("rank_in_status").cast("bigint").alias("rank_in_status"))
 
 
 def quota_sql(cap, method):
@@ -216,23 +216,25 @@ def quota_sql(cap, method):
         f AS (SELECT q1 + (o1 < x)::int AS a1, q2 + (o2 < x)::int AS a2, q3 + (o3 < x)::int AS a3, ma, c FROM q_)"""
     return f"""n AS (SELECT count(*) FILTER (status = 'mismatch') AS m, count(*) FILTER (status = 'left_only') AS s, count(*) FILTER (status = 'right_only') AS d,
       count(*) FILTER (status = 'match') AS ma FROM res), b AS (SELECT *, m + s + d AS t, least({cap}, m + s + d) AS c FROM n), {pick}
-    SELECT status, cast(quota AS bigint) AS n_rows FROM (SELECT 'mismatch' AS status, a1 AS quota FROM f UNION ALL SELECT 'left_only', a2 FROM f UNION ALL SELECT 'right_only', a3 FROM f
-      UNION ALL SELECT 'match', least(ma, {cap} - a1 - a2 - a3) FROM f) WHERE quota > 0"""
+    , share AS (SELECT * FROM (SELECT 'mismatch' AS status, a1 AS quota FROM f UNION ALL SELECT 'left_only', a2 FROM f UNION ALL SELECT 'right_only', a3 FROM f
+      UNION ALL SELECT 'match', least(ma, {cap} - a1 - a2 - a3) FROM f))
+    SELECT status, code, modifier, right_group_rows, row_number() OVER (PARTITION BY status ORDER BY code, modifier, right_group_rows) AS rank_in_status
+    FROM res JOIN share USING (status) QUALIFY rank_in_status <= quota"""
 
 
 @check(f"WITH {LINES_SQL}, {quota_sql(CAP, 'residue_last')}")
 def capped_result_residue_last(spark, sf):
-    return c.bucket_counts(capped(spark, sf, "residue_last"))
+    return capped(spark, sf, "residue_last")
 
 
 @check(f"WITH {LINES_SQL}, {quota_sql(CAP + 1, 'largest_remainder')}")
 def capped_result_largest_remainder(spark, sf):
-    return c.bucket_counts(capped(spark, sf, "largest_remainder", CAP + 1))
+    return capped(spark, sf, "largest_remainder", CAP + 1)
 
 
 @check(f"WITH {LINES_SQL}, {quota_sql(100000000, 'residue_last')}")
 def capped_result_large_cap(spark, sf):
-    return c.bucket_counts(capped(spark, sf, "residue_last", 100000000))
+    return capped(spark, sf, "residue_last", 100000000)
 
 
 @check(f"""WITH {PART_SQL} SELECT 'modified' AS bucket, lc AS code, lshow AS rate FROM res WHERE status = 'mismatch' UNION ALL

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import sys
+import tempfile
 import time
 from collections import Counter
 
@@ -43,10 +44,12 @@ def compare(spark: SparkSession, con, folder: str, name: str, check) -> str:
 
 
 def session(cpus: int = 8, parts: int = 8) -> SparkSession:
+    """A local session for checks, benches and tests; its checkpoints go to a folder of its own and are removed when unused."""
     return (
         SparkSession.builder.master(f"local[{cpus}]").appName("checks")
         .config("spark.ui.enabled", "false").config("spark.python.sql.dataFrameDebugging.enabled", "false").config("spark.sql.shuffle.partitions", str(parts))
-        .config("spark.sql.session.timeZone", "UTC").config("spark.driver.memory", "8g").getOrCreate()
+        .config("spark.sql.session.timeZone", "UTC").config("spark.driver.memory", "8g")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="spark-")).config("spark.cleaner.referenceTracking.cleanCheckpoints", "true").getOrCreate()
     )
 
 

@@ -5,12 +5,12 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ratetally.functions.cells import comparisons, display, field_diffs
 from ratetally.functions.names import left_for_right, mapped_pairs, parse_mapping, pick_modifier, resolve_column
 from ratetally.functions.text import norm_key
-from ratetally.operators.spread import lookup_join, top_per_group
+from ratetally.operators.spread import GROUP_LIMIT, lookup_join, ranked_per_group, top_per_group
 
 STATUSES = ["mismatch", "left_only", "right_only", "match"]
 NO_MODIFIER = (
@@ -42,7 +42,7 @@ class Reconciliation:
     mapping: dict[str, str]
     left: DataFrame
     right: DataFrame
-    use_modifier: Column
+    use_modifier: bool
 
 
 def _shared_keys(left, right, mapping, code, mode):
@@ -57,13 +57,13 @@ def _shared_keys(left, right, mapping, code, mode):
         if need and need not in left.columns:
             raise ValueError(f"The left side has no column {need!r} from the mapping.")
     if mode == "code":
-        use_mod = F.lit(False)
+        use_mod = False
     elif mode == "code_and_modifier":
         if modifier is None:
             raise ValueError(NO_MODIFIER)
-        use_mod = F.lit(True)
+        use_mod = True
     elif mode == "auto":
-        use_mod = has_duplicates((left, F.col(f"`{code_left}`")), (right, F.col(f"`{code_right}`"))).scalar()
+        use_mod = has_duplicates((left, F.col(f"`{code_left}`")), (right, F.col(f"`{code_right}`"))).first()[0]
     else:
         raise ValueError(f"Unknown mode {mode!r}")
     return code_left, code_right, modifier, use_mod
@@ -73,23 +73,25 @@ def _with_keys(df, code, modifier, use_mod):
     key = lambda c: norm_key(F.col(f"`{c}`"), df.schema[c].dataType)
     code_key = key(code)
     if modifier is None:
-        mod_key = F.when(use_mod, F.raise_error(F.lit(NO_MODIFIER)).cast("string")).otherwise(F.lit(""))
+        if use_mod:
+            raise ValueError(NO_MODIFIER)
+        mod_key = F.lit("")
     else:
-        mod_key = F.when(use_mod, key(modifier)).otherwise(F.lit(""))
+        mod_key = key(modifier) if use_mod else F.lit("")
     return df.withColumn("_code", code_key).where(F.col("_code") != "").withColumn("_mod", mod_key)
 
 
 def first_right_rows(right: DataFrame, keys: Sequence[str], order: Sequence[str], columns: Sequence[str]) -> DataFrame:
     """First row per key as the struct ``first`` and the number of rows of the key.
 
-    The minimum is combined on the map side, so a key with very many rows sends one row per task.
+    Each task sends one row and one count per key at most, so a key with very many rows is no burden. Rows that
+    ``order`` does not tell apart are ordered by their other columns.
     """
-    ranked = [F.col(f"`{c}`").alias(f"_o{i}") for i, c in enumerate(order)]
-    rest = [F.col(f"`{c}`") for c in columns]
-    first = F.min(F.struct(*ranked, F.struct(*rest).alias("row")))
-    return right.groupBy(*keys).agg(first.alias("_min"), F.count(F.lit(1)).alias("n_rows")).select(
-        *keys, F.col("_min.row").alias("first"), "n_rows"
-    )
+    ties = [c for c in columns if not right.schema[c].dataType.simpleString().startswith(("map", "variant"))]
+    w = Window.partitionBy(*keys).orderBy(*[F.col(f"`{c}`") for c in [*order, *ties]])
+    first = right.withColumn("_rn", F.row_number().over(w)).where("_rn = 1")
+    first = first.select(*keys, F.struct(*[F.col(f"`{c}`") for c in columns]).alias("first"))
+    return first.join(right.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows")), list(keys))
 
 
 def reconcile(
@@ -109,7 +111,7 @@ def reconcile(
 
     ``mapping`` pairs left columns with right columns. Rows join on the normalised code, or on code and
     modifier: ``mode`` is ``code``, ``code_and_modifier`` or ``auto`` (modifier when any code repeats on
-    either side). Rows with a blank code take no part. A left row meets the first right row of its key in
+    either side, which is counted once, at the call). Rows with a blank code take no part. A left row meets the first right row of its key in
     ``right_order``; further right rows of a matched key are not reported. Result columns: status
     (match, mismatch, left_only, right_only), code, modifier, diffs (one struct per pair), diff_count,
     right_group_rows (rows of the right key), the ``keep_left`` columns, and with ``images`` both rows as
@@ -156,7 +158,7 @@ def reconcile(
         cols = [
             status.alias("status"),
             shown[0].cast("string").alias("code"),
-            F.when(use_mod, shown[1].cast("string")).alias("modifier"),
+            (shown[1] if use_mod else F.lit(None)).cast("string").alias("modifier"),
             F.col("_diffs").alias("diffs"),
             F.col("_n").alias("diff_count"),
             F.coalesce(F.col("_group"), F.lit(0)).cast("long").alias("right_group_rows"),
@@ -225,7 +227,7 @@ def summarize(result: Reconciliation, returned: DataFrame | None = None) -> Data
     count = lambda df: df.agg(F.count(F.lit(1))).scalar()
     got = F.col("_possible") if returned is None else count(returned)
     return one.select(
-        F.when(result.use_modifier, "code_and_modifier").otherwise("code").alias("join_mode"),
+        F.lit("code_and_modifier" if result.use_modifier else "code").alias("join_mode"),
         F.lit(len(result.mapping)).cast("long").alias("mapped_field_count"),
         count(result.left).alias("left_row_count"),
         count(result.right).alias("right_row_count"),
@@ -296,7 +298,14 @@ def quotas(counts: DataFrame, cap: int, method: str = "residue_last") -> DataFra
 
 
 def cap_result(rows: DataFrame, cap: int, order: Sequence[str], method: str = "residue_last") -> DataFrame:
-    """The first rows of every status in ``order``, each status cut to its quota."""
-    best = top_per_group(rows, ["status"], [F.col(c) for c in order], max(cap, 1), rank="rank_in_status")
+    """The first rows of every status in ``order``, each status cut to its quota.
+
+    A small cap is taken from every task's own first rows. Beyond that the rows are sorted by ranges, so that no
+    task holds a status.
+    """
+    if cap <= GROUP_LIMIT:
+        best = top_per_group(rows, ["status"], [F.col(c) for c in order], max(cap, 1), rank="rank_in_status")
+    else:
+        best = ranked_per_group(rows, ["status"], order, "rank_in_status")
     share = quotas(bucket_counts(rows), cap, method)
     return best.join(F.broadcast(share), "status").where(F.col("rank_in_status") <= F.col("quota")).drop("quota")

@@ -5,6 +5,7 @@ Every helper here gives the same rows as its plain counterpart; only the distrib
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Sequence
 
@@ -19,11 +20,14 @@ MAX_HEAVY = 1000
 
 
 def shared_folder(spark) -> str:
-    """Checkpoint folder of the session; a local one is made only where none is configured."""
+    """Checkpoint folder of the session, ``spark.checkpoint.dir``, which all machines must share.
+
+    Only a session that runs in a single process may leave it unset; it gets a folder of its own.
+    """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None and not context.master.startswith("local"):
+        if folder is None and not re.fullmatch(r"local(\[.*\])?", context.master):
             raise ValueError("Set spark.checkpoint.dir to a shared folder.")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
     return context.getCheckpointDir()
@@ -106,6 +110,21 @@ def top_per_group(
     return out.withColumnRenamed("_rn", rank) if rank else out.drop("_rn")
 
 
+def ranked_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[str], rank: str) -> DataFrame:
+    """Row numbers within groups of any size: rows are sorted by ranges, counted per range, and shifted.
+
+    Only one count per range and group is summed up in one place. The sorted rows are stored.
+    """
+    by = [*keys, *order]
+    placed = cut_lineage(df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_at", F.monotonically_increasing_id()))
+    part = F.shiftright("_at", 33)
+    sizes = placed.groupBy(*keys, part.alias("_part")).agg(F.min("_at").alias("_from"), F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.withColumn("_shift", F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_from") + 1).drop("_from", "_n")
+    out = attach(placed.withColumn("_part", part), sizes, [*keys, "_part"])
+    return out.withColumn(rank, (F.col("_at") + F.col("_shift")).cast("long")).select(*[F.col(f"`{c}`") for c in df.columns], rank)
+
+
 def previous_value(
     df: DataFrame, keys: Sequence[str], position: str, value: str, name: str, rows_per_slice: int = 1_000_000
 ) -> DataFrame:
@@ -127,34 +146,15 @@ def previous_value(
     return joined.select(*kept, F.when(F.col("_first"), F.col("_before")).otherwise(F.col(name)).alias(name))
 
 
-def dense_ids(
-    df: DataFrame, name: str, after: Column, position: str | None = None, by: Sequence[str] = (), slices: int = 1024
-) -> DataFrame:
+def dense_ids(df: DataFrame, name: str, after: Column, position: str | None = None, by: Sequence[str] = ()) -> DataFrame:
     """Consecutive ids ``after + 1, after + 2, …`` without bringing the rows together.
 
-    With ``position`` (an integer column) ids follow it and rows are sliced by its range; otherwise rows
-    are sliced by a hash of ``by``, which must identify a row. Slice sizes are summed over at most
-    ``slices`` + 1 rows.
+    Ids follow ``position`` and then ``by``, which together identify a row. The rows are sorted by ranges that follow
+    their distribution, so slices grow neither with the data nor with a skewed position.
     """
-    if position:
-        bounds = df.agg(F.struct(F.min(position).alias("lo"), F.max(position).alias("hi"))).scalar()
-        width = (bounds["hi"] - bounds["lo"] + 1).cast("double") / slices
-        slice_no = F.floor((F.col(position) - bounds["lo"]) / width).cast("long")
-        order = [F.col(position), *[F.col(c) for c in by]]
-    else:
-        slice_no = F.pmod(F.xxhash64(*by), F.lit(slices))
-        order = [F.col(c) for c in by]
-    sliced = df.withColumn("_slice", slice_no)
-    sizes = sliced.groupBy("_slice").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(F.lit(0)).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("_slice", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
-    inside = Window.partitionBy("_slice").orderBy(*order)
-    return (
-        sliced.withColumn("_rn", F.row_number().over(inside))
-        .join(F.broadcast(offsets), "_slice")
-        .withColumn(name, (after + F.col("_offset") + F.col("_rn")).cast("long"))
-        .drop("_slice", "_rn", "_offset")
-    )
+    order = [*([position] if position else []), *by]
+    out = ranked_per_group(df.withColumn("_all", F.lit(0)), ["_all"], order, "_place")
+    return out.withColumn(name, (after + F.col("_place")).cast("long")).drop("_place", "_all")
 
 
 def attach(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
