@@ -21,9 +21,25 @@ def streamed(spark, sf, name):
 @check("SELECT DISTINCT user_id, event_type FROM events")
 def stream_of_distinct_events(spark, sf):
     folder = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
-    once = fetches.stream_dedupe(streamed(spark, sf, "events"), ["user_id", "event_type"], delay="60 days").select("user_id", "event_type")
-    once.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/log").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(f"{folder}/out")
+    events = streamed(spark, sf, "events").select("user_id", "event_type")
+    fetches.stream_once(events, ["user_id", "event_type"], f"{folder}/out", f"{folder}/log").awaitTermination()
+    return fetches.read_once(spark, f"{folder}/out")
+
+
+@check(f"WITH {REG} SELECT state_code, logical_schedule_key, content_sha256, min(artifact_id) AS artifact_id FROM c GROUP BY ALL")
+def stream_of_contents_once(spark, sf):
+    """Repeats in one batch, in other batches and after a restart: all versions come twice, in many files and two runs."""
+    folder = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    keys = ["state_code", "logical_schedule_key", "content_sha256"]
+    rows = registry(spark, sf).select("artifact_id", *keys)
+    # The lower half of the ids comes first, so the first event of a content is the one that is kept.
+    middle = rows.agg(F.expr("percentile_approx(artifact_id, 0.5)")).scalar()
+    for run in range(2):
+        new = rows.where(F.col("artifact_id") <= middle) if run == 0 else rows
+        new.repartition(4).write.mode("append").parquet(f"{folder}/in")
+        events = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 4).parquet(f"{folder}/in")
+        fetches.stream_once(events, keys, f"{folder}/out", f"{folder}/log", order=["artifact_id"]).awaitTermination()
+    return fetches.read_once(spark, f"{folder}/out")
 
 
 @check(f"WITH {REG} SELECT state_code, logical_schedule_key, artifact_id, content_sha256 FROM c WHERE is_current")
@@ -31,6 +47,6 @@ def stream_of_current_versions(spark, sf):
     folder = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
     rows = registry(spark, sf).select("artifact_id", "state_code", "logical_schedule_key", "content_sha256", "portal_effective_date", "fetched_at_utc", "is_superseded_hint")
     rows.repartition(4).write.parquet(f"{folder}/in")
-    versions = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(f"{folder}/in")
-    fetches.stream_current(versions, f"{folder}/out", f"{folder}/log").awaitTermination()
+    versions = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    fetches.stream_current(versions, f"{folder}/out", f"{folder}/log", compact_every=2).awaitTermination()
     return fetches.read_current(spark, f"{folder}/out").select("state_code", "logical_schedule_key", "artifact_id", "content_sha256")

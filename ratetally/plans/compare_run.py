@@ -15,7 +15,7 @@ from ratetally.sources.tables import clean_table
 
 def saved_mapping(artifacts: DataFrame, mappings: DataFrame, state: str, artifact_id: int, table: str) -> dict[str, str]:
     """Mapping saved for a file and a table. Fails when the file, its state or the mapping does not fit."""
-    sc = state.strip().upper()[:8]
+    sc = state.strip().upper()
     if not sc:
         raise ValueError("state_code is required")
     validate_table_name(table)

@@ -6,16 +6,47 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
 from ratetally.functions.text import strip
+from ratetally.operators.spread import attach, first_per_group
 from ratetally.operators.versions import effective_day, state_key
 
 
 def stream_dedupe(events: DataFrame, keys: Sequence[str], time: str = "ts", delay: str = "1 day") -> DataFrame:
-    """First event per key within the watermark. The state of a key is dropped once ``delay`` has passed."""
+    """First event per key within the watermark; a key may come again once ``delay`` has passed. See ``stream_once``."""
     return events.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, delay).dropDuplicatesWithinWatermark(list(keys))
 
 
+def start_folder(spark: SparkSession, folder: str, schema: StructType) -> None:
+    """An empty batch, so that the folder can be read before the first batch is written."""
+    spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{folder}/batch_id=-1")
+
+
+def stream_once(events: DataFrame, keys: Sequence[str], path: str, checkpoint: str, order: Sequence[str] = (), **trigger) -> StreamingQuery:
+    """Write exactly one event per key under ``path``, however late or often it is repeated.
+
+    A batch keeps its first event per key (by ``order``) and drops the keys that other batches have stored; only
+    keys are compared. It is written into a folder named by the batch, so a batch that is repeated after a failure
+    or a restart does not see itself and overwrites itself.
+    """
+    spark, keys, columns = events.sparkSession, list(keys), list(events.columns)
+    start_folder(spark, path, events.schema)
+
+    def save(batch: DataFrame, batch_id: int) -> None:
+        first = first_per_group(batch, keys, [F.col(c) for c in (*order, *columns)])
+        stored = batch.sparkSession.read.schema(events.schema).parquet(path).where(F.col("batch_id") != batch_id).select(*keys).distinct()
+        fresh = attach(first, stored, keys, "anti")
+        fresh.select(*columns).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+
+    return events.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+
+
+def read_once(spark: SparkSession, path: str) -> DataFrame:
+    """The events that ``stream_once`` has stored."""
+    return spark.read.parquet(path).drop("batch_id")
+
+
 def best_version(versions: DataFrame) -> DataFrame:
     """Best version per (state, key) as one struct; applying it again to its own results gives the same winner."""
     rank = F.struct(
@@ -27,26 +58,41 @@ def best_version(versions: DataFrame) -> DataFrame:
     return keyed.where("logical_schedule_key <> ''").groupBy("state_code", "logical_schedule_key").agg(F.max("best").alias("best"))
 
 
-def stream_current(versions: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
+BEST = "state_code string, logical_schedule_key string, best struct<live:boolean,day:date,artifact_id:bigint,content_sha256:string>"
+
+
+def stream_current(versions: DataFrame, path: str, checkpoint: str, compact_every: int = 16, **trigger) -> StreamingQuery:
     """Keep the best version per key under ``path``.
 
-    Each batch writes only its own winners, into a folder named by the batch, so a repeated batch
-    overwrites itself and the cost does not grow with what is stored. Readers merge the folders.
+    Each batch writes its own winners into a folder named by the batch, so a repeated batch overwrites itself.
+    Every ``compact_every`` batches the last base and the batches since then are merged into a new base, which
+    is all that readers and the next merge need besides the batches after it.
     """
+    spark = versions.sparkSession
+    for part in ("base", "tail"):
+        start_folder(spark, f"{path}/{part}", StructType.fromDDL(BEST))
 
     def save(batch: DataFrame, batch_id: int) -> None:
-        best_version(batch).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        own = batch.sparkSession
+        best_version(batch).write.mode("overwrite").parquet(f"{path}/tail/batch_id={batch_id}")
+        if batch_id % compact_every == compact_every - 1:
+            merged(own, path, batch_id).write.mode("overwrite").parquet(f"{path}/base/batch_id={batch_id}")
 
     return versions.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
+def merged(spark: SparkSession, path: str, before: int | None = None) -> DataFrame:
+    """Best version per key of the last base, one older than ``before`` where given, and the batches after it."""
+    base, tail = (spark.read.schema(BEST).parquet(f"{path}/{part}") for part in ("base", "tail"))
+    if before is not None:
+        base = base.where(F.col("batch_id") < before)
+    # Folder names only: no file is opened for it.
+    last = base.select("batch_id").distinct().agg(F.coalesce(F.max("batch_id"), F.lit(-1))).first()[0]
+    both = base.where(F.col("batch_id") == last).unionByName(tail.where(F.col("batch_id") > last))
+    return both.groupBy("state_code", "logical_schedule_key").agg(F.max("best").alias("best"))
+
+
 def read_current(spark: SparkSession, path: str) -> DataFrame:
     """Current version per (state, key) over all batches written so far."""
-    best = spark.read.parquet(path).groupBy("state_code", "logical_schedule_key").agg(F.max("best").alias("best"))
+    best = merged(spark, path)
     return best.select("state_code", "logical_schedule_key", "best.artifact_id", "best.content_sha256", F.col("best.day").alias("effective_day"), F.col("best.live").alias("live"))
-
-
-def compact_current(spark: SparkSession, path: str, target: str) -> None:
-    """Write the merged winners of ``path`` as one batch folder of ``target``."""
-    best = spark.read.parquet(path).groupBy("state_code", "logical_schedule_key").agg(F.max("best").alias("best"))
-    best.write.mode("overwrite").parquet(f"{target}/batch_id=0")
