@@ -18,6 +18,7 @@ LEADING_FRAGMENTS = 2
 BUCKET_BYTES = 12_000_000
 # Pairs per posting from which a round of stars comes first.
 MANY_PAIRS = 16
+STAR_ROUNDS = 2
 # Documents whose ids are sent to every task at most (16 bytes each); more are joined by shuffle.
 SENT_ROWS = 2_000_000
 
@@ -161,21 +162,29 @@ def may_link(percent: int) -> Column:
     return F.least(F.col("n") - F.col("own"), F.col("n2") - F.col("own2")) * (100 + percent) >= (F.col("n") + F.col("n2")) * percent
 
 
+def labels(links: DataFrame) -> DataFrame:
+    """(node, component): the smallest node within two links. Nodes of one label are connected; others may be."""
+    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    near = both.groupBy("a").agg(F.min("b").alias("m")).select(F.struct("a").alias("_n"), F.least("a", "m").alias("m"))
+    far = both.join(near, F.struct(F.col("b").alias("a")) == F.col("_n")).groupBy("a").agg(F.min("m").alias("m"))
+    return far.select(F.col("a").alias("node"), F.least("a", "m").alias("component"))
+
+
 def linked_sets(sets: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) that connect just the sets that all links connect.
 
-    Sets that share an n-gram of their prefixes may link. Where an n-gram has many sets, a round compares every
-    one of them with a single leader, which joins groups of near copies by a star; rounds go on while they find
-    links. At last all pairs across groups that were not yet compared are compared; sets in one group need not be.
+    Sets that share an n-gram of their prefixes may link. Where n-grams have many sets, up to ``STAR_ROUNDS``
+    rounds compare every set with a single leader per n-gram, which joins groups of near copies by a star. At
+    last all pairs across groups that were not yet compared are compared; sets in one group need not be.
     """
     posts = stored(prefixes(sets, percent))
-    links, tried, turn, found = None, None, 0, True
+    links, tried, turn = None, None, 0
     now = posts.withColumn("component", F.col("id"))
     key = F.struct("gram")
     while True:
         counts = now.groupBy("gram").agg(F.count(F.lit(1)).alias("c"))
         pairs, rows = counts.agg(F.sum(F.col("c") * (F.col("c") - 1)), F.sum("c")).first()
-        star = found and (pairs or 0) > MANY_PAIRS * (rows or 0)
+        star = turn < STAR_ROUNDS and (pairs or 0) > MANY_PAIRS * (rows or 0)
         lead = F.struct(F.col("own") if turn == 0 else F.xxhash64(F.lit(turn), "id").alias("own"), F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("own").alias("own2"), F.col("component").alias("component2"))
         if star:
             other = now.groupBy("gram").agg(F.min(lead).alias("_h")).select(key.alias("_g"), "_h.id2", "_h.n2", "_h.own2", "_h.component2")
@@ -193,8 +202,7 @@ def linked_sets(sets: DataFrame, percent: int) -> DataFrame:
         if not star:
             return links
         tried = fresh if tried is None else tried.unionByName(fresh)
-        found = not good.isEmpty()
-        group = components(links)
+        group = stored(labels(links))
         named = posts.join(group.select(F.struct("node").alias("_n"), "component"), F.struct("id") == F.col("_n"), "left").select(*posts.columns, F.coalesce("component", "id").alias("component"))
         mixed_up = named.groupBy("gram").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi")).where("_lo <> _hi").select(key.alias("_g"))
         now = stored(named.withColumn("_k", key).join(mixed_up, F.col("_k") == F.col("_g"), "left_semi").drop("_k"))
