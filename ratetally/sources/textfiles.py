@@ -71,33 +71,82 @@ def split_line(line: Column, sep: Column) -> Column:
     )
 
 
+def _quoting(line: Column, sep: Column) -> tuple[Column, Column]:
+    """Does a quoted cell stay open at the end of the line: when none was open before it, and when one was."""
+    def opens(text):
+        led = F.concat(sep, text)
+        by = lambda d: F.regexp_replace(led, d + r'"(?:[^"]++|"")*+"', d + "x").rlike(d + r'"')
+        return F.when(sep == ",", by(",")).when(sep == "\t", by("\t")).otherwise(by(";")).cast("int")
+
+    rest = F.regexp_extract(line, r'^(?:[^"]++|"")*+"(.*)$', 1)
+    closes = line.rlike(r'^(?:[^"]++|"")*+"(?!")')
+    return opens(line), F.when(closes, opens(F.concat(F.lit("x"), rest))).otherwise(1)
+
+
+def joined_lines(lines: DataFrame, seps: DataFrame, rows_per_slice: int = 1_000_000) -> DataFrame:
+    """(file_id, line_no, line, sep) with the lines of a quoted cell put together, under the number of the first.
+
+    Whether a cell is open when a line starts depends on all lines before it. A line keeps, opens or closes that state, or
+    turns it around; slices of a file are summed up first and then gone through by themselves, so no task
+    holds a file.
+    """
+    from pyspark.sql import Window
+
+    calm, busy = _quoting(F.col("line"), F.col("sep"))
+    step = attach(lines, seps, ["file_id"]).withColumns({"_f0": calm, "_f1": busy, "_slice": F.floor(F.col("line_no") / F.lit(rows_per_slice))})
+    # Fixed: the state after the line whatever it was before; turn: the line turns the state around.
+    step = step.withColumns({"_fixed": F.when(F.col("_f0") == F.col("_f1"), F.col("_f0")), "_turn": ((F.col("_f0") == 1) & (F.col("_f1") == 0)).cast("int")})
+    w = Window.partitionBy("file_id", "_slice").orderBy("line_no")
+    step = step.withColumn("_turns", F.sum("_turn").over(w))
+    step = step.withColumn("_last", F.last(F.when(F.col("_fixed").isNotNull(), F.struct("_fixed", "_turns")), ignorenulls=True).over(w))
+    state = lambda start: F.when(F.col("_last").isNull(), (start + F.col("_turns")) % 2).otherwise((F.col("_last._fixed") + F.col("_turns") - F.col("_last._turns")) % 2)
+    ends = step.groupBy("file_id", "_slice").agg(F.max_by(F.struct(state(F.lit(0)).alias("calm"), state(F.lit(1)).alias("busy")), "line_no").alias("e"))
+    in_order = F.array_sort(F.collect_list(F.struct("_slice", "e")))
+    walk = lambda acc, x: F.array_append(acc, F.when(F.element_at(acc, -1) == 1, x["e"]["busy"]).otherwise(x["e"]["calm"]).cast("int"))
+    starts = ends.groupBy("file_id").agg(in_order.alias("s")).select("file_id", F.col("s._slice").alias("s"), F.aggregate("s", F.array(F.lit(0)), walk).alias("at"))
+    starts = starts.select("file_id", F.inline(F.arrays_zip(F.col("s").alias("_slice"), F.slice("at", F.lit(1), F.size("s")).alias("_start"))))
+    step = attach(step, starts, ["file_id", "_slice"])
+    after = state(F.col("_start"))
+    before = F.coalesce(F.lag("_after").over(w), F.col("_start"))
+    step = step.withColumn("_after", after).withColumn("_open", before)
+    # A record takes the number of its first line: the last line before it, in its slice or an earlier one, that starts calm.
+    own = F.last(F.when(F.col("_open") == 0, F.col("line_no")), ignorenulls=True).over(w)
+    step = step.withColumn("_record", own)
+    heads = step.groupBy("file_id", "_slice").agg(F.max("_record").alias("_head"))
+    earlier = Window.partitionBy("file_id").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    heads = heads.select("file_id", "_slice", F.last("_head", ignorenulls=True).over(earlier).alias("_head"))
+    step = attach(step, heads, ["file_id", "_slice"]).withColumn("_record", F.coalesce("_record", "_head"))
+    single = step.groupBy("file_id", "_record", "sep").agg(F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("l"))
+    return single.select("file_id", F.col("_record").alias("line_no"), F.array_join("l.line", "\n").alias("line"), "sep")
+
+
 def delimited_cells(lines: DataFrame, seps: DataFrame | None = None) -> DataFrame:
-    """Grid cells (file_id, row_idx, col_idx, cell) of delimited lines; blank lines go, ragged rows stay ragged."""
+    """Grid cells (file_id, row_idx, col_idx, cell) of delimited lines; blank lines go, ragged rows stay ragged.
+
+    A quoted cell may go over several lines.
+    """
     seps = sniff_delimiter(lines) if seps is None else seps
-    filled = number_rows(lines.where(strip(F.col("line")) != ""), ["file_id"], "line_no", "_row")
-    rows = attach(filled, seps, ["file_id"])
-    cells = rows.select("file_id", F.col("_row").cast("int").alias("row_idx"), F.posexplode(split_line(F.col("line"), F.col("sep"))).alias("col_idx", "cell"))
-    return cells
+    records = joined_lines(lines, seps).where(strip(F.col("line")) != "")
+    rows = number_rows(records, ["file_id"], "line_no", "_row")
+    return rows.select("file_id", F.col("_row").cast("int").alias("row_idx"), F.posexplode(split_line(F.col("line"), F.col("sep"))).alias("col_idx", "cell"))
 
 
 def read_delimited_grid(spark: SparkSession, path: str) -> DataFrame:
-    """Grid cells of delimited text files with sniffed delimiters; header detection is left to ``grids.read_grid``.
-
-    A quoted cell ends with its line.
-    """
+    """Grid cells of delimited text files with sniffed delimiters; header detection is left to ``grids.read_grid``."""
     return delimited_cells(read_numbered(spark, path))
 
 
-def read_delimited(spark: SparkSession, path: str) -> DataFrame:
+def read_delimited(spark: SparkSession, path: str, line_breaks: bool = True) -> DataFrame:
     """One delimited file with the header on its first line. Tab is taken when that line has more tabs than commas.
 
-    Blank header cells become ``col_N``.
+    Blank header cells become ``col_N``. Quoted cells may hold line breaks; without them (``line_breaks`` off) a
+    large file is read in splits.
     """
     head = spark.read.text(path).where(F.length("value") > 0).limit(1).first()
     if head is None:
         raise ValueError(f"No lines in {path}")
     sep = "\t" if head["value"].count("\t") > head["value"].count(",") else ","
-    df = spark.read.csv(path, sep=sep, header=False, quote='"' if sep == "," else "\x00", escape='"', ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True)
+    df = spark.read.csv(path, sep=sep, header=False, quote='"' if sep == "," else "\x00", escape='"', ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True, multiLine=line_breaks and sep == ",")
     names = [p.strip().strip('"') for p in _split_header(head["value"], sep)]
     names = [n or f"col_{i + 1}" for i, n in enumerate(names)]
     if len(df.columns) < len(names):
@@ -106,7 +155,7 @@ def read_delimited(spark: SparkSession, path: str) -> DataFrame:
     schema = ", ".join(f"`_c{i}` string" for i in range(len(names)))
     df = spark.read.schema(schema).csv(
         path, sep=sep, header=True, enforceSchema=True, quote='"' if sep == "," else "\x00", escape='"',
-        ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True,
+        ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True, multiLine=line_breaks and sep == ",",
     )
     return df.select(*[F.coalesce(F.col(f"_c{i}"), F.lit("")).alias(n) for i, n in enumerate(names)])
 

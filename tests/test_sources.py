@@ -82,3 +82,25 @@ def test_html_with_a_head_section(spark, frame):
     e = html.page_elements(frame([(1, "https://h/p", doc), (2, "https://h/q", None)], "page_id long, url string, html string"))
     rows = pages.html_tables(e).collect()
     assert [(r["columns"], r["cells"]) for r in rows] == [(["Code", "Rate"], {"Code": "1", "Rate": "2 x"})]
+
+
+def test_quoted_cells_over_several_lines_in_slices(spark):
+    import csv
+    import io
+    import random
+
+    rnd = random.Random(3)
+    files = {}
+    for f in range(6):
+        rows = [[rnd.choice(["a", "", 'say "x"', "two\nlines", "b\n\n,c\n", '"', "plain"]) for _ in range(3)] for _ in range(25)]
+        out = io.StringIO()
+        csv.writer(out, lineterminator="\n").writerows(rows)
+        files[f"f{f}"] = out.getvalue().rstrip("\n") + '\n5" pipe,6" pipe,x'
+    lines = spark.createDataFrame([(f, i, t) for f, text in files.items() for i, t in enumerate(text.split("\n"))], "file_id string, line_no long, line string")
+    seps = spark.createDataFrame([(f, ",") for f in files], "file_id string, sep string")
+    for size in (1, 3, 1000):
+        got = {}
+        for r in tf.joined_lines(lines, seps, size).orderBy("line_no").collect():
+            got.setdefault(r["file_id"], []).append(r["line"])
+        want = {f: list(csv.reader(io.StringIO(text))) for f, text in files.items()}
+        assert {f: [next(csv.reader(io.StringIO(x))) if x else [] for x in g] for f, g in got.items()} == want
