@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ratetally.functions import dates, urls
 from ratetally.functions.jsontext import distinct_map
 from ratetally.functions.text import bind, norm_catalog_value, slug, strip, text
-from ratetally.operators.spread import attach, first_per_group, lookup_join, top_per_group
+from ratetally.operators.spread import attach, cut_lineage, first_per_group, lookup_join, top_per_group
 
 # Weights of phrases in a link that may lead to rates.
 PHRASE_WEIGHTS = {
@@ -428,54 +428,56 @@ def link_rows(a: DataFrame, b: DataFrame, gram: int = 4) -> DataFrame:
     the a side): an equal title if exactly one row has it, else a title that contains or is contained in
     the other one if exactly one row has such a title. Contained titles are found through the rarest of
     their ``gram``-letter pieces, on distinct titles with counts; groups of equal rows are never paired
-    up with each other.
+    up with each other. Titles only ever meet under one token. The sides are read once; titles are stored.
     """
     one = a.groupBy("fingerprint").agg(F.max("a_id").alias("a_id"))
-    by_print = lookup_join(b, one, ["fingerprint"], "_hit")
+    by_print = cut_lineage(lookup_join(b, one, ["fingerprint"], "_hit"))
     exact = by_print.where("_hit IS NOT NULL").select("b_id", F.col("_hit.a_id").alias("a_id"), F.lit("fingerprint").alias("how"))
     rest_b = by_print.where("_hit IS NULL AND token <> '' AND title <> ''").select("b_id", "token", "title")
-    rest_a = a.join(exact.select("a_id").distinct(), "a_id", "left_anti").where("title <> ''")
-    titles = rest_a.groupBy("token", "title").agg(F.count(F.lit(1)).alias("n"), F.min("a_id").alias("a_id"))
-    wanted = rest_b.select("token", "title").distinct()
+    rest_a = attach(a, exact.select("a_id").distinct(), ["a_id"], "anti").where("title <> ''")
+    titles = cut_lineage(rest_a.groupBy(F.col("token").alias("scope"), "title").agg(F.count(F.lit(1)).alias("n"), F.min("a_id").alias("a_id")))
+    # A title of the b side is looked up under its own token and among the titles without one.
+    scopes = F.explode(F.array(F.col("token"), F.lit("")))
+    wanted = rest_b.select("token", "title").distinct().withColumn("scope", scopes)
 
-    def hits(side):
-        return side.groupBy("token", "title").agg(F.sum("n").alias("n"), F.min("a_id").alias("a_id"))
+    def hits(pairs):
+        return pairs.groupBy("token", "title").agg(F.sum("n").alias("n"), F.min("a_id").alias("a_id"))
 
-    free = titles.where("token = ''").drop("token")
-    same = wanted.join(titles, ["token", "title"]).select("token", "title", "n", "a_id").unionByName(
-        wanted.join(free, "title").select("token", "title", "n", "a_id")
-    )
-    same = hits(same)
+    same = wanted.join(titles.select(F.col("scope").alias("_s"), F.col("title").alias("_t"), "n", "a_id"), (F.col("scope") == F.col("_s")) & (F.col("title") == F.col("_t")), "left")
+    same = cut_lineage(hits(same.select("token", "title", "n", "a_id")))
+    open_titles = same.where("n IS NULL").select("token", "title").withColumn("scope", scopes)
 
-    def cut(df, col, lengths):
+    def cut(df, lengths):
         """Pieces of a text; ``lengths`` maps the text length to the piece lengths taken."""
         grams = F.flatten(F.transform(
-            lengths(F.length(col)),
-            lambda g: F.transform(F.sequence(F.lit(1), F.greatest(F.length(col) - g + 1, F.lit(1))), lambda i: F.substr(F.col(col), i, g)),
+            lengths(F.length("title")),
+            lambda g: F.transform(F.sequence(F.lit(1), F.greatest(F.length("title") - g + 1, F.lit(1))), lambda i: F.substr(F.col("title"), i, g)),
         ))
         return df.withColumn("piece", F.explode(F.array_distinct(grams)))
 
     # A contained title is known by pieces of ``gram`` letters (all of it when shorter), a containing one by all pieces up to that.
-    as_part = lambda df, col: cut(df, col, lambda n: F.array(F.least(n, F.lit(gram))))
-    as_whole = lambda df, col: cut(df, col, lambda n: F.sequence(F.lit(1), F.least(n, F.lit(gram))))
-    left = titles.select(F.col("token").alias("a_token"), F.col("title").alias("a_title"), "n", "a_id")
-    open_titles = wanted.join(same, ["token", "title"], "left_anti")
-    a_titles, b_titles = left.select("a_title").distinct(), open_titles.select("title").distinct()
-    a_pieces, b_pieces = as_whole(a_titles, "a_title"), as_whole(b_titles, "title")
-
-    def rare(parts, col, wholes):
-        """The piece of each text that the fewest texts of the other side hold; none means there is no partner."""
-        freq = wholes.groupBy("piece").agg(F.count(F.lit(1)).alias("f"))
-        best = parts.join(freq, "piece", "left").groupBy(col).agg(F.min(F.struct(F.coalesce("f", F.lit(0)).alias("f"), "piece")).alias("m"))
-        return best.where("m.f > 0").select(col, F.col("m.piece").alias("piece"))
-
-    inside_b = rare(as_part(a_titles, "a_title"), "a_title", b_pieces).join(b_pieces, "piece")
-    inside_b = inside_b.where(F.col("title").contains(F.col("a_title"))).select("title", "a_title")
-    inside_a = rare(as_part(b_titles, "title"), "title", a_pieces).join(a_pieces, "piece")
-    inside_a = inside_a.where(F.col("a_title").contains(F.col("title"))).select("title", "a_title")
-    near = inside_b.unionAll(inside_a).distinct()
-    part = open_titles.join(near, "title").join(left, "a_title").where((F.col("a_token") == F.col("token")) | (F.col("a_token") == ""))
-    part = hits(part.select("token", "title", "n", "a_id"))
+    as_part = lambda df: cut(df, lambda n: F.array(F.least(n, F.lit(gram))))
+    as_whole = lambda df: cut(df, lambda n: F.sequence(F.lit(1), F.least(n, F.lit(gram))))
+    a_titles = titles.select("scope", "title")
+    b_titles = open_titles.select("scope", "title").distinct()
+    b_titles = cut_lineage(b_titles.join(a_titles.select("scope").distinct(), "scope", "left_semi"))
+    a_pieces, b_pieces = cut_lineage(as_whole(a_titles)), cut_lineage(as_whole(b_titles))
+
+    def inside(parts, wholes):
+        """(scope, part, whole): texts met under the piece of the part that the fewest wholes hold."""
+        freq = wholes.groupBy("scope", "piece").agg(F.count(F.lit(1)).alias("f"))
+        best = as_part(parts).join(freq, ["scope", "piece"], "left").groupBy("scope", "title").agg(F.min(F.struct(F.coalesce("f", F.lit(0)).alias("f"), "piece")).alias("m"))
+        best = best.where("m.f > 0").select("scope", F.col("title").alias("part"), F.col("m.piece").alias("piece"))
+        met = best.join(wholes.withColumnRenamed("title", "whole"), ["scope", "piece"])
+        return met.where(F.col("whole").contains(F.col("part"))).select("scope", "part", "whole")
+
+    near = inside(a_titles, b_pieces).select("scope", F.col("whole").alias("title"), F.col("part").alias("a_title")).unionAll(
+        inside(b_titles, a_pieces).select("scope", F.col("part").alias("title"), F.col("whole").alias("a_title"))
+    ).distinct()
+    # One count and one id per text of the b side before its rows are looked at.
+    left = titles.withColumnRenamed("title", "a_title")
+    near = near.join(left, ["scope", "a_title"]).groupBy("scope", "title").agg(F.sum("n").alias("n"), F.min("a_id").alias("a_id"))
+    part = hits(open_titles.join(near, ["scope", "title"]).select("token", "title", "n", "a_id"))
     found = same.where("n = 1").withColumn("how", F.lit("title")).unionByName(part.where("n = 1").withColumn("how", F.lit("contained")))
     linked = lookup_join(rest_b, found.select("token", "title", "a_id", "how"), ["title", "token"], "_hit").where("_hit IS NOT NULL")
     linked = linked.select("b_id", F.col("_hit.a_id").alias("a_id"), F.col("_hit.how").alias("how"))

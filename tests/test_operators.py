@@ -296,3 +296,12 @@ def test_copies_do_not_gather_in_one_slice(spark):
     out = spread.top_per_group(df, ["k"], [F.col("x")], 2000, ways=8)
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "SPARK_PARTITION_ID" in plan and out.count() == 2000
+
+
+def test_short_titles_on_both_sides_link_under_their_token_only(frame):
+    a = [(i, f"fa{i}", f"t{i % 300}", "ab") for i in range(300)] + [(900, "fx", "", "zz")]
+    b = [(i, f"fb{i}", f"t{i % 300}", f"x ab {i}") for i in range(3000)] + [(9000, "fy", "t1", "a zz")]
+    out = links.link_rows(
+        frame(a, "a_id long, fingerprint string, token string, title string"), frame(b, "b_id long, fingerprint string, token string, title string"))
+    got = {(r["b_id"], r["a_id"]) for r in out.collect()}
+    assert got == {(i, i % 300) for i in range(3000)} | {(9000, 900)}
