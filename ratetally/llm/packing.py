@@ -34,14 +34,12 @@ class WordEncoder(dict):
         self.tokenizer = Tokenizer.from_file(path)
 
     def learn(self, words: set[bytes]) -> None:
-        if len(self) > REMEMBERED:
-            self.clear()
         stems = {}
         for word in words:
             stem = word.rstrip(MARKS)
             if len(stem) < len(word) and stem and 97 <= stem[-1] <= 122:
                 stems[word] = stem, word[len(stem) :]
-        new = list({part for word in words for part in stems.get(word, (word,))} - self.keys())
+        new = [part for part in {part for word in words for part in stems.get(word, (word,))} if part not in self]
         for word, got in zip(new, self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)):
             self[word] = array("I", got.ids).tobytes()
         for word, (stem, marks) in stems.items():
@@ -51,8 +49,11 @@ class WordEncoder(dict):
         """Little-endian unsigned 32-bit ids of every whole text."""
         split = [text.encode().lower().split() for text in texts]
         words = set().union(*split)
-        if len(self) > REMEMBERED or not words <= self.keys():
-            self.learn(words if len(self) > REMEMBERED else words - self.keys())
+        if len(self) > REMEMBERED:
+            self.clear()
+        new = {word for word in words if word not in self}
+        if new:
+            self.learn(new)
         for some in split:
             yield b"".join(map(self.__getitem__, some))
 
