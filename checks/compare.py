@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, functions as F
 
 from checks import check, read
 from ratetally.functions.jsontext import invert_map, left_for_right, paired_count, parse_column_map
 from ratetally.operators import compare as c
+from ratetally.plans.compare_run import compare_run
 from ratetally.sources.sinks import export_bucket
 
 PART_MAP = {"Procedure Code": "CODE", "Facility Rate": "FAC", "Description": "DESCR"}
@@ -95,6 +98,19 @@ def reconcile_row_images(spark, sf):
     return rows.select("status", "code", get("left_row", "Description").alias("left_descr"), get("right_row", "DESCR").alias("right_descr"))
 
 
+@check(f"WITH {PART_SQL} SELECT status, code, diff_count FROM res")
+def compare_run_through_a_saved_mapping(spark, sf):
+    """The mapping is looked up for a file; the warehouse side is one state's rows of a table of several."""
+    artifacts = read(spark, sf, "customer").select(F.col("c_custkey").alias("artifact_id"), F.lit("ny").alias("state_code"), F.concat(F.lit("key "), F.col("c_custkey").cast("string")).alias("logical_schedule_key"))
+    stamp = F.lit(None).cast("timestamp_ntz")
+    text = F.when(F.col("artifact_id") == 7, json.dumps(PART_MAP)).otherwise('{"Procedure Code": "OTHER"}')
+    maps = artifacts.select(F.col("artifact_id").alias("mapping_id"), F.lit("NY").alias("state_code"), F.col("logical_schedule_key").alias("state_logical_schedule_key"), F.lit("parts").alias("dst_fsname"), text.alias("column_map_json"), stamp.alias("created_at_utc"), stamp.alias("updated_at_utc"))
+    house = part_right(spark, sf)
+    house = house.withColumn("state_code", F.lit("NY")).unionByName(house.withColumn("state_code", F.lit("GA")))
+    rows = compare_run(part_left(spark, sf), house, artifacts, maps, state="ny", artifact_id=7, table="parts", right_order=["row_no"]).rows
+    return rows.select("status", "code", "diff_count")
+
+
 LINES = {"Order": "CODE", "Line": "MOD 1", "Units": "QTY", "Allowed Amount": "PRICE"}
 
 

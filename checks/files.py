@@ -10,7 +10,7 @@ from checks import check, read
 from checks.grids import FILES, parts
 from ratetally.operators import grids as g
 from ratetally.operators.spread import shared_folder
-from ratetally.sources import sinks, textfiles as tf
+from ratetally.sources import files, sinks, tables, textfiles as tf
 
 
 def folder(spark) -> str:
@@ -89,3 +89,21 @@ def text_files_read_as_lines(spark, sf):
     d.write.text(out)
     lines = tf.text_lines(tf.read_numbered(spark, out))
     return lines.groupBy("line").agg(F.count(F.lit(1)).alias("n"))
+
+
+@check("""WITH f AS (SELECT s_name || repeat('x', s_nationkey) || chr(10) AS t, length(s_name) + 13 AS most FROM supplier)
+SELECT cast(length(t) AS bigint) AS bytes_size, CASE WHEN length(t) <= most THEN sha256(t) END AS content_sha256, CASE WHEN length(t) > most THEN 'too_large' END AS error FROM f""")
+def scanned_files(spark, sf):
+    """A file per supplier; those over a limit are listed but not read. All names have one length."""
+    out = folder(spark)
+    s = read(spark, sf, "supplier")
+    s.select("s_suppkey", F.concat("s_name", F.repeat(F.lit("x"), F.col("s_nationkey"))).alias("value")).write.partitionBy("s_suppkey").text(out)
+    found = files.scan_files(spark, f"{out}/*/*.txt", max_bytes=s.agg(F.max(F.length("s_name"))).first()[0] + 13)
+    return found.select("bytes_size", "content_sha256", "error")
+
+
+@check("SELECT c_custkey, c_name FROM customer WHERE c_mktsegment = 'BUILDING'")
+def scanned_table(spark, sf):
+    name = f"t_{uuid.uuid4().hex}"
+    read(spark, sf, "customer").select("c_custkey", "c_name", F.col("c_mktsegment").alias("State_Code"), F.lit(1).alias("row_id")).createOrReplaceTempView(name)
+    return tables.scan_table(spark, name, " building ")

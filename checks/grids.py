@@ -6,22 +6,21 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from checks import check, read
 from ratetally.operators import grids as g
+from ratetally.operators.spread import number_rows
 from ratetally.sources import textfiles as tf
 
 
 def parts(spark, sf) -> DataFrame:
-    """Parts whose brand names a file of bounded length: a new file starts every 20,000 part keys."""
-    piece = F.floor(F.col("p_partkey") / 20000).cast("string")
-    return read(spark, sf, "part").withColumn("p_brand", F.concat("p_brand", F.lit("-"), piece))
+    """Parts; their brand names a file, which grows with the table."""
+    return read(spark, sf, "part")
 
 
-FILES = "part AS (SELECT * REPLACE (p_brand || '-' || (p_partkey // 20000) AS p_brand) FROM part)"
+FILES = "files AS (SELECT DISTINCT p_brand FROM part)"
 
 
 def part_grid(spark, sf) -> DataFrame:
     """Title, label band, header, data on every second row, a note, a repeated header, an empty and an unnamed column."""
-    w = Window.partitionBy("p_brand").orderBy("p_partkey")
-    part = parts(spark, sf).withColumn("n", F.row_number().over(w))
+    part = number_rows(parts(spark, sf), ["p_brand"], "p_partkey", "n").withColumn("n", (F.col("n") + 1).cast("int"))
     cells = lambda *xs: F.array(*[F.struct(F.lit(i).alias("col_idx"), x.alias("cell")) for i, x in enumerate(xs)])
     head = [F.lit("Procedure Code"), F.lit(" Description"), F.lit("Facility Rate"), F.lit("Non-Facility Rate"), F.lit(""), F.lit("")]
     price = F.col("p_retailprice").cast("decimal(18,2)")
@@ -47,6 +46,19 @@ def header_rows(spark, sf):
     return g.detect_header(part_grid(spark, sf)).select("file_id", "header_row", "n_rows")
 
 
+@check("SELECT p_brand AS file_id, 700 AS header_row, cast(count(*) + 701 AS integer) AS n_rows FROM part GROUP BY p_brand HAVING count(*) >= 3")
+def header_rows_far_down(spark, sf):
+    """Seven hundred lines of text above the header of every file."""
+    part = number_rows(parts(spark, sf), ["p_brand"], "p_partkey", "n").withColumn("row_idx", (F.col("n") + 701).cast("int"))
+    cells = lambda *xs: F.array(*[F.struct(F.lit(i).alias("col_idx"), x.alias("cell")) for i, x in enumerate(xs)])
+    price = F.col("p_retailprice").cast("decimal(18,2)").cast("string")
+    data = part.select(F.col("p_brand").alias("file_id"), "row_idx", F.inline(cells(F.lpad(F.col("p_partkey").cast("string"), 6, "1"), F.col("p_name"), price)))
+    names = part.groupBy("p_brand").agg(F.count(F.lit(1)).alias("c")).where("c >= 3").select(F.col("p_brand").alias("file_id"))
+    above = names.select("file_id", F.explode(F.sequence(F.lit(0), F.lit(699))).alias("row_idx")).select("file_id", "row_idx", F.lit(0).alias("col_idx"), F.concat(F.lit("Line "), F.col("row_idx").cast("string")).alias("cell"))
+    head = names.select("file_id", F.lit(700).alias("row_idx"), F.inline(cells(F.lit("Procedure Code"), F.lit("Description"), F.lit("Facility Rate"))))
+    return g.detect_header(data.join(names, "file_id", "left_semi").unionByName(above).unionByName(head)).select("file_id", "header_row", "n_rows")
+
+
 @check(f"""WITH {FILES}, {RANKED} SELECT p_brand AS file_id, cast(n * 2 + 3 AS integer) AS row_idx, lpad('' || p_partkey, 6, '1') AS code, p_name || ' of many words' AS description,
  cast(cast(p_retailprice AS decimal(18,2)) AS varchar) AS rate, CASE WHEN n = 1 THEN 'x' ELSE '' END AS extra FROM r""")
 def grid_bodies(spark, sf):

@@ -72,6 +72,20 @@ def gate_of_given_pages(spark, sf):
     return p.page_gate(g, cut_lineage(page_elements(g))).select("page_id", "is_wall", "is_real")
 
 
+@check("SELECT s_nationkey AS page_id, '' || s_suppkey AS code, 'v60 ' || s_suppkey AS last, cast(60 AS integer) AS width FROM supplier")
+def wide_tables_with_one_header(spark, sf):
+    """Pages with two tables of sixty columns that share their header and differ in their rows."""
+    k = F.col("s_suppkey")
+    cells = F.array_join(F.transform(F.sequence(F.lit(2), F.lit(60)), lambda i: F.concat(F.lit("<td>v"), i.cast("string"), F.lit(" "), k.cast("string"), F.lit("</td>"))), "")
+    row = F.concat(F.lit("<tr><td>"), k.cast("string"), F.lit("</td>"), cells, F.lit("</tr>"))
+    head = "<tr><th>Procedure Code</th>" + "".join(f"<th>Rate {i}</th>" for i in range(2, 61)) + "</tr>"
+    body = F.array_join(F.array_sort(F.collect_list("row")), "")
+    tables = read(spark, sf, "supplier").select(F.col("s_nationkey").alias("page_id"), (k % 2).alias("half"), row.alias("row")).groupBy("page_id", "half").agg(F.concat(F.lit(f"<table>{head}"), body, F.lit("</table>")).alias("t"))
+    pages = tables.groupBy("page_id").agg(F.concat(F.lit("<html><body>"), F.array_join(F.array_sort(F.collect_list("t")), ""), F.lit("</body></html>")).alias("html"))
+    out = p.html_tables(cut_lineage(page_elements(pages.select("page_id", F.lit(HOME).alias("url"), "html"))))
+    return out.select("page_id", F.element_at("cells", F.lit("Procedure Code")).alias("code"), F.element_at("cells", F.lit("Rate 60")).alias("last"), F.size("columns").alias("width"))
+
+
 @check(f"""WITH {BUILT} SELECT page_id, cast(1 AS bigint) AS tables, n + 3 AS table_rows, 2 * n + 4 AS links, cast(0 AS bigint) AS lists, n + 2 AS file_links, 'pdf,xlsx' AS file_types FROM c""")
 def page_counters(spark, sf):
     return p.page_counts(elements(spark, sf)).select("page_id", *[F.col(c).cast("bigint").alias(c) for c in ("tables", "table_rows", "links", "lists", "file_links")], "file_types")

@@ -237,6 +237,8 @@ def table_headers(rows: DataFrame, scan_rows: int | None = None) -> DataFrame:
     )
     usable = F.lit(True) if scan_rows is None else F.col("row_no") < scan_rows
     usable = usable & (F.size("filled") >= 2) & ~nav & (n >= 2)
+    # A very wide row scores low but may still be the only header of its table.
+    score = F.when(n > 24, F.greatest(score, F.lit(0))).otherwise(score)
     near = near.withColumn("score", F.when(usable, score))
     head_cells = F.transform(F.filter("cells", is_head), lambda c: c["tight"])
     found = near.groupBy(*TABLE).agg(

@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import islice
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -142,6 +143,10 @@ def _elements(page_id, url, html) -> Iterator[tuple]:
         yield (page_id, url, at, "text", "", None, piece, piece, 1, None, None, None, False, False, "")
 
 
+# Elements that leave the parser at a time.
+BATCH_ELEMENTS = 20_000
+
+
 def page_elements(pages: DataFrame) -> DataFrame:
     """Elements of ``pages`` (page_id, url, html) in document order.
 
@@ -154,8 +159,8 @@ def page_elements(pages: DataFrame) -> DataFrame:
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [e for p in zip(batch["page_id"], batch["url"], batch["html"]) for e in _elements(*p)]
-            out = pd.DataFrame(rows, columns=names)
-            yield out.astype({c: "Int32" for c in whole})
+            found = (e for p in zip(batch["page_id"], batch["url"], batch["html"]) for e in _elements(*p))
+            while rows := list(islice(found, BATCH_ELEMENTS)):
+                yield pd.DataFrame(rows, columns=names).astype({c: "Int32" for c in whole})
 
     return pages.select("page_id", "url", "html").mapInPandas(parse, ELEMENTS_SCHEMA)

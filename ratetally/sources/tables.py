@@ -16,9 +16,9 @@ def clean_table(df: DataFrame, state: str | None = None, limit: int | None = Non
     """Rows of one state without technical columns. Without a state column all rows are kept."""
     col = resolve_column(df.columns, state_column)
     if state and state.strip() and col:
-        df = df.where(F.col(f"`{col}`") == state.strip().upper()[:8])
+        df = df.where(F.col(f"`{col}`") == state.strip().upper())
     if limit is not None:
-        df = df.limit(max(1, limit))
+        df = df.limit(limit)
     hidden = {d.lower() for d in drop}
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in hidden])
 
