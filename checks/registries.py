@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Window, functions as F
 
 from checks import check, read
 from checks.versions import REG, registry
 from ratetally.operators import links, mappings as m, registry as reg, versions as v
+from ratetally.operators.spread import shared_folder
 from ratetally.sources import tables
 
 
@@ -258,7 +261,7 @@ def bulk_artifacts(spark, sf):
 
 def saved_mappings(spark, sf):
     k = F.col("c_custkey")
-    return read(spark, sf, "customer").where("c_custkey < 30").select(
+    return read(spark, sf, "customer").select(
         (k + 1).alias("mapping_id"), F.lit("NY").alias("state_code"), F.concat(F.lit("key_"), k.cast("string")).alias("state_logical_schedule_key"),
         F.concat(F.lit("dst_"), (k % 7).cast("string")).alias("dst_fsname"), F.lit('{"Saved": "S1", "Col 0": "S2"}').alias("column_map_json"),
         stamp("created_at_utc"), F.expr(NONE_TS).alias("updated_at_utc"), F.lit("me").alias("updated_by"),
@@ -291,6 +294,19 @@ def bulk_import_warnings(spark, sf):
     return m.bulk_import(bulk_rows(spark, sf), bulk_artifacts(spark, sf), saved_mappings(spark, sf), "ny", now()).warnings
 
 
+@check("""SELECT s_suppkey % 20 AS artifact_id, 'dst_' || (s_suppkey % 20 % 7) AS dst_fsname, count(DISTINCT s_suppkey % 120 // 20) AS pairs FROM supplier GROUP BY ALL""")
+def bulk_import_of_a_file(spark, sf):
+    """A written file with headers of other spellings and cells over two lines, read and imported."""
+    out = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    k = F.col("s_suppkey")
+    line = F.concat(F.lit('"Label '), (k % 20).cast("string"), F.lit('",,dst_'), (k % 20 % 7).cast("string"), F.lit(',"Col\n'), F.expr("s_suppkey % 120 DIV 20").cast("string"), F.lit('",D'), k.cast("string"))
+    rows = read(spark, sf, "supplier").select((k + 1).alias("at"), line.alias("value"))
+    head = spark.createDataFrame([(-1, "State Fee Schedule,Artifact-ID,DST Table,STATE COL,dst column")], "at long, value string")
+    rows.unionByName(head).coalesce(1).sortWithinPartitions("at").select("value").write.text(out)
+    found = m.bulk_import(m.read_mapping_file(spark, out), bulk_artifacts(spark, sf), saved_mappings(spark, sf), "ny", now())
+    return found.applied.select("artifact_id", "dst_fsname", "pairs")
+
+
 @check(f"""WITH {BULK} SELECT 'key_' || id AS schedule_key, d AS dst_fsname, cast(pairs AS integer) AS paired, 'D' || coalesce(z.dst::varchar, '') AS col_1 FROM ok JOIN cnt USING (gk, d) LEFT JOIN prs z ON z.gk = ok.gk AND z.d = ok.d AND z.col = 1""")
 def bulk_import_saved(spark, sf):
     out = m.bulk_import(bulk_rows(spark, sf), bulk_artifacts(spark, sf), saved_mappings(spark, sf), "ny", now(), updated_by="loader")

@@ -5,13 +5,14 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ratetally.functions.jsontext import distinct_map, paired_count, parse_column_map
 from ratetally.functions.text import artifact_label, blank_to_null, file_stem, norm_label, strip, text
 from ratetally.operators.registry import upsert_mappings
-from ratetally.operators.spread import cut_lineage, lookup_join, previous_value, top_per_group
+from ratetally.operators.spread import attach, cut_lineage, lookup_join, previous_value, top_per_group
 from ratetally.operators.versions import current_versions, latest_mapping, schedule_key, state_key
+from ratetally.sources.textfiles import read_delimited_grid
 
 # Header spellings of the bulk file and the field each one stands for.
 HEADER_ALIASES = {
@@ -47,6 +48,31 @@ def rename_headers(df: DataFrame, aliases: Mapping[str, str] = HEADER_ALIASES) -
     return df.select(*[strip(F.col(f"`{c}`")).alias(f) for f, c in found.items()])
 
 
+def read_mapping_file(spark: SparkSession, path: str) -> DataFrame:
+    """Rows of delimited mapping files for ``bulk_import``: row_no (the header is row 1) and the six fields as text.
+
+    Headers go by ``canonical_header``, the last of two equal ones counts; columns that are absent are blank. Fails when a
+    file lacks a needed column, like ``rename_headers``.
+    """
+    cells = read_delimited_grid(spark, path)
+    head = cells.where("row_idx = 0").withColumn("field", canonical_header(F.col("cell"))).where("field IS NOT NULL").select("file_id", "col_idx", "field")
+    has = lambda f: F.array_contains("f", f)
+    wrong = (
+        F.when(~has("state_schedule") & ~has("artifact_id"), "missing_state_column").when(~has("dst_schedule"), "missing_dst_schedule_column")
+        .when(~has("state_column") | ~has("dst_column"), "missing_mapping_columns")
+    )
+    files = cells.select("file_id").distinct().join(head.groupBy("file_id").agg(F.collect_set("field").alias("f")), "file_id", "left")
+    files = files.withColumn("f", F.coalesce("f", F.array().cast("array<string>")))
+    bad = files.select(wrong.alias("w")).where("w IS NOT NULL").first()
+    if bad is not None:
+        raise ValueError(bad["w"])
+    named = attach(cells.where("row_idx > 0"), head, ["file_id", "col_idx"])
+    fields = sorted(set(HEADER_ALIASES.values()))
+    value = lambda f: F.coalesce(F.max_by(strip(F.col("cell")), F.when(F.col("field") == f, F.col("col_idx"))), F.lit("")).alias(f)
+    rows = named.groupBy("file_id", "row_idx").agg(*[value(f) for f in fields])
+    return rows.select((F.col("row_idx") + 1).cast("long").alias("row_no"), *fields)
+
+
 def artifact_labels(artifacts: DataFrame) -> DataFrame:
     """(label, artifact_id): every normalised text a file can be called by, once per file."""
     key, name = F.col("logical_schedule_key"), F.col("original_filename")
@@ -149,18 +175,18 @@ def assemble_mappings(rows: DataFrame) -> Assembled:
     """Group rows (row_no, group_key, dst_schedule, state_column, dst_column, action, …) into mappings.
 
     Of a repeated left column the last row counts, at the place of the first one. The last row of a
-    group decides between merge and replace. Everything is combined on the map side by pair.
+    group decides between merge and replace. The rows are combined once, by pair; groups follow from the pairs.
     """
     keys = ["group_key", "dst_schedule"]
-    groups = rows.groupBy(*keys).agg(
-        F.max(F.struct("row_no", F.when(F.col("action").startswith("merg"), "merge").otherwise("replace").alias("a"))).alias("_l"),
-        F.min("row_no").alias("first_row"),
-        F.min(F.when(F.col("state_schedule") != "", F.struct("row_no", "state_schedule"))).alias("_s"),
-        F.max("artifact_id").alias("artifact_id"),
+    action = F.when(F.col("action").startswith("merg"), "merge").otherwise("replace").alias("a")
+    pairs = cut_lineage(rows.groupBy(*keys, "state_column").agg(
+        F.max(F.struct("row_no", "dst_column", action)).alias("_l"), F.min("row_no").alias("ord"),
+        F.min(F.when(F.col("state_schedule") != "", F.struct("row_no", "state_schedule"))).alias("_s"), F.max("artifact_id").alias("artifact_id"),
+    ))
+    groups = pairs.groupBy(*keys).agg(
+        F.max("_l").alias("_l"), F.min("ord").alias("first_row"), F.min("_s").alias("_s"), F.max("artifact_id").alias("artifact_id")
     ).select(*keys, F.col("_l.a").alias("action"), "first_row", F.coalesce("_s.state_schedule", F.lit("")).alias("state_schedule"), "artifact_id")
-    pairs = rows.groupBy(*keys, "state_column").agg(
-        F.max(F.struct("row_no", "dst_column")).alias("_l"), F.min("row_no").alias("ord")
-    ).select(*keys, "state_column", F.col("_l.dst_column").alias("dst_column"), "ord")
+    pairs = pairs.select(*keys, "state_column", F.col("_l.dst_column").alias("dst_column"), "ord")
     prior = previous_value(rows.select(*keys, "state_column", "row_no", "dst_column"), [*keys, "state_column"], "row_no", "dst_column", "replaced")
     warnings = prior.where(F.col("replaced").isNotNull() & (F.col("replaced") != F.col("dst_column")))
     return Assembled(groups, pairs, warnings)
@@ -185,7 +211,7 @@ def bulk_import(
     Each group of rows is resolved to a stored file by id or by label, checked, merged with or put in
     place of the saved mapping, and written back. Failed rows and groups are reported, the rest applied.
     """
-    sc = state.strip().upper()[:8]
+    sc = state.strip().upper()
     r = rows.select(
         F.col("row_no").cast("long").alias("row_no"),
         *[text(strip(F.col(c))).alias(c) for c in ("state_schedule", "artifact_id", "dst_schedule", "state_column", "dst_column")],
