@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ratetally.llm.common import components, stored
@@ -53,11 +54,13 @@ def lonely(docs: DataFrame, k: int, percent: int) -> DataFrame:
     """(id, check, n) of documents that certainly link with no other text.
 
     Only the leading fragments of the order are counted. A document with as many n-grams there that no other
-    document has as a linked pair may differ by is out: whatever it shares is too little. An n-gram that
-    several documents of a chunk have is sent once, so a common one costs a row per chunk.
+    document has as a linked pair may differ by is out: whatever it shares is too little. n-grams travel with the
+    place of their document in its chunk of input, the counts travel back to the chunk, and the documents' ids travel
+    once. An n-gram that several documents of a chunk have is sent once, so a common one costs a row per chunk.
     """
     size = docs.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
     buckets = max(1, size // (2 * BUCKET_BYTES))
+    several_docs = 0xFFFFFFFF
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -65,49 +68,67 @@ def lonely(docs: DataFrame, k: int, percent: int) -> DataFrame:
             for first, counts, hashes in chunks(batch.column(2), lower=True):
                 owner, gram = sets_of(counts, hashes, k)
                 n = np.bincount(owner, minlength=len(counts))
+                docs_here = np.stack([ids[first : first + len(n)], checks[first : first + len(n)], n], 1).astype("<i8").tobytes()
+                chunk = xxhash.xxh3_64_intdigest(docs_here) >> 1
                 lead = np.flatnonzero(gram >> np.uint64(64 - FRAGMENT_BITS) < LEADING_FRAGMENTS)
                 order = lead[np.argsort(gram[lead], kind="stable")]
                 new = np.append(True, np.diff(gram[order]) != 0) if len(order) else np.zeros(0, bool)
                 heads = np.flatnonzero(new)
                 several = np.diff(np.append(heads, len(order))) > 1
-                gram, owner = gram[order[heads]], owner[order[heads]]
+                gram, owner = gram[order[heads]], np.where(several, several_docs, owner[order[heads]]).astype("<u4")
                 bucket = (gram % np.uint64(buckets)).astype("int64")
                 by = np.argsort(bucket, kind="stable")
                 cuts = np.flatnonzero(np.append(True, np.diff(bucket[by]) != 0)) if len(by) else []
-                rows = []
+                rows = [(chunk % buckets, chunk, docs_here, b"", b"")]
                 for a, b in zip(cuts, [*cuts[1:], len(by)]):
                     e = by[a:b]
-                    used, local = np.unique(owner[e], return_inverse=True)
-                    table = np.stack([ids[first + used], checks[first + used], n[used]], 1)
-                    local = np.where(several[e], 0xFFFFFFFF, local).astype("<u4")
                     short = (gram[e] // np.uint64(buckets)).astype("<u8").view("uint8").reshape(-1, 8)[:, :5]
-                    rows.append((int(bucket[e[0]]), table.tobytes(), short.tobytes(), local.tobytes()))
-                cols = list(zip(*rows)) or [(), (), (), ()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int64()] + [pa.binary()] * 3)], names=["bucket", "docs", "grams", "doc"])
+                    rows.append((int(bucket[e[0]]), chunk, b"", short.tobytes(), owner[e].tobytes()))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), [pa.int64()] * 2 + [pa.binary()] * 3)], names=["bucket", "chunk", "docs", "grams", "doc"])
 
     def count(table: pa.Table) -> pa.Table:
-        keys, owners, tables, base = [], [], [], 0
+        """Per chunk, the documents that have n-grams alone, and how many; documents of chunks pass through."""
+        out, keys, owners, chunk_of, names = [], [], [], [], []
         for row in table.to_pylist():
-            docs_here = np.frombuffer(row["docs"], "<i8").reshape(-1, 3)
-            short = np.frombuffer(row["grams"], "uint8").reshape(-1, 5)
-            key = np.zeros((len(short), 8), "uint8")
-            key[:, :5] = short
-            local = np.frombuffer(row["doc"], "<u4").astype("int64")
-            owners.append(np.where(local == 0xFFFFFFFF, -1, local + base))
+            if row["docs"]:
+                out.append((row["chunk"], row["docs"], b"", b""))
+                continue
+            key = np.zeros((len(row["grams"]) // 5, 8), "uint8")
+            key[:, :5] = np.frombuffer(row["grams"], "uint8").reshape(-1, 5)
             keys.append(key.view("<u8").ravel())
-            tables.append(docs_here)
-            base += len(docs_here)
-        keys, owners, tables = np.concatenate(keys), np.concatenate(owners), np.concatenate(tables)
-        order = np.argsort(keys, kind="stable")
-        k_sorted = keys[order]
-        alone = np.append(True, np.diff(k_sorted) != 0) & np.append(np.diff(k_sorted) != 0, True)
-        own = owners[order[alone]]
-        counted = np.bincount(own[own >= 0], minlength=base)
-        some = np.flatnonzero(counted)
-        return pa.table({"id": tables[some, 0], "check": tables[some, 1], "n": tables[some, 2], "alone": counted[some]})
-
-    found = docs.mapInArrow(send, "bucket long, docs binary, grams binary, doc binary").groupBy("bucket").applyInArrow(count, "id long, check long, n long, alone long")
-    return found.groupBy("id", "check").agg(F.max("n").alias("n"), F.sum("alone").alias("_alone")).where(F.col("_alone") >= spare(F.col("n"), percent)).drop("_alone")
+            owners.append(np.frombuffer(row["doc"], "<u4"))
+            chunk_of.append(np.full(len(key), len(names)))
+            names.append(row["chunk"])
+        if keys:
+            keys, owners, chunk_of = (np.concatenate(x) for x in (keys, owners, chunk_of))
+            order = np.argsort(keys, kind="stable")
+            differ = np.diff(keys[order]) != 0
+            own = order[np.append(True, differ) & np.append(differ, True)]
+            own = own[owners[own] != several_docs]
+            place = (chunk_of[own].astype("uint64") << np.uint64(32)) | owners[own]
+            place, times = np.unique(place, return_counts=True)
+            at = (place >> np.uint64(32)).astype("int64")
+            cuts = np.flatnonzero(np.append(True, np.diff(at) != 0)) if len(at) else []
+            for a, b in zip(cuts, [*cuts[1:], len(at)]):
+                out.append((names[at[a]], b"", place[a:b].astype("<u4").tobytes(), times[a:b].astype("<u4").tobytes()))
+        cols = list(zip(*out)) or [()] * 4
+        return pa.table([pa.array(c, t) for c, t in zip(cols, [pa.int64()] + [pa.binary()] * 3)], names=["chunk", "docs", "doc", "times"])
+
+    def judge(table: pa.Table) -> pa.Table:
+        rows = table.to_pylist()
+        # Chunks of one name are copies with the same documents.
+        here = np.frombuffer(next(r["docs"] for r in rows if r["docs"]), "<i8").reshape(-1, 3)
+        copies = sum(1 for r in rows if r["docs"])
+        alone = np.zeros(len(here), "int64")
+        for r in rows:
+            np.add.at(alone, np.frombuffer(r["doc"], "<u4"), np.frombuffer(r["times"], "<u4"))
+        n = here[:, 2]
+        gone = np.flatnonzero((n > 0) & (alone >= n - (n * percent + 99) // 100 + 1)) if copies == 1 else np.zeros(0, "int64")
+        return pa.table({"id": here[gone, 0], "check": here[gone, 1], "n": n[gone]})
+
+    sent = docs.mapInArrow(send, "bucket long, chunk long, docs binary, grams binary, doc binary")
+    counted = sent.groupBy("bucket").applyInArrow(count, "chunk long, docs binary, doc binary, times binary")
+    return counted.groupBy("chunk").applyInArrow(judge, "id long, check long, n long")
 
 
 def gram_sets(docs: DataFrame, k: int) -> DataFrame:
@@ -175,7 +196,9 @@ def linked_sets(sets: DataFrame, percent: int) -> DataFrame:
 
     Sets that share an n-gram of their prefixes may link. Where n-grams have many sets, up to ``STAR_ROUNDS``
     rounds compare every set with a single leader per n-gram, which joins groups of near copies by a star. At
-    last all pairs across groups that were not yet compared are compared; sets in one group need not be.
+    last all pairs across groups that were not yet compared are compared; sets in one group need not be. Of those
+    pairs the shared n-grams of the prefixes are counted: of the set whose prefix ends first, all that is shared
+    is among them or lies behind its prefix, so most pairs are out before their sets are fetched.
     """
     posts = stored(prefixes(sets, percent))
     links, tried, turn = None, None, 0
@@ -193,7 +216,14 @@ def linked_sets(sets: DataFrame, percent: int) -> DataFrame:
             other = now.select(key.alias("_g"), F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("own").alias("own2"), F.col("component").alias("component2"))
             across = F.col("component") < F.col("component2")
         near = now.withColumn("_k", key).join(other, (F.col("_k") == F.col("_g")) & across & may_link(percent))
-        fresh = near.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct()
+        ends = [F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")]
+        if star:
+            fresh = near.select(*ends).distinct()
+        else:
+            behind = lambda n: F.col(n) - spare(F.col(n), percent)
+            most = F.greatest(behind("n"), behind("n2"))
+            counted = near.groupBy(*ends, (F.col("n") + F.col("n2")).alias("n"), most.alias("most")).agg(F.count(F.lit(1)).alias("c"))
+            fresh = counted.where((F.col("c") + F.col("most")) * (100 + percent) >= F.col("n") * percent).select("a", "b").distinct()
         if tried is not None:
             fresh = fresh.join(tried, ["a", "b"], "left_anti")
         fresh = stored(fresh)
