@@ -20,6 +20,8 @@ BUCKET_BYTES = 12_000_000
 # Pairs per posting from which a round of stars comes first.
 MANY_PAIRS = 16
 STAR_ROUNDS = 2
+# Pairs that are sent to every task at most (16 bytes each); more are joined by shuffle.
+SENT_PAIRS = 1_000_000
 # Documents whose ids are sent to every task at most (16 bytes each); more are joined by shuffle.
 SENT_ROWS = 2_000_000
 
@@ -156,7 +158,12 @@ def gram_sets(docs: DataFrame, k: int) -> DataFrame:
 def overlapping(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those of ``pairs`` (a, b) that link: partial overlaps are counted per fragment and summed per pair."""
     left = sets.select(F.struct("id").alias("_ka"), F.col("n").alias("na"), "fragment", F.col("grams").alias("ga"))
-    right = sets.select(F.struct("id", "fragment").alias("_kb"), F.col("n").alias("nb"), F.col("grams").alias("gb"))
+    seconds = pairs.select(F.struct("b").alias("_b")).distinct()
+    if pairs.count() <= SENT_PAIRS:
+        pairs, seconds = F.broadcast(pairs), F.broadcast(seconds)
+    # Only the sets of second members travel, not all.
+    right = sets.withColumn("_i", F.struct(F.col("id").alias("b"))).join(seconds, F.col("_i") == F.col("_b"), "left_semi")
+    right = right.select(F.struct("id", "fragment").alias("_kb"), F.col("n").alias("nb"), F.col("grams").alias("gb"))
     cells = pairs.withColumn("_k", F.struct("a")).join(left, F.col("_k") == F.col("_ka")).withColumn("_k2", F.struct("b", "fragment")).join(right, F.col("_k2") == F.col("_kb"))
     parts = cells.select("a", "b", "na", "nb", F.size(F.array_intersect("ga", "gb")).cast("long").alias("part"))
     sums = parts.groupBy("a", "b", "na", "nb").agg(F.sum("part").alias("both"))
