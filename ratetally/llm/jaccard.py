@@ -134,25 +134,25 @@ def lonely(docs: DataFrame, k: int, percent: int) -> DataFrame:
 
 
 def gram_sets(docs: DataFrame, k: int) -> DataFrame:
-    """(id, check, n, fragment, grams): the n-gram set of every document, a row per fragment of the order.
+    """(id, n, fragment, grams): the n-gram set of every row (id, text) of ``docs``, a row per fragment of the order.
 
-    Every document also has one row with neither fragment nor grams.
+    Every document also has one row with neither fragment nor grams. Ids must not repeat.
     """
-    names = ["id", "check", "n", "fragment", "grams"]
+    names = ["id", "n", "fragment", "grams"]
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, checks = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-            for first, counts, hashes in chunks(batch.column(2), lower=True):
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            for first, counts, hashes in chunks(batch.column(1), lower=True):
                 owner, gram = sets_of(counts, hashes, k)
                 n = np.bincount(owner, minlength=len(counts)).astype("int64")
                 fragment = (gram >> np.uint64(64 - FRAGMENT_BITS)).astype("int64")
                 cell = np.flatnonzero(np.append(True, (np.diff(owner) != 0) | (np.diff(fragment) != 0))) if len(gram) else np.zeros(0, "int64")
                 lists = pa.ListArray.from_arrays(pa.array(np.append(cell, len(gram)), pa.int32()), pa.array(gram.view("int64")))
                 for at, place, grams_here in ((owner[cell], pa.array(fragment[cell], pa.int32()), lists), (np.arange(len(n)), pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.list_(pa.int64())))):
-                    yield pa.RecordBatch.from_arrays([*[pa.array(x) for x in (ids[first + at], checks[first + at], n[at])], place, grams_here], names=names)
+                    yield pa.RecordBatch.from_arrays([*[pa.array(x) for x in (ids[first + at], n[at])], place, grams_here], names=names)
 
-    return docs.mapInArrow(build, "id long, check long, n long, fragment int, grams array<long>")
+    return docs.mapInArrow(build, "id long, n long, fragment int, grams array<long>")
 
 
 def overlapping(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -247,10 +247,40 @@ def linked_sets(sets: DataFrame, percent: int) -> DataFrame:
 
 
 def only(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Rows of ``rows`` (_id, _check, …) that ``wanted`` (id, check) names. A short list is sent, a long one joined."""
-    if wanted.count() > SENT_ROWS:
-        return rows.join(wanted, (F.col("_id") == F.col("id")) & (F.col("_check") == F.col("check")), "left_semi")
-    return rows.join(F.broadcast(wanted), (F.col("_id") == F.col("id")) & (F.col("_check") == F.col("check")), "left_semi")
+    """(node, text) of the texts that ``wanted`` (_id, _check, _more, node, copies) names, each once.
+
+    A short list is sent, a long one joined. Only texts whose row occurs several times are grouped.
+    """
+    key = F.struct("_id", "_check", "_more")
+
+    def meet(some: DataFrame) -> DataFrame:
+        names = some.select(key.alias("_w"), "node")
+        return rows.withColumn("_k", key).join(F.broadcast(names) if sent else names, F.col("_k") == F.col("_w")).select("node", "_text")
+
+    sent = wanted.count() <= SENT_ROWS
+    if wanted.where("copies > 1").isEmpty():
+        return meet(wanted)
+    return meet(wanted.where("copies = 1")).unionByName(meet(wanted.where("copies > 1")).groupBy("node").agg(F.min("_text").alias("_text")))
+
+
+def linked_texts(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Rows (_id, _check, _more), lonely ones (id, check, n), the other distinct ones (_id, _check, _more, copies, head, node, n), links (a, b).
+
+    Every distinct text that may link is a node, numbered for itself: rows that repeat a text or an id add nothing
+    to its set. ``head`` is the smallest id of the text, ``copies`` the number of equal rows.
+    """
+    rows = keyed(docs, id_col, text_col, F.hash(F.coalesce(F.col(text_col), F.lit(""))).alias("_more"))
+    here = rows.select("_id", "_check", "_more")
+    out = stored(lonely(rows.select("_id", "_check", "_text"), k, percent))
+    counted = here.groupBy("_id", "_check", "_more").agg(F.count(F.lit(1)).alias("copies"))
+    left = counted.join(out.select(F.col("id").alias("_i"), F.col("check").alias("_c")), (F.col("_id") == F.col("_i")) & (F.col("_check") == F.col("_c")), "left_anti")
+    heads = stored(left.groupBy("_check", "_more").agg(F.min("_id").alias("head")).withColumn("node", F.monotonically_increasing_id()))
+    named = stored(left.join(heads.select(F.struct("_check", "_more").alias("_k"), "head", "node"), F.struct("_check", "_more") == F.col("_k")).drop("_k"))
+    sets = stored(gram_sets(only(rows, named.where("_id = head")), k))
+    links = linked_sets(sets.where("fragment IS NOT NULL").select("id", "n", "fragment", "grams"), percent)
+    size = sets.where("fragment IS NULL").select(F.struct(F.col("id").alias("node")).alias("_s"), "n")
+    sized = named.join(size, F.struct("node") == F.col("_s")).drop("_s")
+    return here, out, sized, links
 
 
 def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -263,18 +293,11 @@ def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "
     which has the links of each of its texts; null ids rank last and are one id. An empty table gives an empty
     result; other columns are ignored.
     """
-    rows = keyed(docs, id_col, text_col, F.hash(F.coalesce(F.col(text_col), F.lit(""))).alias("_more"))
-    here = rows.select("_id", "_check", "_more")
-    out = stored(lonely(rows.select("_id", "_check", "_text"), k, percent))
-    left = here.distinct().join(out.select(F.col("id").alias("_i"), F.col("check").alias("_c")), (F.col("_id") == F.col("_i")) & (F.col("_check") == F.col("_c")), "left_anti")
-    heads = left.groupBy("_check", "_more").agg(F.min("_id").alias("head"))
-    named = left.join(heads.select(F.struct("_check", "_more").alias("_k"), "head"), F.struct("_check", "_more") == F.col("_k")).select("_id", "_check", "head")
-    named = stored(named)
-    sets = stored(gram_sets(only(rows.select("_id", "_check", "_text"), named.where("_id = head").select(F.col("_id").alias("id"), F.col("_check").alias("check"))), k))
-    links = linked_sets(sets.where("fragment IS NOT NULL").select("id", "n", "fragment", "grams"), percent)
+    here, out, sized, links = linked_texts(docs, k, percent, id_col, text_col)
+    heads = sized.where("_id = head").select(F.struct("node").alias("_n"), "head")
+    for end in ("a", "b"):
+        links = links.withColumn("_k", F.struct(F.col(end).alias("node"))).join(heads, F.col("_k") == F.col("_n")).withColumn(end, F.col("head")).select("a", "b")
     # Texts without n-grams are no copies of each other.
-    size = sets.where("fragment IS NULL").select(F.struct(F.col("id").alias("head"), "check").alias("_s"), "n").distinct()
-    sized = named.join(size, F.struct("head", F.col("_check").alias("check")) == F.col("_s")).select("_id", "_check", "head", "n")
     group = components(links.unionByName(sized.where("n > 0 AND _id <> head").select(F.col("_id").alias("a"), F.col("head").alias("b"))))
     facts = out.unionByName(sized.select(F.col("_id").alias("id"), F.col("_check").alias("check"), "n"))
     facts = facts.join(group, facts["id"] == group["node"], "left").select(F.struct("id", "check").alias("_k"), "n", F.coalesce("component", "id").alias("component"))

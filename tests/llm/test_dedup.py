@@ -123,6 +123,19 @@ def test_jaccard_join_of_a_star_of_copies_and_repeated_rows(docs):
     assert jaccard_join(docs([])).count() == 0
 
 
+def test_jaccard_join_of_repeated_rows_and_of_ids_with_several_texts(docs):
+    words = lambda a, b: " ".join(f"w{i}" for i in range(a, b))
+    # Overlaps of a third to three quarters: they link only where the copies of a set are counted several times.
+    rows = [(1, words(0, 60)), (2, words(28, 88)), (3, words(1000, 1060)), (4, words(1009, 1069)), (4, words(1009, 1069)), (5, words(2000, 2060)), (6, words(2001, 2061))]
+    alone = {r[0]: tuple(r)[1:] for r in jaccard_join(docs(rows), 4, 85).collect()}
+    assert alone == {1: (57, 1), 2: (57, 2), 3: (57, 3), 4: (57, 4), 5: (57, 5), 6: (57, 5)}
+    twice = jaccard_join(docs(rows).union(docs(rows)), 4, 85).collect()
+    assert len(twice) == 2 * len(rows) and {r[0]: tuple(r)[1:] for r in twice} == alone
+    # Two texts of one id, of one length, each with half of another text: their overlaps are not one overlap.
+    halves = [(7, words(3000, 3031) + " " + words(4000, 4029)), (7, words(5000, 5029) + " " + words(3029, 3060)), (8, words(3000, 3060))]
+    assert {r[0]: r["component_id"] for r in jaccard_join(docs(halves), 4, 85).collect()} == {7: 7, 8: 8}
+
+
 def brute_substrings(rows, window):
     first = {}
     for i, t in sorted(rows):
