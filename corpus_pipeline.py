@@ -7,12 +7,13 @@ import uuid
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from ratetally.llm.common import WORD, word_count
-from ratetally.llm.jaccard import jaccard_join
+from ratetally.llm.common import WORD, stored, word_count
+from ratetally.llm.jaccard import SENT_ROWS, near_copies
 from ratetally.llm.lines import line_dedup
 from ratetally.llm.mixing import mix
 from ratetally.llm.packing import pack_documents
 from ratetally.llm.quality import score, train
+from ratetally.llm.substrings import keyed
 from ratetally.operators.spread import shared_folder
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -32,11 +33,28 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of every group of near duplicates; of rows that share an id, one."""
-    stay = jaccard_join(docs).where("doc_id <=> component_id").select(F.col("doc_id").alias("_stays")).distinct()
-    one = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "n_chars", "source", "lang")
-    kept = docs.select(COLUMNS).join(stay, F.col("doc_id").eqNullSafe(F.col("_stays")), "left_semi")
-    return kept.withColumn("_one", F.row_number().over(one)).where("_one = 1").select(COLUMNS)
+    """Of every group of near duplicate texts the row of the smallest id, null last; rows of no group all stay.
+
+    Rows are told apart by id and text: different texts that share or lack an id are documents of their own. Of equal
+    rows of a group one stays. Texts without words have no near duplicates.
+    """
+    marked = stored(near_copies(docs.select(COLUMNS)))
+    more = F.hash(F.coalesce(F.col("text"), F.lit(""))).alias("_more")
+    rows = keyed(docs, "doc_id", "text", more, *COLUMNS).withColumn("_row", F.struct("_id", "_check", "_more"))
+
+    def named(some: DataFrame) -> DataFrame:
+        return F.broadcast(some.select("_key")) if some.count() <= SENT_ROWS else some.select("_key")
+
+    met = F.col("_row") == F.col("_key")
+    kept = rows.join(named(marked.where("NOT first")), met, "left_anti")
+    repeated = marked.where("first AND copies > 1")
+    if repeated.isEmpty():
+        return kept.select(COLUMNS)
+    repeated = named(repeated)
+    # Spark cuts the equal rows down to one a task before they are shuffled.
+    one = Window.partitionBy("_row").orderBy("n_chars", "source", "lang")
+    single = kept.join(repeated, met, "left_semi").withColumn("_one", F.row_number().over(one)).where("_one = 1")
+    return kept.join(repeated, met, "left_anti").select(COLUMNS).unionByName(single.select(COLUMNS))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -283,6 +283,21 @@ def linked_texts(docs: DataFrame, k: int, percent: int, id_col: str, text_col: s
     return here, out, sized, links
 
 
+def near_copies(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(_key, copies, first) of the distinct rows (id, text) whose text has n-grams and is not certainly alone.
+
+    Texts are linked as in ``jaccard_join``, but no two are one because their rows share or lack an id. ``first`` is
+    true for the row of every group of linked texts with the smallest id (null last; then by hashes of the text).
+    ``_key`` is a struct of the first columns of ``keyed`` and the text's hash ``_more``.
+    """
+    _, _, sized, links = linked_texts(docs, k, percent, id_col, text_col)
+    group = components(links).select(F.struct("node").alias("_n"), "component")
+    named = sized.where("n > 0").join(group, F.struct("node") == F.col("_n"), "left")
+    named = named.select(F.struct("_id", "_check", "_more").alias("_key"), "copies", F.coalesce("component", "node").alias("component"))
+    lead = named.groupBy("component").agg(F.min("_key").alias("_lead")).select(F.struct("component").alias("_c"), "_lead")
+    return named.join(lead, F.struct("component") == F.col("_c")).select("_key", "copies", (F.col("_key") == F.col("_lead")).alias("first"))
+
+
 def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, n_shingles, component_id (smallest id reachable by links, itself included).
 

@@ -196,6 +196,20 @@ def test_url_filter(spark):
     assert {r["verdict"] for r in filter_urls(pages.where("page_id < 4"), queries.LISTED_URLS).collect()} == {"allow"}
 
 
+def test_near_duplicates_of_rows_that_share_or_lack_ids(spark):
+    words = lambda a, b: " ".join(f"w{i}" for i in range(a, b))
+    stay = [(None, words(0, 60)), (None, words(100, 160)), (5, words(200, 260)), (5, words(300, 360)), (1, words(500, 560)), (7, ""), (7, ""), (None, None)]
+    go = [(None, words(501, 561)), (9, words(502, 562)), (None, words(101, 161) + " x")]
+    rows = stay + [(1, words(500, 560)), (5, words(200, 260))] + go[:2]
+    table = lambda some: spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in some], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.near_duplicates(spark, table(rows), SMALL).collect()
+    assert sorted(((r["doc_id"], r["text"]) for r in got), key=str) == sorted(stay, key=str)
+    # A text without an id that is like one with an id goes alone.
+    got = corpus_pipeline.near_duplicates(spark, table(stay[:2] + [(3, go[2][1])]), SMALL).collect()
+    assert sorted(((r["doc_id"], r["text"]) for r in got), key=str) == sorted([stay[0], (3, go[2][1])], key=str)
+    assert corpus_pipeline.near_duplicates(spark, table([]), SMALL).count() == 0
+
+
 def test_pipeline_stages(spark, tmp_path):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     columns = docs.columns
