@@ -19,13 +19,17 @@ REMEMBERED = 1_200_000
 # Texts whose new words are encoded together.
 TEXTS = 64
 MARKS = b".,;:!?"
+# Special tokens start so.
+SPECIAL = "<|"
 
 
 class WordEncoder(dict):
-    """Bytes of a word in lower case to the bytes of its ids.
+    """Bytes of a word to the bytes of its ids.
 
-    The vocabulary is for lower case, never joins what white space parts, and parts letters from marks. So a word
-    can be encoded by itself, and a mark after a letter apart from the word.
+    The vocabulary never joins what white space parts, and parts letters from marks. So a word can be encoded by
+    itself, and a mark after a letter apart from the word. Words are kept as they are written: composing comes before
+    lower case, and special tokens are found before both. Only ASCII texts that cannot hold such a token, which
+    nothing composes, are lower-cased at once to have fewer words.
     """
 
     def __init__(self, path: str):
@@ -37,7 +41,7 @@ class WordEncoder(dict):
         stems = {}
         for word in words:
             stem = word.rstrip(MARKS)
-            if len(stem) < len(word) and stem and 97 <= stem[-1] <= 122:
+            if len(stem) < len(word) and stem and (97 <= stem[-1] <= 122 or 65 <= stem[-1] <= 90):
                 stems[word] = stem, word[len(stem) :]
         new = [part for part in {part for word in words for part in stems.get(word, (word,))} if part not in self]
         for word, got in zip(new, self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)):
@@ -47,7 +51,7 @@ class WordEncoder(dict):
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """Little-endian unsigned 32-bit ids of every whole text."""
-        split = [text.encode().lower().split() for text in texts]
+        split = [(text.lower() if text.isascii() and SPECIAL not in text else text).encode().split() for text in texts]
         words = set().union(*split)
         if len(self) > REMEMBERED:
             self.clear()

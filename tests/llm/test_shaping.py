@@ -13,7 +13,7 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from ratetally.llm import quality, queries
 from ratetally.llm.mixing import mix
-from ratetally.llm.packing import best_fit, pack_documents
+from ratetally.llm.packing import WordEncoder, best_fit, pack_documents
 from ratetally.llm.tokens import allot, section_tokens
 from ratetally.llm.urlrules import filter_urls
 
@@ -110,6 +110,17 @@ def test_packing_is_an_exact_cover(spark, docs):
     assert pack_documents(docs([]), WORD_BPE).count() == 0
 
 
+def test_ids_are_those_of_the_whole_text():
+    tokenizer = Tokenizer.from_file(WORD_BPE)
+    texts = ["<|ENDOFTEXT|> x", "<|endoftext|> X", "A<|endoftext|>.B <|StartOfText|>, <|startoftext|>", "T\u0308 a", "J\u030c, H\u0331! W\u030a Y\u030a.", "ΟΔΟΣ. ΣΑΣ", "İI I\u0307", "\u1e9e K Å", "IT'S It's\x0bA\x0cB\x1fC\x85D\u00a0E \u0301x", "The THE the ÜBER Über, Über", "x\u2028Y \ufeffZ", "Don'T 'S DON'T! É E\u0301 ."]
+    rng = random.Random(6)
+    parts = ["<|", "|>", "endoftext", "ENDOFTEXT", "T", "J", "a", "B", "'S", "'t", ".", ",!", " ", "\n", "\t", "\u0308", "\u030c", "\u0338", "<", "É", "Σ", "3", "\x0b", "\u3000", "İ"]
+    texts += ["".join(rng.choices(parts, k=rng.randrange(1, 14))) for _ in range(3000)]
+    got = WordEncoder(WORD_BPE).encode(texts)
+    wrong = [t for t, ids in zip(texts, got) if np.frombuffer(ids, "<u4").tolist() != tokenizer.encode(t, add_special_tokens=False).ids]
+    assert wrong == []
+
+
 def test_mix_reaches_its_targets(spark):
     rng = random.Random(4)
     rows = [(i, rng.choice(["a", "b", "c", None, "é", "tiny"]), rng.choice([0, 1, 5, 300, None])) for i in range(400)] + [(7, "a", 5), (7, "a", 5), (None, "b", 5), (900, "zero", 0)]
