@@ -12,6 +12,7 @@ from ratetally.llm.lines import line_dedup
 from ratetally.llm.mixing import mix
 from ratetally.llm.packing import pack_documents
 from ratetally.llm.quality import score, train
+from ratetally.llm.spelling import spelling_groups, vocabulary
 from ratetally.llm.substrings import substring_dedup
 from ratetally.llm.tokens import section_tokens
 from ratetally.llm.urlrules import filter_urls
@@ -110,8 +111,48 @@ def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return with_digest(line_dedup(table(spark, folder, "documents")))
 
 
+def op11_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling_groups(vocabulary(table(spark, folder, "documents"), every=31))
+
+
+OP11_SQL = r"""
+WITH RECURSIVE crc AS (
+  SELECT list(v ORDER BY i) AS t FROM (
+    SELECT i, list_reduce(list_prepend(i, range(8)), lambda x, y: xor(x >> 1, 3988292384 * (x & 1))) AS v FROM range(256) r(i))),
+runs AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{00C0}-\x{00FF}]+')) AS run
+  FROM documents),
+counted AS (SELECT doc_id, run, count(*) AS k FROM runs WHERE length(run) >= 7 GROUP BY ALL),
+bytes AS (
+  SELECT run, k, flatten(list_transform(string_split(concat(doc_id::VARCHAR, ':', run), ''),
+    lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)] ELSE [192 | (unicode(c) >> 6), 128 | (unicode(c) & 63)] END))::BIGINT[] AS b
+  FROM counted),
+hashed AS (
+  SELECT run, k, xor(4294967295, list_reduce(list_prepend(4294967295, b), lambda x, y: xor(x >> 8, t[1 + (xor(x, y) & 255)]))) AS h FROM bytes, crc),
+words AS (
+  SELECT word, sum(k)::BIGINT AS n FROM (
+    SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, k FROM hashed)
+  WHERE length(word) >= 7 GROUP BY word HAVING sum(k) >= 2),
+cut AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words)),
+pairs AS (
+  SELECT a.word, b.word AS near, b.n AS near_n FROM cut a JOIN cut b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM cut a JOIN words b ON a.rest = b.word
+  UNION SELECT b.word, a.word, a.n FROM cut a JOIN words b ON a.rest = b.word),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY word ORDER BY near_n DESC, near) AS r, count(*) OVER (PARTITION BY word) AS c FROM pairs),
+formed AS (
+  SELECT w.word, w.n, coalesce(r.c, 0)::BIGINT AS n_near, CASE WHEN r.near_n >= 10 * w.n THEN r.near END AS form,
+    CASE WHEN r.near_n >= 10 * w.n THEN r.near_n END::BIGINT AS form_n
+  FROM words w LEFT JOIN ranked r ON w.word = r.word AND r.r = 1),
+walk AS (
+  SELECT word, form AS root FROM formed WHERE form IS NOT NULL
+  UNION ALL SELECT walk.word, f.form FROM walk JOIN formed f ON walk.root = f.word WHERE f.form IS NOT NULL),
+ends AS (SELECT walk.word, walk.root FROM walk JOIN formed f ON walk.root = f.word WHERE f.form IS NULL)
+SELECT f.*, coalesce(e.root, f.word) AS root FROM formed f LEFT JOIN ends e ON f.word = e.word
+"""
+
+
 QUERIES = {f.__name__: f for f in (
     op1_exact_dedup, op2_quality_classifier, op3_ngram_jaccard, op4_embedding_near_dedup, op5_substring_dedup,
-    op6_packing, op7_mixing, op8_token_counts, op9_url_filter, op10_line_dedup,
+    op6_packing, op7_mixing, op8_token_counts, op9_url_filter, op10_line_dedup, op11_spelling_variants,
 )}
-SQL = {"op1_exact_dedup": OP1_SQL, "op7_mixing": OP7_SQL}
+SQL = {"op1_exact_dedup": OP1_SQL, "op7_mixing": OP7_SQL, "op11_spelling_variants": OP11_SQL}
