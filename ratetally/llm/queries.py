@@ -10,6 +10,7 @@ from ratetally.llm.exact import exact_dedup
 from ratetally.llm.jaccard import jaccard_join
 from ratetally.llm.lines import line_dedup
 from ratetally.llm.mixing import mix
+from ratetally.llm.negatives import hard_negatives
 from ratetally.llm.packing import pack_documents
 from ratetally.llm.quality import score, train
 from ratetally.llm.spelling import spelling_groups, vocabulary
@@ -151,8 +152,33 @@ SELECT f.*, coalesce(e.root, f.word) AS root FROM formed f LEFT JOIN ends e ON f
 """
 
 
+def op13_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(table(spark, folder, "embeddings").withColumn("label", moved), F.col("vec_id") % 100 == 0)
+
+
+OP13_SQL = """
+WITH sound AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS other, a.label = b.label AS same, list_inner_product(a.v, b.v)::BIGINT AS score
+  FROM sound a JOIN sound b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)),
+positive AS (
+  SELECT anchor_id, other AS positive_id, score AS positive_score FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5)
+SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other)::INT AS rank,
+  other AS negative_id, positive_score, score AS negative_score
+FROM scored JOIN positive USING (anchor_id)
+WHERE NOT same AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+QUALIFY row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other) <= 10
+"""
+
+
 QUERIES = {f.__name__: f for f in (
     op1_exact_dedup, op2_quality_classifier, op3_ngram_jaccard, op4_embedding_near_dedup, op5_substring_dedup,
-    op6_packing, op7_mixing, op8_token_counts, op9_url_filter, op10_line_dedup, op11_spelling_variants,
+    op6_packing, op7_mixing, op8_token_counts, op9_url_filter, op10_line_dedup, op11_spelling_variants, op13_hard_negatives,
 )}
-SQL = {"op1_exact_dedup": OP1_SQL, "op7_mixing": OP7_SQL, "op11_spelling_variants": OP11_SQL}
+SQL = {"op1_exact_dedup": OP1_SQL, "op7_mixing": OP7_SQL, "op11_spelling_variants": OP11_SQL, "op13_hard_negatives": OP13_SQL}
