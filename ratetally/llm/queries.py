@@ -15,6 +15,7 @@ from ratetally.llm.packing import pack_documents
 from ratetally.llm.quality import score, train
 from ratetally.llm.spelling import spelling_groups, vocabulary
 from ratetally.llm.substrings import substring_dedup
+from ratetally.llm.suffixes import text_dedup
 from ratetally.llm.tokens import section_tokens
 from ratetally.llm.urlrules import filter_urls
 from ratetally.llm.vectors import near_vectors
@@ -152,6 +153,11 @@ SELECT f.*, coalesce(e.root, f.word) AS root FROM formed f LEFT JOIN ends e ON f
 """
 
 
+def op12_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    out = text_dedup(table(spark, folder, "documents"), window=100)
+    return out.withColumn("kept_sha256", F.sha2("kept", 256)).drop("kept")
+
+
 def op13_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
     moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return hard_negatives(table(spark, folder, "embeddings").withColumn("label", moved), F.col("vec_id") % 100 == 0)
@@ -179,6 +185,7 @@ QUALIFY row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DE
 
 QUERIES = {f.__name__: f for f in (
     op1_exact_dedup, op2_quality_classifier, op3_ngram_jaccard, op4_embedding_near_dedup, op5_substring_dedup,
-    op6_packing, op7_mixing, op8_token_counts, op9_url_filter, op10_line_dedup, op11_spelling_variants, op13_hard_negatives,
+    op6_packing, op7_mixing, op8_token_counts, op9_url_filter, op10_line_dedup, op11_spelling_variants, op12_suffix_array_dedup,
+    op13_hard_negatives,
 )}
 SQL = {"op1_exact_dedup": OP1_SQL, "op7_mixing": OP7_SQL, "op11_spelling_variants": OP11_SQL, "op13_hard_negatives": OP13_SQL}
