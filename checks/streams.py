@@ -28,7 +28,7 @@ def stream_of_distinct_events(spark, sf):
 
 @check(f"WITH {REG} SELECT state_code, logical_schedule_key, content_sha256, min(artifact_id) AS artifact_id FROM c GROUP BY ALL")
 def stream_of_contents_once(spark, sf):
-    """Repeats in one batch, in other batches and after a restart: all versions come twice, in many files and two runs."""
+    """Repeats in one batch, in other batches and after a restart: all versions come twice, in eight batches and two runs."""
     folder = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
     keys = ["state_code", "logical_schedule_key", "content_sha256"]
     rows = registry(spark, sf).select("artifact_id", *keys)
@@ -37,7 +37,7 @@ def stream_of_contents_once(spark, sf):
     for run in range(2):
         new = rows.where(F.col("artifact_id") <= middle) if run == 0 else rows
         new.repartition(4).write.mode("append").parquet(f"{folder}/in")
-        events = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 4).parquet(f"{folder}/in")
+        events = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
         fetches.stream_once(events, keys, f"{folder}/out", f"{folder}/log", order=["artifact_id"]).awaitTermination()
     return fetches.read_once(spark, f"{folder}/out")
 
@@ -46,7 +46,7 @@ def stream_of_contents_once(spark, sf):
 def stream_of_current_versions(spark, sf):
     folder = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
     rows = registry(spark, sf).select("artifact_id", "state_code", "logical_schedule_key", "content_sha256", "portal_effective_date", "fetched_at_utc", "is_superseded_hint")
-    rows.repartition(4).write.parquet(f"{folder}/in")
+    rows.repartition(5).write.parquet(f"{folder}/in")
     versions = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
-    fetches.stream_current(versions, f"{folder}/out", f"{folder}/log", compact_every=2).awaitTermination()
+    fetches.stream_current(versions, f"{folder}/out", f"{folder}/log", compact_every=2, buckets=16).awaitTermination()
     return fetches.read_current(spark, f"{folder}/out").select("state_code", "logical_schedule_key", "artifact_id", "content_sha256")
