@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ratetally.functions import dates, urls
 from ratetally.functions.jsontext import distinct_map
 from ratetally.functions.text import bind, norm_catalog_value, slug, strip, text
+from ratetally.operators.contained import contained_or_containing
 from ratetally.operators.spread import attach, cut_lineage, first_per_group, lookup_join, top_per_group
 
 # Weights of phrases in a link that may lead to rates.
@@ -421,14 +422,14 @@ def row_fingerprint(cells: Column, unicode_forms: bool = False) -> Column:
     return F.sha2(F.to_json(F.array_sort(F.filter(pairs, lambda p: (p["v"] != "") & ~p["k"].startswith("_links")))), 256)
 
 
-def link_rows(a: DataFrame, b: DataFrame, gram: int = 4) -> DataFrame:
+def link_rows(a: DataFrame, b: DataFrame) -> DataFrame:
     """Rows of ``b`` (b_id, fingerprint, token, title) linked to rows of ``a`` (a_id, fingerprint, token, title).
 
     First by fingerprint. What is left on both sides links by title under the same token (or no token on
     the a side): an equal title if exactly one row has it, else a title that contains or is contained in
-    the other one if exactly one row has such a title. Contained titles are found through the rarest of
-    their ``gram``-letter pieces, on distinct titles with counts; groups of equal rows are never paired
-    up with each other. Titles only ever meet under one token. The sides are read once; titles are stored.
+    the other one if exactly one row has such a title. Contained titles are found by an index of all titles of a
+    token along which the others run, on distinct titles with counts; see ``contained_or_containing``. Groups of equal rows
+    are never paired up with each other. Titles only ever meet under one token. The sides are read once; titles are stored.
     """
     one = a.groupBy("fingerprint").agg(F.max("a_id").alias("a_id"))
     by_print = cut_lineage(lookup_join(b, one, ["fingerprint"], "_hit"))
@@ -447,36 +448,7 @@ def link_rows(a: DataFrame, b: DataFrame, gram: int = 4) -> DataFrame:
     same = cut_lineage(hits(same.select("token", "title", "n", "a_id")))
     open_titles = same.where("n IS NULL").select("token", "title").withColumn("scope", scopes)
 
-    def cut(df, lengths):
-        """Pieces of a text; ``lengths`` maps the text length to the piece lengths taken."""
-        grams = F.flatten(F.transform(
-            lengths(F.length("title")),
-            lambda g: F.transform(F.sequence(F.lit(1), F.greatest(F.length("title") - g + 1, F.lit(1))), lambda i: F.substr(F.col("title"), i, g)),
-        ))
-        return df.withColumn("piece", F.explode(F.array_distinct(grams)))
-
-    # A contained title is known by pieces of ``gram`` letters (all of it when shorter), a containing one by all pieces up to that.
-    as_part = lambda df: cut(df, lambda n: F.array(F.least(n, F.lit(gram))))
-    as_whole = lambda df: cut(df, lambda n: F.sequence(F.lit(1), F.least(n, F.lit(gram))))
-    a_titles = titles.select("scope", "title")
-    b_titles = open_titles.select("scope", "title").distinct()
-    b_titles = cut_lineage(b_titles.join(a_titles.select("scope").distinct(), "scope", "left_semi"))
-    a_pieces, b_pieces = cut_lineage(as_whole(a_titles)), cut_lineage(as_whole(b_titles))
-
-    def inside(parts, wholes):
-        """(scope, part, whole): texts met under the piece of the part that the fewest wholes hold."""
-        freq = wholes.groupBy("scope", "piece").agg(F.count(F.lit(1)).alias("f"))
-        best = as_part(parts).join(freq, ["scope", "piece"], "left").groupBy("scope", "title").agg(F.min(F.struct(F.coalesce("f", F.lit(0)).alias("f"), "piece")).alias("m"))
-        best = best.where("m.f > 0").select("scope", F.col("title").alias("part"), F.col("m.piece").alias("piece"))
-        met = best.join(wholes.withColumnRenamed("title", "whole"), ["scope", "piece"])
-        return met.where(F.col("whole").contains(F.col("part"))).select("scope", "part", "whole")
-
-    near = inside(a_titles, b_pieces).select("scope", F.col("whole").alias("title"), F.col("part").alias("a_title")).unionAll(
-        inside(b_titles, a_pieces).select("scope", F.col("part").alias("title"), F.col("whole").alias("a_title"))
-    ).distinct()
-    # One count and one id per text of the b side before its rows are looked at.
-    left = titles.withColumnRenamed("title", "a_title")
-    near = near.join(left, ["scope", "a_title"]).groupBy("scope", "title").agg(F.sum("n").alias("n"), F.min("a_id").alias("a_id"))
+    near = contained_or_containing(open_titles.select("scope", "title").distinct(), titles)
     part = hits(open_titles.join(near, ["scope", "title"]).select("token", "title", "n", "a_id"))
     found = same.where("n = 1").withColumn("how", F.lit("title")).unionByName(part.where("n = 1").withColumn("how", F.lit("contained")))
     linked = lookup_join(rest_b, found.select("token", "title", "a_id", "how"), ["title", "token"], "_hit").where("_hit IS NOT NULL")

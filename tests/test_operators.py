@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from ratetally.operators import compare as c, frontier, grids, jsoncols, links, registry as reg, spread, versions as v
+from ratetally.operators import contained, compare as c, frontier, grids, jsoncols, links, registry as reg, spread, versions as v
 from ratetally.plans.compare_run import compare_run
 
 MAP = {"Code": "CODE", "Rate": "FAC", "Mod": "MOD"}
@@ -304,3 +304,23 @@ def test_short_titles_on_both_sides_link_under_their_token_only(frame):
         frame(a, "a_id long, fingerprint string, token string, title string"), frame(b, "b_id long, fingerprint string, token string, title string"))
     got = {(r["b_id"], r["a_id"]) for r in out.collect()}
     assert got == {(i, i % 300) for i in range(3000)} | {(9000, 900)}
+
+
+def test_one_letter_titles_on_both_sides_stay_linear(frame, monkeypatch):
+    """Every row enters each direction once where a token fits one index; cut into parts and blocks the result is the same."""
+    rnd = random.Random(3)
+    a = [(i, f"fa{i}", "t", rnd.choice(["a", "b", f"{rnd.choice('xyz')} a {i}", f"w{i} b"]) if i else "q") for i in range(400)]
+    b = [(i, f"fb{i}", "t", rnd.choice(["x", "w", f"q {i}", f"q{rnd.choice('uv')}{i}", f"a {i}"])) for i in range(400)]
+    schema = "_id long, fingerprint string, token string, title string"
+    run = lambda: {(r["b_id"], r["a_id"], r["how"]) for r in links.link_rows(frame(a, "a" + schema), frame(b, "b" + schema)).collect()}
+    pool = lambda t: [x for x, _, _, s in a if s in t or t in s]
+    same = lambda t: [x for x, _, _, s in a if s == t]
+    want = {(i, pool(t)[0], "contained") for i, _, _, t in b if not same(t) and len(pool(t)) == 1} | {(i, same(t)[0], "title") for i, _, _, t in b if len(same(t)) == 1}
+    assert run() == want and any(how == "contained" for *_, how in want)
+    known = frame([("t", t, 1, i, False) for t, i in {t: i for i, _, _, t in a}.items()], "scope string, title string, n long, a_id long, asks boolean")
+    asked = frame([("t", t, None, None, True) for t in {t for *_, t in b}], known.schema)
+    both = known.unionByName(asked)
+    assert [contained.dealt(both, d).count() for d in (True, False)] == [both.count()] * 2
+    monkeypatch.setattr(contained, "PATTERN_CHARS", 100)
+    monkeypatch.setattr(contained, "TEXT_CHARS", 300)
+    assert run() == want
