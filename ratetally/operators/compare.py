@@ -10,8 +10,11 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ratetally.functions.cells import comparisons, display, field_diffs
 from ratetally.functions.names import left_for_right, mapped_pairs, parse_mapping, pick_modifier, resolve_column
 from ratetally.functions.text import norm_key
-from ratetally.operators.spread import GROUP_LIMIT, lookup_join, ranked_per_group, top_per_group
+from ratetally.operators.spread import GROUP_LIMIT, heavy_keys, lookup_join, ranked_per_group, top_per_group
 
+# Left rows of one key from which on they are spread over so many groups.
+HEAVY_ROWS = 1_000_000
+SALTS = 64
 STATUSES = ["mismatch", "left_only", "right_only", "match"]
 NO_MODIFIER = (
     "The same code appears on several rows. Map a left modifier column to MOD (or MOD 1, MOD 2, …), "
@@ -26,11 +29,16 @@ def key_counts(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def has_duplicates(*sides: tuple[DataFrame, Column]) -> DataFrame:
     """One row, one column: does any non-blank normalised key repeat on any of the given sides?"""
+    return most_rows(*sides).select(F.coalesce(F.greatest("left", "right") > 1, F.lit(False)).alias("duplicated"))
+
+
+def most_rows(*sides: tuple[DataFrame, Column]) -> DataFrame:
+    """One row: the most rows of a non-blank normalised key on the first side and on the others, null where there is none."""
     counts = None
-    for df, key in sides:
-        c = key_counts(df.select(norm_key(key).alias("_key")).where("_key <> ''"), ["_key"]).select("n_rows")
+    for n, (df, key) in enumerate(sides):
+        c = key_counts(df.select(norm_key(key).alias("_key")).where("_key <> ''"), ["_key"]).select("n_rows", F.lit(n == 0).alias("first"))
         counts = c if counts is None else counts.unionAll(c)
-    return counts.agg(F.coalesce(F.max("n_rows") > 1, F.lit(False)).alias("duplicated"))
+    return counts.agg(F.max(F.when(F.col("first"), F.col("n_rows"))).alias("left"), F.max(F.when(~F.col("first"), F.col("n_rows"))).alias("right"))
 
 
 @dataclass(frozen=True)
@@ -56,42 +64,52 @@ def _shared_keys(left, right, mapping, code, mode):
     for need in (code_left, modifier and modifier[0]):
         if need and need not in left.columns:
             raise ValueError(f"The left side has no column {need!r} from the mapping.")
-    if mode == "code":
-        use_mod = False
-    elif mode == "code_and_modifier":
-        if modifier is None:
-            raise ValueError(NO_MODIFIER)
-        use_mod = True
-    elif mode == "auto":
-        use_mod = has_duplicates((left, F.col(f"`{code_left}`")), (right, F.col(f"`{code_right}`"))).first()[0]
-    else:
+    if mode not in ("code", "code_and_modifier", "auto"):
         raise ValueError(f"Unknown mode {mode!r}")
-    return code_left, code_right, modifier, use_mod
+    sides = [(left, F.col(f"`{code_left}`")), (right, F.col(f"`{code_right}`"))]
+    on_left, on_right = most_rows(*(sides if mode == "auto" else sides[:1])).first()
+    use_mod = mode == "code_and_modifier" or mode == "auto" and max(on_left or 0, on_right or 0) > 1
+    if use_mod and modifier is None:
+        raise ValueError(NO_MODIFIER)
+    return code_left, code_right, modifier, use_mod, (on_left or 0) >= HEAVY_ROWS
 
 
 def _with_keys(df, code, modifier, use_mod):
     key = lambda c: norm_key(F.col(f"`{c}`"), df.schema[c].dataType)
     code_key = key(code)
-    if modifier is None:
-        if use_mod:
-            raise ValueError(NO_MODIFIER)
-        mod_key = F.lit("")
-    else:
-        mod_key = key(modifier) if use_mod else F.lit("")
-    return df.withColumn("_code", code_key).where(F.col("_code") != "").withColumn("_mod", mod_key)
+    keyed = df.withColumn("_code", code_key).where(F.col("_code") != "")
+    return keyed.withColumn("_mod", key(modifier)) if use_mod else keyed
 
 
 def first_right_rows(right: DataFrame, keys: Sequence[str], order: Sequence[str], columns: Sequence[str]) -> DataFrame:
-    """First row per key as the struct ``first`` and the number of rows of the key.
+    """First row per key as the struct ``first`` and the number of rows of the key, by one aggregate.
 
-    Each task sends one row and one count per key at most, so a key with very many rows is no burden. Rows that
+    Each task sends one row per key at most, so a key with very many rows is no burden. Rows that
     ``order`` does not tell apart are ordered by their other columns.
     """
     ties = [c for c in columns if not right.schema[c].dataType.simpleString().startswith(("map", "variant"))]
-    w = Window.partitionBy(*keys).orderBy(*[F.col(f"`{c}`") for c in [*order, *ties]])
-    first = right.withColumn("_rn", F.row_number().over(w)).where("_rn = 1")
-    first = first.select(*keys, F.struct(*[F.col(f"`{c}`") for c in columns]).alias("first"))
-    return first.join(right.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows")), list(keys))
+    place = F.struct(*[F.col(f"`{c}`").alias(f"o{i}") for i, c in enumerate([*order, *ties])])
+    row = F.struct(*[F.col(f"`{c}`") for c in columns])
+    return right.groupBy(*keys).agg(F.min_by(row, place).alias("first"), F.count(F.lit(1)).alias("n_rows"))
+
+
+def outer_lookup(left: DataFrame, firsts: DataFrame, keys: Sequence[str], heavy: DataFrame | None = None) -> DataFrame:
+    """All left rows with what ``firsts``, unique on ``keys``, holds for their key, and the rows of ``firsts`` that no left row meets.
+
+    One full outer join: the aggregate that made ``firsts`` has dealt its rows by the keys already, so each side is
+    shuffled once. ``_left`` tells whether there is a left row. Left rows of the ``heavy`` keys, at most
+    ``MAX_HEAVY``, follow their input partitions into ``SALTS`` groups, each with a copy of the row they look up.
+    """
+    keys = list(keys)
+    if heavy is None:
+        return left.withColumn("_left", F.lit(True)).join(firsts, keys, "full_outer")
+    named = F.broadcast(heavy.select(*keys, F.lit(True).alias("_heavy")))
+    spread = left.join(named, keys, "left").withColumn("_salt", F.when(F.col("_heavy"), F.pmod(F.spark_partition_id(), F.lit(SALTS))).otherwise(0)).drop("_heavy")
+    copies = F.when(F.col("_heavy"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    copied = firsts.join(named, keys, "left").withColumn("_salt", F.explode(copies))
+    met = spread.withColumn("_left", F.lit(True)).join(copied, [*keys, "_salt"], "full_outer")
+    # A heavy key has left rows; a copy that met none of them is no row of its own.
+    return met.where(F.col("_left").isNotNull() | F.col("_heavy").isNull()).drop("_heavy", "_salt")
 
 
 def reconcile(
@@ -111,7 +129,8 @@ def reconcile(
 
     ``mapping`` pairs left columns with right columns. Rows join on the normalised code, or on code and
     modifier: ``mode`` is ``code``, ``code_and_modifier`` or ``auto`` (modifier when any code repeats on
-    either side, which is counted once, at the call). Rows with a blank code take no part. A left row meets the first right row of its key in
+    either side). The rows per code are counted at the call, by a job over the codes alone: ``auto`` decides by it, and
+    left codes of ``HEAVY_ROWS`` rows are spread. Rows with a blank code take no part. A left row meets the first right row of its key in
     ``right_order``; further right rows of a matched key are not reported. Result columns: status
     (match, mismatch, left_only, right_only), code, modifier, diffs (one struct per pair), diff_count,
     right_group_rows (rows of the right key), the ``keep_left`` columns, and with ``images`` both rows as
@@ -121,8 +140,8 @@ def reconcile(
     if not mapping:
         raise ValueError("The mapping is empty.")
     pairs = mapped_pairs(mapping, right.columns)
-    code_left, code_right, modifier, use_mod = _shared_keys(left, right, mapping, code, mode)
-    keys = ["_code", "_mod"]
+    code_left, code_right, modifier, use_mod, crowded = _shared_keys(left, right, mapping, code, mode)
+    keys = ["_code", "_mod"] if use_mod else ["_code"]
 
     right_cols = list(right.columns) if images else list(
         dict.fromkeys([code_right, *([modifier[1]] if modifier else []), *[r for _, r in pairs]])
@@ -134,57 +153,39 @@ def reconcile(
     )
     lk = _with_keys(left, code_left, modifier and modifier[0], use_mod).select(*keys, *[F.col(f"`{c}`") for c in left_cols])
     rk = _with_keys(right, code_right, modifier and modifier[1], use_mod)
-    firsts = first_right_rows(rk, keys, right_order, right_cols)
-
-    def assemble(df, has_left, has_right):
-        def lcell(c):
-            return F.col(f"`{c}`") if has_left and c in left_cols else F.lit(None).cast("string")
-
-        def rcell(c):
-            return F.col("_right")[c] if has_right else F.lit(None).cast("string")
-
-        ltype = lambda c: left.schema[c].dataType if has_left and c in left_cols else None
-        rtype = lambda c: right.schema[c].dataType if has_right else None
-        # The array is one column that is computed once; status and count read it. (As columns of their own the
-        # comparisons are repeated by the optimizer wherever they are used.)
-        out = df.withColumn("_diffs", field_diffs(pairs, comparisons(pairs, lcell, rcell, numeric_mode, profile, ltype, rtype)))
-        out = out.withColumn("_n", F.size(F.filter("_diffs", lambda d: ~d["same"])))
-        if has_left:
-            status = F.when(F.col("_right").isNull(), "left_only").when(F.col("_n") == 0, "match").otherwise("mismatch")
-            shown = (F.col(f"`{code_left}`"), F.col(f"`{modifier[0]}`") if modifier else F.lit(None))
-        else:
-            status = F.lit("right_only")
-            shown = (F.col("_right")[code_right], F.col("_right")[modifier[1]] if modifier else F.lit(None))
-        cols = [
-            status.alias("status"),
-            shown[0].cast("string").alias("code"),
-            (shown[1] if use_mod else F.lit(None)).cast("string").alias("modifier"),
-            F.col("_diffs").alias("diffs"),
-            F.col("_n").alias("diff_count"),
-            F.coalesce(F.col("_group"), F.lit(0)).cast("long").alias("right_group_rows"),
+    firsts = first_right_rows(rk, keys, right_order, right_cols).withColumnsRenamed({"first": "_right", "n_rows": "_group"})
+
+    heavy = heavy_keys(lk, keys, HEAVY_ROWS) if crowded else None
+    both = outer_lookup(lk, firsts, keys, heavy)
+    there, here = F.col("_right").isNotNull(), F.col("_left").isNotNull()
+
+    lcell = lambda c: F.col(f"`{c}`") if c in left_cols else F.lit(None).cast("string")
+    rcell = lambda c: F.col("_right")[c]
+    ltype = lambda c: left.schema[c].dataType if c in left_cols else None
+    rtype = lambda c: right.schema[c].dataType
+    # The array is one column that is computed once; status and count read it. (As columns of their own the
+    # comparisons are repeated by the optimizer wherever they are used.)
+    out = both.withColumn("_diffs", field_diffs(pairs, comparisons(pairs, lcell, rcell, numeric_mode, profile, ltype, rtype)))
+    out = out.withColumn("_n", F.size(F.filter("_diffs", lambda d: ~d["same"])))
+    status = F.when(~here, "right_only").when(~there, "left_only").when(F.col("_n") == 0, "match").otherwise("mismatch")
+    shown = lambda l, r: F.when(here, F.col(f"`{l}`").cast("string")).otherwise(F.col("_right")[r].cast("string"))
+    cols = [
+        status.alias("status"),
+        shown(code_left, code_right).alias("code"),
+        (shown(*modifier) if use_mod else F.lit(None).cast("string")).alias("modifier"),
+        F.col("_diffs").alias("diffs"),
+        F.col("_n").alias("diff_count"),
+        F.coalesce(F.col("_group"), F.lit(0)).cast("long").alias("right_group_rows"),
+        *[F.col(f"`{c}`") for c in keep_left],
+    ]
+    if images:
+        empty = F.create_map().cast("map<string,string>")
+        image = lambda df, cell: F.map_from_arrays(F.array(*[F.lit(c) for c in df.columns]), F.array(*[display(cell(c), df.schema[c].dataType) for c in df.columns]))
+        cols += [
+            F.when(here, image(left, lambda c: F.col(f"`{c}`"))).otherwise(empty).alias("left_row"),
+            F.when(there, image(right, rcell)).otherwise(empty).alias("right_row"),
         ]
-        for c in keep_left:
-            cols.append((F.col(f"`{c}`") if has_left else F.lit(None).cast(left.schema[c].dataType)).alias(c))
-        if images:
-            empty = F.create_map().cast("map<string,string>")
-            lmap = F.map_from_arrays(
-                F.array(*[F.lit(c) for c in left.columns]),
-                F.array(*[display(F.col(f"`{c}`"), left.schema[c].dataType) for c in left.columns]),
-            ) if has_left else empty
-            rmap = F.map_from_arrays(
-                F.array(*[F.lit(c) for c in right.columns]),
-                F.array(*[display(F.col("_right")[c], right.schema[c].dataType) for c in right.columns]),
-            )
-            cols += [lmap.alias("left_row"), F.when(F.col("_right").isNotNull(), rmap).otherwise(empty).alias("right_row")]
-        return out.select(*cols)
-
-    met = lookup_join(lk, firsts, keys, "_hit")
-    met = met.withColumn("_right", F.col("_hit.first")).withColumn("_group", F.col("_hit.n_rows")).drop("_hit")
-    alone = firsts.join(lk.select(*keys).distinct(), keys, "left_anti").select(
-        F.col("first").alias("_right"), F.col("n_rows").alias("_group")
-    )
-    rows = assemble(met, True, True).unionByName(assemble(alone, False, True))
-    return Reconciliation(rows, pairs, mapping, left, right, use_mod)
+    return Reconciliation(out.select(*cols), pairs, mapping, left, right, use_mod)
 
 
 def left_only(left: DataFrame, right: DataFrame, left_key: str, right_key: str) -> DataFrame:

@@ -126,6 +126,30 @@ def test_skewed_partition_is_split_at_run_time(spark):
             spark.conf.unset(k) if x is None else spark.conf.set(k, x)
 
 
+def test_reconcile_shuffles_each_side_once(frame):
+    """First right rows, their number, the join and the right-only rows come from one exchange per side."""
+    left, right = sides(frame, [("a", "1", "")], [("a", "1", "", 1)])
+    spark = left.sparkSession
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = c.reconcile(left, right, MAP, right_order=["n"], mode="code").rows._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    assert plan.count("Exchange ") == 2 and "FullOuter" in plan and "Window" not in plan
+
+
+def test_reconcile_spreads_left_rows_of_heavy_keys(frame, monkeypatch):
+    left = [("a", str(i % 4), "") for i in range(400)] + [("b", "1", ""), ("d", "1", "")]
+    right = [("a", "1", "", 2), ("a", "2", "", 1), ("b", "1", "", 1), ("c", "1", "", 1), ("c", "2", "", 2)]
+    make = lambda: sides(lambda rows, schema: frame(rows, schema).repartition(8), left, right)
+    once = statuses(c.reconcile(*make(), MAP, right_order=["n"], mode="code"))
+    monkeypatch.setattr(c, "HEAVY_ROWS", 100)
+    res = c.reconcile(*make(), MAP, right_order=["n"], mode="code")
+    assert statuses(res) == once and "spark_partition_id" in res.rows._jdf.queryExecution().toString().lower()
+    assert [s for s in once if s[1] == "c"] == [("right_only", "c", None)] and sum(s[0] == "match" and s[1] == "a" for s in once) == 100
+
+
 def test_reconcile_plan_stays_in_the_jvm(frame):
     left, right = sides(frame, [("a", "1", "")], [("a", "1", "", 1)])
     plan = c.reconcile(left, right, MAP, right_order=["n"]).rows._jdf.queryExecution().executedPlan().toString()
