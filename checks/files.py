@@ -43,12 +43,12 @@ def delimited_files_read_as_grids(spark, sf):
     return w.select(brand.alias("brand"), F.col("`Procedure Code`").alias("code"), F.col("`Service Name`").alias("name"), F.col("`Facility Rate`").alias("rate"))
 
 
-TEXTS = "SELECT '' || doc_id AS id, md5(replace(trim(text), chr(13), '')) AS text FROM documents WHERE text IS NOT NULL"
+TEXTS = "SELECT '' || doc_id AS id, md5(coalesce(replace(trim(text), chr(13), ''), '')) AS text FROM documents"
 
 
 def texts(spark, sf):
-    """Ids and texts that go over many lines."""
-    d = read(spark, sf, "documents").where("text IS NOT NULL")
+    """Ids and texts that go over many lines, null ones too."""
+    d = read(spark, sf, "documents")
     return d.select("source", F.col("doc_id").cast("string").alias("id"), F.replace(F.trim("text"), F.lit("\r"), F.lit("")).alias("text"))
 
 
@@ -56,7 +56,7 @@ def texts(spark, sf):
 def delimited_cells_over_several_lines(spark, sf):
     """Comma files, one per source, whose quoted cells hold whole texts with their line breaks and quotes."""
     out = folder(spark)
-    quoted = F.concat(F.lit('"'), F.replace("text", F.lit('"'), F.lit('""')), F.lit('"'))
+    quoted = F.concat(F.lit('"'), F.replace(F.coalesce("text", F.lit("")), F.lit('"'), F.lit('""')), F.lit('"'))
     texts(spark, sf).select("source", F.concat_ws(",", "id", quoted, F.lit('5" pipe')).alias("value")).write.partitionBy("source").text(out)
     cells = tf.read_delimited_grid(spark, out)
     rows = cells.groupBy("file_id", "row_idx").agg(*[F.max(F.when(F.col("col_idx") == i, F.col("cell"))).alias(n) for i, n in enumerate(("id", "text", "last"))])
@@ -70,6 +70,16 @@ def csv_of_texts_written_and_read(spark, sf):
     return tf.read_delimited(spark, out).select("id", F.md5("text").alias("text"))
 
 
+@check(TEXTS)
+def csv_with_line_breaks_in_its_header(spark, sf):
+    """Header cells of two lines; files of more than 1,000 bytes are read line by line in splits."""
+    out = folder(spark)
+    named = texts(spark, sf).select(F.col("id").alias("Document\nid"), F.col("text").alias('Its "text",\nwhole'))
+    sinks.write_table(named, out)
+    rows = tf.read_delimited(spark, out, whole_bytes=1000)
+    return rows.select(F.col("`Document\nid`").alias("id"), F.md5('`Its "text",\nwhole`').alias("text"))
+
+
 @check("""SELECT l_orderkey, l_linenumber, l_partkey, 'R' || l_returnflag AS flag FROM lineitem""")
 def json_arrays_read(spark, sf):
     """One array of order lines per thousand order keys and file."""

@@ -62,7 +62,8 @@ def detect_header(cells: DataFrame, min_cols: int = 3, scan_rows: int | None = N
     )
     signal = (F.col("pair") >= 2) | (F.col("top1") >= 3) | ((F.col("bonus") >= 14) & (F.col("top1") >= 2))
     prose = (F.col("long_cells") >= F.greatest(F.lit(1), F.expr("width DIV 2"))) & (F.col("width") <= 4)
-    usable = (F.col("row_idx") < F.col("n_rows") - 2 if scan_rows is None else F.least(F.col("n_rows") - 2, F.lit(scan_rows))) & (F.col("width") >= min_cols) & ~prose & signal
+    end = F.col("n_rows") - 2
+    usable = (F.col("row_idx") < (end if scan_rows is None else F.least(end, F.lit(scan_rows)))) & (F.col("width") >= min_cols) & ~prose & signal
     scored = near.withColumn("score", F.round(score, 6))
     best = scored.where(usable & (F.col("score") >= 0)).groupBy(*FILE).agg(
         F.max(F.struct("score", (-F.col("row_idx")).alias("r"))).alias("b")

@@ -104,3 +104,46 @@ def test_quoted_cells_over_several_lines_in_slices(spark):
             got.setdefault(r["file_id"], []).append(r["line"])
         want = {f: list(csv.reader(io.StringIO(text))) for f, text in files.items()}
         assert {f: [next(csv.reader(io.StringIO(x))) if x else [] for x in g] for f, g in got.items()} == want
+
+
+def test_header_with_line_breaks_in_one_piece_and_in_splits(spark, tmp_path):
+    """Quoted line breaks in the header and in cells, blanks before quotes, blank lines, missing and surplus cells."""
+    rows = ['\ufeff"Procedure\nCode", "Rate, in\nUSD",,Note', "", '"A\n1", "1,5" ,x,"say ""so"""', "B2,2", 'C3,3,y,n,surplus', ' "D\n\n4",,,"5"" pipe"'] + [f'E{i},"{i}\n{i}",,' for i in range(60)]
+    (tmp_path / "big").mkdir()
+    (tmp_path / "big" / "a.csv").write_text("\n".join(rows) + "\n")
+    (tmp_path / "big" / "b.csv").write_text(rows[0] + "\nZ,9,,\n")
+    want = sorted([("A\n1", "1,5", "x", 'say "so"'), ("B2", "2", "", ""), ("C3", "3", "y", "n"), ("D\n\n4", "", "", '5" pipe'), ("Z", "9", "", "")] + [(f"E{i}", f"{i}\n{i}", "", "") for i in range(60)])
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for whole in (None, 200):
+            if whole:
+                spark.conf.set("spark.sql.files.maxPartitionBytes", "100")
+            df = tf.read_delimited(spark, str(tmp_path / "big"), whole_bytes=whole)
+            assert df.columns == ["Procedure\nCode", "Rate, in\nUSD", "col_3", "Note"]
+            assert sorted(map(tuple, df.collect())) == want
+        assert spark.read.text(str(tmp_path / "big" / "a.csv")).rdd.getNumPartitions() > 5
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_a_quote_that_is_never_closed_tears_no_more_than_its_lines(spark):
+    texts = {"f": ["a,b", '"x\ny",1', 'c,"open', "d,2", "e,3"], "g": ["a,b", "c,1"], "h": ["a;b", "c;2"]}
+    lines = spark.createDataFrame([(f, i, t) for f, rows in texts.items() for i, t in enumerate("\n".join(rows).split("\n"))], "file_id string, line_no long, line string")
+    assert [tuple(r)[:3] for r in tf.torn_files(lines).collect()] == [("f", 3, 3)]
+    for size in (1, 2, 1000):
+        seps = tf.sniff_delimiter(lines)
+        got = sorted((r["file_id"], r["line_no"], r["line"], r["torn"]) for r in tf.joined_lines(lines, seps, size).collect())
+        assert got[:5] == [("f", 0, "a,b", False), ("f", 1, '"x\ny",1', False), ("f", 3, 'c,"open', True), ("f", 4, "d,2", True), ("f", 5, "e,3", True)]
+    cells = {(r["file_id"], r["row_idx"], r["col_idx"]): r["cell"] for r in tf.delimited_cells(lines).collect()}
+    assert cells["f", 3, 0] == "d" and cells["f", 4, 1] == "3" and cells["h", 1, 1] == "2"
+
+
+def test_scan_rows_bounds_the_header_search(spark):
+    head = ["Procedure Code", "Service Name", "Facility Rate"]
+    rows = [["note", "", ""]] * 5 + [head] + [[f"A{i:04d}", f"service {i}", f"{i}.50"] for i in range(30)]
+    cells = spark.createDataFrame([("f", r, c, x) for r, row in enumerate(rows) for c, x in enumerate(row)], "file_id string, row_idx int, col_idx int, cell string")
+    found = lambda **more: grids.detect_header(cells, **more).first()["header_row"]
+    assert found() == found(scan_rows=20) == found(scan_rows=6) == 5
+    assert found(scan_rows=3, fallback_rows=3) != 5
+    rows_of = lambda **more: grids.read_grid(cells, **more).cells.count()
+    assert rows_of(scan_rows=20) == rows_of() > 0
