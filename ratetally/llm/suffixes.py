@@ -150,8 +150,9 @@ def places(batch: pa.RecordBatch, window: int, buckets: int) -> Iterator[pa.Reco
         place = (ranks(ids[rows], ties[rows])[segment] << 32) | entry["start"].astype("int64")
         order = np.lexsort((place, string, anchor))
         new = np.append(True, (np.diff(anchor[order]) != 0) | (np.diff(string[order]) != 0))
-        first, later = order[new], order[~new]
-        entry["flag"][first] = np.diff(np.append(np.flatnonzero(new), len(order))) > 1
+        many = np.diff(np.append(np.flatnonzero(new), len(order)))
+        first, later = order[new], order[place[order] > np.repeat(place[order[new]], many)]
+        entry["flag"][first] = many > 1
         bucket = (anchor[first] % np.uint64(buckets)).astype("int64")
         first, bucket = (x[np.argsort(bucket, kind="stable")] for x in (first, bucket))
         head = np.flatnonzero(np.append(True, np.diff(bucket) != 0))
@@ -165,25 +166,27 @@ def places(batch: pa.RecordBatch, window: int, buckets: int) -> Iterator[pa.Reco
             binary(string[first], counts), binary(local.astype("<u4"), counts), binary(entry[first], counts),
         ]
         if len(later):
+            entry["flag"][later] = 0
             done = by_document(ids[row[later]], ties[row[later]], entry[later], "entry")
-            many = done.num_rows
-            none = pa.array([b""] * many, pa.binary())
+            rest = done.num_rows
+            none = pa.array([b""] * rest, pa.binary())
             pairs = np.stack([done["id"].to_numpy(), done["tie"].to_numpy()], 1).ravel()
-            more = [pa.array(np.abs(done["tie"].to_numpy() % buckets)), pa.array(np.ones(many, bool)), binary(pairs, np.full(many, 2)), none, none, none, done["entry"].combine_chunks()]
+            more = [pa.array((done["id"].to_numpy() ^ done["tie"].to_numpy()) % buckets), pa.array(np.ones(rest, bool)), binary(pairs, np.full(rest, 2)), none, none, none, done["entry"].combine_chunks()]
             columns = [pa.concat_arrays([a, b]) for a, b in zip(columns, more)]
         yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in PLACES.split(", ")])
 
 
 def settle(table: pa.Table, window: int) -> pa.Table:
-    """The runs of this bucket whose anchor occurs again, by document: flag 1 for the first place of a string, 2 in a crowd."""
+    """What this bucket decides: flag 0 for the later places of a string, 1 for a first place among other strings, 2 in a crowd.
+
+    A string that alone has its anchor is compared with nothing; its first place is not sent back and stays.
+    """
     kind = record(window)
     done = table["settled"].to_numpy()
     old, new = table.filter(pa.array(done)), table.filter(pa.array(~done))
     pairs, _ = elements(old["docs"], "<i8")
     pairs = pairs.reshape(-1, 2)
-    entries, counts = elements(old["entry"], kind)
-    parts = [(np.repeat(pairs[:, 0], counts), np.repeat(pairs[:, 1], counts), entries.copy())]
-    parts[0][2]["flag"] = 0
+    parts = [pa.table({"id": pa.array(pairs[:, 0]), "tie": pa.array(pairs[:, 1]), "entry": old["entry"].combine_chunks()})]
     if new.num_rows:
         docs, many = elements(new["docs"], "<i8")
         docs = docs.reshape(-1, 2)
@@ -199,89 +202,127 @@ def settle(table: pa.Table, window: int) -> pa.Table:
         size = np.diff(np.append(head, len(anchor)))
         kinds = np.add.reduceat(first.astype("int64"), head)
         again = np.repeat((size > 1) | (np.maximum.reduceat(entry["flag"], head) > 0), size)
-        entry["flag"] = np.where(first, np.where(np.repeat(kinds, size) > CROWD, 2, 1), 0)
-        parts.append((docs[doc[again], 0], docs[doc[again], 1], entry[again]))
-    return by_document(*[np.concatenate([p[k] for p in parts]) for k in range(3)], "entry")
+        kinds = np.repeat(kinds, size)
+        entry["flag"] = np.where(first, np.where(kinds > CROWD, 2, 1), 0)
+        # Equal rows are one document: a place that equals the first one is not a later place.
+        place = place[order]
+        lone = place == np.repeat(place[first], np.diff(np.append(np.flatnonzero(first), len(place))))
+        sent = again & ~(lone & ((kinds == 1) | ~first))
+        doc = docs[doc[sent]]
+        parts.append(pa.table({"id": pa.array(doc[:, 0]), "tie": pa.array(doc[:, 1]), "entry": binary(entry[sent], np.ones(len(doc), "int64"))}))
+    return pa.concat_tables(parts)
+
+
+def shared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many symbols the rows of two matrices share from the front."""
+    differ = a != b
+    return np.where(differ.any(1), differ.argmax(1), a.shape[1])
 
 
 class Collection:
-    """The Burrows-Wheeler transform of a collection and the common prefixes of its sorted suffixes.
+    """The Burrows-Wheeler transform of a collection and the common prefixes of its sorted suffixes, for windows of one size.
 
-    Column by column: round j inserts of every string the suffix of j symbols, by the symbol in front of the one before.
-    A suffix c·X goes to the c-th part, as many places in as there are symbols c in front of X in the transform so
-    far; its common prefix with the suffix before it is one more than the least one from that one's rest up to X. Every
+    Column by column: a round inserts of every string the suffix that is one symbol longer, by the symbol in front of the
+    one before. A suffix c·X goes as many places into the c-th part as there are symbols c in front of X in the transform
+    so far; its common prefix with the one before it is one more than the least one from that one's rest up to X. Every
     round reads and writes its arrays from end to end, as the external files of the method would be.
+
+    No window ends in the columns before the window's last one. These are the tails, one per string, sorted at once;
+    they stand in the list at their places, and what meets a tail is compared with it.
     """
 
-    def __init__(self, texts: list[bytes]):
-        self.many = many = len(texts)
+    def __init__(self, texts: list[bytes], window: int):
+        self.many, self.tail = len(texts), window - 1
         self.sizes = np.array([len(t) for t in texts], "int64")
-        # Symbols from the back, one more than the byte; 0 ends a string. UTF-8 holds no byte 255.
-        width = int(self.sizes.max(initial=0))
-        column = np.zeros((many, width + 1), "uint8")
+        # Symbols are one more than the byte, at the right end of their row; 0 ends a string. UTF-8 holds no byte 255.
+        self.width = width = int(self.sizes.max(initial=self.tail))
+        self.rows = np.zeros((self.many, width), "uint8")
         joined = np.frombuffer(b"".join(texts), "uint8")
-        row = np.repeat(np.arange(many), self.sizes)
-        back = np.repeat(np.cumsum(self.sizes), self.sizes) - 1 - np.arange(len(joined))
-        column[row, back] = joined + 1
-        column = np.ascontiguousarray(column.T)
-        small = "uint8" if width < 256 else "uint16"
-        self.symbols = column[0].copy() if width else np.zeros(many, "uint8")
-        self.common = np.zeros(many, small)
-        string, position = np.arange(many), np.arange(many)
-        for j in range(1, width + 1):
-            live = self.symbols[position] > 0
-            string, position = string[live], position[live]
+        column = np.arange(len(joined)) - np.repeat(np.cumsum(self.sizes), self.sizes) + width
+        self.rows[np.repeat(np.arange(self.many), self.sizes), column] = joined + 1
+        first = self._grams(np.arange(self.many), self.tail)
+        self.strings = np.argsort(first, kind="stable")
+        self.tails = first[self.strings]
+        self.tail_rows = self.tails.view("uint8").reshape(self.many, self.tail)
+        self.common = np.zeros(self.many, "uint8" if width < 256 else "uint16")
+        self.common[1:] = shared(self.tail_rows[1:], self.tail_rows[:-1])
+        self.symbols = self._symbols(self.strings, self.tail)
+        self.is_tail = np.ones(self.many, bool)
+        string, place = self.strings, np.arange(self.many)
+        for size in range(window, width + 1):
+            live = self.symbols[place] > 0
+            string, place = string[live], place[live]
             if not len(string):
                 break
-            string, position = self._insert(string, position, column[j])
+            string, place = self._insert(string, place, size)
+
+    def _grams(self, string: np.ndarray, size: int) -> np.ndarray:
+        """The first symbols, as many as a tail has, of the suffixes of a size."""
+        at = self.width - size
+        return np.ascontiguousarray(self.rows[string, at : at + self.tail]).view(f"S{self.tail}").ravel()
+
+    def _symbols(self, string: np.ndarray, size: int) -> np.ndarray:
+        """The symbols in front of the suffixes of a size."""
+        return self.rows[string, self.width - size - 1] if size < self.width else np.zeros(len(string), "uint8")
 
     def _order(self) -> np.ndarray:
+        """The places of all symbols, sorted by symbol: the rests of the longer suffixes in their order."""
         order = np.argsort(self.symbols, kind="stable")
         return order[np.count_nonzero(self.symbols == 0) :]
 
-    def _insert(self, string: np.ndarray, position: np.ndarray, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Insert c·X for the last suffixes X of ``string``, at ``position`` in ascending order."""
-        old, many = self.symbols, self.many
+    def _insert(self, string: np.ndarray, place: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Insert c·X for the last suffixes X of ``string``, at ``place`` in ascending order."""
+        old = self.symbols
         order = self._order()
         mark = np.zeros(len(old), bool)
-        mark[position] = True
+        mark[place] = True
         new = mark[order]
         at = np.flatnonzero(new)
         rest = order[at]
         letter = old[rest]
-        string = string[np.argsort(old[position], kind="stable")]
+        string = string[np.argsort(old[place], kind="stable")]
+        grams = self._grams(string, size)
+        tails = np.searchsorted(self.tails, grams, "right")
+        spot = at + tails
+        fresh = np.zeros(len(old) + len(at), bool)
+        fresh[spot] = True
+        stay = np.flatnonzero(~fresh)
+        is_tail, grown, common = np.zeros(len(fresh), bool), np.empty(len(fresh), old.dtype), np.empty(len(fresh), self.common.dtype)
+        is_tail[stay], grown[stay], common[stay] = self.is_tail, old, self.common
+        grown[spot] = self._symbols(string, size)
         # The least common prefix from the rest of the neighbour before, and up to the rest of the neighbour behind.
         padded = np.append(self.common, self.common.dtype.type(0))
-        before = order[np.maximum(at - 1, 0)]
-        follows = (at > 0) & (old[before] == letter)
-        here = np.zeros(len(at), self.common.dtype)
+        rows = grams.view("uint8").reshape(len(grams), self.tail)
+        before, behind = order[np.maximum(at - 1, 0)], order[np.minimum(at + 1, len(order) - 1)]
+        by_tail = (spot > 0) & is_tail[np.maximum(spot - 1, 0)]
+        follows = (at > 0) & (old[before] == letter) & ~by_tail
+        here = np.zeros(len(at), common.dtype)
         here[follows] = least(padded, before[follows] + 1, rest[follows]) + 1
-        behind = order[np.minimum(at + 1, len(order) - 1)]
-        precedes = (at + 1 < len(order)) & (old[behind] == letter) & ~mark[behind]
-        there = least(padded, rest[precedes] + 1, behind[precedes]) + 1
-        grown, common = np.empty(many + len(order), old.dtype), np.empty(many + len(order), self.common.dtype)
-        grown[:many], common[:many] = old[:many], self.common[:many]
-        stay = ~new
-        grown[many:][stay], common[many:][stay] = old[many:], self.common[many:]
-        grown[many + at], common[many + at] = symbols[string], here
-        common[many + at[precedes] + 1] = there
-        self.symbols, self.common = grown, common
-        return string, many + at
-
-    def suffixes(self, least_size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(string, size, common prefix reaches ``least_size``) of the sorted suffixes of at least that size."""
-        order = self._order()
+        here[by_tail] = shared(rows[by_tail], self.tail_rows[tails[by_tail] - 1])
+        common[spot] = here
+        after = np.minimum(spot + 1, len(fresh) - 1)
+        open_end = (spot + 1 < len(fresh)) & ~fresh[after]
+        to_tail = open_end & is_tail[after]
+        precedes = open_end & ~is_tail[after] & (old[behind] == letter)
+        there = np.zeros(len(at), common.dtype)
+        there[precedes] = least(padded, rest[precedes] + 1, behind[precedes]) + 1
+        there[to_tail] = shared(rows[to_tail], self.tail_rows[tails[to_tail]])
+        common[after[open_end]] = there[open_end]
+        self.symbols, self.common, self.is_tail = grown, common, is_tail
+        return string, spot
+
+    def windows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(string, size of the suffix, begins with the window of the one before) of the sorted suffixes that hold a window."""
+        long = np.flatnonzero(~self.is_tail)
         front = np.zeros(len(self.symbols), "int64")
-        front[order] = self.many + np.arange(len(order))
-        owner, size = np.full(len(self.symbols), -1), np.zeros(len(self.symbols), "int64")
-        string, position = np.arange(self.many), np.arange(self.many)
-        for j in range(1, int(self.sizes.max(initial=0)) + 1):
+        front[self._order()] = long
+        owner, size = np.zeros(len(front), "int64"), np.zeros(len(front), "int64")
+        string, place = self.strings, np.flatnonzero(self.is_tail)
+        for j in range(self.tail + 1, self.width + 1):
             live = self.sizes[string] >= j
-            string, position = string[live], front[position[live]]
-            if j >= least_size:
-                owner[position], size[position] = string, j
-        long = np.flatnonzero(owner >= 0)
-        return owner[long], size[long], self.common[long] >= least_size
+            string, place = string[live], front[place[live]]
+            owner[place], size[place] = string, j
+        return owner[long], size[long], self.common[long] > self.tail
 
 
 def least(values: np.ndarray, start: np.ndarray, last: np.ndarray) -> np.ndarray:
@@ -298,7 +339,7 @@ def least(values: np.ndarray, start: np.ndarray, last: np.ndarray) -> np.ndarray
 
 def first_windows(texts: list[bytes], place: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
     """(string, offset) of the windows of a collection that no other place before has; ``place`` of every string's start."""
-    owner, size, same = Collection(texts).suffixes(window)
+    owner, size, same = Collection(texts, window).windows()
     offset = np.array([len(t) for t in texts], "int64")[owner] - size
     where = place[owner] + offset
     if not len(owner):
@@ -381,11 +422,10 @@ def text_dedup(docs: DataFrame, window: int = 100, id_col: str = "doc_id", text_
     same one further in front. Texts are UTF-8 bytes, overlaps count, and matches are judged on the input.
 
     Whole texts fall into runs of windows with one anchor, the gram of smallest hash; equal windows have equal anchors.
-    A run whose anchor occurs nowhere else is unique. Of every other run, the string that it covers enters a collection
-    once, at its first place, with all strings of its anchor. The collection's Burrows-Wheeler transform and common
+    A run whose anchor occurs nowhere else is unique. Of other runs, the string that it covers is met once, at its first
+    place; all windows of its later places are removed. Different strings of one anchor enter a collection. The collection's Burrows-Wheeler transform and common
     prefixes grow by one symbol of every string a round (``Collection``); suffixes whose common prefix reaches the
-    window are equal windows, and the earliest place of them is kept. All other windows of such runs are removed. A
-    collection has a bounded number of strings of a bounded length, since executors share no folder for long files.
+    window are equal windows, and the earliest place of them is kept. A collection has a bounded number of strings of a bounded length, since executors share no folder for long files.
     Strings of an anchor with more than ``CROWD`` of them are cut, first into parts, then into windows, each
     under the bytes that all its windows share, and equal ones are combined before they are sent.
 
@@ -399,8 +439,11 @@ def text_dedup(docs: DataFrame, window: int = 100, id_col: str = "doc_id", text_
     kind = record(window)
     text = text_or_empty(F.col(text_col))
     rows = docs.select(F.col(id_col).alias("own"), F.coalesce(F.col(id_col).cast("long"), F.lit(int(LAST_ID))).alias("id"), F.xxhash64(text).alias("tie"), text.cast("binary").alias("text"))
-    total, count, different = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count(F.lit(1)), F.lit(0)).first()
-    different = rows.select("id", "tie").distinct().count()
+    # Ids that are all different need no tie, which then weighs next to nothing on its way.
+    known = rows.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("bytes"))
+    total, repeated = known.agg(F.coalesce(F.sum("bytes"), F.lit(0)), F.coalesce(F.max("n") > 1, F.lit(False))).first()
+    if not repeated:
+        rows = rows.withColumn("tie", F.lit(0).cast("long"))
     buckets, groups = max(1, -(-total // PLACES_BYTES)), max(1, -(-total // STRINGS_BYTES))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -454,7 +497,7 @@ def text_dedup(docs: DataFrame, window: int = 100, id_col: str = "doc_id", text_
             yield pack_strings(held, groups)
 
     met = small.join(named, F.col("_key") == F.col("_doc")).select("id", "tie", "size", "packed", "entries")
-    if different < count:
+    if repeated:
         # Equal rows would send their strings once each.
         met = met.groupBy("id", "tie").agg(F.first("size").alias("size"), F.first("packed").alias("packed"), F.first("entries").alias("entries"))
     work = met.mapInArrow(packs, STRINGS)
