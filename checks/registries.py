@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from checks import check, read
 from checks.versions import REG, registry
+from ratetally.operators.rules import match_rule_table
 from ratetally.operators import links, mappings as m, registry as reg, versions as v
 from ratetally.operators.spread import shared_folder
 from ratetally.sources import tables
@@ -369,3 +370,26 @@ def tables_of_state(spark, sf):
 def matched_rules(spark, sf):
     rules = [{"id": "host", "host_contains": ".Example.com"}, {"id": "path", "path_contains": "/en/"}, {"id": "pattern", "url_regex": r"^https://M\."}, {"id": "both", "host_contains": "net", "path_contains": "/en/"}]
     return links.match_rules(read(spark, sf, "pages"), "url", rules).select("page_id", F.array_join("rule_ids", ",").alias("rules"))
+
+
+HOST = "lower(regexp_extract(url, '://([^/?#]*)', 1))"
+
+
+@check(f"""WITH u AS (SELECT page_id, url, {HOST} AS host, lower(url) AS low FROM pages),
+ r AS (SELECT 'h' || page_id AS id, page_id * 3 AS position, regexp_extract(host, '[^.]+\\.(.*)', 1) AS h, '' AS p, '' AS x FROM u WHERE page_id % 5 = 0
+  UNION ALL SELECT 'p' || page_id, page_id * 3 + 1, '', regexp_extract(low, '/([a-z]+/[0-9]+)', 1), '' FROM u WHERE page_id % 3 = 0
+  UNION ALL SELECT 'b' || page_id, page_id * 3 + 2, host, regexp_extract(low, '/([a-z]+/)', 1), '^https' FROM u WHERE page_id % 4 = 0)
+ SELECT page_id, coalesce(string_agg(id, ',' ORDER BY position), '') AS rules FROM u LEFT JOIN r
+ ON contains(host, h) AND contains(low, p) AND (x = '' OR regexp_matches(url, '(?i)' || x)) GROUP BY page_id""")
+def matched_rules_of_a_table(spark, sf):
+    """Rules taken from the pages themselves: parents of hosts, sections with numbers, and hosts with sections and a pattern."""
+    p = read(spark, sf, "pages").select("page_id", "url")
+    host, low = F.lower(F.regexp_extract("url", "://([^/?#]*)", 1)), F.lower("url")
+    no = F.col("page_id")
+    rule = lambda some, mark, place, h, path, x: p.where(some).select(
+        F.concat(F.lit(mark), no.cast("string")).alias("rule_id"), (no * 3 + place).alias("position"), h.alias("host_contains"), path.alias("path_contains"), x.alias("url_regex"))
+    none = F.lit(None).cast("string")
+    rules = rule(no % 5 == 0, "h", 0, F.regexp_extract(host, r"[^.]+\.(.*)", 1), none, none)
+    rules = rules.unionByName(rule(no % 3 == 0, "p", 1, F.lit(" "), F.upper(F.regexp_extract(low, "/([a-z]+/[0-9]+)", 1)), none))
+    rules = rules.unionByName(rule(no % 4 == 0, "b", 2, host, F.regexp_extract(low, "/([a-z]+/)", 1), F.lit("^https")))
+    return match_rule_table(p, "url", rules).select("page_id", F.array_join("rule_ids", ",").alias("rules"))

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from ratetally.operators import contained, compare as c, frontier, grids, jsoncols, links, registry as reg, spread, versions as v
+from ratetally.operators import contained, compare as c, frontier, grids, jsoncols, links, registry as reg, rules, spread, versions as v
 from ratetally.plans.compare_run import compare_run
 
 MAP = {"Code": "CODE", "Rate": "FAC", "Mod": "MOD"}
@@ -348,3 +348,37 @@ def test_one_letter_titles_on_both_sides_stay_linear(frame, monkeypatch):
     monkeypatch.setattr(contained, "PATTERN_CHARS", 100)
     monkeypatch.setattr(contained, "TEXT_CHARS", 300)
     assert run() == want
+
+
+def test_ten_thousand_rules_are_one_join(spark, frame):
+    import re
+
+    rnd = random.Random(8)
+    words = [f"{rnd.choice('abcdefgh')}{i}" for i in range(400)]
+    pages = [(i, f" HTTPS://{rnd.choice(words)}.{rnd.choice(words)}.org/{rnd.choice(words)}/{rnd.choice(words)}?q={rnd.choice(words)}") for i in range(300)] + [(900, None), (901, ""), (902, "no scheme a1.b2")]
+    given = []
+    for n in range(10_000):
+        host = rnd.choice([None, "", f"{rnd.choice(words)}.", "org", "z"])
+        path = rnd.choice([f"/{rnd.choice(words)}/{rnd.choice(words)}", f" {rnd.choice(words).upper()} ", rnd.choice(words), "ho" if not host else ""])
+        given.append((f"r{n}", n, host, path or (None if host else "x"), rnd.choice([None, "", "", f"{rnd.choice(words)}$", "(broken", r"\\d+\\?q"])))
+    given += [("only", 20_000, None, None, "^https://A"), ("bad", 20_001, None, None, "[")]
+    schema = "rule_id string, position int, host_contains string, path_contains string, url_regex string"
+    got = {r["id"]: r["rule_ids"] for r in rules.match_rule_table(frame(pages, "id int, url string"), "url", frame(given, schema)).collect()}
+
+    def hits(u):
+        u = (u or "").strip()
+        host = (re.match(r"^[a-z]+://([^/?#]*)", u, re.I) or [None, ""])[1].lower()
+        out = []
+        for rid, _, h, p, x in given:
+            try:
+                fits = not x or re.search(x, u, re.I)
+            except re.error:
+                continue
+            if u and fits and (h or "").strip().lower() in host and (p or "").strip().lower() in u.lower():
+                out.append(rid)
+        return out
+
+    assert got == {i: hits(u) for i, u in pages} and any(got.values())
+    with pytest.raises(ValueError, match="states nothing"):
+        rules.match_rule_table(frame(pages, "id int, url string"), "url", frame([("e", 1, " ", None, "")], schema))
+    assert all(r["rule_ids"] == [] for r in rules.match_rule_table(frame(pages, "id int, url string"), "url", frame([], schema)).collect())
