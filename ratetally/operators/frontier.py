@@ -36,16 +36,18 @@ def page_edges(
 def expand_frontier(edges: DataFrame, seeds: DataFrame, depth: int = 2, max_pages: int | None = None) -> DataFrame:
     """(url, depth) of every page reached from ``seeds`` (url) in fewer than ``depth`` steps, at its least depth.
 
-    ``max_pages`` keeps the first pages by depth and URL. Every round
-    is one join of the new pages with their edges; lineage is cut once per round.
+    ``max_pages`` keeps the first pages by depth and URL. A round joins the pages that the one before has added with
+    their edges and stores what is new, nothing else; it ends when a round adds nothing. Targets are compared with the
+    URLs of all rounds, which are only read.
     """
-    new = seeds.select(urls.drop_fragment(F.col("url")).alias("url")).where("url <> ''").distinct()
-    seen = cut_lineage(new.withColumn("depth", F.lit(0)))
+    start = seeds.select(urls.drop_fragment(F.col("url")).alias("url")).where("url <> ''").distinct()
+    last = seen = cut_lineage(start.withColumn("depth", F.lit(0)))
     for d in range(1, depth):
-        last = seen.where(F.col("depth") == d - 1).select(F.col("url").alias("src"))
-        found = edges.join(last, "src", "left_semi").select(F.col("dst").alias("url")).distinct()
-        fresh = found.join(seen.select("url"), "url", "left_anti").withColumn("depth", F.lit(d))
-        seen = cut_lineage(seen.unionByName(fresh))
+        found = edges.join(last.select(F.col("url").alias("src")), "src", "left_semi").select(F.col("dst").alias("url")).distinct()
+        fresh = cut_lineage(found.join(seen.select("url"), "url", "left_anti").withColumn("depth", F.lit(d)))
+        if fresh.isEmpty():
+            break
+        last, seen = fresh, seen.unionByName(fresh)
     if max_pages is not None:
         seen = seen.orderBy("depth", "url").limit(max_pages)
     return seen

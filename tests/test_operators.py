@@ -302,6 +302,25 @@ def test_frontier_depth_and_budget(frame):
     assert got(depth=1) == {("a", 0)} and got(depth=9) == {("a", 0), ("b", 1), ("c", 2), ("d", 3), ("e", 4)} and got(depth=4, max_pages=2) == {("a", 0), ("b", 1)}
 
 
+def test_frontier_rounds_store_what_they_add_and_end_by_themselves(frame, monkeypatch):
+    stored = []
+
+    def watched(df):
+        out = spread.cut_lineage(df)
+        stored.append(out.count())
+        return out
+
+    monkeypatch.setattr(frontier, "cut_lineage", watched)
+    edges = frame([(f"p{i}", j, f"p{j}") for i in range(40) for j in (i // 2, 2 * i, 2 * i + 1) if j < 40], "src string, pos int, dst string")
+    got = {r["url"]: r["depth"] for r in frontier.expand_frontier(edges, frame([("p1",)], "url string"), depth=50).collect()}
+    want, now, d = {"p1": 0}, {1}, 0
+    while now:
+        d += 1
+        now = {j for i in now for j in (i // 2, 2 * i, 2 * i + 1) if j < 40 and f"p{j}" not in want}
+        want |= {f"p{j}": d for j in now}
+    assert got == want and stored == [sum(v == n for v in want.values()) for n in range(len(stored))] and stored[-1] == 0 and len(stored) < 10
+
+
 def test_presentation_orders(frame):
     import datetime as dt
 
