@@ -8,7 +8,7 @@ from ratetally.functions import urls
 from ratetally.functions.jsontext import distinct_map, record_text
 from ratetally.functions.text import strip, text
 from ratetally.operators.dedupe import dedupe_by_id
-from ratetally.operators.spread import attach, first_per_group
+from ratetally.operators.spread import attach, cut_lineage, first_per_group
 
 LIST_CALL = "/api/now/sp/rectangle/"
 RESPONSE = (
@@ -84,7 +84,8 @@ def flatten_records(calls: DataFrame, scope: list[str]) -> DataFrame:
     r = best.select("*", F.posexplode("list").alias("row_no", "record")).drop("list").where(F.col("record").startswith("{"))
     r = r.withColumn("rec", F.from_json("record", "map<string,string>"))
     r = r.withColumn("sys_id", F.coalesce(record_id(F.element_at("rec", "sys_id")), F.lit("")))
-    r = dedupe_by_id(r, "sys_id", [F.col("row_no")], scope)
+    # Stored, since rows and totals both come from it: the responses are parsed and their records shuffled once.
+    r = cut_lineage(dedupe_by_id(r, "sys_id", [F.col("row_no")], scope))
 
     names = F.coalesce("fields", F.map_keys("rec"))
     label = lambda f: F.coalesce(F.element_at("labels", f), f)
