@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ratetally.functions import urls
 from ratetally.functions.jsontext import distinct_map
 from ratetally.functions.text import strip, text
-from ratetally.operators.spread import first_per_group, top_per_group
+from ratetally.operators.spread import attach, first_per_group, lookup_join, number_rows, running, top_per_group
 
 PAGE = ["page_id"]
 TABLE = ["page_id", "table_no"]
@@ -54,8 +54,7 @@ def any_of(c: Column, words) -> Column:
 def carry_section(elements: DataFrame, tags=("h1", "h2", "h3", "h4"), name: str = "section", column: str = "tight") -> DataFrame:
     """Every element with the text of the latest non-empty heading before it on its page."""
     heading = F.when(F.col("kind").isin("heading", "hint") & F.col("tag").isin(*tags) & (F.col(column) != ""), F.col(column))
-    before = Window.partitionBy("page_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    return elements.withColumn("_h", heading).withColumn(name, F.coalesce(F.last("_h", ignorenulls=True).over(before), F.lit(""))).drop("_h")
+    return running(elements, PAGE, "pos", name, heading, "last", before=True).withColumn(name, F.coalesce(name, F.lit("")))
 
 
 def file_link_catalog(elements: DataFrame, max_rows: int | None = None) -> DataFrame:
@@ -345,22 +344,24 @@ def table_blocks(elements: DataFrame, samples: int | None = None, link_samples:
 def page_sections(elements: DataFrame, sample: int | None = None) -> DataFrame:
     """Sections between headings: title, text, tables, file links and their types.
 
-    ``sample`` keeps that many characters of the text; only the pieces that hold them are gathered.
+    ``sample`` keeps that many characters of the text; only the pieces that hold them are gathered. Without it the
+    text of a section is whole.
 
-    A page without headings is one section named ``Entire Page``.
+    A page without headings is one section named ``Entire Page``. Sections and places in them are counted in slices of
+    the page, so a page of any length is spread over tasks; the elements are stored once.
     """
     e = elements.where(~((F.col("kind") == "heading") & (F.col("tag") == "h5")))
     opens = (F.col("kind") == "heading").cast("int")
-    e = e.withColumn("section_no", F.sum(opens).over(Window.partitionBy("page_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)))
-    any_heading = F.max(opens).over(Window.partitionBy("page_id"))
-    e = e.withColumn("_any", any_heading).where((F.col("section_no") > 0) | (F.col("_any") == 0))
+    e = running(e, PAGE, "pos", "section_no", opens)
+    # What stands in front of the first heading belongs to no section; pages without headings are one.
+    headed = e.where("kind = 'heading'").select("page_id").distinct()
+    e = e.where("section_no > 0").unionByName(attach(e.where("section_no = 0"), headed, PAGE, "anti"))
     titles = e.where("kind = 'heading'").select("page_id", "section_no", F.col("tight").alias("title"), F.col("pos").alias("_from"), F.col("n_texts").alias("_own"))
-    body = e.where("kind = 'text'").join(titles, ["page_id", "section_no"], "left").withColumn(
-        "_rank", F.row_number().over(Window.partitionBy("page_id", "section_no").orderBy("pos"))
-    ).where(F.col("_rank") > F.coalesce("_own", F.lit(0)))
+    section = ["page_id", "section_no"]
+    body = number_rows(e.where("kind = 'text'").select(*section, "pos", "text"), section, "pos", "_rank")
+    body = lookup_join(body, titles.select(*section, "_own"), section, "_hit").where(F.col("_rank") >= F.coalesce("_hit._own", F.lit(0)))
     if sample is not None:
-        before = Window.partitionBy("page_id", "section_no").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-        body = body.withColumn("_before", F.coalesce(F.sum(F.length("text") + 1).over(before), F.lit(0))).where(F.col("_before") < sample)
+        body = running(body, section, "pos", "_before", F.length("text") + 1, before=True).where(F.col("_before") < sample)
     whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda t: t["text"]), " ")
     texts = body.groupBy("page_id", "section_no").agg((whole if sample is None else F.substring(whole, 1, sample)).alias("text_sample"))
     links = file_links(e).where("is_file_link")

@@ -146,6 +146,30 @@ def previous_value(
     return joined.select(*kept, F.when(F.col("_first"), F.col("_before")).otherwise(F.col(name)).alias(name))
 
 
+def running(df: DataFrame, keys: Sequence[str], position: str, name: str, value: Column, how: str = "sum", before: bool = False, rows_per_slice: int = 100_000) -> DataFrame:
+    """Running ``sum`` of ``value``, or its ``last`` non-null one, by an integer ``position`` within each group.
+
+    Groups are cut into slices of the position. Each slice is gone through by itself and takes on what the slices in
+    front of it add up to, so no task holds a group. The rows are stored; where no group is longer than a slice
+    that is all. ``before`` leaves out the row itself. Rows of a null key take on nothing from slice to slice.
+    """
+    keys = list(keys)
+    inside = Window.partitionBy(*keys, "_slice").orderBy(position).rowsBetween(Window.unboundedPreceding, -1 if before else 0)
+    own = F.coalesce(F.sum("_value").over(inside), F.lit(0)) if how == "sum" else F.last("_value", ignorenulls=True).over(inside)
+    step = df.withColumn("_slice", F.floor(F.col(position) / F.lit(rows_per_slice))).withColumn("_value", value)
+    step = cut_lineage(step.withColumn(name, own))
+    columns = [F.col(f"`{c}`") for c in df.columns if c != name]
+    if step.where("_slice <> 0").isEmpty():
+        return step.select(*columns, name)
+    total = F.sum("_value") if how == "sum" else F.max_by("_value", F.when(F.col("_value").isNotNull(), F.col(position)))
+    earlier = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    carried = F.sum("_total").over(earlier) if how == "sum" else F.last("_total", ignorenulls=True).over(earlier)
+    ends = step.groupBy(*keys, "_slice").agg(total.alias("_total")).select(*keys, "_slice", carried.alias("_carried"))
+    out = attach(step, ends, [*keys, "_slice"], "left")
+    both = F.col(name) + F.coalesce("_carried", F.lit(0)) if how == "sum" else F.coalesce(name, "_carried")
+    return out.select(*columns, both.alias(name))
+
+
 def dense_ids(df: DataFrame, name: str, after: Column, position: str | None = None, by: Sequence[str] = ()) -> DataFrame:
     """Consecutive ids ``after + 1, after + 2, …`` without bringing the rows together.
 

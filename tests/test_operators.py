@@ -321,6 +321,44 @@ def test_frontier_rounds_store_what_they_add_and_end_by_themselves(frame, monkey
     assert got == want and stored == [sum(v == n for v in want.values()) for n in range(len(stored))] and stored[-1] == 0 and len(stored) < 10
 
 
+@pytest.mark.parametrize("how", ["sum", "last"])
+def test_running_values_in_slices(frame, how):
+    rnd = random.Random(4)
+    rows = [(g, i, rnd.choice([None, 1, 5, -2])) for g in ("a", "b", None) for i in range(60) if rnd.random() < 0.8]
+    for size in (1, 7, 1000):
+        for before in (False, True):
+            got = {(r["g"], r["p"]): r["x"] for r in spread.running(frame(rows, "g string, p int, v int"), ["g"], "p", "x", F.col("v"), how, before, size).collect()}
+            want, state = {}, {}
+            for g, i, v in rows:
+                old = state.get(g, 0 if how == "sum" else None)
+                state[g] = old + (v or 0) if how == "sum" else old if v is None else v
+                want[g, i] = old if before else state[g]
+            # A null key is a group of its own, but takes nothing on from slice to slice.
+            if size < 1000:
+                got, want = ({k: v for k, v in d.items() if k[0]} for d in (got, want))
+            assert got == want
+
+
+def test_a_page_of_very_many_elements_is_spread_over_tasks(spark):
+    from ratetally.operators import pages
+    from ratetally.sources import html
+
+    n = 300_000
+    i = F.col("id")
+    head = i % 100_000 == 10
+    facts = {
+        "page_id": F.lit(1), "url": F.lit("https://h/p"), "pos": i.cast("int"), "kind": F.when(head, "heading").otherwise("text"), "tag": F.when(head, "h2").otherwise("p"),
+        "text": F.when(head, F.concat(F.lit("head "), i)).otherwise(F.concat(F.lit("t"), i)), "tight": F.concat(F.lit("head "), i), "n_texts": F.lit(0), "in_footer": F.lit(False),
+    }
+    schema = html.page_elements(spark.createDataFrame([], "page_id int, url string, html string")).schema
+    e = spark.range(n).select(*[facts.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in schema])
+    got = {r["section_no"]: (r["title"], r["text_sample"]) for r in pages.page_sections(e).collect()}
+    ends = [10, 100_010, 200_010, n]
+    assert got == {k + 1: (f"head {a}", " ".join(f"t{j}" for j in range(a + 1, b))) for k, (a, b) in enumerate(zip(ends, ends[1:]))}
+    parts = spread.running(e, ["page_id"], "pos", "x", F.lit(1), rows_per_slice=20_000).groupBy(F.spark_partition_id()).count().collect()
+    assert len(parts) > 1 and max(r["count"] for r in parts) < n
+
+
 def test_presentation_orders(frame):
     import datetime as dt
 
