@@ -135,40 +135,46 @@ def has_file_extension(c: Column, extensions=FILE_EXTENSIONS) -> Column:
     return F.lower(path(strip(c))).rlike(r"\.(" + "|".join(extensions) + r")$")
 
 
+_DOCUMENT = r"\.(" + "|".join(FILE_EXTENSIONS) + ")"
+# Signs of a URL that returns a document; of one row, the path and the whole URL must show what is stated.
+DOCUMENT_SIGNS = [
+    (_DOCUMENT + "$", None),
+    (r"attachment\.do|getfile|download\.aspx|filedownload", None),
+    (r"(?s)/media/.*" + _DOCUMENT + "|" + _DOCUMENT + ".*/media/", None),
+    (r"\.ashx", "pdf|xlsx|xls|csv"),
+    ("export", "(format|type)=(pdf|xlsx)"),
+    (None, r"pubatt/dl/|/api/now/attachment/.*/file|sys_attachment\.do"),
+    (None, "(format|filetype|type)=pdf|content-?type=application/pdf"),
+]
+# What a URL holds and the kind of link that it is; the first row that fits counts.
+LINK_KINDS = [
+    ("javascript:|__dopostback", "portal"), (r"[./]pdf", "pdf"), (r"\.xlsx", "xlsx"), (r"\.xls", "xls"), (r"\.csv", "csv"), (r"\.zip", "zip"),
+    ("^https?://", "http"), ("", "other"),
+]
+
+
 def is_file_url(c: Column) -> Column:
-    """URL that is likely to return a document: extension, attachment handler or format in the query."""
-    ext = r"\.(" + "|".join(FILE_EXTENSIONS) + ")"
+    """URL that is likely to return a document: one of ``DOCUMENT_SIGNS``."""
     low = F.lower(strip(c))
 
-    def test(x):
-        u, p = x["u"], x["p"]
-        return u.startswith("http") & (
-            p.rlike(ext + "$")
-            | u.rlike(r"pubatt/dl/|/api/now/attachment/.*/file|sys_attachment\.do")
-            | p.contains("attachment.do")
-            | u.rlike(r"format=pdf|filetype=pdf|type=pdf|content-?type=application/pdf")
-            | (p.contains(".ashx") & u.rlike("pdf|xlsx|xls|csv"))
-            | p.rlike(r"getfile|download\.aspx|filedownload")
-            | (p.contains("/media/") & p.rlike(ext))
-            | (p.contains("export") & u.rlike("format=pdf|format=xlsx|type=pdf|type=xlsx"))
-        )
+    def signs(x):
+        shown = lambda pattern, where: F.lit(True) if pattern is None else x[where].rlike(pattern)
+        return x["u"].startswith("http") & any_true([shown(in_path, "p") & shown(in_url, "u") for in_path, in_url in DOCUMENT_SIGNS])
 
-    return bind(F.struct(low.alias("u"), path(low).alias("p")), test)
+    return bind(F.struct(low.alias("u"), path(low).alias("p")), signs)
+
+
+def any_true(tests: list[Column]) -> Column:
+    out = tests[0]
+    for t in tests[1:]:
+        out = out | t
+    return out
 
 
 def link_kind(c: Column) -> Column:
-    """Coarse kind of a link: portal, pdf, xlsx, xls, csv, zip, http or other."""
+    """Coarse kind of a link, by ``LINK_KINDS``."""
     u = F.lower(strip(c))
-    return (
-        F.when(u.contains("javascript:") | u.contains("__dopostback"), "portal")
-        .when(u.contains(".pdf") | u.contains("/pdf"), "pdf")
-        .when(u.contains(".xlsx"), "xlsx")
-        .when(u.contains(".xls"), "xls")
-        .when(u.contains(".csv"), "csv")
-        .when(u.contains(".zip"), "zip")
-        .when(u.rlike("^https?://"), "http")
-        .otherwise("other")
-    )
+    return F.coalesce(*[F.when(u.rlike(pattern), kind) for pattern, kind in LINK_KINDS], F.lit(LINK_KINDS[-1][1]))
 
 
 # Header words and the link kinds they announce.
