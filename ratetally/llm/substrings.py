@@ -17,6 +17,8 @@ SAMPLE_DOCS = 20_000
 OFTEN = 4
 BUCKET_BYTES = 6_000_000
 NO_ID = np.iinfo("int64").max
+# Rows without an id that are told apart by their text have numbers from here on.
+LACKING = 1 << 62
 _FIVE = np.uint64((1 << 40) - 1)
 
 
@@ -189,10 +191,14 @@ def repeated_runs(docs: DataFrame, window: int) -> DataFrame:
     return found.groupBy("id", "check").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
 
 
-def keyed(docs: DataFrame, id_col: str, text_col: str, *more: Column) -> DataFrame:
-    """_id (null as the largest number), _check (a hash of the text) and _text (null as empty) of every row."""
+def keyed(docs: DataFrame, id_col: str, text_col: str, *more: Column, apart: bool = False) -> DataFrame:
+    """_id (null as the largest number), _check (a hash of the text) and _text (null as empty) of every row.
+
+    With ``apart`` every text without an id has a number of its own, from ``LACKING`` on, by a hash of it.
+    """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(int(NO_ID))).alias("_id"), F.xxhash64(text).alias("_check"), text.alias("_text"), *more)
+    none = F.xxhash64(text).bitwiseAND(LACKING - 1) + F.lit(LACKING) if apart else F.lit(int(NO_ID))
+    return docs.select(F.coalesce(F.col(id_col).cast("long"), none).alias("_id"), F.xxhash64(text).alias("_check"), text.alias("_text"), *more)
 
 
 def substring_dedup(docs: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
