@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ratetally.operators.spread import cut_lineage as stored
@@ -9,7 +14,7 @@ from ratetally.operators.spread import cut_lineage as stored
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORD = r"[^\x20\x09-\x0D]+"
 
-__all__ = ["LOWER", "UPPER", "WORD", "components", "fold", "stored", "text_or_empty", "word_count"]
+__all__ = ["LOWER", "UPPER", "WORD", "components", "fold", "sliced", "stored", "text_or_empty", "word_count"]
 
 
 def text_or_empty(c: Column) -> Column:
@@ -26,6 +31,15 @@ def word_count(c: Column) -> Column:
     return F.regexp_count(text_or_empty(c), F.lit(WORD)).cast("long")
 
 
+def sliced(batch: pa.RecordBatch, text_col: str, most: int = 1_000_000) -> Iterator[pa.RecordBatch]:
+    """A batch in pieces of about ``most`` bytes of text, one row at least, so that what a task builds of them stays small."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(text_col)), 0).to_numpy(zero_copy_only=False).astype("int64")
+    piece = (np.cumsum(sizes) - sizes) // most
+    heads = np.flatnonzero(np.append(True, np.diff(piece) != 0)) if len(piece) else []
+    for at, end in zip(heads, [*heads[1:], len(piece)]):
+        yield batch.slice(at, end - at)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of an undirected graph given as edges (a, b) of longs; component: its smallest node.
 

@@ -7,14 +7,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, functions as F
 
+from ratetally.llm.common import sliced
+from ratetally.llm.words import hashes_of
+
 # Words of a passage; the last passage of a text may be shorter.
 PASSAGE_WORDS = 64
 # Labelled documents that a model is fitted on at most: a bounded sample, by a hash of the id.
 SAMPLE_DOCS = 4_000
-REMEMBERED = 400_000
 SIGNATURE = 16
 
 _CLASSES = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789", ".", ",;:", "!?", "'\"()-", "#$%&*@~^+=<>{}[]\\/_`", "|")
@@ -34,19 +35,6 @@ N_CLASSES = len(_CLASSES) + 2
 N_FEATURES = N_CLASSES + 7 + SIGNATURE
 
 
-class WordHashes(dict):
-    """Bytes of a word to a 64-bit hash; emptied when full."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > REMEMBERED:
-            self.clear()
-        got = self[word] = xxhash.xxh3_64_intdigest(word)
-        return got
-
-
-_HASHES = WordHashes()
-
-
 def class_counts(data: np.ndarray, sizes: np.ndarray, slab: int = 2048) -> np.ndarray:
     """Bytes of every class in consecutive runs of the given sizes; a slab of runs at a time bounds memory."""
     bounds = np.concatenate([[0], np.cumsum(sizes)])
@@ -72,7 +60,7 @@ def encode(text: str) -> np.ndarray:
     n = len(words)
     starts = np.arange(0, n, PASSAGE_WORDS)
     sizes = np.diff(np.append(starts, n))
-    ids = np.fromiter(map(_HASHES.__getitem__, words), "uint64", n)
+    ids = hashes_of(words)
     lengths = np.fromiter(map(len, words), "int64", n)
     passage = np.arange(n) // PASSAGE_WORDS
     data = np.frombuffer(b"".join(words), "uint8")
@@ -213,12 +201,11 @@ def score(docs: DataFrame, model: Model | None, threshold: float = 0.3, id_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t.as_py() or "" for t in batch.column(text_col)]
-            got = np.full(len(texts), 0.5)
-            if model is not None:
-                for at in range(0, len(texts), 256):
-                    got[at : at + 256] = model.score([encode(t) for t in texts[at : at + 256]])
-            yield batch.append_column("score", pa.array(got))
+            for part in sliced(batch, text_col):
+                got = np.full(part.num_rows, 0.5)
+                if model is not None:
+                    got = model.score([encode(t.as_py() or "") for t in part.column(text_col)])
+                yield part.append_column("score", pa.array(got))
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     out = docs.mapInArrow(run, f"{schema}, score double")

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 
-REMEMBERED = 400_000
+REMEMBERED = 150_000
 # Words that are hashed together; a longer text is a chunk of its own.
 CHUNK_WORDS = 400_000
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
