@@ -9,9 +9,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from ratetally.llm.common import components, stored
+from ratetally.llm.common import components, sliced, stored
 from ratetally.llm.edits import codes, probes, segments, within
-from ratetally.llm.substrings import NO_ID, keyed
+from ratetally.llm.substrings import keyed
 from ratetally.llm.words import mixed
 
 # Lines that more than one in this many lines equals are looked up for one document only; so at most as many are sent.
@@ -20,7 +20,9 @@ OFTEN_SHARE = 100_000
 SAMPLE_DOCS = 20_000
 BLOCK_LINES = 4_096
 # Line numbers that are sent to every task at most; more are joined by shuffle.
-SENT_LINES = 500_000
+SENT_LINES = 50_000
+# Characters of text whose keys a task holds at a time.
+PIECE_CHARS = 500_000
 BLANK = b" \t\n\r\x0b\x0c"
 
 
@@ -134,7 +136,7 @@ def near_lines(docs: DataFrame, first: DataFrame, edits: int, least: int) -> Dat
             while at < len(ids):
                 # A batch of texts at a time keeps what is sent bounded.
                 lines, numbers, keys, row, filed, chars = [], [], [], [], [], 0
-                while at < len(ids) and chars < 4_000_000:
+                while at < len(ids) and chars < PIECE_CHARS:
                     text = batch.column("_text")[at].as_py()
                     for line, raw in lines_of(text, least).items():
                         number = line_hash(raw)
@@ -220,7 +222,7 @@ def blocks(keys, row, filed, numbers, wide):
 
 
 def line_texts(batches: Iterator[pa.RecordBatch], least: int, wanted: set | None) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in (part for b in batches for part in sliced(b, "_text")):
         numbers, texts = [], []
         for i, text in zip(batch.column(0).to_pylist(), batch.column(1)):
             for line, raw in lines_of(text.as_py(), least).items():
@@ -243,14 +245,14 @@ def line_dedup(docs: DataFrame, edits: int = 2, least: int = 24, id_col: str = "
     characters and verified by their edit distance. A line that very many documents have is looked up for
     one of them; segments that very many lines share are dealt over pairs of blocks.
 
-    Null text is one blank line. Null ids rank last and are one id; rows that share an id and a line share its
-    decision. Equal lines are told by 128 bits of hashes. An empty table gives an empty result; other columns are
+    Null text is one blank line. Rows without an id rank last and are told apart by their text, whose hash orders them;
+    ids lie below 2^62. Rows that share an id, or lack one and share their text, share the decision on a line. Equal lines are told by 128 bits of hashes. An empty table gives an empty result; other columns are
     ignored.
     """
-    rows = keyed(docs, id_col, text_col)
+    rows = keyed(docs, id_col, text_col, apart=True)
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for b in batches for part in sliced(b, "_text")):
             ids, numbers, checks = [], [], []
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 for raw in lines_of(text.as_py()).values():
@@ -271,12 +273,12 @@ def line_dedup(docs: DataFrame, edits: int = 2, least: int = 24, id_col: str = "
     # Only what differs from "first here, so it stays" is sent back: lines owned elsewhere, and groups within a text.
     sent = decided.where("id <> _first or component is not null")
     sent = sent.groupBy("id").agg(F.collect_list(F.struct("line", F.when(F.col("id") == F.col("_first"), F.col("component")).alias("group"))).alias("lines"))
-    rest = F.struct(F.lit(0).alias("_"), *[F.col(f"`{c}`").alias(f"_{n}") for n, c in enumerate(carry)])
-    whole = keyed(docs, id_col, text_col, rest.alias("_rest"))
+    rest = F.struct(F.col(id_col).cast("long").alias("_"), *[F.col(f"`{c}`").alias(f"_{n}") for n, c in enumerate(carry)])
+    whole = keyed(docs, id_col, text_col, rest.alias("_rest"), apart=True)
     met = whole.join(sent, F.col("_id") == F.col("id"), "left").select("_id", "_text", "_rest", "lines")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for b in batches for part in sliced(b, "_text")):
             out = [[], [], []]
             for text, known in zip(batch.column("_text"), batch.column("lines").to_pylist()):
                 fate = {k["line"]: k["group"] for k in known or ()}
@@ -293,10 +295,10 @@ def line_dedup(docs: DataFrame, edits: int = 2, least: int = 24, id_col: str = "
                 for column, value in zip(out, (len(lines), len(lines) - len(kept), "\n".join(kept))):
                     column.append(value)
             kinds = (pa.int64(), pa.int64(), pa.string())
-            own = [batch.column("_id"), batch.column("_rest"), *[pa.array(c, k) for c, k in zip(out, kinds)]]
-            yield pa.RecordBatch.from_arrays(own, names=["id", "rest", "n_lines", "n_removed", "kept_text"])
+            own = [batch.column("_rest"), *[pa.array(c, k) for c, k in zip(out, kinds)]]
+            yield pa.RecordBatch.from_arrays(own, names=["rest", "n_lines", "n_removed", "kept_text"])
 
     kind = met.schema["_rest"].dataType.simpleString()
-    out = met.mapInArrow(keep, f"id long, rest {kind}, n_lines long, n_removed long, kept_text string")
+    out = met.mapInArrow(keep, f"rest {kind}, n_lines long, n_removed long, kept_text string")
     extra = [F.col(f"rest._{n}").alias(c) for n, c in enumerate(carry)]
-    return out.select(F.nullif("id", F.lit(int(NO_ID))).alias(id_col), *extra, "n_lines", "n_removed", "kept_text")
+    return out.select(F.col("rest._").alias(id_col), *extra, "n_lines", "n_removed", "kept_text")
