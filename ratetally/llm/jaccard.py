@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ratetally.llm.common import components, stored
-from ratetally.llm.substrings import NO_ID, keyed
+from ratetally.llm.substrings import LACKING, keyed
 from ratetally.llm.words import chunks, grams, mixed
 
 # Fragments of the global order, by the leading bits of an n-gram's hash; the first ones sort out lonely documents.
@@ -269,7 +269,7 @@ def linked_texts(docs: DataFrame, k: int, percent: int, id_col: str, text_col: s
     Every distinct text that may link is a node, numbered for itself: rows that repeat a text or an id add nothing
     to its set. ``head`` is the smallest id of the text, ``copies`` the number of equal rows.
     """
-    rows = keyed(docs, id_col, text_col, F.hash(F.coalesce(F.col(text_col), F.lit(""))).alias("_more"))
+    rows = keyed(docs, id_col, text_col, F.hash(F.coalesce(F.col(text_col), F.lit(""))).alias("_more"), apart=True)
     here = rows.select("_id", "_check", "_more")
     out = stored(lonely(rows.select("_id", "_check", "_text"), k, percent))
     counted = here.groupBy("_id", "_check", "_more").agg(F.count(F.lit(1)).alias("copies"))
@@ -305,7 +305,8 @@ def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "
     where it has fewer. Two documents link when 100 * intersection >= ``percent`` * union, checked exactly. A
     document without words, or with null text, has no set and links with nothing. Copies of a text (told by 96
     bits of hashes) are one class, and only its smallest id is compared. Rows that share an id are one document,
-    which has the links of each of its texts; null ids rank last and are one id. An empty table gives an empty
+    which has the links of each of its texts. Rows without an id rank last and are told apart by their text; ids lie
+    below 2^62. An empty table gives an empty
     result; other columns are ignored.
     """
     here, out, sized, links = linked_texts(docs, k, percent, id_col, text_col)
@@ -317,5 +318,5 @@ def jaccard_join(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "
     facts = out.unionByName(sized.select(F.col("_id").alias("id"), F.col("_check").alias("check"), "n"))
     facts = facts.join(group, facts["id"] == group["node"], "left").select(F.struct("id", "check").alias("_k"), "n", F.coalesce("component", "id").alias("component"))
     final = here.select("_id", F.struct("_id", "_check").alias("_key")).join(facts, F.col("_key") == F.col("_k"))
-    known = lambda c: F.nullif(c, F.lit(int(NO_ID)))
+    known = lambda c: F.when(c < LACKING, c)
     return final.select(known(F.col("_id")).alias(id_col), F.col("n").alias("n_shingles"), known(F.col("component")).alias("component_id"))

@@ -261,6 +261,22 @@ def test_line_dedup_carries_columns_and_takes_empty_tables(docs):
     assert line_dedup(docs([])).count() == 0
 
 
+def test_rows_without_an_id_lose_their_common_lines(docs):
+    """Rows without an id are told apart by their text: of a line that they share one stays; equal rows share its fate."""
+    common = "a line that all of these documents have"
+    rows = [(None, f"{common}\nown text number {i}") for i in range(200)] + [(None, f"{common}\nown text number 3")]
+    got = [(r["n_removed"], r["kept_text"]) for r in line_dedup(docs(rows)).collect()]
+    stay = {t for n, t in got if n == 0}
+    assert len(stay) == 1 and sum(n for n, _ in got) == len(rows) - sum(n == 0 for n, _ in got)
+
+
+def test_rows_without_an_id_do_not_tie_groups_together(docs):
+    a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    rows = [(1, a), (None, f"{a} more"), (None, f"{b} more"), (2, b)]
+    got = sorted((r["doc_id"] or 0, r["component_id"]) for r in jaccard_join(docs(rows), 4, 85).collect())
+    assert got == [(0, 1), (0, 2), (1, 1), (2, 2)]
+
+
 @pytest.mark.parametrize("block", [4096, 7])
 def test_near_vectors(spark, block, monkeypatch):
     monkeypatch.setattr(vectors, "BLOCK_ROWS", block)
