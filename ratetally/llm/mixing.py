@@ -65,11 +65,11 @@ def mix(
     """
     taken_names = ("source_size", "target", "taken")
     docs = docs.drop(*taken_names)
-    given = list(docs.columns)
     src, size = F.col(source_col), F.coalesce(F.col(size_col), F.lit(0)).cast("long")
     digest = seeded_order(id_col, seed)
     slice_no = F.conv(F.substring(digest, 1, HEX_DIGITS), 16, 10).cast("int")
-    narrow = (docs if sizes is None else sizes).select(F.col(id_col).alias("_i"), src.alias("_src"), size.alias("_size"), slice_no.alias("_slice"))
+    facts = [F.col(id_col).alias("_i"), src.alias("_src"), size.alias("_size"), slice_no.alias("_slice")]
+    narrow = (docs if sizes is None else sizes).select(facts)
     goals = stored(source_targets(narrow, "_src", "_size", weights, share, max_epochs))
     times = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     goals = goals.withColumn("_times", times.cast("long"))
@@ -83,10 +83,12 @@ def mix(
     edge = met.select(F.col("_src").alias("_edge_of"), F.col("_slice").alias("_edge"), (F.col("_want") - F.col("_before")).alias("_rest"))
     goals = goals.join(edge, F.col("_goal").eqNullSafe(F.col("_edge_of")), "left").drop("_edge_of", "_want")
     goals = stored(goals)
-    rows = docs.withColumns({"_size": size, "_md5": digest, "_slice": slice_no}).join(goals, src.eqNullSafe(F.col("_goal")), "left")
-    inside = Window.partitionBy("_goal").orderBy("_md5", F.col(id_col), "_size").rowsBetween(Window.unboundedPreceding, -1)
+    # The caller's row travels in one struct, so its columns may have any names.
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), digest.alias("_md5"), *facts)
+    rows = rows.join(goals, F.col("_src").eqNullSafe(F.col("_goal")), "left")
+    inside = Window.partitionBy("_goal").orderBy("_md5", "_i", "_size").rowsBetween(Window.unboundedPreceding, -1)
     at_edge = rows.where("_slice = _edge").withColumn("_sum", F.coalesce(F.sum("_size").over(inside), F.lit(0)))
     at_edge = at_edge.withColumn("_part", F.greatest(F.lit(0), F.least("_size", F.col("_rest") - F.col("_sum")))).drop("_sum")
     others = rows.where("_edge is null or _slice <> _edge").withColumn("_part", F.when(F.col("_slice") < F.col("_edge"), F.col("_size")).otherwise(0))
     out = others.unionByName(at_edge)
-    return out.select(*[F.col(f"`{c}`") for c in given], "source_size", "target", (F.col("_times") * F.col("_size") + F.col("_part")).cast("long").alias("taken"))
+    return out.select("_row.*", "source_size", "target", (F.col("_times") * F.col("_size") + F.col("_part")).cast("long").alias("taken"))

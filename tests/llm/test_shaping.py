@@ -152,6 +152,15 @@ def test_mix_reaches_its_targets(spark):
     assert mix(table.limit(0)).count() == 0
 
 
+def test_mix_leaves_columns_of_any_name_alone(spark):
+    names = ("_slice", "_goal", "_times", "_edge", "_rest", "_md5", "_i", "_src", "_row")
+    rows = [(i, "ab"[i % 2], i, *[f"{n}{i}" for n in names]) for i in range(50)]
+    table = spark.createDataFrame(rows, "doc_id long, source string, size long, " + ", ".join(f"{n} string" for n in names))
+    got = mix(table)
+    assert got.columns == [*table.columns, "source_size", "target", "taken"]
+    assert sorted(map(tuple, got.select(table.columns).collect())) == sorted(rows)
+
+
 def test_tokens_of_sections(spark, docs):
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
     rows = ODD + [(1, "a\n\n\n  b\nc"), (2, "\n"), (3, "é√\n\n\n\n𝄞 x\r\n"), (4, "x" * 5000 + "\n" + "y")]
