@@ -40,7 +40,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """
     marked = stored(near_copies(docs.select(COLUMNS)))
     more = F.hash(F.coalesce(F.col("text"), F.lit(""))).alias("_more")
-    rows = keyed(docs, "doc_id", "text", more, *COLUMNS).withColumn("_row", F.struct("_id", "_check", "_more"))
+    rows = keyed(docs, "doc_id", "text", more, *COLUMNS, apart=True).withColumn("_row", F.struct("_id", "_check", "_more"))
 
     def named(some: DataFrame) -> DataFrame:
         return F.broadcast(some.select("_key")) if some.count() <= SENT_ROWS else some.select("_key")
