@@ -7,15 +7,17 @@ from pyspark.sql import DataFrame, functions as F
 from checks import check, read
 from ratetally.functions import urls
 from ratetally.operators import frontier, links, pages as p
-from ratetally.operators.spread import cut_lineage
+from ratetally.operators.spread import cut_lineage, stored_columns
 from ratetally.sources.html import page_elements
 
 HOME = "https://portal.example.com/rates/"
+# Pages that one task builds and parses.
+PAGES_PER_TASK = 250
 
 
 def built_pages(spark, sf) -> DataFrame:
     """One page per supplier with a table of its parts, the same table again, an archive section and a footer."""
-    n = read(spark, sf, "supplier").agg(F.count(F.lit(1))).scalar()
+    n = read(spark, sf, "supplier").count()
     k = F.col("p_partkey")
     day = F.concat(F.lit("01/"), F.lpad((F.col("p_size") % 28 + 1).cast("string"), 2, "0"), F.lit("/2024"))
     shown = F.when(k % 2 == 0, "").otherwise("PDF")
@@ -34,14 +36,16 @@ def built_pages(spark, sf) -> DataFrame:
         F.lit('<!DOCTYPE html><html><head><title>T</title><script>var next="<td>";</script></head><body><nav><a href="/home">Home</a> <a href="'), (F.col("page_id") + 1).cast("string"), F.lit('/index.html#top">Next page</a></nav><h2>Current  Fee Schedules</h2><p>All rates.</p>'),
         table, F.lit("<h3>Again</h3>"), table, F.lit('<h3>Archive</h3><p>Old ones, file updated 01/02/23</p><p><a href="/rates/'), s, F.lit('/../old/'), s, F.lit('.xlsx">Rate manual</a></p><footer><a href="/f.pdf">f</a></footer></body></html>'),
     )
-    return read(spark, sf, "supplier").select(F.col("s_suppkey").alias("page_id")).join(rows, "page_id", "left").withColumn("body", F.coalesce("body", F.lit(""))).select(
+    # The pages are far larger than the ids they are made of, so the ids are dealt out before.
+    ids = read(spark, sf, "supplier").select(F.col("s_suppkey").alias("page_id")).repartition(n // PAGES_PER_TASK + 1, "page_id")
+    return ids.join(rows, "page_id", "left").withColumn("body", F.coalesce("body", F.lit(""))).select(
         "page_id", F.concat(F.lit(HOME), s, F.lit("/index.html")).alias("url"), html.alias("html")
     )
 
 
 def elements(spark, sf):
     # Every operator below reads the elements several times: the pages are parsed once and stored.
-    return cut_lineage(page_elements(built_pages(spark, sf)))
+    return stored_columns(page_elements(built_pages(spark, sf)))
 
 
 BUILT = """s AS (SELECT s_suppkey AS page_id FROM supplier),

@@ -147,3 +147,22 @@ def test_scan_rows_bounds_the_header_search(spark):
     assert found(scan_rows=3, fallback_rows=3) != 5
     rows_of = lambda **more: grids.read_grid(cells, **more).cells.count()
     assert rows_of(scan_rows=20) == rows_of() > 0
+
+
+def test_pages_made_of_few_ids_are_parsed_by_several_tasks(spark):
+    """A thousand supplier ids are one small piece of a file, their pages are not."""
+    from checks.pages import built_pages
+
+    built = built_pages(spark, "/root/testdata/sf0.1").select("page_id")
+    places = {r[0] for r in built.select(F.spark_partition_id()).distinct().collect()}
+    assert len(places) >= 4 and built.count() == 1000
+
+
+def test_stored_columns_are_read_one_by_one(spark, frame):
+    from ratetally.operators.spread import stored_columns
+
+    rows = [(1, "a", None), (2, None, [1, 2])]
+    stored = stored_columns(frame(rows, "k int, t string, a array<int>"))
+    assert sorted(map(tuple, stored.collect())) == rows
+    plan = stored.select("k")._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<k:int>" in plan
