@@ -166,3 +166,12 @@ def test_stored_columns_are_read_one_by_one(spark, frame):
     assert sorted(map(tuple, stored.collect())) == rows
     plan = stored.select("k")._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<k:int>" in plan
+
+
+def test_a_file_per_supplier_is_written_by_several_tasks(spark, tmp_path, monkeypatch):
+    from checks import files as queries
+
+    monkeypatch.setattr(queries, "folder", lambda _: str(tmp_path / "out"))
+    found = queries.scanned_files(spark, "/root/testdata/sf0.1")
+    assert found.count() == 1000
+    assert len({p.name.split("-")[1] for p in (tmp_path / "out").rglob("part-*.txt")}) >= 4
