@@ -110,13 +110,13 @@ def flatten_json_plain(json_text: Column) -> Column:
 
 def distinct_map(entries: Column) -> Column:
     """MAP from an ARRAY of (key, value) structs; the last value of a key wins, at its first place."""
-    keys = F.array_distinct(F.transform(entries, lambda e: e["key"]))
 
-    def last(k):
-        hits = F.filter(entries, lambda e: e["key"] == k)
-        return F.element_at(hits, -1)["value"]
+    def mapped(own):
+        keys = F.array_distinct(F.transform(own, lambda e: e["key"]))
+        return F.map_from_arrays(keys, F.transform(keys, lambda k: F.element_at(F.filter(own, lambda e: e["key"] == k), -1)["value"]))
 
-    return F.map_from_arrays(keys, F.transform(keys, last))
+    # Within the array of one the entries are a variable; named in the lambdas they would be made anew for every key.
+    return F.transform(F.array(entries), mapped)[0]
 
 
 def invert_map(m: Column) -> Column:

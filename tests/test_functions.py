@@ -164,3 +164,13 @@ def test_record_text(values):
 def test_effective_hint(frame):
     df = frame([({"EFFECT_X": "long long text", "Eff Date": "2024"},), ({"Start Date": "1", "BEGIN_DATE": "12"},), ({"a": "1"},)], "m map<string,string>")
     assert [r[0] for r in df.select(cells.effective_hint(F.col("m"))).collect()] == ["2024", "12", ""]
+
+
+def test_a_map_makes_its_entries_once(spark, values):
+    from ratetally.functions.jsontext import distinct_map
+
+    entries = lambda v: F.transform(F.split(v, ","), lambda e: F.struct(F.substring(e, 1, 1).alias("key"), F.upper(e).alias("value")))
+    got = values(["a1,b1,a2", "", None], lambda v: distinct_map(entries(v)))
+    assert got == [{"a": "A2", "b": "B1"}, {"": ""}, None] and list(got[0]) == ["a", "b"]
+    plan = spark.createDataFrame([("a",)], "v string").select(distinct_map(entries(F.col("v"))).alias("m"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("upper(") == 1
