@@ -175,3 +175,18 @@ def test_a_file_per_supplier_is_written_by_several_tasks(spark, tmp_path, monkey
     found = queries.scanned_files(spark, "/root/testdata/sf0.1")
     assert found.count() == 1000
     assert len({p.name.split("-")[1] for p in (tmp_path / "out").rglob("part-*.txt")}) >= 4
+
+
+def test_plain_tags_parse_like_all_others(monkeypatch):
+    pages = [
+        "<table><tr><td>a<td>b</tr><TR><TD CLASS=x>c</TD ></tr></table><h2>H</h2><a href='f.pdf'>f</a><p>x</b></p>",
+        "<script>var t = '<td>';</script><textarea><td>no</textarea><h1>1 < 2 <b>&lt;td></b></h1><td></td x='>'><table><tr><th>u</table><tr",
+        "</td><table><thead><tr><th><table><tr><td>in</td></tr></table></th></tr></thead><!-- <td> --><tbody><tr><td><br/><td/></table></p>",
+    ]
+    short = [list(html._elements(1, "u", p)) for p in pages]
+    called = []
+    monkeypatch.setattr(html.HTMLParser, "check_for_whole_start_tag", lambda self, i: called.append(i))
+    assert sum(e[3] == "cell" for e in html._elements(1, "u", "<table><tr><td>a</td><td>b</td></tr></table>")) == 2 and not called
+    monkeypatch.undo()
+    monkeypatch.setattr(html, "PLAIN_TAG", html.re.compile("(?!)"))
+    assert short == [list(html._elements(1, "u", p)) for p in pages]
