@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +14,27 @@ from ratetally.operators.spread import cut_lineage as stored
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORD = r"[^\x20\x09-\x0D]+"
 
-__all__ = ["LOWER", "UPPER", "WORD", "components", "fold", "sliced", "stored", "text_or_empty", "word_count"]
+__all__ = ["LOWER", "UPPER", "WORD", "components", "fold", "forget", "kept", "sliced", "stored", "text_or_empty", "word_count"]
+
+
+# What a worker process keeps between its tasks, of one operator at a time.
+_KEPT: dict = {}
+
+
+def kept(name: str, make: Callable):
+    """What ``make`` gives, kept in the worker process between tasks until something of another name is wanted.
+
+    Spark uses a worker for one operator after the other: what the one before remembers would add to what the next one needs.
+    """
+    if name not in _KEPT:
+        forget()
+        _KEPT[name] = make()
+    return _KEPT[name]
+
+
+def forget() -> None:
+    """Drop what this worker process keeps for earlier tasks."""
+    _KEPT.clear()
 
 
 def text_or_empty(c: Column) -> Column:

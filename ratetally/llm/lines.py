@@ -9,7 +9,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from ratetally.llm.common import components, sliced, stored
+from ratetally.llm.common import components, forget, sliced, stored
 from ratetally.llm.edits import codes, probes, segments, within
 from ratetally.llm.substrings import keyed
 from ratetally.llm.words import mixed
@@ -129,6 +129,7 @@ def near_lines(docs: DataFrame, first: DataFrame, edits: int, least: int) -> Dat
     parts = max(1, docs.count() // SAMPLE_DOCS)
 
     def rows_of(batches: Iterator[pa.RecordBatch], wide: dict) -> Iterator[pa.RecordBatch]:
+        forget()
         shapes: dict = {}
         for batch in batches:
             ids = batch.column("_id").to_pylist()
@@ -252,6 +253,7 @@ def line_dedup(docs: DataFrame, edits: int = 2, least: int = 24, id_col: str = "
     rows = keyed(docs, id_col, text_col, apart=True)
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in (part for b in batches for part in sliced(b, "_text")):
             ids, numbers, checks = [], [], []
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1)):

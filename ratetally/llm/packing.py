@@ -11,11 +11,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ratetally.llm.common import stored
+from ratetally.llm.common import kept, stored
 
 END_ID = 2
 # Words whose ids a worker remembers; the table is emptied when full.
-REMEMBERED = 1_200_000
+REMEMBERED = 600_000
 # Texts whose new words are encoded together.
 TEXTS = 64
 MARKS = b".,;:!?"
@@ -62,17 +62,12 @@ class WordEncoder(dict):
             yield b"".join(map(self.__getitem__, some))
 
 
-_ENCODERS: dict[str, WordEncoder] = {}
-
-
 def encoder(path: str) -> WordEncoder:
-    """One encoder per worker process, kept between tasks."""
+    """One encoder per worker process, kept between tasks of this operator."""
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    if path not in _ENCODERS:
-        _ENCODERS[path] = WordEncoder(path)
-    return _ENCODERS[path]
+    return kept(f"encoder {path}", lambda: WordEncoder(path))
 
 
 def pieces_of(docs: DataFrame, tokenizer: str, capacity: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -8,6 +8,8 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 
+from ratetally.llm.common import kept
+
 REMEMBERED = 150_000
 # Words that are hashed together; a longer text is a chunk of its own.
 CHUNK_WORDS = 400_000
@@ -24,11 +26,8 @@ class WordHashes(dict):
         return got
 
 
-_HASHES = WordHashes()
-
-
 def hashes_of(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(_HASHES.__getitem__, words), "uint64", len(words))
+    return np.fromiter(map(kept("word hashes", WordHashes).__getitem__, words), "uint64", len(words))
 
 
 def mixed(x: np.ndarray) -> np.ndarray:

@@ -267,3 +267,21 @@ def test_pipeline_stages(spark, tmp_path):
     tokenizer = Tokenizer.from_file(WORD_BPE)
     assert tables[5].groupBy().sum("length").first()[0] == sum(len(tokenizer.encode(r["text"], add_special_tokens=False).ids) + 1 for r in mixed)
     assert corpus_pipeline.run(spark, SMALL).count() == tables[5].count()
+
+
+def test_a_worker_keeps_the_tables_of_one_operator():
+    """The word table of the packing stage, up to hundreds of MB a worker, is gone once another operator uses the worker."""
+    import gc
+    import weakref
+
+    from ratetally.llm import common, packing, words
+
+    def alive(work) -> bool:
+        table = weakref.ref(packing.encoder(WORD_BPE))
+        assert table() is packing.encoder(WORD_BPE) and list(table().encode(["some words"]))
+        work()
+        gc.collect()
+        return table() is not None
+
+    assert not alive(lambda: words.hashes_of([b"a"]))
+    assert not alive(common.forget)
