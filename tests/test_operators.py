@@ -439,3 +439,19 @@ def test_ten_thousand_rules_are_one_join(spark, frame):
     with pytest.raises(ValueError, match="states nothing"):
         rules.match_rule_table(frame(pages, "id int, url string"), "url", frame([("e", 1, " ", None, "")], schema))
     assert all(r["rule_ids"] == [] for r in rules.match_rule_table(frame(pages, "id int, url string"), "url", frame([], schema)).collect())
+
+
+def test_previous_values_and_ids_shuffle_their_rows_once(spark, frame):
+    rows = [(None if k == 3 else k, i * 7 % 100, None if i % 9 == 0 else f"v{i}") for i in range(100) for k in range(4) if (i + k) % 3]
+    df = frame(rows, "k int, pos long, v string")
+    got = spread.previous_value(df, ["k"], "pos", "v", "was", rows_per_slice=10)
+    want, last = {}, {}
+    for k, at, v in sorted(rows, key=lambda r: r[1]):
+        want[k, at] = (v, last.get(k))
+        last[k] = v
+    assert {(r["k"], r["pos"]): (r["v"], r["was"]) for r in got.collect()} == want and got.count() == len(rows)
+    assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
+    ids = spread.dense_ids(df, "id", F.lit(10), "pos", ["k"])
+    assert [r["id"] for r in ids.orderBy("pos", "k").collect()] == list(range(11, 11 + len(rows)))
+    plan = ids._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
