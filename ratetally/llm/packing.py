@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import string
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -18,44 +20,64 @@ END_ID = 2
 REMEMBERED = 600_000
 # Texts whose new words are encoded together.
 TEXTS = 64
-MARKS = b".,;:!?"
+MARKS = string.punctuation.encode()
 # Special tokens start so.
-SPECIAL = "<|"
+SPECIAL = b"<|"
+# Bytes that start characters from U+0300 on; below it nothing is composed.
+COMPOSED = bytes(range(0xCC, 0x100))
+# Words of small letters, which the tokenizer neither changes nor cuts before it looks them up.
+PLAIN = re.compile(rb"(?:[a-z]|\xC3[\x9F-\xB6\xB8-\xBF])+")
+# A letter or digit at the end of what stands before marks.
+LAST = re.compile(rb"(?:[0-9A-Za-z]|\xC3[\x80-\x96\x98-\xB6\xB8-\xBF])\Z")
+# How the vocabulary writes bytes: those of no visible character come from U+0100 on.
+HIDDEN = [b for b in range(256) if not (0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or 0xAE <= b)]
+BYTES = {b: 0x100 + i for i, b in enumerate(HIDDEN)}
 
 
 class WordEncoder(dict):
     """Bytes of a word to the bytes of its ids.
 
-    The vocabulary never joins what white space parts, and parts letters from marks. So a word can be encoded by
-    itself, and a mark after a letter apart from the word. Words are kept as they are written: composing comes before
-    lower case, and special tokens are found before both. Only ASCII texts that cannot hold such a token, which
-    nothing composes, are lower-cased at once to have fewer words.
+    The vocabulary never joins what white space parts, and parts letters and digits from marks. So a word can be encoded by
+    itself, and marks after a letter or digit apart from the word. Words are kept as they are written: composing comes before
+    lower case, and special tokens are found before both. Only texts that cannot hold such a token, and of characters that
+    nothing composes, have A-Z lower-cased at once to have fewer words. Plain words go straight to the model.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
 
     def learn(self, words: set[bytes]) -> None:
         stems = {}
         for word in words:
             stem = word.rstrip(MARKS)
-            if len(stem) < len(word) and stem and (97 <= stem[-1] <= 122 or 65 <= stem[-1] <= 90):
+            if len(stem) < len(word) and SPECIAL not in word and LAST.search(stem, max(len(stem) - 2, 0)):
                 stems[word] = stem, word[len(stem) :]
         new = [part for part in {part for word in words for part in stems.get(word, (word,))} if part not in self]
-        for word, got in zip(new, self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)):
+        tokens, others = self.model.tokenize, []
+        for word in new:
+            if PLAIN.fullmatch(word):
+                self[word] = array("I", [t.id for t in tokens(word.decode("latin-1").translate(BYTES))]).tobytes()
+            else:
+                others.append(word)
+        for word, got in zip(others, self.tokenizer.encode_batch_fast([w.decode() for w in others], add_special_tokens=False)):
             self[word] = array("I", got.ids).tobytes()
         for word, (stem, marks) in stems.items():
             self[word] = self[stem] + self[marks]
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """Little-endian unsigned 32-bit ids of every whole text."""
-        split = [(text.lower() if text.isascii() and SPECIAL not in text else text).encode().split() for text in texts]
-        words = set().union(*split)
+        split = []
+        for text in texts:
+            raw = text.encode()
+            if SPECIAL not in raw and (text.isascii() or len(raw.translate(None, COMPOSED)) == len(raw)):
+                raw = raw.lower()
+            split.append(raw.split())
         if len(self) > REMEMBERED:
             self.clear()
-        new = {word for word in words if word not in self}
+        new = {word for word in set().union(*split) if word not in self}
         if new:
             self.learn(new)
         for some in split:

@@ -285,3 +285,24 @@ def test_a_worker_keeps_the_tables_of_one_operator():
 
     assert not alive(lambda: words.hashes_of([b"a"]))
     assert not alive(common.forget)
+
+
+def test_words_of_small_letters_and_marks_skip_the_text_steps_of_the_tokenizer():
+    texts = [
+        "Plain words, été’s naïve—no. (x) 'tis don't rock'n'roll's! a1b2. 3.14% ###", "É été ÉTÉ. straße; ÿ÷ø ×. Ã£,* µm ªº. x÷. 5×!? _a_ __ a_. a'. a's. A'S",
+        "W̊ ẘ. Y̊ T̈ É é. É, Å KK.", "<|endoftext|> a<|ENDOFTEXT|>. <|x Ab", "a b. C \x1c\x85 ǅ. İ. ſ. ŉ.. ß.?", "", " \n ", "a" * 300 + ".",
+    ]
+    words = WordEncoder(WORD_BPE)
+    whole, slow = words.tokenizer, []
+
+    class Watched:
+        def encode_batch_fast(self, some, **options):
+            slow.extend(some)
+            return whole.encode_batch_fast(some, **options)
+
+    words.tokenizer = Watched()
+    expected = [np.array(whole.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert list(words.encode(texts)) == expected
+    slow.clear()
+    list(words.encode(["Rates Of été. señor### straße,", "the\tonly new? Words $$$"]))
+    assert set(slow) <= {".", ",", "?", "###", "$$$"}
