@@ -306,3 +306,25 @@ def test_words_of_small_letters_and_marks_skip_the_text_steps_of_the_tokenizer()
     slow.clear()
     list(words.encode(["Rates Of été. señor### straße,", "the\tonly new? Words $$$"]))
     assert set(slow) <= {".", ",", "?", "###", "$$$"}
+
+
+def test_pipeline_sends_small_batches_to_python_unless_the_session_says_otherwise(spark):
+    key = corpus_pipeline.BATCH_CONF
+    docs = spark.range(3000).selectExpr("id AS doc_id", "repeat('many words ', 1000) AS text", "'en' AS lang", "'a' AS source", "11000L AS n_chars").coalesce(1)
+
+    def sizes(batches):
+        import pyarrow as pa
+
+        yield pa.RecordBatch.from_arrays([pa.array([max(b.nbytes for b in batches)])], names=["most"])
+
+    most = lambda: docs.mapInArrow(sizes, "most long").first()["most"]
+    try:
+        assert most() > 30_000_000
+        for _, stage in corpus_pipeline.STAGES[-2:]:
+            stage(spark, docs, SMALL)
+        assert most() < 6_000_000
+        spark.conf.set(key, "8m")
+        corpus_pipeline.STAGES[-1][1](spark, docs, SMALL)
+        assert spark.conf.get(key) == "8m"
+    finally:
+        spark.conf.unset(key)
