@@ -16,6 +16,8 @@ from ratetally.operators.spread import cut_lineage, lookup_join
 PIECE = 4
 # Rules with a pattern and no literal part: each is looked for in every URL, so they have to be few.
 MAX_BARE_PATTERNS = 1_000
+# Equal rules from which their ids are listed once for all URLs that meet the same such groups, not once per URL.
+MANY_EQUAL = 64
 
 
 def checked_rules(rules: DataFrame) -> DataFrame:
@@ -53,17 +55,20 @@ def match_rule_table(df: DataFrame, url: str, rules: DataFrame, name: str = "rul
     """``df`` with the ids of the rules that its URL meets, by the rules' ``position``; an empty array where there are none.
 
     ``rules`` has rule_id, position, host_contains, path_contains, url_regex; a rule matches when all the parts that it
-    states hold, and one that states nothing is an error. Any number of rules makes one plan: each is filed under
-    the rarest piece of its literal part, distinct URLs bring the pieces that rules are filed under, and only what meets there
-    is compared. Rules that are a pattern alone have no piece; they are tested with every URL, ``MAX_BARE_PATTERNS``
-    at most. Null URLs meet nothing.
+    states hold, and one that states nothing is an error. Any number of rules makes one plan: equal rules are one, each is
+    filed under the rarest piece of its literal part, distinct URLs bring the pieces that rules are filed under, and only what
+    meets there is compared. Ids of ``MANY_EQUAL`` equal rules or more are listed once per set of such rules that some URL
+    meets, and reach the rows of ``df`` last, so the lists are not shuffled row by row. Rules that are a pattern alone have
+    no piece; they are tested with every URL, ``MAX_BARE_PATTERNS`` different ones at most. Null URLs meet nothing.
     """
-    known = cut_lineage(checked_rules(rules))
+    member = F.struct("position", "rule_id")
+    known = checked_rules(rules).groupBy("host", "path", "pattern", "literal").agg(F.array_sort(F.collect_list(member)).alias("members"))
+    known = cut_lineage(known.withColumn("rule", F.monotonically_increasing_id()))
     if not known.where("literal = '' AND pattern = ''").isEmpty():
         raise ValueError("A rule states nothing to match.")
     u = strip(F.col(url))
     seen = df.select(u.alias("_u")).where("_u <> ''").distinct()
-    seen = seen.select("_u", F.lower(urls.host(F.col("_u"))).alias("_host"), F.lower("_u").alias("_full"))
+    full = F.lower("_u")
     filed = known.where("literal <> ''")
     size = F.least(F.char_length("literal"), F.lit(PIECE))
     # At most PIECE different sizes.
@@ -71,27 +76,36 @@ def match_rule_table(df: DataFrame, url: str, rules: DataFrame, name: str = "rul
     hits = None
     if sizes:
         own = F.filter(_pieces(F.col("literal"), sizes), lambda p: F.char_length(p) == size)
-        of_rule = filed.select("rule_id", "position", F.explode(own).alias("piece"))
-        of_url = seen.select("_u", "_host", "_full", F.explode(_pieces(F.col("_full"), sizes)).alias("piece"))
+        of_rule = filed.select("rule", F.explode(own).alias("piece"))
+        of_url = seen.select("_u", F.explode(_pieces(full, sizes)).alias("piece"))
         met = cut_lineage(of_url.join(of_rule.select("piece").distinct(), "piece", "left_semi"))
         often = met.groupBy("piece").agg(F.count(F.lit(1)).alias("n"))
-        rarest = of_rule.join(often, "piece", "left").groupBy("rule_id", "position").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "piece")).alias("best"))
-        rarest = rarest.where("best.n > 0").select("rule_id", "position", F.col("best.piece").alias("piece"))
-        keyed = rarest.join(filed, ["rule_id", "position"])
-        here = F.col("_host").contains(F.col("host")) & F.col("_full").contains(F.col("path"))
+        rarest = of_rule.join(often, "piece", "left").groupBy("rule").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "piece")).alias("best"))
+        rarest = rarest.where("best.n > 0").select("rule", F.col("best.piece").alias("piece"))
+        keyed = rarest.join(filed.select("rule", "host", "path", "pattern"), "rule")
+        # The literal part comes first: few that share a piece hold it, and hosts and patterns cost more.
+        here = full.contains(F.col("path")) & full.contains(F.col("host")) & F.lower(urls.host(F.col("_u"))).contains(F.col("host"))
         here = here & ((F.col("pattern") == "") | F.rlike("_u", F.concat(F.lit("(?i)"), F.col("pattern"))))
-        hits = met.join(keyed, "piece").where(here).select("_u", "rule_id", "position")
-    bare = known.where("literal = ''").limit(MAX_BARE_PATTERNS + 1).collect()
+        hits = met.join(keyed, "piece").where(here).select("_u", "rule")
+    bare = known.where("literal = ''").select("rule", "pattern").limit(MAX_BARE_PATTERNS + 1).collect()
     if len(bare) > MAX_BARE_PATTERNS:
         raise ValueError(f"More than {MAX_BARE_PATTERNS} rules are a pattern alone.")
     if bare:
-        cases = [F.when(F.col("_u").rlike("(?i)" + r["pattern"]), F.struct(F.lit(r["rule_id"]).alias("rule_id"), F.lit(r["position"]).alias("position"))) for r in bare]
-        tested = seen.select("_u", F.inline(F.array_compact(F.array(*cases)))).select("_u", F.col("rule_id").cast(known.schema["rule_id"].dataType).alias("rule_id"), F.col("position").cast(known.schema["position"].dataType).alias("position"))
+        cases = [F.when(F.col("_u").rlike("(?i)" + r["pattern"]), F.lit(r["rule"]).cast("long")) for r in bare]
+        tested = seen.select("_u", F.explode(F.array_compact(F.array(*cases))).alias("rule"))
         hits = tested if hits is None else hits.unionByName(tested)
-    none = F.array().cast(f"array<{known.schema['rule_id'].dataType.simpleString()}>")
+    none = F.array().cast(f"array<{rules.schema['rule_id'].dataType.simpleString()}>")
     if hits is None:
         return df.withColumn(name, none)
-    ids = F.transform(F.array_sort(F.collect_list(F.struct("position", "rule_id"))), lambda h: h["rule_id"])
-    lists = hits.groupBy("_u").agg(ids.alias("ids"))
-    out = lookup_join(df.withColumn("_u", u), lists, ["_u"], "_hit")
-    return out.withColumn(name, F.coalesce(F.col("_hit.ids"), none)).drop("_u", "_hit")
+    few = F.size("members") < MANY_EQUAL
+    listed = hits.join(known.select("rule", F.when(few, F.col("members")).alias("_few")), "rule")
+    groups = F.array_sort(F.collect_list(F.when(F.col("_few").isNull(), F.col("rule"))))
+    met_by = cut_lineage(listed.groupBy("_u").agg(groups.alias("_groups"), F.flatten(F.collect_list("_few")).alias("_few")))
+    sets = met_by.where(F.size("_groups") > 0).select("_groups").distinct()
+    lists = sets.select("_groups", F.explode("_groups").alias("rule")).join(known.where(~few).select("rule", "members"), "rule")
+    lists = lists.groupBy("_groups").agg(F.array_sort(F.flatten(F.collect_list("members"))).alias("_many"))
+    out = lookup_join(df.withColumn("_u", u), met_by, ["_u"], "_hit").withColumn("_groups", F.col("_hit._groups"))
+    out = lookup_join(out, lists, ["_groups"], "_long")
+    one, many = F.col("_hit._few"), F.col("_long._many")
+    both = F.when(many.isNull(), F.array_sort(one)).when(F.size(one) == 0, many).otherwise(F.array_sort(F.concat(many, one)))
+    return out.withColumn(name, F.coalesce(F.transform(both, lambda h: h["rule_id"]), none)).drop("_u", "_hit", "_groups", "_long")

@@ -455,3 +455,22 @@ def test_previous_values_and_ids_shuffle_their_rows_once(spark, frame):
     assert [r["id"] for r in ids.orderBy("pos", "k").collect()] == list(range(11, 11 + len(rows)))
     plan = ids._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_equal_rules_are_compared_once_and_listed_once(spark, frame, monkeypatch):
+    """Rules that many URLs meet: their ids do not pass a shuffle once per URL and rule."""
+    pages = [(i, f"https://a{i % 3}.same.org/x/{i}") for i in range(300)] + [(900, None), (901, "https://other.net/x/7")]
+    given = [(f"h{n}", 3 * n, "same.org", None, None) for n in range(200)] + [(f"x{n}", 3 * n + 1, None, "/x/7", None) for n in range(5)]
+    given += [(f"p{n}", 3 * n + 2, " ", "", "NET/x") for n in range(70)] + [("a", 7, "a1.", "/x/", "^https"), ("a", 7, "a1.", "/x/", "^https")]
+    schema = "rule_id string, position int, host_contains string, path_contains string, url_regex string"
+
+    def want(u):
+        fits = lambda h, p, x: (h or "").strip() in u.split("/")[2] and (p or "") in u and (not x or x.strip("^").lower() in u)
+        return [r for r, _, h, p, x in sorted(given, key=lambda g: (g[1], g[0])) if u and fits(h, p, x)]
+
+    seen = []
+    monkeypatch.setattr(rules, "cut_lineage", lambda df, kept=rules.cut_lineage: seen.append(kept(df)) or seen[-1])
+    got = rules.match_rule_table(frame(pages, "id int, url string"), "url", frame(given, schema))
+    assert {r["id"]: r["rule_ids"] for r in got.collect()} == {i: want(u) for i, u in pages}
+    # Four different rules; what is stored per URL holds the ids of rules with few equals only.
+    assert seen[0].count() == 4 and max(len(r["_few"]) for r in seen[-1].collect()) == 7
