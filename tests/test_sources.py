@@ -190,3 +190,24 @@ def test_plain_tags_parse_like_all_others(monkeypatch):
     monkeypatch.undo()
     monkeypatch.setattr(html, "PLAIN_TAG", html.re.compile("(?!)"))
     assert short == [list(html._elements(1, "u", p)) for p in pages]
+
+
+def test_lines_are_numbered_and_joined_with_one_shuffle_of_them(spark, tmp_path):
+    """Numbers of lines and states of files are sent to the lines; only the slices and the records gather them."""
+    for name, n in (("a", 3000), ("b", 40)):
+        (tmp_path / f"{name}.csv").write_text("".join(f'{i},"two\nlines {i}"\n' if i % 3 else f"{i},one\n" for i in range(n)))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    shuffles = lambda df: df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "5000")
+        lines = tf.read_numbered(spark, str(tmp_path))
+        assert lines.rdd.getNumPartitions() > 5 and shuffles(lines) == 0
+        got = {(r["file_id"][-5:], r["line_no"]): r["line"] for r in lines.collect()}
+        for name in ("a.csv", "b.csv"):
+            want = (tmp_path / name).read_text().split("\n")[:-1]
+            assert [got[name, i] for i in range(len(want))] == want
+        assert len(got) == sum(len(p.read_text().split("\n")) - 1 for p in tmp_path.iterdir())
+        joined = tf.joined_lines(lines, tf.sniff_delimiter(lines), rows_per_slice=500)
+        assert shuffles(joined) == 1 and joined.count() == 3040 and joined.where("torn").isEmpty()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
