@@ -43,9 +43,9 @@ def built_pages(spark, sf) -> DataFrame:
     )
 
 
-def elements(spark, sf):
-    # Every operator below reads the elements several times: the pages are parsed once and stored.
-    return stored_columns(page_elements(built_pages(spark, sf)))
+def elements(spark, sf, *kinds):
+    # Every operator below reads the elements several times: the pages are parsed once and stored, with the kinds it reads.
+    return stored_columns(page_elements(built_pages(spark, sf), kinds or None))
 
 
 BUILT = """s AS (SELECT s_suppkey AS page_id FROM supplier),
@@ -116,13 +116,13 @@ def html_table_rows(spark, sf):
 @check(f"""WITH {BUILT} SELECT page_id, '{HOME}' || page_id || '/files/' || k || '.pdf' AS file_url, CASE WHEN shown = '' THEN k || '.pdf' ELSE 'PDF' END AS title, 'Current  Fee Schedules' AS section, 'pdf' AS file_type, '' AS updated FROM t
 UNION ALL SELECT page_id, 'https://portal.example.com/rates/old/' || page_id || '.xlsx', 'Rate manual', 'Archive', 'xlsx', '01/02/23' FROM s""")
 def file_link_catalog(spark, sf):
-    out = p.file_link_catalog(elements(spark, sf))
+    out = p.file_link_catalog(elements(spark, sf, "heading", "anchor"))
     return out.select("page_id", "file_url", "title", "section", "file_type", F.when(F.col("file_type") == "xlsx", F.col("updated")).otherwise("").alias("updated"))
 
 
 @check(f"""WITH {BUILT} SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY n) AS place, k || '.pdf' AS leaf FROM t QUALIFY place <= 5""")
 def capped_file_link_catalog(spark, sf):
-    out = p.file_link_catalog(elements(spark, sf), 5)
+    out = p.file_link_catalog(elements(spark, sf, "heading", "anchor"), 5)
     from pyspark.sql import Window
 
     place = F.row_number().over(Window.partitionBy("page_id").orderBy("pos"))
@@ -180,7 +180,7 @@ def declared_total_rows(spark, sf):
 
 @check(f"""WITH {BUILT} SELECT page_id, k, true AS is_file FROM t UNION ALL SELECT page_id, k, true FROM t UNION ALL SELECT page_id, -1, false FROM s UNION ALL SELECT page_id, -1, false FROM s UNION ALL SELECT page_id, -2, true FROM s UNION ALL SELECT page_id, -3, true FROM s""")
 def file_link_flags(spark, sf):
-    e = p.file_links(elements(spark, sf))
+    e = p.file_links(elements(spark, sf, "anchor", "cell"))
     k = F.regexp_extract("href", r"files/(\d+)\.pdf", 1)
     key = F.when(k != "", k.try_cast("bigint")).when(F.col("href").contains("xlsx"), -2).when(F.col("href") == "/f.pdf", -3).otherwise(-1)
     return e.select("page_id", key.alias("k"), F.col("is_file_link").alias("is_file"))
@@ -190,7 +190,7 @@ def file_link_flags(spark, sf):
  UNION ALL SELECT page_id, 'https://portal.example.com/f.pdf', 12 FROM s UNION ALL SELECT page_id, '{HOME}' || page_id || '/' || (page_id + 1) || '/index.html#top', 5 FROM s)
 SELECT page_id, u AS link_url, score, row_number() OVER (PARTITION BY page_id ORDER BY score DESC, u) AS link_rank FROM l QUALIFY link_rank <= 10""")
 def related_links(spark, sf):
-    out = links.rank_related_links(elements(spark, sf), 10)
+    out = links.rank_related_links(elements(spark, sf, "anchor"), 10)
     return out.select("page_id", "link_url", "score", F.col("link_rank").cast("bigint").alias("link_rank"))
 
 

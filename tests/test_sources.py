@@ -211,3 +211,13 @@ def test_lines_are_numbered_and_joined_with_one_shuffle_of_them(spark, tmp_path)
         assert shuffles(joined) == 1 and joined.count() == 3040 and joined.where("torn").isEmpty()
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_wanted_kinds_are_those_of_all_elements(spark):
+    """A query that reads links only makes no rows of texts and cells; numbers, places and notes stay the same."""
+    page = '<h2>A</h2><p>file updated 01/02/23 <a href="x.pdf">x</a></p><table><tr><th>r</th><td><b>c</b> <a href="y">y</a></td></tr></table><footer><a href="z">z</a></footer>'
+    pages_df = spark.createDataFrame([(1, "http://h/", page), (2, "http://h/2", None)], "page_id long, url string, html string")
+    every = html.page_elements(pages_df).collect()
+    for kinds in (["anchor"], ["heading", "anchor"], ["anchor", "cell"], ["text"]):
+        got = html.page_elements(pages_df, kinds).collect()
+        assert got == [e for e in every if e["kind"] in kinds] and got
