@@ -298,3 +298,21 @@ def test_near_vectors(spark, block, monkeypatch):
     got = {r[0]: tuple(r)[1:] for r in near_vectors(table, 0.9).collect()}
     assert got == {i: (n[i], want.find(i), want.find(i) == i) for i, _ in rows}
     assert near_vectors(table.limit(0), 0.9).count() == 0
+
+
+def test_near_vectors_shuffles_no_vector_per_pair_of_blocks(spark, monkeypatch):
+    """Four times the vectors, in cells that nothing separates, write about four times the shuffled bytes."""
+    monkeypatch.setattr(vectors, "BLOCK_ROWS", 16)
+    monkeypatch.setattr(vectors, "CELL_ROWS", 64)
+
+    def written(n):
+        gateway, store = spark.sparkContext._gateway, spark.sparkContext._jsc.sc().statusStore()
+        stages = lambda: store.stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), None)
+        total = lambda: sum(s.shuffleWriteBytes() for s in map(stages().apply, range(stages().size())))
+        x = np.random.default_rng(n).normal(size=(n, 64)).astype("float32").tolist()
+        before = total()
+        assert near_vectors(spark.createDataFrame(list(enumerate(x)), "vec_id long, embedding array<float>"), 0.9).count() == n
+        return total() - before
+
+    few, many = written(400), written(1600)
+    assert 0 < many <= 6 * few
