@@ -217,7 +217,7 @@ CAP = 100
 
 
 def capped(spark, sf, method, cap=CAP):
-    rows = lines_result(spark, sf).rows
+    rows = lines_result(spark, sf).rows.drop("diffs")
     return c.cap_result(rows.withColumn("_m", F.coalesce("modifier", F.lit(""))), cap, ["code", "_m", "right_group_rows", "diff_count"], method).select("status", "code", "modifier", "right_group_rows", F.col("rank_in_status").cast("bigint").alias("rank_in_status"))
 
 

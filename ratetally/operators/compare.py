@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ratetally.functions.cells import comparisons, display, field_diffs
 from ratetally.functions.names import left_for_right, mapped_pairs, parse_mapping, pick_modifier, resolve_column
 from ratetally.functions.text import norm_key
-from ratetally.operators.spread import GROUP_LIMIT, heavy_keys, lookup_join, ranked_per_group, top_per_group
+from ratetally.operators.spread import GROUP_LIMIT, heavy_keys, lookup_join, ranked_per_group, stored_columns, top_per_group
 
 # Left rows of one key from which on they are spread over so many groups.
 HEAVY_ROWS = 1_000_000
@@ -301,12 +301,13 @@ def quotas(counts: DataFrame, cap: int, method: str = "residue_last") -> DataFra
 def cap_result(rows: DataFrame, cap: int, order: Sequence[str], method: str = "residue_last") -> DataFrame:
     """The first rows of every status in ``order``, each status cut to its quota.
 
-    A small cap is taken from every task's own first rows. Beyond that the rows are sorted by ranges, so that no
-    task holds a status.
+    A small cap is taken from every task's own first rows. Beyond that the rows are stored by columns, so that they are made
+    once for the quotas, the ranges and the sort, and sorted by ranges, so that no task holds a status.
     """
     if cap <= GROUP_LIMIT:
         best = top_per_group(rows, ["status"], [F.col(c) for c in order], max(cap, 1), rank="rank_in_status")
     else:
+        rows = stored_columns(rows)
         best = ranked_per_group(rows, ["status"], order, "rank_in_status")
     share = quotas(bucket_counts(rows), cap, method)
     return best.join(F.broadcast(share), "status").where(F.col("rank_in_status") <= F.col("quota")).drop("quota")

@@ -474,3 +474,21 @@ def test_equal_rules_are_compared_once_and_listed_once(spark, frame, monkeypatch
     assert {r["id"]: r["rule_ids"] for r in got.collect()} == {i: want(u) for i, u in pages}
     # Four different rules; what is stored per URL holds the ids of rules with few equals only.
     assert seen[0].count() == 4 and max(len(r["_few"]) for r in seen[-1].collect()) == 7
+
+
+def test_large_cap_makes_its_rows_once_and_joins_them_with_short_sides_only(spark):
+    n = F.col("id")
+    status = F.when(n % 2 == 0, "match").when(n % 3 == 0, "mismatch").when(n % 5 == 0, "left_only").otherwise("right_only")
+    rows = spark.range(6000).select(status.alias("status"), (n * 7919 % 6000).alias("k"), F.array(F.struct(n.alias("x"))).alias("diffs"), F.lit(None).alias("nothing"))
+    for some in (rows, rows.drop("nothing")):
+        got = c.cap_result(some, 2000, ["k"])
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "Range (" not in plan and "SortMergeJoin" not in plan
+        seen = {}
+        for r in got.collect():
+            seen.setdefault(r["status"], []).append((r["rank_in_status"], r["k"], r["diffs"][0]["x"]))
+        share = {r["status"]: r["quota"] for r in c.quotas(c.bucket_counts(rows), 2000).collect()}
+        every = {}
+        for r in rows.orderBy("k").collect():
+            every.setdefault(r["status"], []).append((len(every.get(r["status"], [])) + 1, r["k"], r["diffs"][0]["x"]))
+        assert {s: sorted(v) for s, v in seen.items()} == {s: v[: share[s]] for s, v in every.items() if share[s]}
