@@ -67,9 +67,12 @@ def calls(spark, sf):
         F.lit('{"result": {"data": {"table": "x_fee_schedule", "title": "Current", "fields": "name,qty,file", "column_labels": {"name": "Title", "qty": "Units", "file": "Link"}, "row_count": "'),
         F.count(F.lit(1)).cast("string"), F.lit('", "list": ['), lst, F.lit("]}}}"),
     )
-    main = lines.groupBy("scope").agg(body.alias("data_sample")).select("scope", F.lit(2).alias("call_no"), F.lit("https://s.example.com/api/now/sp/rectangle/w1").alias("url"), F.lit("POST").alias("method"), F.lit('{"p": 1}').alias("payload"), "data_sample")
-    noise = main.select("scope", F.lit(1).alias("call_no"), "url", "method", "payload", F.lit('{"result": {"data": {"table": "fee_codes", "row_count": "99999", "list": [{"sys_id": "z"}]}}}').alias("data_sample"))
-    return main.unionByName(noise)
+    noise = '{"result": {"data": {"table": "fee_codes", "row_count": "99999", "list": [{"sys_id": "z"}]}}}'
+    both = lines.groupBy("scope").agg(body.alias("data_sample")).withColumn("call_no", F.explode(F.array(F.lit(2), F.lit(1))))
+    return both.select(
+        "scope", "call_no", F.lit("https://s.example.com/api/now/sp/rectangle/w1").alias("url"), F.lit("POST").alias("method"), F.lit('{"p": 1}').alias("payload"),
+        F.when(F.col("call_no") == 2, F.col("data_sample")).otherwise(noise).alias("data_sample"),
+    )
 
 
 @check("SELECT l_orderkey AS scope, 2 AS call_no FROM lineitem GROUP BY l_orderkey")

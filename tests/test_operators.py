@@ -492,3 +492,50 @@ def test_large_cap_makes_its_rows_once_and_joins_them_with_short_sides_only(spar
         for r in rows.orderBy("k").collect():
             every.setdefault(r["status"], []).append((len(every.get(r["status"], [])) + 1, r["k"], r["diffs"][0]["x"]))
         assert {s: sorted(v) for s, v in seen.items()} == {s: v[: share[s]] for s, v in every.items() if share[s]}
+
+
+def test_records_are_flattened_with_one_shuffle(spark, frame):
+    import json
+
+    from ratetally.operators import records
+
+    def call(scope, no, rows, table="x_fee_schedule", fields="name,file,sys_id", url="https://h.example.com/api/now/sp/rectangle/1", **more):
+        labels = {"name": "Title", "file": "Title"} if scope == "twice" else {"name": "Title", "file": "Link"}
+        body = {"result": {"data": {"table": table, "title": "t", "fields": fields, "column_labels": labels, "row_count": "4", "list": rows}, **more}}
+        return (scope, no, url, "POST", "{}", json.dumps(body, ensure_ascii=False))
+
+    file = lambda v, **m: {"type": "file_attachment", "value": v, **m}
+    rows = [
+        {"sys_id": "a", "name": {"display_value": " A\u3000", "value": "x"}, "file": file(" f1 ", display_value="Sheet")}, "no object",
+        {"sys_id": {"display_value": "b", "value": None}, "name": {"value": 1.5}, "file": file("")}, {"sys_id": " a", "name": "again"},
+        {"name": "no id", "file": ' {"type": "FILE_attachment", "value": "f2"}'}, {"sys_id": " ", "name": "[{", "file": '[{"type": "file_attachment", "value": "f3"}]'},
+    ]
+    calls = [
+        call("one", 1, [{"sys_id": "z"}], table="fee_codes"), call("one", 3, rows), call("one", 4, [{"sys_id": "late"}] * 6), call("two", 1, [{"sys_id": "c", "q": "v"}], fields="", template='src="/api/x/pubatt/dl/"'),
+        call("twice", 1, [{"sys_id": "d", "name": "n", "file": "last"}]), call("none", 1, []), ("other", 1, "https://h.example.com/x", "GET", "", "{bad"),
+        ("two", 2, "https://h.example.com/x", "GET", "", "{}"), ("twice", 9, "https://d.example.com/pubatt/dl/9", "GET", None, None),
+    ]
+    calls[2] = (*calls[2][:3], "GET", *calls[2][4:])
+    out = records.flatten_records(frame(calls, "scope string, call_no int, url string, method string, payload string, data_sample string"), ["scope"])
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan and "Window" not in plan
+    got = {(r["scope"], r["row_no"]): (r["sys_id"], r["cells"], [(l["url"], l["text"]) for l in r["links"]], r["columns"], r["complete"]) for r in out.collect()}
+    at, names = "https://h.example.com/api/now/attachment/", ["Title", "Link", "sys_id"]
+    assert got == {
+        ("one", 0): ("a", {"Title": "A", "Link": "Sheet", "sys_id": "a"}, [(at + "f1/file", "Sheet")], names, True),
+        ("one", 2): ("b", {"Title": "1.5", "Link": "", "sys_id": "b"}, [], names, True),
+        ("one", 4): ("", {"Title": "no id", "Link": '{"type": "FILE_attachment", "value": "f2"}', "sys_id": ""}, [(at + "f2/file", '{"type": "FILE_attachment", "value": "f2"}')], names, True),
+        ("one", 5): ("", {"Title": "[{", "Link": '[{"type": "file_attachment", "value": "f3"}]', "sys_id": ""}, [], names, True),
+        ("two", 0): ("c", {"sys_id": "c", "q": "v"}, [], ["sys_id", "q"], False),
+        ("twice", 0): ("d", {"Title": "last", "sys_id": "d"}, [], ["Title", "Title", "sys_id"], False),
+    }
+
+
+def test_trimmed_takes_all_white_space(spark):
+    from ratetally.functions.text import strip
+    from ratetally.operators.records import trimmed
+
+    around = F.concat(F.col("c"), F.lit("a b"), F.col("c"))
+    chars = spark.createDataFrame([(chr(i),) for i in range(1, 0x3100)], "c string")
+    assert chars.where(strip(around) != trimmed(around)).count() == 0
+    assert [r[0] for r in spark.sql("SELECT explode(array(null, '', ' ', ' x ')) AS c").select(trimmed(F.col("c"))).collect()] == ["", "", "", "x"]
